@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import simhash
+from . import pii, simhash, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -19,8 +19,20 @@ def op4_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("id").alias("doc_id"), simhash.hex_fingerprint().alias("fingerprint"), "component_id")
 
 
+def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.find(_table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
+
+
+def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    records, _ = warc.archive(spark, _table(spark, sf_dir, "pages"))
+    page = F.when(F.col("page_id") != "", F.col("page_id")).cast("long").alias("page_id")
+    return records.select(page, "payload_bytes", "payload_digest", "record_type", F.col("refers_to").cast("long").alias("refers_to"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_simhash_near_dedup": op4_simhash_near_dedup,
+    "op6_pii": op6_pii,
+    "op7_warc": op7_warc,
 }
 
 ORACLE_SQL: dict[str, str] = {}
