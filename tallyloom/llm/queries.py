@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import pii, simhash, warc
+from . import pii, simhash, toxicity, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -29,10 +29,18 @@ def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return records.select(page, "payload_bytes", "payload_digest", "record_type", F.col("refers_to").cast("long").alias("refers_to"))
 
 
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    scored = toxicity.score(docs, toxicity.train(spark, docs, sf_dir), ["doc_id"])
+    predicted = (F.col("_score") >= toxicity.THRESHOLD).cast("int").alias("predicted")
+    return scored.select("doc_id", toxicity.held_out("doc_id").alias("held_out"), F.col("_score").alias("score"), predicted)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_simhash_near_dedup": op4_simhash_near_dedup,
     "op6_pii": op6_pii,
     "op7_warc": op7_warc,
+    "op9_toxicity": op9_toxicity,
 }
 
 ORACLE_SQL: dict[str, str] = {}
