@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -45,3 +46,8 @@ class Scratch:
                 jvm = self.spark._jvm
                 target = jvm.org.apache.hadoop.fs.Path(path)
                 target.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(target, True)
+
+    def release(self) -> None:
+        """Let Spark delete the shuffle files of jobs whose results were written: it does so when the JVM collects."""
+        gc.collect()
+        self.spark._jvm.System.gc()
