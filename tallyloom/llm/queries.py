@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, lines, lm, packing, pii, simhash, toxicity, warc
+from . import decontam, lines, lm, packing, pii, simhash, toxicity, vectors, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -34,6 +34,11 @@ def op4_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("id").alias("doc_id"), simhash.hex_fingerprint().alias("fingerprint"), "component_id")
 
 
+def op5_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = vectors.near_duplicates(spark, _table(spark, sf_dir, "embeddings"))
+    return found.select(F.col("id").alias("vec_id"), "n_links", F.col("component_id").cast("long").alias("component_id"), "kept")
+
+
 def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.find(_table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
 
@@ -64,6 +69,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_best_fit_packing": op1_best_fit_packing,
     "op3_decontamination": op3_decontamination,
     "op4_simhash_near_dedup": op4_simhash_near_dedup,
+    "op5_embedding_near_dedup": op5_embedding_near_dedup,
     "op6_pii": op6_pii,
     "op7_warc": op7_warc,
     "op8_lm_scoring": op8_lm_scoring,
