@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, lines, lm, packing, pii, simhash, toxicity, vectors, warc
+from . import decontam, lines, lm, packing, pii, simhash, substrings, toxicity, vectors, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -24,6 +24,11 @@ def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(spark, _table(spark, sf_dir, "documents"), tokenizer_path()).withColumnRenamed("id", "doc_id")
 
 
+def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = substrings.dedup(spark, _table(spark, sf_dir, "documents"), with_text=False)
+    return found.select(F.col("id").alias("doc_id"), "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
 def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontam.search(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark").select("item_id", "text"), ["doc_id"])
     return found.select("doc_id", (F.size("_items") > 0).alias("contaminated"), F.col("_items").alias("item_ids"), F.col("_similarity").alias("similarity"))
@@ -67,6 +72,7 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_best_fit_packing": op1_best_fit_packing,
+    "op2_substring_dedup": op2_substring_dedup,
     "op3_decontamination": op3_decontamination,
     "op4_simhash_near_dedup": op4_simhash_near_dedup,
     "op5_embedding_near_dedup": op5_embedding_near_dedup,
