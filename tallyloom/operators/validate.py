@@ -64,19 +64,27 @@ def _first(path: Column, rules: list[tuple[Column, str | Column]]) -> Column:
     return out
 
 
+def let(value: Column, body) -> Column:
+    """``body`` of a value that is computed once, however often the body uses it."""
+    return F.transform(F.array(value), body)[0]
+
+
 class _Input:
     """A variant, possibly absent, with its kind and text."""
 
-    def __init__(self, v: Column):
-        self.v = v
-        self.kind = F.coalesce(F.schema_of_variant(v), F.lit("ABSENT"))
-        self.text = F.try_variant_get(v, "$", "string")
+    def __init__(self, bound: Column):
+        self.v, self.kind, self.text = bound["v"], bound["kind"], bound["text"]
+
+    @staticmethod
+    def of(v: Column) -> Column:
+        kind = F.coalesce(F.schema_of_variant(v), F.lit("ABSENT"))
+        return F.struct(v.alias("v"), kind.alias("kind"), F.try_variant_get(v, "$", "string").alias("text"))
 
     def is_(self, *kinds: str) -> Column:
         return reduce(lambda a, b: a | b, (self.kind.startswith(k) for k in kinds))
 
 
-def _integer(f: Field, x: _Input) -> tuple[Column, list]:
+def _integer(f: Field, x: _Input, bound: Column | None = None) -> tuple[Column, list]:
     text = F.regexp_replace(F.trim(x.text), "_", "")
     good_text = text.rlike(r"\A[+-]?\d+(\.0*)?\z")
     real = x.is_("DOUBLE", "DECIMAL", "FLOAT")
@@ -87,6 +95,7 @@ def _integer(f: Field, x: _Input) -> tuple[Column, list]:
         .when(real & (as_double == F.floor(as_double)), as_double.cast("bigint"))
         .when(x.is_("STRING") & good_text, F.split(text, r"\.")[0].try_cast("bigint"))
     )
+    value = value if bound is None else bound
     rules = [
         (~x.is_("BIGINT", "BOOLEAN", "DOUBLE", "DECIMAL", "FLOAT", "STRING"), REASONS["integer"]),
         (x.is_("STRING") & value.isNull(), REASONS["integer_text"]),
@@ -105,57 +114,62 @@ def _bounds(f: Field, value: Column) -> list:
     return out
 
 
-def _number(f: Field, x: _Input) -> tuple[Column, list]:
+def _number(f: Field, x: _Input, bound: Column | None = None) -> tuple[Column, list]:
     text = F.regexp_replace(F.trim(x.text), "_", "")
     value = F.when(x.is_("BIGINT", "DOUBLE", "DECIMAL", "FLOAT"), F.try_variant_get(x.v, "$", "double")).when(x.is_("BOOLEAN"), F.try_variant_get(x.v, "$", "boolean").cast("double")).when(x.is_("STRING"), text.try_cast("double"))
+    if bound is not None:
+        value = bound  # rounded already, so bounds are judged on the unrounded value below
+    plain = F.when(x.is_("STRING"), text.try_cast("double")).otherwise(F.try_variant_get(x.v, "$", "double")) if bound is not None and f.decimals is not None else value
     rules = [
         (~x.is_("BIGINT", "BOOLEAN", "DOUBLE", "DECIMAL", "FLOAT", "STRING"), REASONS["number"]),
         (value.isNull(), REASONS["number_text"]),
         (F.isnan(value) | (F.abs(value) == float("inf")), REASONS["finite"]),
-        *_bounds(f, value),
+        *_bounds(f, plain),
     ]
-    return (value if f.decimals is None else F.bround(value, f.decimals)), rules
+    return (value if f.decimals is None or bound is not None else F.bround(value, f.decimals)), rules
 
 
-def _boolean(f: Field, x: _Input) -> tuple[Column, list]:
+def _boolean(f: Field, x: _Input, bound: Column | None = None) -> tuple[Column, list]:
     word = F.lower(F.when(x.is_("STRING", "BIGINT"), x.text))
     value = F.when(x.is_("BOOLEAN"), F.try_variant_get(x.v, "$", "boolean")).when(word.isin(*TRUE_WORDS), True).when(word.isin(*FALSE_WORDS), False)
+    value = value if bound is None else bound
     return value, [(~x.is_("BOOLEAN", "STRING", "BIGINT", "DOUBLE", "DECIMAL"), REASONS["boolean"]), (value.isNull(), REASONS["boolean_text"])]
 
 
-def _temporal(f: Field, x: _Input) -> tuple[Column, list]:
+def _temporal(f: Field, x: _Input, bound: Column | None = None) -> tuple[Column, list]:
     text = F.when(x.is_("STRING"), F.trim(x.text))
     if f.type == "date":
         day = F.when(text.contains("T"), F.substring(text, 1, 10)).otherwise(text)
         value = F.when(day.rlike(rf"\A{_DATE}\z"), day.try_cast("date"))
-        bound = lambda b: F.lit(b.isoformat()).cast("date")
+        limit = lambda b: F.lit(b.isoformat()).cast("date")
     elif f.type == "datetime":
         good = text.rlike(rf"\A{_DATE}(?:[T ]{_TIME}(?:Z|[+-]\d{{2}}:?\d{{2}})?)?\z")
         zoned = text.rlike(r"(?:Z|[+-]\d{2}:?\d{2})\z") & text.rlike(r"[T ]")
         utc = F.when(zoned, text).otherwise(F.concat(F.when(text.rlike(r"[T ]"), text).otherwise(F.concat(text, F.lit("T00:00:00"))), F.lit("Z")))
         value = F.when(good, utc.try_cast("timestamp"))
-        bound = lambda b: F.lit(temporal_text(b)).cast("timestamp")
+        limit = lambda b: F.lit(temporal_text(b)).cast("timestamp")
     else:
         value = F.when(text.rlike(rf"\A{_TIME}\z") & (F.substring(text, 1, 2) < "24") & (F.substring(text, 4, 2) < "60"), F.when(F.length(text) == 5, F.concat(text, F.lit(":00"))).otherwise(text))
-        bound = lambda b: F.lit(b.isoformat())
+        limit = lambda b: F.lit(b.isoformat())
+    value = value if bound is None else bound
     rules = [(value.isNull(), f"not a valid {f.type} (ISO 8601)")]
     if f.min is not None:
-        rules.append((value < bound(f.min), f"before min {temporal_text(f.min)}"))
+        rules.append((value < limit(f.min), f"before min {temporal_text(f.min)}"))
     if f.max is not None:
-        rules.append((value > bound(f.max), f"after max {temporal_text(f.max)}"))
+        rules.append((value > limit(f.max), f"after max {temporal_text(f.max)}"))
     return value, rules
 
 
-def _string(f: Field, x: _Input) -> tuple[Column, list]:
+def _string(f: Field, x: _Input, bound: Column | None = None) -> tuple[Column, list]:
     number = x.is_("BIGINT", "DOUBLE", "DECIMAL") if f.generator == "sequence" else F.lit(False)
-    value = F.when(x.is_("STRING") | number, stripped(x.text))
+    value = F.when(x.is_("STRING") | number, stripped(x.text)) if bound is None else bound
     rules: list = [(value.isNull(), REASONS["string"])]
     if f.min_length != 0:
         rules.append((value == "", REASONS["empty"]))
     formats = {"email": EMAIL, "url": URL, "uuid": UUID}
     if f.type in formats:
         rules.append((~value.rlike(formats[f.type]), REASONS[f.type]))
-    if f.type == "uuid":
+    if f.type == "uuid" and bound is None:
         h = F.lower(F.regexp_replace(value, r"(?i)urn:|uuid:|[{}-]", ""))
         value = F.when(value.rlike(UUID), F.concat_ws("-", *(F.substring(h, a, n) for a, n in ((1, 8), (9, 4), (13, 4), (17, 4), (21, 12))))).otherwise(value)
     if f.min_length is not None:
@@ -167,10 +181,11 @@ def _string(f: Field, x: _Input) -> tuple[Column, list]:
     return value, rules
 
 
-def _enum(f: Field, x: _Input) -> tuple[Column, list]:
+def _enum(f: Field, x: _Input, bound: Column | None = None) -> tuple[Column, list]:
     key, value = F.lower(F.trim(x.text)), F.lit(None).cast(f.spark_type())
     for v in reversed(f.values):
         value = F.when(key == str(v).strip().lower(), F.lit(v).cast(f.spark_type())).otherwise(value)
+    value = value if bound is None else bound
     return value, [(value.isNull(), REASONS["enum"])]
 
 
@@ -180,64 +195,88 @@ def _parsed(x: _Input, opener: str, kind: str) -> Column:
     return F.when(F.coalesce(F.schema_of_variant(inner).startswith(kind), F.lit(False)), inner).otherwise(x.v)
 
 
-def compile_field(f: Field, v: Column, path: Column) -> tuple[Column, Column]:
-    """Typed value and errors of a field whose variant is ``v``."""
-    x = _Input(v)
-    if f.type == "array":
-        value, errors = _array(f, x, path)
-    elif f.type == "object":
-        value, errors = _object(f, x, path)
-    else:
-        by_type = {"integer": _integer, "number": _number, "boolean": _boolean, "enum": _enum}
-        handler = by_type.get(f.type) or (_temporal if f.type in TEMPORALS else _string)
-        assert f.type in by_type or f.type in TEMPORALS or f.type in STRINGS, f.type
-        value, rules = handler(f, x)
-        errors = _first(path, rules)
-    absent = x.kind == "ABSENT"
-    if f.nullable:
-        return value, F.when(absent | (x.kind == "VOID"), _none()).otherwise(errors)
-    return value, F.when(absent, _error(path, REASONS["required"])).otherwise(errors)
-
-
-def _array(f: Field, x: _Input, path: Column) -> tuple[Column, Column]:
-    v = _parsed(x, "[", "ARRAY")
-    is_list = F.schema_of_variant(v).startswith("ARRAY")
-    items = F.when(is_list, F.try_variant_get(v, "$", "array<variant>"))
-    value = F.transform(items, lambda i: compile_field(f.items, i, F.lit(""))[0])
-    inner = F.flatten(F.transform(items, lambda i, n: compile_field(f.items, i, F.concat(path, F.lit("."), n.cast("string")))[1]))
-    n = F.size(items).cast("string")
-    rules: list = [(~F.coalesce(is_list, F.lit(False)), REASONS["list"])]
-
-    def say(bound: int, side: str) -> Column:
-        return F.concat(F.lit(f"List should have at {side} {bound} item{'' if bound == 1 else 's'} after validation, not "), n)
-
-    sizes: list = []
-    if f.min_items is not None:
-        sizes.append((F.size(items) < f.min_items, say(f.min_items, "least")))
-    if f.max_items is not None:
-        sizes.append((F.size(items) > f.max_items, say(f.max_items, "most")))
-    errors = F.coalesce(inner, _none())
-    return value, F.when(F.coalesce(is_list, F.lit(False)), F.when(F.size(errors) > 0, errors).otherwise(_first(path, sizes))).otherwise(_first(path, rules))
-
-
-def _object(f: Field, x: _Input, path: Column) -> tuple[Column, Column]:
-    v = _parsed(x, "{", "OBJECT")
-    is_object = F.coalesce(F.schema_of_variant(v).startswith("OBJECT"), F.lit(False))
-    value, errors = compile_fields(f.properties, F.when(is_object, v), F.concat(path, F.lit(".")))
-    return F.when(is_object, F.struct(*(c.alias(n) for n, c in value))), F.when(is_object, errors).otherwise(_error(path, REASONS["object"]))
-
-
-def compile_fields(fields: list[Field], v: Column, prefix: Column) -> tuple[list[tuple[str, Column]], Column]:
-    """Values and all errors of an object's fields, extra keys last."""
-    values, errors = [], []
-    for f in fields:
-        key = f.name.replace("'", "\\'")
-        value, bad = compile_field(f, F.try_variant_get(v, f"$['{key}']", "variant"), F.concat(prefix, F.lit(f.name)))
-        values.append((f.name, value))
-        errors.append(bad)
+def compile_field(f: Field, v: Column, path: Column) -> Column:
+    """``struct(value, errors)`` of a field whose variant is ``v``."""
+
+    def body(bound: Column) -> Column:
+        x = _Input(bound)
+        if f.type == "array":
+            out = _array(f, x, path)
+        elif f.type == "object":
+            out = _object(f, x, path)
+        else:
+            by_type = {"integer": _integer, "number": _number, "boolean": _boolean, "enum": _enum}
+            handler = by_type.get(f.type) or (_temporal if f.type in TEMPORALS else _string)
+            assert f.type in by_type or f.type in TEMPORALS or f.type in STRINGS, f.type
+            value = handler(f, x)[0]
+            out = let(value, lambda y: F.struct(y.alias("value"), _first(path, _rules(f, x, y)).alias("errors")))
+        absent = x.kind == "ABSENT"
+        if f.nullable:
+            errors = F.when(absent | (x.kind == "VOID"), _none())
+        else:
+            errors = F.when(absent, _error(path, REASONS["required"]))
+        return let(out, lambda o: F.struct(o["value"].alias("value"), errors.otherwise(o["errors"]).alias("errors")))
+
+    return let(_Input.of(v), body)
+
+
+def _rules(f: Field, x: _Input, value: Column) -> list:
+    """The rules of a scalar, on its bound value."""
+    by_type = {"integer": _integer, "number": _number, "boolean": _boolean, "enum": _enum}
+    return (by_type.get(f.type) or (_temporal if f.type in TEMPORALS else _string))(f, x, value)[1]
+
+
+def _array(f: Field, x: _Input, path: Column) -> Column:
+    def body(v: Column) -> Column:
+        is_list = F.coalesce(F.schema_of_variant(v).startswith("ARRAY"), F.lit(False))
+        items = F.when(is_list, F.try_variant_get(v, "$", "array<variant>"))
+        each = F.transform(items, lambda i, n: compile_field(f.items, i, F.concat(path, F.lit("."), n.cast("string"))))
+
+        def sized(done: Column) -> Column:
+            n = F.size(done)
+
+            def say(bound: int, side: str) -> Column:
+                return F.concat(F.lit(f"List should have at {side} {bound} item{'' if bound == 1 else 's'} after validation, not "), n.cast("string"))
+
+            sizes: list = [(done.isNull(), REASONS["list"])]
+            if f.min_items is not None:
+                sizes.append((n < f.min_items, say(f.min_items, "least")))
+            if f.max_items is not None:
+                sizes.append((n > f.max_items, say(f.max_items, "most")))
+            inner = F.coalesce(F.flatten(F.transform(done, lambda d: d["errors"])), _none())
+            errors = let(inner, lambda e: F.when(F.size(e) > 0, e).otherwise(_first(path, sizes)))
+            return F.struct(F.transform(done, lambda d: d["value"]).alias("value"), errors.alias("errors"))
+
+        return let(each, sized)
+
+    return let(_parsed(x, "[", "ARRAY"), body)
+
+
+def _object(f: Field, x: _Input, path: Column) -> Column:
+    def body(v: Column) -> Column:
+        is_object = F.coalesce(F.schema_of_variant(v).startswith("OBJECT"), F.lit(False))
+        done = compile_fields(f.properties, F.when(is_object, v), F.concat(path, F.lit(".")))
+        return let(done, lambda d: F.struct(F.when(is_object, d["value"]).alias("value"), F.when(is_object, d["errors"]).otherwise(_error(path, REASONS["object"])).alias("errors")))
+
+    return let(_parsed(x, "{", "OBJECT"), body)
+
+
+def compile_fields(fields: list[Field], v: Column, prefix: Column) -> Column:
+    """``struct(value, errors)`` of an object: a struct of its fields and all errors, extra keys last."""
+    each = F.struct(*(compile_field(f, F.try_variant_get(v, _json_path(f.name), "variant"), F.concat(prefix, F.lit(f.name))).alias(f"f{i}") for i, f in enumerate(fields)))
     extra = F.array_except(F.json_object_keys(F.to_json(v)), F.array(*(F.lit(f.name) for f in fields)))
-    errors.append(F.coalesce(F.transform(extra, lambda k: F.struct(F.concat(prefix, k).alias("path"), F.lit(REASONS["extra"]).alias("reason"))), _none()))
-    return values, F.flatten(F.array(*errors))
+    unknown = F.coalesce(F.transform(extra, lambda k: F.struct(F.concat(prefix, k).alias("path"), F.lit(REASONS["extra"]).alias("reason"))), _none())
+    return let(
+        each,
+        lambda e: F.struct(
+            F.struct(*(e[f"f{i}"]["value"].alias(f.name) for i, f in enumerate(fields))).alias("value"),
+            F.flatten(F.array(*(e[f"f{i}"]["errors"] for i in range(len(fields))), unknown)).alias("errors"),
+        ),
+    )
+
+
+def _json_path(name: str) -> str:
+    return "$['" + name.replace("'", "\\'") + "']"
 
 
 def as_records(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
@@ -254,8 +293,9 @@ def validate(records: DataFrame, table: Table, parents: dict[str, tuple[Column,
     keep = [c for c in records.columns if c != "_record"]
     v = F.col("_record")
     is_object = F.coalesce(F.schema_of_variant(v).startswith("OBJECT"), F.lit(False))
-    values, errors = compile_fields(table.fields, F.when(is_object, v), F.lit(""))
-    out = records.select(*(F.col(f"`{c}`") for c in keep), *(c.alias(n) for n, c in values), F.when(is_object, errors).otherwise(_error(F.lit("record"), REASONS["record"])).alias("_errors"))
+    done = records.select(*(F.col(f"`{c}`") for c in keep), compile_fields(table.fields, F.when(is_object, v), F.lit("")).alias("_done"), is_object.alias("_ok"))
+    errors = F.when(F.col("_ok"), F.col("_done.errors")).otherwise(_error(F.lit("record"), REASONS["record"]))
+    out = done.select(*(F.col(f"`{c}`") for c in keep), *(F.col("_done")["value"][f.name].alias(f.name) for f in table.fields), errors.alias("_errors"))
     schema = T.StructType([T.StructField(f.name, f.spark_type()) for f in table.fields])
     compiler = Compiler(schema, parents)
     failed = []

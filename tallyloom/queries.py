@@ -369,14 +369,14 @@ def _one(kind: str, **keys) -> spec.Field:
 def enum_normalize(spark, sf_dir):
     df = table(spark, sf_dir, "events").select("event_id", F.to_variant_object(F.array(F.concat(F.lit(" "), F.upper("event_type")))).alias("a"))
     v = F.try_variant_get("a", "$[0]", "variant")
-    return df.select("event_id", validate.compile_field(_one("enum", values=["Click", "View"]), v, F.lit("v"))[0].alias("v"))
+    return df.select("event_id", validate.compile_field(_one("enum", values=["Click", "View"]), v, F.lit("v"))["value"].alias("v"))
 
 
 @query(r"SELECT page_id, regexp_matches(url, '^https?://[^\s/$.?#][^\s]*$') AS url_ok, regexp_matches('p' || page_id || '@' || CASE WHEN page_id % 3 = 0 THEN 'a' ELSE 'a.org' END, '^[A-Za-z0-9._%+''-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}$') AS email_ok FROM pages")
 def email_url_valid(spark, sf_dir):
     mail = F.concat(F.lit("p"), F.col("page_id"), F.lit("@"), F.when(F.col("page_id") % 3 == 0, "a").otherwise("a.org"))
     df = table(spark, sf_dir, "pages").select("page_id", F.to_variant_object(F.struct(F.col("url").alias("u"), mail.alias("m"))).alias("r"))
-    ok = {k: F.size(validate.compile_field(_one(t), F.try_variant_get("r", f"$.{k}", "variant"), F.lit("v"))[1]) == 0 for k, t in (("u", "url"), ("m", "email"))}
+    ok = {k: F.size(validate.compile_field(_one(t), F.try_variant_get("r", f"$.{k}", "variant"), F.lit("v"))["errors"]) == 0 for k, t in (("u", "url"), ("m", "email"))}
     return df.select("page_id", ok["u"].alias("url_ok"), ok["m"].alias("email_ok"))
 
 
