@@ -18,7 +18,7 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Iterator
-from itertools import combinations, islice
+from itertools import islice, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -31,6 +31,7 @@ SIMILARITY = 0.8
 RADIUS = 23  # of 64 bits; similarity 0.8 has about 10 on average
 BLOCKS = 8
 BLOCK_ITEMS = 20_000
+LOOKUPS = 1 << 20  # window and item pairs held at a time
 
 _WORD = re.compile(r"\w+")
 _P = np.uint64(0x9E3779B97F4A7C15)
@@ -91,25 +92,28 @@ class Index:
         self.shingles = np.array(sorted({s for c in self.counts for s in c}), np.uint64)
         self.fps = np.array(fps, np.uint64)
         self.by_size = {n: np.flatnonzero(np.array(self.sizes) == n) for n in sorted(set(self.sizes))}
-        flips = [sum(1 << b for b in c) for k in range(radius // BLOCKS + 1) for c in combinations(range(8), k)]
-        self.probes = np.array(flips, np.uint8)  # all differences within the block radius
+        values = np.arange(256, dtype=np.uint8)
+        self.close = np.bitwise_count(values[:, None] ^ values) <= radius // BLOCKS  # block values within the block radius
         self.tables = {n: self._table(rows) for n, rows in self.by_size.items()}
 
-    def _table(self, rows: np.ndarray) -> list[dict[int, list[int]]]:
-        tables: list[dict[int, list[int]]] = [{} for _ in range(BLOCKS)]
-        for r in rows.tolist():
-            for k, byte in enumerate(self.fps[r : r + 1].view(np.uint8).tolist()):
-                tables[k].setdefault(byte, []).append(r)
-        return tables
-
-    def near(self, size: int, fp: np.uint64) -> list[int]:
-        """All items of ``size`` words whose fingerprint is within the radius of ``fp``."""
-        bytes_, found = np.array([fp], np.uint64).view(np.uint8), set()
-        for table, byte in zip(self.tables[size], bytes_, strict=True):
-            for value in (byte ^ self.probes).tolist():
-                found.update(table.get(value, ()))
-        rows = np.array(sorted(found), np.int64)
-        return rows[np.bitwise_count(self.fps[rows] ^ fp) <= self.radius].tolist() if len(rows) else []
+    def _table(self, rows: np.ndarray) -> np.ndarray:
+        """(BLOCKS, 256, items): whether an item's block is within the block radius of a value."""
+        own = np.ascontiguousarray(self.fps[rows]).view(np.uint8).reshape(-1, BLOCKS)
+        return np.stack([self.close[:, own[:, k]] for k in range(BLOCKS)])
+
+    def near(self, size: int, fps: np.ndarray) -> Iterator[tuple[int, int]]:
+        """``(window, item)`` for all items of ``size`` words whose fingerprint is within the radius of a window's."""
+        rows, table = self.by_size[size], self.tables[size]
+        step = max(1, LOOKUPS // len(rows))
+        for at in range(0, len(fps), step):
+            part = fps[at : at + step]
+            blocks = np.ascontiguousarray(part).view(np.uint8).reshape(-1, BLOCKS)
+            met = np.zeros((len(part), len(rows)), bool)
+            for k in range(BLOCKS):
+                met |= table[k][blocks[:, k]]
+            w, r = np.nonzero(met)
+            inside = np.bitwise_count(part[w] ^ self.fps[rows[r]]) <= self.radius
+            yield from zip((w[inside] + at).tolist(), rows[r[inside]].tolist(), strict=True)
 
     def matches(self, text: str | None, similarity: float = SIMILARITY) -> list[tuple[int, float, int, int]]:
         """``(item id, similarity, first word, words)`` for each item that a window of ``text`` matches, best window."""
@@ -118,7 +122,7 @@ class Index:
             return []
         other = len(self.vocab)
         get = self.vocab.get
-        ids = np.fromiter((get(w, other) for w in words), np.int64, len(words))
+        ids = np.array(list(map(get, words, repeat(other))), np.int64)
         known = np.concatenate([[0], np.cumsum(ids != other)])
         best: dict[int, tuple[float, int]] = {}
         hits: dict[int, np.ndarray] = {}  # by shingle length, the running number of shingles that some item has
@@ -158,13 +162,14 @@ class Index:
             sums = np.concatenate([np.zeros((1, 64), np.int64), np.cumsum(_bits(h), axis=0, dtype=np.int64)])
             at = run - lo
             fps = simhash(sums[at + m] - sums[at], np.full(len(at), m))
-            for a, fp in zip(at.tolist(), fps, strict=True):
-                if near := self.near(size, fp):
-                    counts = Counter(h[a : a + m].tolist())
-                    for r in near:
-                        s = weighted_jaccard(counts, self.counts[r])
-                        if s >= similarity and s > best.get(r, (0.0, 0))[0]:
-                            best[r] = (s, a + lo)
+            counts: dict[int, Counter] = {}
+            for w, r in self.near(size, fps):
+                a = int(at[w])
+                if w not in counts:
+                    counts[w] = Counter(h[a : a + m].tolist())
+                s = weighted_jaccard(counts[w], self.counts[r])
+                if s >= similarity and s > best.get(r, (0.0, 0))[0]:
+                    best[r] = (s, a + lo)
 
     @staticmethod
     def _short(own: np.ndarray, k: int) -> np.ndarray:
