@@ -7,7 +7,8 @@ its grams, equal windows have equal ones, so a window whose least hash occurs in
 Hashes seen in two documents are kept in a bit table of fixed size; a false hit only adds work.  The bytes of
 neighbouring windows with the same least hash are a segment; equal segments are one string with its least document.
 
-Segments are dealt by that hash, so strings that share a window meet.  A task cuts them into shards, builds each
+A hash that only one segment has needs no more: that segment's least document is each window's.  Segments of all other
+hashes are dealt by hash, so strings that share a window meet.  A task cuts them into shards, builds each
 shard's multi-string transform, and merges all shards by interleave refinement: in each of ``LENGTH`` rounds the
 interleave is carried one symbol further by a stable bucket pass, and rows stay in one block while they agreed in all
 symbols so far.  The blocks left are the intervals of common prefix ``LENGTH`` or more; suffixes are sorted in
@@ -125,20 +126,24 @@ def _slice_bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array([s], pa.int32()), pa.array([np.packbits(own, bitorder="little").tobytes()], pa.binary())], ["slice", "bits"])
 
 
-def shared_table(docs: DataFrame, length: int = LENGTH) -> bytes:
-    """The bit table of the least hashes that occur in two documents or more of ``docs(doc, text)``."""
-    seen = docs.mapInArrow(_hashed(length), "hash long, least long, most long")
-    seen = seen.groupBy("hash").agg(F.min("least").alias("least"), F.max("most").alias("most")).where("least < most")
+def bit_table(hashes: DataFrame) -> bytes:
+    """The bit table of ``hashes(hash)``, put together from slices of fixed size."""
     piece = F.shiftrightunsigned("hash", 64 - SLICES.bit_length() + 1)
-    parts = seen.select("hash").repartition(SLICES, piece).mapInArrow(_slice_bits, "slice int, bits binary").collect()
+    parts = hashes.select("hash").repartition(SLICES, piece).mapInArrow(_slice_bits, "slice int, bits binary").collect()
     table, per = bytearray((1 << TABLE_BITS) // 8), (1 << TABLE_BITS) // 8 // SLICES
     for p in parts:
         table[p.slice * per : (p.slice + 1) * per] = p.bits
     return bytes(table)
 
 
-def _segments(table, length: int):
-    """``(doc, start, n, hash, k1, k2, segment)`` for runs of windows that may be repeated."""
+def shared_table(docs: DataFrame, length: int = LENGTH) -> bytes:
+    """The bit table of the least hashes that occur in two documents or more of ``docs(doc, text)``."""
+    seen = docs.mapInArrow(_hashed(length), "hash long, least long, most long")
+    return bit_table(seen.groupBy("hash").agg(F.min("least").alias("least"), F.max("most").alias("most")).where("least < most"))
+
+
+def _segments(table, length: int, with_bytes: bool):
+    """``(doc, start, n, hash, k1, k2)`` for runs of windows whose hash is in the table, or ``(hash, k1, k2, doc, segment)``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = np.frombuffer(table.value, np.uint8)
@@ -150,8 +155,16 @@ def _segments(table, length: int):
                 number, start, count, m = number[hit], start[hit], count[hit], m[hit]
                 seg = [texts[i][s : s + n + length - 1] for i, s, n in zip(number.tolist(), start.tolist(), count.tolist(), strict=True)]
                 digest = np.frombuffer(b"".join(xxhash.xxh3_128_digest(s) for s in seg), np.int64).reshape(-1, 2)
-                cols = [pa.array(doc[number]), pa.array(start), pa.array(count), pa.array(m.view(np.int64)), pa.array(digest[:, 0]), pa.array(digest[:, 1]), pa.array(seg, pa.binary())]
-                yield pa.RecordBatch.from_arrays(cols, ["doc", "start", "n", "hash", "k1", "k2", "segment"])
+                own, h = doc[number], m.view(np.int64)
+                if with_bytes:  # of equal segments of a part the one of the least document
+                    order = np.lexsort((own, digest[:, 1], digest[:, 0]))
+                    k = digest[order]
+                    order = order[np.concatenate([[True], (k[1:] != k[:-1]).any(1)])] if len(order) else order
+                    cols = [pa.array(h[order]), pa.array(digest[order, 0]), pa.array(digest[order, 1]), pa.array(own[order]), pa.array([seg[i] for i in order.tolist()], pa.binary())]
+                    yield pa.RecordBatch.from_arrays(cols, ["hash", "k1", "k2", "doc", "segment"])
+                else:
+                    cols = [pa.array(own), pa.array(start), pa.array(count), pa.array(h), pa.array(digest[:, 0]), pa.array(digest[:, 1])]
+                    yield pa.RecordBatch.from_arrays(cols, ["doc", "start", "n", "hash", "k1", "k2"])
 
     return run
 
@@ -276,11 +289,21 @@ def dedup(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col
     own = docs.select(doc.alias("doc"), F.col(text_col).alias("text"))
     table = spark.sparkContext.broadcast(shared_table(own, length))
     scratch.release()
-    seen = own.mapInArrow(_segments(table, length), "doc long, start long, n long, hash long, k1 long, k2 long, segment binary")
+    seen = own.mapInArrow(_segments(table, length, False), "doc long, start long, n long, hash long, k1 long, k2 long")
     seen = scratch.save(seen, "segments")
-    strings = seen.groupBy("k1", "k2").agg(F.min("hash").alias("hash"), F.min("doc").alias("doc"), F.min("segment").alias("segment"))
-    strings = strings.select("hash", "k1", "k2", "doc", "segment").repartition("hash").sortWithinPartitions("hash")
-    least = scratch.save(strings.mapInArrow(_resolved(length), "_k1 long, _k2 long, least array<bigint>"), "least")
+    strings = scratch.save(seen.groupBy("hash", "k1", "k2").agg(F.min("doc").alias("doc")), "strings")
+    scratch.release()
+    several = strings.groupBy("hash").agg(F.count("*").alias("n"))
+    alone = strings.join(several.where("n = 1"), "hash").select(F.col("k1").alias("_k1"), F.col("k2").alias("_k2"), F.array("doc").alias("least"))
+    alone = scratch.save(alone, "alone")  # one segment has that hash: all its windows are its least document's
+    mixed = spark.sparkContext.broadcast(bit_table(several.where("n > 1")))
+    scratch.drop(strings)
+    scratch.release()
+    pieces = own.mapInArrow(_segments(mixed, length, True), "hash long, k1 long, k2 long, doc long, segment binary")
+    pieces = pieces.groupBy("hash", "k1", "k2").agg(F.min("doc").alias("doc"), F.min("segment").alias("segment"))
+    pieces = pieces.select("hash", "k1", "k2", "doc", "segment").repartition("hash").sortWithinPartitions("hash")
+    least = scratch.save(pieces.mapInArrow(_resolved(length), "_k1 long, _k2 long, least array<bigint>").unionByName(alone), "least")
+    scratch.drop(alone)
     scratch.release()
     hit = seen.select("doc", "start", "n", "k1", "k2").join(least, (F.col("k1") == F.col("_k1")) & (F.col("k2") == F.col("_k2")))
     each = F.expr("aggregate(sequence(0, size(least) - 1), 0L, (m, j) -> m | CASE WHEN least[j] < doc THEN shiftleft(1L, j) ELSE 0L END)")
