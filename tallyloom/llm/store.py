@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import gc
 import tempfile
+import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -49,5 +50,7 @@ class Scratch:
 
     def release(self) -> None:
         """Let Spark delete the shuffle files of jobs whose results were written: it does so when the JVM collects."""
-        gc.collect()
-        self.spark._jvm.System.gc()
+        for _ in range(2):  # references that a first collection clears are queued for the cleaner by the second
+            gc.collect()
+            self.spark._jvm.System.gc()
+            time.sleep(0.4)
