@@ -22,8 +22,8 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of near-equal lines one stays; documents keep their row, n_chars follows the text."""
-    out = lines.dedup(spark, docs).select(*docs.columns)
+    """Of near-equal lines one stays, n_chars follows the text; documents that lost all their lines, copies, go."""
+    out = lines.dedup(spark, docs).where("_n_lines = 0 OR _n_kept > 0").select(*docs.columns)
     return out.withColumn("n_chars", F.length("text").cast("long"))
 
 
