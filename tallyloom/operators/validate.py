@@ -293,20 +293,21 @@ def validate(records: DataFrame, table: Table, parents: dict[str, tuple[Column,
     keep = [c for c in records.columns if c != "_record"]
     v = F.col("_record")
     is_object = F.coalesce(F.schema_of_variant(v).startswith("OBJECT"), F.lit(False))
-    done = records.select(*(F.col(f"`{c}`") for c in keep), compile_fields(table.fields, F.when(is_object, v), F.lit("")).alias("_done"), is_object.alias("_ok"))
-    errors = F.when(F.col("_ok"), F.col("_done.errors")).otherwise(_error(F.lit("record"), REASONS["record"]))
-    out = done.select(*(F.col(f"`{c}`") for c in keep), *(F.col("_done")["value"][f.name].alias(f.name) for f in table.fields), errors.alias("_errors"))
     schema = T.StructType([T.StructField(f.name, f.spark_type()) for f in table.fields])
-    compiler = Compiler(schema, parents)
-    failed = []
-    for source in table.checks:
-        if uses_parent(source) and parents is None:
-            continue
-        ok = compiler.compile(source)
-        failed.append(F.when(~ok, F.struct(F.lit("check").alias("path"), F.lit(f"failed: {source}").alias("reason"))))
-    if failed:
-        out = out.withColumn("_errors", F.when(F.size("_errors") > 0, F.col("_errors")).otherwise(F.array_compact(F.array(*failed)).cast(_ERRORS)))
-    return out
+    sources = [c for c in table.checks if parents is not None or not uses_parent(c)]
+
+    def judged(done: Column) -> Column:
+        """Checks see the bound record, so nothing is computed again for them."""
+        compiler = Compiler(schema, parents, record=done["value"])
+        failed = [F.when(~compiler.compile(c), F.struct(F.lit("check").alias("path"), F.lit(f"failed: {c}").alias("reason"))) for c in sources]
+        late = F.array_compact(F.array(*failed)).cast(_ERRORS) if failed else _none()
+        errors = let(done["errors"], lambda e: F.when(F.size(e) > 0, e).otherwise(late))
+        return F.struct(done["value"].alias("value"), errors.alias("errors"))
+
+    done = let(compile_fields(table.fields, F.when(is_object, v), F.lit("")), judged)
+    rows = records.select(*(F.col(f"`{c}`") for c in keep), done.alias("_done"), is_object.alias("_ok"))
+    errors = F.when(F.col("_ok"), F.col("_done.errors")).otherwise(_error(F.lit("record"), REASONS["record"]))
+    return rows.select(*(F.col(f"`{c}`") for c in keep), *(F.col("_done")["value"][f.name].alias(f.name) for f in table.fields), errors.alias("_errors"))
 
 
 def category(path: Column, reason: Column) -> Column:
@@ -321,6 +322,6 @@ def roll_up(validated: DataFrame, k: int = 15) -> DataFrame:
 
 
 def first_error(errors: Column) -> Column:
-    return F.when(F.size(errors) > 0, F.concat(errors[0]["path"], F.lit(": "), errors[0]["reason"]))
+    return let(errors, lambda e: F.when(F.size(e) > 0, F.concat(e[0]["path"], F.lit(": "), e[0]["reason"])))
 
 
