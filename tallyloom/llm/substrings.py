@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from .store import Scratch
 
 LENGTH = 50
-GRAM = 20
+GRAM = 24  # bytes, 16 to 24: rare enough not to recur by chance, short enough for few segments
 TABLE_BITS = 28  # 32 MB, whatever the corpus
 SLICES = 64
 PART_BYTES = 1 << 20  # of text hashed at a time
@@ -49,7 +49,7 @@ def least_hashes(data: bytes, length: int = LENGTH) -> np.ndarray:
     padded = data + b"\0" * 8
     word = np.ndarray((len(data),), "<u8", padded, strides=(1,))
     h = word[:n] * _A + word[8 : n + 8] * _B
-    h ^= (word[12 : n + 12] ^ (h >> np.uint64(29))) * _C  # the last word ends with the gram
+    h ^= (word[GRAM - 8 : n + GRAM - 8] ^ (h >> np.uint64(29))) * _C  # the last word ends with the gram
     h *= _A
     h ^= h >> np.uint64(32)
     h *= _B
