@@ -22,6 +22,11 @@ def session() -> SparkSession:
     return SparkSession.builder.config("spark.sql.session.timeZone", "UTC").getOrCreate()
 
 
+def located(path: str) -> str:
+    """Spark resolves relative paths where its JVM started, so local ones are made absolute."""
+    return path if "://" in path else os.path.abspath(path)
+
+
 def counts_of(dataset: spec.Dataset, text: list[str]) -> dict[str, int]:
     """``N`` for a single table, ``table=N`` for any."""
     out = {}
@@ -34,7 +39,7 @@ def counts_of(dataset: spec.Dataset, text: list[str]) -> dict[str, int]:
 
 
 def do_define(a: argparse.Namespace) -> int:
-    df = files.read(session(), a.from_sample, limit=a.limit)
+    df = files.read(session(), located(a.from_sample), limit=a.limit)
     name = os.path.basename(a.from_sample).split(".")[0]
     doc = infer.infer(df, "".join(c if c.isalnum() else "_" for c in name), a.about, a.count)
     spec.save(doc, a.schema)
@@ -96,7 +101,7 @@ def _table_for(dataset: spec.Dataset | None, data: str, name: str | None) -> spe
 
 def do_validate(a: argparse.Namespace) -> int:
     table = _table_for(_schema_for(a.schema), a.data, a.table)
-    df = files.read(session(), a.data, table=table, sqlite_table=a.table if files.format_of(a.data) == "sqlite" else None)
+    df = files.read(session(), located(a.data), table=table, sqlite_table=a.table if files.format_of(a.data) == "sqlite" else None)
     found = report.quality_report(df, table)
     print(json.dumps(found, indent=2, default=str) if a.json else report.render(found, a.data))
     if a.report:
@@ -108,12 +113,12 @@ def do_validate(a: argparse.Namespace) -> int:
 
 def do_export(a: argparse.Namespace) -> int:
     table = _table_for(_schema_for(a.schema), a.data, a.table)
-    df = files.read(session(), a.data, table=table)
+    df = files.read(session(), located(a.data), table=table)
     if os.path.splitext(a.output)[1]:
-        files.write_single(df, a.output, table)
+        files.write_single(df, located(a.output), table)
     else:
         name = table.name if table else os.path.basename(a.data).split(".")[0]
-        files.export({name: df}, {name: table} if table else {}, a.output, a.format.split(","))
+        files.export({name: df}, {name: table} if table else {}, located(a.output), a.format.split(","))
     return 0
 
 

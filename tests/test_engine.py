@@ -161,7 +161,7 @@ def test_round_trips(spark, tmp_path, name):
 
 
 def test_report(spark):
-    rows = [(i, 40000 + 1000 * i, 5000.0 if i == 30 else 100 + (i * 37 % 11), "same", f"the quick brown fox number {i} jumps over it") for i in range(60)]
+    rows = [(i, 40000 + 1000 * i, 5000.0 if i == 30 else 100.0 + (i * 37 % 11), "same", f"the quick brown fox number {i} jumps over it") for i in range(60)]
     df = spark.createDataFrame(rows, "i long, salary long, latency double, c string, t string")
     found = report.quality_report(df, order="i")
     text = " ".join(f"{i['column']}:{i['message']}" for i in found["issues"])
