@@ -143,7 +143,10 @@ def shared_table(docs: DataFrame, length: int = LENGTH) -> bytes:
 
 
 def _segments(table, length: int, with_bytes: bool):
-    """``(doc, start, n, hash, k1, k2)`` for runs of windows whose hash is in the table, or ``(hash, k1, k2, doc, segment)``."""
+    """``(doc, start, n, hash, k1)`` for runs of windows whose hash is in the table, or ``(hash, k1, doc, segment)``.
+
+    ``k1`` hashes the whole segment; with the least hash of its windows it makes a key of 128 bits.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = np.frombuffer(table.value, np.uint8)
@@ -154,17 +157,17 @@ def _segments(table, length: int, with_bytes: bool):
                 hit = bits[at >> 3] >> (at & 7) & 1 == 1
                 number, start, count, m = number[hit], start[hit], count[hit], m[hit]
                 seg = [texts[i][s : s + n + length - 1] for i, s, n in zip(number.tolist(), start.tolist(), count.tolist(), strict=True)]
-                digest = np.frombuffer(b"".join(xxhash.xxh3_128_digest(s) for s in seg), np.int64).reshape(-1, 2)
+                k1 = np.array([xxhash.xxh3_64_intdigest(s) for s in seg], np.uint64).view(np.int64)
                 own, h = doc[number], m.view(np.int64)
                 if with_bytes:  # of equal segments of a part the one of the least document
-                    order = np.lexsort((own, digest[:, 1], digest[:, 0]))
-                    k = digest[order]
-                    order = order[np.concatenate([[True], (k[1:] != k[:-1]).any(1)])] if len(order) else order
-                    cols = [pa.array(h[order]), pa.array(digest[order, 0]), pa.array(digest[order, 1]), pa.array(own[order]), pa.array([seg[i] for i in order.tolist()], pa.binary())]
-                    yield pa.RecordBatch.from_arrays(cols, ["hash", "k1", "k2", "doc", "segment"])
+                    order = np.lexsort((own, k1, h))
+                    new = (np.diff(h[order]) != 0) | (np.diff(k1[order]) != 0)
+                    order = order[np.concatenate([[True], new])] if len(order) else order
+                    cols = [pa.array(h[order]), pa.array(k1[order]), pa.array(own[order]), pa.array([seg[i] for i in order.tolist()], pa.binary())]
+                    yield pa.RecordBatch.from_arrays(cols, ["hash", "k1", "doc", "segment"])
                 else:
-                    cols = [pa.array(own), pa.array(start), pa.array(count), pa.array(h), pa.array(digest[:, 0]), pa.array(digest[:, 1])]
-                    yield pa.RecordBatch.from_arrays(cols, ["doc", "start", "n", "hash", "k1", "k2"])
+                    cols = [pa.array(own), pa.array(start), pa.array(count), pa.array(h), pa.array(k1)]
+                    yield pa.RecordBatch.from_arrays(cols, ["doc", "start", "n", "hash", "k1"])
 
     return run
 
@@ -225,20 +228,20 @@ def least_documents(segments: list[bytes], doc: np.ndarray, length: int = LENGTH
 
 
 def _resolved(length: int):
-    """``(k1, k2, least)`` for segments sorted by hash; ``least`` has one entry if it is the same for all windows."""
+    """``(hash, k1, least)`` for segments sorted by hash; ``least`` has one entry if it is the same for all windows."""
 
     def flush(held: list[tuple]) -> pa.RecordBatch:
         hashes = np.array([h[0] for h in held], np.int64)
         same = np.concatenate([[False], hashes[1:] == hashes[:-1]])
         many = same | np.concatenate([same[1:], [False]])
-        least: list = [[h[3]] for h in held]
+        least: list = [[h[2]] for h in held]
         rows = np.flatnonzero(many)
         if len(rows):
-            found = least_documents([held[i][4] for i in rows.tolist()], np.array([held[i][3] for i in rows.tolist()], np.int64), length)
+            found = least_documents([held[i][3] for i in rows.tolist()], np.array([held[i][2] for i in rows.tolist()], np.int64), length)
             for i, f in zip(rows.tolist(), found, strict=True):
                 least[i] = f[:1].tolist() if (f == f[0]).all() else f.tolist()
-        cols = [pa.array([h[1] for h in held], pa.int64()), pa.array([h[2] for h in held], pa.int64()), pa.array(least, pa.list_(pa.int64()))]
-        return pa.RecordBatch.from_arrays(cols, ["_k1", "_k2", "least"])
+        cols = [pa.array(hashes), pa.array([h[1] for h in held], pa.int64()), pa.array(least, pa.list_(pa.int64()))]
+        return pa.RecordBatch.from_arrays(cols, ["_hash", "_k1", "least"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
@@ -248,7 +251,7 @@ def _resolved(length: int):
                     yield flush(held)
                     held, size = [], 0
                 held.append(row)
-                size += len(row[4])
+                size += len(row[3])
         if held:
             yield flush(held)
 
@@ -289,23 +292,23 @@ def dedup(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col
     own = docs.select(doc.alias("doc"), F.col(text_col).alias("text"))
     table = spark.sparkContext.broadcast(shared_table(own, length))
     scratch.release()
-    seen = own.mapInArrow(_segments(table, length, False), "doc long, start long, n long, hash long, k1 long, k2 long")
+    seen = own.mapInArrow(_segments(table, length, False), "doc long, start long, n long, hash long, k1 long")
     seen = scratch.save(seen, "segments")
-    strings = scratch.save(seen.groupBy("hash", "k1", "k2").agg(F.min("doc").alias("doc")), "strings")
+    strings = scratch.save(seen.groupBy("hash", "k1").agg(F.min("doc").alias("doc")), "strings")
     scratch.release()
     several = strings.groupBy("hash").agg(F.count("*").alias("n"))
-    alone = strings.join(several.where("n = 1"), "hash").select(F.col("k1").alias("_k1"), F.col("k2").alias("_k2"), F.array("doc").alias("least"))
+    alone = strings.join(several.where("n = 1"), "hash").select(F.col("hash").alias("_hash"), F.col("k1").alias("_k1"), F.array("doc").alias("least"))
     alone = scratch.save(alone, "alone")  # one segment has that hash: all its windows are its least document's
     mixed = spark.sparkContext.broadcast(bit_table(several.where("n > 1")))
     scratch.drop(strings)
     scratch.release()
-    pieces = own.mapInArrow(_segments(mixed, length, True), "hash long, k1 long, k2 long, doc long, segment binary")
-    pieces = pieces.groupBy("hash", "k1", "k2").agg(F.min("doc").alias("doc"), F.min("segment").alias("segment"))
-    pieces = pieces.select("hash", "k1", "k2", "doc", "segment").repartition("hash").sortWithinPartitions("hash")
-    least = scratch.save(pieces.mapInArrow(_resolved(length), "_k1 long, _k2 long, least array<bigint>").unionByName(alone), "least")
+    pieces = own.mapInArrow(_segments(mixed, length, True), "hash long, k1 long, doc long, segment binary")
+    pieces = pieces.groupBy("hash", "k1").agg(F.min("doc").alias("doc"), F.min("segment").alias("segment"))
+    pieces = pieces.select("hash", "k1", "doc", "segment").repartition("hash").sortWithinPartitions("hash")
+    least = scratch.save(pieces.mapInArrow(_resolved(length), "_hash long, _k1 long, least array<bigint>").unionByName(alone), "least")
     scratch.drop(alone)
     scratch.release()
-    hit = seen.select("doc", "start", "n", "k1", "k2").join(least, (F.col("k1") == F.col("_k1")) & (F.col("k2") == F.col("_k2")))
+    hit = seen.join(least, (F.col("hash") == F.col("_hash")) & (F.col("k1") == F.col("_k1")))
     each = F.expr("aggregate(sequence(0, size(least) - 1), 0L, (m, j) -> m | CASE WHEN least[j] < doc THEN shiftleft(1L, j) ELSE 0L END)")
     mask = F.when(F.size("least") > 1, each).when(F.col("least")[0] < F.col("doc"), F.expr("shiftleft(1L, CAST(n AS INT)) - 1")).otherwise(F.lit(0))
     spans = hit.select("doc", "start", mask.alias("mask")).where("mask <> 0").groupBy(F.col("doc").alias("_doc")).agg(F.collect_set(F.struct("start", "mask")).alias("spans"))
