@@ -325,6 +325,46 @@ def test_lines(spark):
     assert lines.dedup(spark, df.where("false")).count() == 0
 
 
+def share_joined(spark, pairs):
+    """The share of pairs of near-equal lines of which one line goes."""
+    df = spark.createDataFrame([(2 * i + k, p[k]) for i, p in enumerate(pairs) for k in (0, 1)], "doc_id long, text string")
+    return 1 - (lines.dedup(spark, df).agg(F.sum("_n_kept")).first()[0] - len(pairs)) / len(pairs)
+
+
+def near_pairs(rng, n, line, other):
+    """``n`` pairs of a line and its change whose exact similarity is 0.8 at least."""
+    grams = lambda s: {s[k : k + 8] for k in range(len(s) - 7)}
+    out = []
+    while len(out) < n:
+        a = line(rng)
+        b = other(rng, a)
+        x, y = grams(a), grams(b)
+        if b and len(x & y) / len(x | y) >= 0.8:
+            out.append((a, b))
+    return out
+
+
+def letters(rng, low, high):
+    return "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randint(low, high)))
+
+
+def test_lines_near_across_lengths_and_blanks(spark):
+    rng = random.Random(17)
+
+    def prose(rng):
+        own = letters(rng, 3, 7)
+        while len(own) < 92:
+            own += " " + letters(rng, 2, 7)
+        return own[:99].strip()
+
+    longer = near_pairs(rng, 150, prose, lambda rng, a: a + " " + letters(rng, 3, 9))
+    assert all(len(a) < 100 for a, _ in longer) and sum(len(b) >= 100 for _, b in longer) > 100
+    assert share_joined(spark, longer) >= 0.95
+    sparse = lambda rng: " ".join(letters(rng, 28, 32) for _ in range(8))  # noqa: E731  # 7 blanks in about 247
+    blanks = near_pairs(rng, 100, sparse, lambda rng, a: a + "".join(" " + letters(rng, 1, 1) for _ in range(10)))
+    assert share_joined(spark, blanks) >= 0.95
+
+
 def test_pipeline(spark, tmp_path):
     import corpus_pipeline
 
