@@ -365,6 +365,28 @@ def test_lines_near_across_lengths_and_blanks(spark):
     assert share_joined(spark, blanks) >= 0.95
 
 
+def test_lines_of_a_drifting_family(spark):
+    rng = random.Random(19)
+    family = [[letters(rng, 4, 8) for _ in range(24)]]
+    for _ in range(399):  # each line an earlier one with a word replaced: near to that, not to most
+        own = list(rng.choice(family))
+        own[rng.randrange(24)] = letters(rng, 4, 8)
+        family.append(own)
+    family = [" ".join(words) for words in family]
+    signed = lines._signed(spark.createDataFrame([(i, -i, (i,), s) for i, s in enumerate(family)], "k1 long, k2 long, first struct<i:long>, line string"))
+    signed = signed.select(F.col("first.i").alias("lid"), "line", "bands", "sketch").localCheckpoint()
+    by_key = {}
+    for r in signed.collect():
+        for key in r.bands:
+            by_key.setdefault(key, []).append(r.lid)
+    assert max(map(len, by_key.values())) > 4 * lines.SMALL_GROUP
+    grams = [{s[k : k + 8] for k in range(len(s) - 7)} for s in family]
+    met = {(a, b) for own in by_key.values() for a in own for b in own if a < b}
+    want = union_find([(a, b) for a, b in met if len(grams[a] & grams[b]) / len(grams[a] | grams[b]) >= 0.8], range(len(family)))
+    links = lines.near_lines(signed, Scratch(spark, "t")).collect()
+    assert union_find([(r.u, r.v) for r in links], range(len(family))) == want
+
+
 def test_pipeline(spark, tmp_path):
     import corpus_pipeline
 
