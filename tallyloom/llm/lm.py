@@ -1,14 +1,16 @@
 """Language-model scores by logistic context mixing.
 
-Tokens are lower-cased (A-Z) words and one end a document.  Word counts of the training documents are gathered by
-Spark; a token has the discounted share of its count, and what the discount frees is spread over all spellings by a
-bitwise model: hashed contexts of the one to four bytes before each give a bit prediction each, a mixer adds their
-logits with weights that a gate (bit position and how often the two longest contexts were seen) selects, and an
-adaptive map refines the result.  The bitwise model learns word types online: each task predicts a chunk, corrects weights and
-map by the error, then adds the chunk to its counts.  Tables of all tasks are added up and weights averaged by use.
-
-What tasks hold is bounded: the hashed table by ``TABLE_BITS``, the words that are looked up in memory by
-``FREQUENT_WORDS``; all other words go through a join, and those are rare by construction, so no key is hot.
+Tokens are lower-cased (A-Z) words and one end a document; the model reads them with a blank after each word.  Hashed
+contexts of the one to six bytes before each, across words, give a bit prediction each, a mixer adds their logits with
+weights that a gate (bit position and how often the two longest contexts were seen) selects, and an adaptive map
+refines the result.  The model learns the whole texts of the training documents online, repeats counted: each task
+predicts a chunk, corrects weights and map by the error, then adds the chunk to its counts.  Tables of all tasks are
+added up block by block and weights averaged by use.  A document's score is the sum over all its bits.  Word counts are gathered by
+Spark for the base score only.
+
+What tasks hold is bounded: the hashed table grows with the training bytes up to ``MAX_TABLE_BITS``, the words that are
+looked up in memory by ``FREQUENT_WORDS``; all other words go through a join, and those are rare by construction, so no
+key is hot.  Long documents are read in pieces that know the bytes before them.
 
 Rules for odd rows: a null text is an empty one; an empty text is an end alone; repeated rows score alike and count
 each; a row with a null id is not held out; without training documents the untrained bitwise model decides alone.
@@ -29,10 +31,12 @@ from .store import Scratch
 
 FOLDS, HELD_OUT = 7, 2
 END = b"\n"  # the end token: no word holds this byte
-ORDERS = 4
-TABLE_BITS = 20
+LENGTHS = (1, 2, 3, 4, 6)  # bytes of the contexts
+ORDERS = len(LENGTHS)
+TABLE_BITS, MAX_TABLE_BITS = 20, 23  # one slot for 128 bytes of training text or more, between these
+BLOCK = 4096  # slots that are added up together
 FREQUENT_WORDS = 200_000
-CHUNK = 20_000  # words between two corrections of the mixer
+CHUNK = 1 << 17  # bytes between two corrections of the mixer, and of the longest piece
 RATE = 0.02
 BUCKETS = 24  # of the adaptive map
 _GATES = 8 * 16
@@ -43,38 +47,44 @@ _PRIOR = 0.4
 class Bits:
     """Hashed bit counts, gated mixer weights and the adaptive map."""
 
-    seen: np.ndarray  # (2, 2**TABLE_BITS), by bit
+    seen: np.ndarray  # (2, slots), by bit
     weights: np.ndarray  # (_GATES, ORDERS)
     map: np.ndarray  # (_GATES, BUCKETS): probabilities
 
     @classmethod
-    def new(cls) -> Bits:
+    def new(cls, bits: int = TABLE_BITS) -> Bits:
         centre = (np.arange(BUCKETS) - (BUCKETS - 1) / 2) / (BUCKETS - 1) * 16
-        return cls(np.zeros((2, 1 << TABLE_BITS), np.float32), np.full((_GATES, ORDERS), 0.4), np.tile(1 / (1 + np.exp(-centre)), (_GATES, 1)))
+        return cls(np.zeros((2, 1 << bits), np.float32), np.full((_GATES, ORDERS), 1.6 / ORDERS), np.tile(1 / (1 + np.exp(-centre)), (_GATES, 1)))
+
 
+def _symbols(texts: list[bytes], skip: list[int] | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Bytes of all texts with their terminators, hashed contexts (ORDERS, n), first byte of each text.
 
-def _symbols(words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Bytes of all words with their terminators, hashed contexts (ORDERS, n), first byte of each word."""
-    coded = [w if w == END else w + b" " for w in words]
+    The first ``skip`` bytes of a text are context only.
+    """
+    coded = texts if skip is not None else [t if t.endswith(END) else t + b" " for t in texts]
+    skip = np.zeros(len(coded), np.int64) if skip is None else np.array(skip, np.int64)
     s = np.frombuffer(b"".join(coded), np.uint8)
     size = np.fromiter(map(len, coded), np.int64, len(coded))
-    first = np.cumsum(size) - size
-    pos = np.arange(len(s)) - np.repeat(first, size)
+    pos = np.arange(len(s)) - np.repeat(np.cumsum(size) - size, size)
     ctx, packed = np.zeros((ORDERS, len(s)), np.uint64), np.zeros(len(s), np.uint64)
-    for k in range(1, ORDERS + 1):
+    for k in range(1, LENGTHS[-1] + 1):
         before = np.zeros(len(s), np.uint64)
         before[k:] = s[:-k]
         before[pos < k] = 0
         packed = packed | (before << np.uint64(8 * (k - 1)))
-        ctx[k - 1] = (packed + np.uint64(k << 40)) * np.uint64(0x9E3779B97F4A7C15)
-    return s, ctx, first
+        if k in LENGTHS:
+            ctx[LENGTHS.index(k)] = (packed + np.uint64(k << 56)) * np.uint64(0x9E3779B97F4A7C15)
+    ctx ^= ctx >> np.uint64(29)
+    read = pos >= np.repeat(skip, size)
+    return s[read], ctx[:, read], np.cumsum(size - skip) - (size - skip)
 
 
 def _bit(model: Bits, s: np.ndarray, ctx: np.ndarray, shift: int) -> tuple:
     """Slots, logits, gates, probabilities and map places of one bit of each symbol."""
     node = (s.astype(np.uint64) | np.uint64(256)) >> np.uint64(shift + 1)
     h = (ctx + node * np.uint64(0xD6E8FEB86659FD93)) * np.uint64(0xA0761D6478BD642F)
-    slot = (h >> np.uint64(64 - TABLE_BITS)).astype(np.int64)
+    slot = (h >> np.uint64(65 - model.seen.shape[1].bit_length())).astype(np.int64)
     n0, n1 = model.seen[0][slot], model.seen[1][slot]
     logit = np.log((n1 + _PRIOR) / (n0 + _PRIOR))
     often = np.minimum(3, np.log2(1 + (n0 + n1)[-2:]).astype(np.int64) // 2)
@@ -86,11 +96,11 @@ def _bit(model: Bits, s: np.ndarray, ctx: np.ndarray, shift: int) -> tuple:
     return slot, logit, gate, p, place, np.clip(refined, 1e-6, 1 - 1e-6)
 
 
-def spell(model: Bits, words: list[bytes]) -> np.ndarray:
-    """log10 probability of each word's spelling."""
-    if not words:
+def spell(model: Bits, texts: list[bytes], skip: list[int] | None = None) -> np.ndarray:
+    """log10 probability of each text's bytes."""
+    if not texts:
         return np.zeros(0)
-    s, ctx, first = _symbols(words)
+    s, ctx, first = _symbols(texts, skip)
     total = np.zeros(len(s))
     for shift in range(7, -1, -1):
         p = _bit(model, s, ctx, shift)[-1]
@@ -98,9 +108,9 @@ def spell(model: Bits, words: list[bytes]) -> np.ndarray:
     return np.add.reduceat(total, first)
 
 
-def learn(model: Bits, used: np.ndarray, words: list[bytes]) -> None:
+def learn(model: Bits, used: np.ndarray, texts: list[bytes], skip: list[int] | None = None) -> None:
     """Predict, correct the gated weights and the map, then count."""
-    s, ctx, _ = _symbols(words)
+    s, ctx, _ = _symbols(texts, skip)
     for shift in range(7, -1, -1):
         slot, logit, gate, p, place, _ = _bit(model, s, ctx, shift)
         bit = ((s >> shift) & 1).astype(np.float64)
@@ -113,44 +123,77 @@ def learn(model: Bits, used: np.ndarray, words: list[bytes]) -> None:
         flat = model.map.reshape(-1)
         flat += np.where(m > 0, (hit / np.maximum(m, 1) - flat) * np.minimum(0.5, m / (m + 50)), 0)
         for value in (0, 1):
-            rows = slot[:, bit == value].ravel()
-            model.seen[value] += np.bincount(rows, minlength=1 << TABLE_BITS).astype(np.float32)
-
+            np.add.at(model.seen[value], slot[:, bit == value].ravel(), np.float32(1))
+
+
+def _chunks(texts: Iterator[str | None]) -> Iterator[tuple[list[bytes], list[int], list[int]]]:
+    """Pieces of texts, about ``CHUNK`` bytes at a time: bytes, how many of them are context only, number of the text."""
+    pieces, skip, number, size = [], [], [], 0
+    for i, text in enumerate(texts):
+        whole = b" ".join([*tokens(text), END])
+        for at in range(0, len(whole), CHUNK):
+            head = min(at, LENGTHS[-1])
+            pieces.append(whole[at - head : at + CHUNK])
+            skip.append(head)
+            number.append(i)
+            size += len(pieces[-1])
+            if size >= CHUNK:
+                yield pieces, skip, number
+                pieces, skip, number, size = [], [], [], 0
+    if pieces:
+        yield pieces, skip, number
+
+
+def _learned(bits: int):
+    """A task's table as ``(block, counts)``; block -1 holds sums and weights of the mixer and the map."""
 
-def _learned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A task's table as ``(slot, a, b)``; weights and map follow at negative slots as sums to be averaged."""
-    model, used, any_ = Bits.new(), np.zeros(_GATES), False
-    for b in batches:
-        words = b.column(0).to_pylist()
-        for at in range(0, len(words), CHUNK):
-            learn(model, used, words[at : at + CHUNK])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model, used, any_ = Bits.new(bits), np.zeros(_GATES), False
+        for pieces, skip, _ in _chunks(t for b in batches for t in b.column(0).to_pylist()):
+            learn(model, used, pieces, skip)
             any_ = True
-    if not any_:
-        return
-    slot = np.flatnonzero(model.seen.sum(0))
-    own = np.concatenate([(model.weights * used[:, None]).ravel(), (model.map * used[:, None]).ravel()])
-    weight = np.concatenate([np.repeat(used, ORDERS), np.repeat(used, BUCKETS)])
-    yield pa.RecordBatch.from_arrays(
-        [
-            pa.array(np.concatenate([slot, -1 - np.arange(len(own))])),
-            pa.array(np.concatenate([model.seen[0][slot].astype(float), own])),
-            pa.array(np.concatenate([model.seen[1][slot].astype(float), weight])),
-        ],
-        ["slot", "a", "b"],
-    )
+        if not any_:
+            return
+        own = np.concatenate([(model.weights * used[:, None]).ravel(), (model.map * used[:, None]).ravel()])
+        yield _blocks([-1], [np.concatenate([own, used]).tobytes()])
+        for at in range(0, model.seen.shape[1] // BLOCK, 64):
+            part = range(at, min(at + 64, model.seen.shape[1] // BLOCK))
+            yield _blocks(list(part), [model.seen[:, k * BLOCK : (k + 1) * BLOCK].tobytes() for k in part])
+
+    return run
+
+
+def _blocks(numbers: list[int], values: list[bytes]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(numbers, pa.int32()), pa.array(values, pa.binary())], ["block", "counts"])
+
 
+def _added(table: pa.Table) -> pa.Table:
+    """The sum of one block over all tasks."""
+    kind = np.float64 if table.column(0)[0].as_py() < 0 else np.float32
+    rows = sorted(table.column(1).to_pylist())  # in an order that does not depend on the tasks'
+    total = np.zeros(len(rows[0]) // kind().itemsize, np.float64)
+    for r in rows:
+        total += np.frombuffer(r, kind)
+    return pa.Table.from_batches([_blocks([table.column(0)[0].as_py()], [total.astype(kind).tobytes()])])
 
-def train_bits(types: DataFrame) -> Bits:
-    """The bitwise model of the word types ``types(word binary)``."""
-    rows = types.mapInArrow(_learned, "slot long, a double, b double").groupBy("slot").agg(F.sum("a").alias("a"), F.sum("b").alias("b")).toArrow()
-    slot, a, b = (rows.column(i).to_numpy() for i in range(3))
-    model = Bits.new()
-    table = slot >= 0
-    model.seen[:, slot[table]] = a[table], b[table]
-    own = np.concatenate([model.weights.ravel(), model.map.ravel()])
-    use = ~table & (b > 0)
-    own[-1 - slot[use]] = a[use] / b[use]
-    model.weights, model.map = own[: model.weights.size].reshape(model.weights.shape), own[model.weights.size :].reshape(model.map.shape)
+
+def table_bits(n_bytes: int) -> int:
+    return min(MAX_TABLE_BITS, max(TABLE_BITS, n_bytes.bit_length() - 7))
+
+
+def train_bits(texts: DataFrame, bits: int = TABLE_BITS) -> Bits:
+    """The model of all of ``texts(text)``."""
+    rows = texts.mapInArrow(_learned(bits), "block int, counts binary").groupBy("block").applyInArrow(_added, "block int, counts binary").toArrow()
+    model = Bits.new(bits)
+    for block, counts in zip(rows.column(0).to_pylist(), rows.column(1).to_pylist(), strict=True):
+        if block >= 0:
+            model.seen[:, block * BLOCK : (block + 1) * BLOCK] = np.frombuffer(counts, np.float32).reshape(2, BLOCK)
+            continue
+        own = np.frombuffer(counts, np.float64)
+        used = own[-_GATES:]
+        ok = used > 0
+        model.weights[ok] = own[: _GATES * ORDERS].reshape(_GATES, ORDERS)[ok] / used[ok, None]
+        model.map[ok] = own[_GATES * ORDERS : -_GATES].reshape(_GATES, BUCKETS)[ok] / used[ok, None]
     return model
 
 
@@ -189,52 +232,36 @@ def held_out(id_col: str, folds: int = FOLDS) -> F.Column:
 class Totals:
     n: int  # training tokens
     v: int  # distinct training tokens
-    discount: float
 
     def base(self, c: np.ndarray) -> np.ndarray:
         return np.log10((c + 1) / (self.n + self.v + 1))
 
-    def full(self, c: np.ndarray, spelling: np.ndarray) -> np.ndarray:
-        """log10 of the discounted share of a count plus the freed share of the spelling."""
-        if not self.n:
-            return spelling
-        return np.log10(np.maximum(c - self.discount, 0) / self.n + self.discount * self.v / self.n * 10.0**spelling + 1e-300)
-
-
-def _spelled(model: Bits, totals: Totals):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            words, c = b.column(0).to_pylist(), b.column(1).to_numpy()
-            for at in range(0, len(words), CHUNK):
-                part, n = words[at : at + CHUNK], c[at : at + CHUNK]
-                yield pa.RecordBatch.from_arrays([pa.array(part, pa.binary()), pa.array(n), pa.array(totals.full(n, spell(model, part)))], ["word", "c", "logp"])
-
-    return run
-
 
-def _scored(known: dict[bytes, tuple[float, float, bool]]):
-    """Sums over the frequent words of each document; what is left goes on as a list of words and numbers."""
+def _scored(model: Bits, known: dict[bytes, tuple[float, bool]]):
+    """Score of each document and sums over its frequent words; what is left goes on as a list of words and numbers."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
+            texts = b.column(b.num_columns - 1).to_pylist()
+            score = np.zeros(len(texts))
+            for pieces, skip, number in _chunks(texts):
+                np.add.at(score, number, spell(model, pieces, skip))
             sums, words, times = [], [], []
-            for text in b.column(b.num_columns - 1).to_pylist():
+            for text in texts:
                 own = tokens(text)
-                base = score = 0.0
-                seen, rest = 0, []
+                base, seen, rest = 0.0, 0, []
                 for w in (*own, END):
                     if hit := known.get(w):
                         base += hit[0]
-                        score += hit[1]
-                        seen += hit[2]
+                        seen += hit[1]
                     else:
                         rest.append(w)
                 left = Counter(rest)
-                sums.append((len(own) + 1, seen, base, score))
+                sums.append((len(own) + 1, seen, base))
                 words.append(list(left))
                 times.append(list(left.values()))
-            n, seen, base, score = zip(*sums, strict=True) if sums else ([], [], [], [])
-            cols = [pa.array(n, pa.int64()), pa.array(seen, pa.int64()), pa.array(base, pa.float64()), pa.array(score, pa.float64())]
+            n, seen, base = zip(*sums, strict=True) if sums else ([], [], [])
+            cols = [pa.array(n, pa.int64()), pa.array(seen, pa.int64()), pa.array(base, pa.float64()), pa.array(score)]
             cols += [pa.array(words, pa.list_(pa.binary())), pa.array(times, pa.list_(pa.int64()))]
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], *cols], [*b.schema.names[:-1], "n_tokens", "n_known", "base_score", "score", "words", "times"])
 
@@ -247,12 +274,12 @@ def score(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col
     own = docs.select(F.col(id_col).alias("id"), held_out(id_col).alias("held_out"), F.octet_length(F.coalesce(text_col, F.lit(""))).cast("long").alias("n_bytes"), F.col(text_col).alias("text"))
     counts = own.select("text", "held_out").mapInArrow(_counted, "word binary, n long").groupBy("word").agg(F.sum("n").alias("c"))
     counts = scratch.save(counts, "counts")
-    n, v, n1, n2 = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count_if(F.col("c") > 0), F.count_if(F.col("c") == 1), F.count_if(F.col("c") == 2)).first()
-    totals = Totals(n, v, n1 / (n1 + 2 * n2) if n1 and n2 else 0.5)
-    model = train_bits(counts.where("c > 0").select("word"))
-    table = scratch.save(counts.mapInArrow(_spelled(model, totals), "word binary, c long, logp double"), "spelled")
-    scratch.drop(counts)
-    steps = table.groupBy(F.floor(8 * F.log2(F.col("c") + 1)).alias("step")).agg(F.count("*").alias("n")).orderBy(F.desc("step")).collect()
+    n, v = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count_if(F.col("c") > 0)).first()
+    totals = Totals(n, v)
+    training = own.where(~F.col("held_out"))
+    n_bytes = training.agg(F.coalesce(F.sum("n_bytes"), F.lit(0))).first()[0]
+    model = train_bits(training.select("text"), table_bits(n_bytes))
+    steps = counts.groupBy(F.floor(8 * F.log2(F.col("c") + 1)).alias("step")).agg(F.count("*").alias("n")).orderBy(F.desc("step")).collect()
     room, least = FREQUENT_WORDS, None  # steps of an eighth of a doubling: a few hundred rows
     for step in steps:
         room -= step.n
@@ -260,21 +287,19 @@ def score(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col
             break
         least = step.step
     is_known = F.floor(8 * F.log2(F.col("c") + 1)) >= (2**40 if least is None else least)
-    frequent = table.where(is_known).toArrow()  # at most FREQUENT_WORDS rows
+    frequent = counts.where(is_known).toArrow()  # at most FREQUENT_WORDS rows
     c = frequent.column(1).to_numpy()
-    known = dict(zip(frequent.column(0).to_pylist(), zip(totals.base(c).tolist(), frequent.column(2).to_pylist(), (c > 0).tolist(), strict=True), strict=True))
+    known = dict(zip(frequent.column(0).to_pylist(), zip(totals.base(c).tolist(), (c > 0).tolist(), strict=True), strict=True))
     kind = docs.schema[id_col].dataType.simpleString()
     schema = f"id {kind}, held_out boolean, n_bytes long, n_tokens long, n_known long, base_score double, score double, words array<binary>, times array<bigint>"
-    parts = scratch.save(own.mapInArrow(_scored(known), schema).withColumn("row", F.monotonically_increasing_id()), "parts")
+    parts = scratch.save(own.mapInArrow(_scored(model, known), schema).withColumn("row", F.monotonically_increasing_id()), "parts")
     rare = parts.select("row", F.explode(F.arrays_zip("words", "times")).alias("w")).select("row", F.col("w.words").alias("word"), F.col("w.times").alias("k"))
     log_all = float(np.log10(n + v + 1))
-    rare = rare.join(table.where(~is_known), "word").groupBy("row").agg(
+    rare = rare.join(counts.where(~is_known), "word").groupBy("row").agg(
         F.sum(F.when(F.col("c") > 0, F.col("k")).otherwise(0)).alias("_known"),
         F.sum(F.col("k") * (F.log10(F.col("c") + 1) - log_all)).alias("_base"),
-        F.sum(F.col("k") * F.col("logp")).alias("_score"),
     )
     zero = lambda c: F.coalesce(c, F.lit(0))
-    total = F.col("score") + zero("_score")
     return parts.join(rare, "row", "left").select(
         "id",
         "held_out",
@@ -282,6 +307,6 @@ def score(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col
         (F.col("n_known") + zero("_known")).alias("n_known"),
         F.lit(n).cast("long").alias("train_tokens"),
         (F.col("base_score") + zero("_base")).alias("base_score"),
-        total.alias("score"),
-        F.try_divide(-total / float(np.log10(2)), F.col("n_bytes")).alias("bits_per_byte"),
+        "score",
+        F.try_divide(-F.col("score") / float(np.log10(2)), F.col("n_bytes")).alias("bits_per_byte"),
     )

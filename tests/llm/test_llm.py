@@ -277,6 +277,43 @@ def test_spellings_are_a_distribution():
     assert lm.spell(model, [b"ab"])[0] > lm.spell(model, [b"zq"])[0]
 
 
+def test_scores_depend_on_the_order_of_words(spark):
+    rng = random.Random(23)
+    follow = {w: WORDS[(i + 1) % 7] for i, w in enumerate(WORDS[:7])}  # each word has its successor
+
+    def chain(n):
+        w = [rng.choice(WORDS[:7])]
+        while len(w) < n:
+            w.append(follow[w[-1]])
+        return w
+
+    held = [i for i in range(2000) if zlib.crc32(str(i).encode()) % 7 == 2][:2]
+    own = chain(200)
+    rows = [(i, " ".join(chain(60))) for i in range(300) if i not in held]
+    rows += [(held[0], " ".join(own)), (held[1], " ".join(rng.sample(own, len(own))))]
+    got = {r.id: r for r in lm.score(spark, spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    straight, mixed = (got[i] for i in held)
+    assert straight.held_out and mixed.held_out and abs(straight.base_score - mixed.base_score) < 1e-6
+    assert straight.score > mixed.score / 2
+
+
+def test_long_texts_are_read_in_pieces():
+    rng, old = random.Random(29), lm.CHUNK
+    model, t = lm.Bits.new(), text(rng, 400)
+    lm.learn(model, np.zeros(lm._GATES), [text(rng, 2000).encode()])
+    whole = lm.spell(model, [b" ".join([*lm.tokens(t), lm.END])])[0]
+    try:
+        lm.CHUNK = 100
+        parts = [lm.spell(model, pieces, skip).sum() for pieces, skip, _ in lm._chunks([t])]
+    finally:
+        lm.CHUNK = old
+    assert len(parts) > 20 and abs(sum(parts) - whole) < 1e-6
+
+
+def test_table_grows_with_the_input():
+    assert lm.table_bits(0) == lm.TABLE_BITS < lm.table_bits(300_000_000) < lm.table_bits(3_000_000_000) == lm.MAX_TABLE_BITS
+
+
 def test_toxicity(spark):
     rng = random.Random(9)
     rows = [(i, text(rng, 40) + (f" you {rng.choice(['zork', 'blarg'])} . " if i % 5 == 0 else " . ") + text(rng, 20)) for i in range(400)]
