@@ -402,6 +402,15 @@ def test_lines_near_across_lengths_and_blanks(spark):
     assert share_joined(spark, blanks) >= 0.95
 
 
+def test_lines_recall_near_the_threshold(spark):
+    assert 1 - (1 - lines.SIMILARITY**lines.ROWS) ** lines.BANDS > 0.99
+    rng = random.Random(31)
+    one = " ".join(letters(rng, 5, 8) for _ in range(20))
+    met = [(0, one, [1, 2]), (1, one + " tail", [3, 2]), (2, one[:40], [1, 3])]  # one band in common is enough to be compared
+    links = lines.near_lines(spark.createDataFrame(met, "lid long, line string, bands array<bigint>"), Scratch(spark, "t"))
+    assert {(r.u, r.v) for r in links.collect()} == {(1, 0)}
+
+
 def test_lines_of_a_drifting_family(spark):
     rng = random.Random(19)
     family = [[letters(rng, 4, 8) for _ in range(24)]]
@@ -411,7 +420,7 @@ def test_lines_of_a_drifting_family(spark):
         family.append(own)
     family = [" ".join(words) for words in family]
     signed = lines._signed(spark.createDataFrame([(i, -i, (i,), s) for i, s in enumerate(family)], "k1 long, k2 long, first struct<i:long>, line string"))
-    signed = signed.select(F.col("first.i").alias("lid"), "line", "bands", "sketch").localCheckpoint()
+    signed = signed.select(F.col("first.i").alias("lid"), "line", "bands").localCheckpoint()
     by_key = {}
     for r in signed.collect():
         for key in r.bands:
