@@ -158,7 +158,7 @@ class Index:
         for run in np.split(starts, np.flatnonzero(np.diff(starts) > m) + 1):  # neighbouring windows share their sums
             lo, hi = int(run[0]), int(run[-1]) + m + k - 1
             own = np.array([_word_hash(w) for w in words[lo:hi]], np.uint64)
-            h = shingle_hashes(own) if len(own) >= SHINGLE_WORDS or k < SHINGLE_WORDS and len(own) == k else self._short(own, k)
+            h = shingle_hashes(own) if k == SHINGLE_WORDS else self._short(own, k)
             sums = np.concatenate([np.zeros((1, 64), np.int64), np.cumsum(_bits(h), axis=0, dtype=np.int64)])
             at = run - lo
             fps = simhash(sums[at + m] - sums[at], np.full(len(at), m))
@@ -173,7 +173,7 @@ class Index:
 
     @staticmethod
     def _short(own: np.ndarray, k: int) -> np.ndarray:
-        """Shingles of ``k`` words where the run is longer than one of them."""
+        """Shingles of ``k`` words, fewer than five; the run may be longer than one of them."""
         return np.concatenate([shingle_hashes(own[i : i + k]) for i in range(len(own) - k + 1)])
 
 

@@ -156,6 +156,15 @@ def test_decontamination(spark):
     assert decontam.search(docs, bench.where("false"), ["doc_id"]).where("size(_items) > 0").count() == 0
 
 
+def test_short_items_in_neighbouring_windows():
+    for n in (1, 2, 3, 4):
+        index = decontam.Index([(7, " ".join("a" * n)), (8, " ".join("bcde"[:n]))])
+        assert [m[0] for m in index.matches("a a a a a a a a")] == [7]
+        assert [m[0] for m in index.matches("x b c d e b c d e y")] == [8]
+    both = decontam.Index([(1, "a b c d"), (2, "b c d e")])
+    assert [m[0] for m in both.matches("a b c d e")] == [1, 2]
+
+
 def test_block_index_finds_all_within_the_radius():
     rng = np.random.default_rng(1)
     index = decontam.Index([(i, " ".join(f"w{rng.integers(0, 50)}" for _ in range(20))) for i in range(40)])
