@@ -19,6 +19,17 @@ def shared_dir(spark: SparkSession) -> str:
     return base.rstrip("/")
 
 
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """``names``, with more underscores in front where ``df`` has such columns (in any case of letters)."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name = "_" + name
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 class Scratch:
     """Names, writes and drops the intermediate tables of one operator run."""
 
