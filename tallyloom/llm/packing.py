@@ -9,10 +9,12 @@ row its depth, and rows of equal depth, in order, pair off.  That rank settles e
 round.  Then gaps shrink and the rest goes into the next round.  New sequences are opened for the longest rest only
 when its volume exceeds the free space, or when nothing fits any more, so a round never opens more than the bound needs.
 
-What is left when few pieces and gaps remain (``SERIAL_ITEMS``, ``SERIAL_GAPS``) is finished by the same rule in one task.
+Every size of input goes through these rounds; only the last ``LAST_ITEMS`` pieces, a constant, are placed by the same rule
+one after the other, for which that many gaps of each size are enough.
 
 Rules for odd rows: a null text is an empty one; an empty text is one piece of the end token alone; repeated rows and
-repeated or null ids are documents of their own; a capacity below one is an error.
+repeated or null ids are documents of their own; strings of special tokens in a text are these tokens, as the tokenizer
+file has them; very long texts and runs of blanks are encoded whole; a capacity below one is an error.
 """
 
 from __future__ import annotations
@@ -40,13 +42,16 @@ from .store import Scratch
 CAPACITY = 2048
 END_ID = 0
 CACHE_CHUNKS = 200_000  # bound of a worker's cache of encoded words
-SERIAL_ITEMS, SERIAL_GAPS = 20_000, 200_000
+LAST_ITEMS = 64
+LONG_RUN = 1_000  # blanks in a row that are cut out before the pattern runs, which would recurse over them
 ROWS_A_TASK = 200_000
 
 # Fixed value: the split pattern of byte-level BPE vocabularies.
 PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: A blank between blanks, or a last one behind another: such texts are not encoded word by word.
 _ODD_BLANK = re.compile(r"\s \s|\s \Z")
+_BLANKS = r"[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
+_LONG_BLANKS = re.compile(f"{_BLANKS}{{{LONG_RUN},}}")
 
 
 def _byte_letters() -> dict[str, int]:
@@ -61,23 +66,24 @@ def encoder(path: str) -> Callable[[str], bytes]:
     """``text -> ids`` as little-endian unsigned 32-bit bytes, for the tokenizer file at ``path``.
 
     Byte-level BPE whose ids are its merge ranks is run by ``tiktoken``, word by word with a bounded cache, which gives
-    the same ids as ``tokenizers``; any other file is run by ``tokenizers``.  Special tokens' strings are ordinary text.
+    the same ids as ``tokenizers``; any other file is run by ``tokenizers``.
     """
     with open(path, encoding="utf-8") as f:
         spec = json.load(f)
-    pre, model = spec.get("pre_tokenizer") or {}, spec["model"]
-    if model.get("type", "BPE") != "BPE" or pre.get("type") != "ByteLevel" or pre.get("add_prefix_space") or spec.get("normalizer"):
+    pre, model, added = spec.get("pre_tokenizer") or {}, spec["model"], spec.get("added_tokens") or []
+    odd = any(t.get(k) for t in added for k in ("single_word", "lstrip", "rstrip", "normalized"))
+    if model.get("type", "BPE") != "BPE" or pre.get("type") != "ByteLevel" or pre.get("add_prefix_space") or spec.get("normalizer") or odd:
         slow = Tokenizer.from_file(path)
-        slow.encode_special_tokens = True
         return lambda text: np.array(slow.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
     letters = _byte_letters()
-    special = {t["content"] for t in spec.get("added_tokens", [])}
+    special = {t["content"]: np.array([t["id"]], "<u4").tobytes() for t in added}
+    at_special = re.compile("(" + "|".join(map(re.escape, sorted(special, key=len, reverse=True))) + ")") if special else None
     ranks = {bytes(letters[c] for c in token): i for token, i in model["vocab"].items() if token not in special}
-    fast = tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+    core = tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
     cache: dict[str, bytes] = {}
 
     def pack(text: str) -> bytes:
-        return np.array(fast(text), "<u4").tobytes()
+        return np.array(core.encode_ordinary(text), "<u4").tobytes()
 
     def word(chunk: str) -> bytes:
         got = cache.get(chunk)
@@ -87,12 +93,27 @@ def encoder(path: str) -> Callable[[str], bytes]:
                 cache[chunk] = got
         return got
 
-    def encode(text: str) -> bytes:
+    def ordinary(text: str) -> bytes:
+        if len(text) >= LONG_RUN and _LONG_BLANKS.search(text):
+            out, at = [], 0
+            for run in _LONG_BLANKS.finditer(text):  # all but its last blank are one chunk, or all at the text's end
+                end = run.end() - (run.end() < len(text))
+                out += [pack(text[at : run.start()]), blanks(run.string[run.start() : end])]
+                at = end
+            return b"".join([*out, pack(text[at:])])
         if _ODD_BLANK.search(text):
             return pack(text)
         first, *rest = text.split(" ")
         return pack(first) + b"".join(map(word, rest))
 
+    def blanks(run: str) -> bytes:
+        return np.array(core._encode_single_piece(run), "<u4").tobytes()
+
+    def encode(text: str) -> bytes:
+        if at_special is None or not at_special.search(text):
+            return ordinary(text)
+        return b"".join(special[part] if part in special else ordinary(part) for part in at_special.split(text))
+
     return encode
 
 
@@ -197,7 +218,7 @@ def _finish(capacity: int):
     return run
 
 
-def assign(items: DataFrame, scratch: Scratch, capacity: int = CAPACITY, serial_items: int = SERIAL_ITEMS) -> DataFrame:
+def assign(items: DataFrame, scratch: Scratch, capacity: int = CAPACITY, last_items: int = LAST_ITEMS) -> DataFrame:
     """``items(item long, length long)``, item distinct, 1 <= length <= capacity -> ``(item, bin, offset)``."""
     if capacity < 1:
         raise ValueError("the capacity must be one token at least")
@@ -212,8 +233,9 @@ def assign(items: DataFrame, scratch: Scratch, capacity: int = CAPACITY, serial_
         n, least, volume = sum(sizes.values()), min(sizes), sum(k * v for k, v in sizes.items())
         fit = gaps.where(F.col("gap") >= least)
         n_gaps, space = fit.agg(F.count("*"), F.coalesce(F.sum("gap"), F.lit(0))).first()
-        if n <= serial_items and n_gaps <= SERIAL_GAPS:
-            rest = fit.selectExpr("gap AS size", "0 AS kind", "bin AS id").union(pending.selectExpr("length AS size", "1 AS kind", "item AS id"))
+        if n <= last_items:
+            some = fit.withColumn("rank", F.row_number().over(W.partitionBy("gap").orderBy("bin"))).where(F.col("rank") <= last_items)
+            rest = some.selectExpr("gap AS size", "0 AS kind", "bin AS id").union(pending.selectExpr("length AS size", "1 AS kind", "item AS id"))
             placed.append(scratch.save(rest.withColumn("all", F.lit(0)).groupBy("all").applyInPandas(_finish(capacity), "item long, bin long, offset long"), "finish"))
             break
         old = (pending, gaps)
