@@ -15,6 +15,7 @@ from .plans import spec
 from .plans.generate import GenerationError, generate_dataset
 from .plans.provider import OfflineProvider, payload
 from .sources import files
+from .sources.shared import Files
 from .sources.store import read_last_run, write_last_run
 
 
@@ -75,17 +76,16 @@ def do_generate(a: argparse.Namespace) -> int:
         return 1
     written = files.export(tables, {t.name: t for t in dataset.tables}, os.path.join(out, "export"), a.format.split(","))
     reports = {name: report.quality_report(df, dataset.table(name)) for name, df in tables.items()}
-    with open(os.path.join(out, "quality_report.json"), "w", encoding="utf-8") as f:
-        json.dump(reports, f, indent=2, default=str)
-    files.write_manifest(out, written, {"schema": spec.read_document(a.schema), "fingerprint": dataset.fingerprint(), "stats": {k: s.as_dict() for k, s in stats.items()}})
-    write_last_run({"folder": out, "schema": os.path.abspath(a.schema)})
+    Files(spark).write_json(os.path.join(out, "quality_report.json"), reports)
+    files.write_manifest(spark, out, written, {"schema": spec.read_document(a.schema), "fingerprint": dataset.fingerprint(), "stats": {k: s.as_dict() for k, s in stats.items()}})
+    write_last_run(spark, {"folder": out, "schema": os.path.abspath(a.schema)}, os.getcwd())
     for name, r in reports.items():
         print(report.render(r, name))
     return code
 
 
 def _schema_for(path: str | None) -> spec.Dataset | None:
-    last = read_last_run()
+    last = read_last_run(session(), os.getcwd())
     path = path or (last or {}).get("schema")
     return spec.load(path) if path and os.path.exists(path) else None
 

@@ -14,6 +14,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .text import stripped
+
 
 class CheckError(ValueError):
     """The expression is outside of the subset."""
@@ -24,6 +26,7 @@ class Value:
 
     def __init__(self, col: Column, kind: T.DataType | None = None, choices: list | None = None):
         self.col, self.kind, self.choices = col, kind, choices
+        self.constant: object = None  # of a literal
 
     @property
     def is_array(self) -> bool:
@@ -81,7 +84,9 @@ class Compiler:
         kinds = {bool: _BOOL, int: _LONG, float: _DOUBLE, str: _TEXT, type(None): T.NullType()}
         if type(v) not in kinds:
             raise CheckError(f"constant {v!r} is not supported")
-        return Value(F.lit(v), kinds[type(v)])
+        out = Value(F.lit(v), kinds[type(v)])
+        out.constant = v
+        return out
 
     def on_name(self, node: ast.Name) -> Value:
         for scope in reversed(self.bound):
@@ -273,8 +278,11 @@ class Compiler:
             return Value(getattr(v.col, f.attr)(args[0].col), _BOOL)
         if f.attr == "count" and v.is_array:
             return Value(F.size(F.filter(v.col, lambda x: x.eqNullSafe(args[0].col))).cast("long"), _LONG)
-        if f.attr == "split":
-            return Value(F.split(v.col, r"\s+"), T.ArrayType(_TEXT))
+        if f.attr == "split" and not args:  # runs of white space part, those at the ends do not count
+            words = F.split(stripped(v.col), r"(?U)\s+")
+            return Value(F.filter(words, lambda w: w != ""), T.ArrayType(_TEXT))
+        if f.attr == "split" and len(args) == 1:
+            return Value(F.split(v.col, F.concat(F.lit("\\Q"), args[0].col, F.lit("\\E")), -1), T.ArrayType(_TEXT))
         raise CheckError(f"method '{f.attr}' is not supported")
 
 
@@ -300,6 +308,14 @@ def _extreme(array: Callable, row: Callable) -> Callable:
     return run
 
 
+def _round(c: Compiler, a: list[Value]) -> Value:
+    if len(a) == 1:
+        return Value(F.bround(a[0].col, 0).cast("long"), _LONG)
+    if len(a) == 2 and isinstance(a[1].constant, int) and not isinstance(a[1].constant, bool):
+        return Value(F.bround(a[0].col, a[1].constant), a[0].kind)
+    raise CheckError("round takes a number of digits that is written out")
+
+
 def _set(c: Compiler, a: list[Value]) -> Value:
     return Value(F.array_distinct(a[0].col), a[0].kind)
 
@@ -310,7 +326,7 @@ _CALLS: dict[str, Callable[[Compiler, list[Value]], Value]] = {
     "abs": lambda c, a: Value(F.abs(a[0].col), a[0].kind),
     "min": _extreme(F.array_min, F.least),
     "max": _extreme(F.array_max, F.greatest),
-    "round": lambda c, a: Value(F.bround(a[0].col, 0), a[0].kind),
+    "round": _round,
     "any": lambda c, a: Value(F.exists(a[0].col, lambda x: F.coalesce(c.truth(Value(x, a[0].kind.elementType)), F.lit(False))), _BOOL),
     "all": lambda c, a: Value(F.forall(a[0].col, lambda x: F.coalesce(c.truth(Value(x, a[0].kind.elementType)), F.lit(False))), _BOOL),
     "set": _set,

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import collapsed
 from ..plans.spec import Table
+from ..sources.shared import written
 
 RANGE_ROWS = 1_000_000
 
@@ -43,7 +44,7 @@ def cap(df: DataFrame, label: str, deficit: dict, order: str) -> DataFrame:
     """
     want = df.sparkSession.createDataFrame([(str(k), int(n)) for k, n in deficit.items()], "_label string, _want long")
     rows = df.withColumn("_label", F.col(label).cast("string")).join(F.broadcast(want), "_label")
-    ranged = rows.repartitionByRange(order).withColumn("_part", F.spark_partition_id())
+    ranged = written(rows.repartitionByRange(order).withColumn("_part", F.spark_partition_id()), "cap")
     sizes = ranged.groupBy("_label", "_part").agg(F.count("*").alias("_n"))
     run = W.partitionBy("_label").orderBy("_part").rowsBetween(W.unboundedPreceding, -1)
     before = sizes.select(F.col("_label").alias("_l"), F.col("_part").alias("_p"), F.coalesce(F.sum("_n").over(run), F.lit(0)).alias("_before"))
@@ -53,8 +54,11 @@ def cap(df: DataFrame, label: str, deficit: dict, order: str) -> DataFrame:
 
 
 def numbered(df: DataFrame, order: str, start: int = 1) -> DataFrame:
-    """Adds ``_number``: gapless from ``start`` in ``order``, by two-level counts over range partitions."""
-    ranged = df.repartitionByRange(order).withColumn("_part", F.spark_partition_id())
+    """Adds ``_number``: gapless from ``start`` in ``order``, by two-level counts over range partitions.
+
+    Ranges come from a sample and may be coalesced, so rows are written with their range's number and read by both branches.
+    """
+    ranged = written(df.repartitionByRange(order).withColumn("_part", F.spark_partition_id()), "numbered")
     sizes = ranged.groupBy("_part").agg(F.count("*").alias("_n"))  # a row a partition
     before = sizes.select("_part", F.coalesce(F.sum("_n").over(W.orderBy("_part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
     inside = F.row_number().over(W.partitionBy("_part").orderBy(order)) - 1

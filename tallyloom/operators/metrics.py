@@ -11,6 +11,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, FloatType, StringType
 
+from ..sources.shared import written
+
 
 def missing(df: DataFrame, name: str) -> Column:
     """Null, NaN or the empty string."""
@@ -33,23 +35,27 @@ def long_form(df: DataFrame, columns: list[str], metrics: dict[str, Column]) ->
     return one.select(F.explode(F.array(*rows)).alias("r")).select("r.*")
 
 
-def completeness(df: DataFrame, columns: list[str]) -> DataFrame:
-    """``(column, rows, null_rate, distinct)``."""
+def completeness(df: DataFrame, columns: list[str], approximate: bool = False) -> DataFrame:
+    """``(column, rows, null_rate, distinct)``; ``approximate`` counts distinct values by sketches, without expanding rows."""
     metrics: dict[str, Column] = {}
     for c in columns:
         v = present(df, c)
         metrics[f"rows:{c}"] = F.count(F.lit(1))
         metrics[f"null_rate:{c}"] = F.round(F.try_divide(F.count(F.lit(1)) - F.count(v), F.count(F.lit(1))), 3)
-        metrics[f"distinct:{c}"] = F.count_distinct(v)
+        metrics[f"distinct:{c}"] = F.approx_count_distinct(v) if approximate else F.count_distinct(v)
     return long_form(df, columns, metrics)
 
 
-def numeric(df: DataFrame, columns: list[str], digits: int = 4) -> DataFrame:
-    """``(column, n, min, p5, p50, p95, max, mean, std)``; interpolated quantiles, population deviation."""
+def numeric(df: DataFrame, columns: list[str], digits: int = 4, approximate: bool = False) -> DataFrame:
+    """``(column, n, min, p5, p50, p95, max, mean, std)``; interpolated quantiles, population deviation.
+
+    Exact quantiles hold a count for each distinct value; ``approximate`` ones hold a summary of bounded size.
+    """
     metrics: dict[str, Column] = {}
     for c in columns:
         v = present(df, c).cast("double")
-        q = F.percentile(v, F.array(F.lit(0.05), F.lit(0.5), F.lit(0.95)))
+        at = F.array(F.lit(0.05), F.lit(0.5), F.lit(0.95))
+        q = F.percentile_approx(v, at) if approximate else F.percentile(v, at)
         metrics[f"n:{c}"] = F.count(v)
         for name, value in (("min", F.min(v)), ("p5", q[0]), ("p50", q[1]), ("p95", q[2]), ("max", F.max(v)), ("mean", F.avg(v)), ("std", F.stddev_pop(v))):
             metrics[f"{name}:{c}"] = F.round(value, digits)
@@ -96,7 +102,7 @@ def average_rank(df: DataFrame, column: str) -> DataFrame:
     Cumulative counts go over range partitions in two levels, so no task sees all values.
     """
     n = df.groupBy(F.col(column).alias("value")).agg(F.count("*").alias("n"))
-    n = n.repartitionByRange("value").withColumn("part", F.spark_partition_id())
+    n = written(n.repartitionByRange("value").withColumn("part", F.spark_partition_id()), "ranks")
     inside = W.partitionBy("part").orderBy("value").rowsBetween(W.unboundedPreceding, -1)
     parts = n.groupBy("part").agg(F.sum("n").alias("total"))  # a row a partition
     before = parts.select("part", F.coalesce(F.sum("total").over(W.orderBy("part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("before"))
@@ -107,7 +113,7 @@ def average_rank(df: DataFrame, column: str) -> DataFrame:
 def order_trend(df: DataFrame, column: str, order: str) -> DataFrame:
     """``(n, rho)``: Spearman correlation of a column with an explicit row order (distinct); null under 20 rows or 6 values."""
     rows = df.select(F.col(order).cast("double").alias("o"), present(df, column).cast("double").alias("v")).where("v IS NOT NULL AND o IS NOT NULL")
-    rows = rows.persist()
+    rows = written(rows, "trend")
     a, b = average_rank(rows, "v").select("value", F.col("rank").alias("rv")), average_rank(rows, "o").select("value", F.col("rank").alias("ro"))
     both = rows.join(a, rows.v == a.value).drop("value").join(b, F.col("o") == b.value)
     rho = F.try_divide(F.covar_pop("rv", "ro"), F.stddev_pop("rv") * F.stddev_pop("ro"))
@@ -176,7 +182,8 @@ def ngram_diversity(df: DataFrame, tokens: Column) -> DataFrame:
     """``(bigrams, distinct_bigrams, distinct_2)``."""
     from ..functions.text import bigrams
 
-    pairs = df.select(F.explode(bigrams(tokens)).alias("b")).groupBy("b").agg(F.count("*").alias("n"))
+    pair = df.select(F.explode(bigrams(tokens)).alias("b"))
+    pairs = pair.groupBy(F.xxhash64("b").alias("k1"), F.xxhash64(F.lit("b"), "b").alias("k2")).agg(F.count("*").alias("n"))  # 128 bits for the text
     return pairs.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("bigrams"), F.count("*").alias("distinct_bigrams"), F.round(F.try_divide(F.count("*"), F.sum("n")), 3).alias("distinct_2"))
 
 

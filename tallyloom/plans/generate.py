@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import accept, validate
+from ..sources.shared import written
 from ..sources.store import Store
 from . import slots as planning
 from .provider import OfflineProvider, Provider, matched, salvage
@@ -74,11 +75,13 @@ def _asker(table: Table, provider: Provider, feedback: list[str]):
         records, whole = salvage(provider.respond(table, todo, feedback))
         fault = None if whole else "truncated" if records else "refused"
         out, seen = [], set()
-        for slot, record in matched(todo, records):
+        pairs, lost = matched(todo, records)
+        for slot, record in pairs:
             text, repaired = assemble(table, slot, record)
             seen.add(slot["slot_id"])
             out.append((slot["slot_id"], text, repaired, fault))
         out += [(s["slot_id"], None, 0, fault or "missing") for s in todo if s["slot_id"] not in seen]
+        out += [(None, None, n, reason) for reason, n in lost.items()]  # counted only
         return pd.DataFrame(out, columns=["slot_id", "record", "repaired", "fault"])
 
     return run
@@ -112,7 +115,7 @@ def _planned(slots: DataFrame, table: Table) -> DataFrame:
     parts = [F.col("nulls"), F.col("scenario"), F.col("edge_case")]
     parts += [F.struct(*fixed).alias("fixed")] if fixed else []
     parts += [F.struct(*refs).alias("refs")] if refs else []
-    return slots.select("slot_id", F.to_json(F.struct(*parts)).alias("plan"))
+    return slots.select("slot_id", "_batch", F.to_json(F.struct(*parts)).alias("plan"))
 
 
 def _deficits(table: Table, have: DataFrame, target: int) -> dict[str, dict[Any, int]]:
@@ -155,10 +158,10 @@ def generate_table(spark: SparkSession, table: Table, settings: Settings, store:
         deficits = _deficits(table, have, target)
         quotas = {k: _stretched(v, n) for k, v in deficits.items()}
         number = stats.rounds
-        slots = planning.plan(spark, table, stats.asked, n, seed, parents, quotas, scenarios)
+        slots = written(planning.plan(spark, table, stats.asked, n, seed, parents, quotas, scenarios), "slots")  # read three times
         slots = slots.withColumn("_batch", F.floor((F.col("slot_id") - stats.asked) / table.batch_size))
         feedback = [k for k, _ in rejected.most_common(5)]
-        plans = _planned(slots, table).join(slots.select("slot_id", "_batch"), "slot_id")
+        plans = _planned(slots, table)
         asked = plans.repartition(settings.concurrency, "_batch").groupBy("_batch").applyInPandas(_asker(table, provider, feedback), _response_schema())
         raw = f"{store.table_path(table.name)}/responses={number}"
         asked.write.mode("overwrite").parquet(raw)
@@ -181,7 +184,11 @@ def generate_table(spark: SparkSession, table: Table, settings: Settings, store:
         taken = accept.numbered(unique, "slot_id", 0).where(F.col("_number") < missing)
         final = _finished(taken, table, seed, stats.accepted)
         first = final.count()
-        counts = answers.agg(F.count_if(F.col("record").isNotNull()), F.coalesce(F.sum("repaired"), F.lit(0)), F.count_if(F.col("fault") == "refused"), F.count_if(F.col("fault") == "truncated")).first()
+        own = F.when(F.col("slot_id").isNotNull(), F.col("repaired"))
+        counts = answers.agg(F.count_if(F.col("record").isNotNull()), F.coalesce(F.sum(own), F.lit(0)), F.count_if(F.col("fault") == "refused"), F.count_if(F.col("fault") == "truncated")).first()
+        for r in answers.where("slot_id IS NULL").groupBy("fault").agg(F.sum("repaired").alias("n")).collect():  # two reasons at most
+            rejected[r.fault] += r.n
+            stats.returned += r.n
         for r in validate.roll_up(judged, 50).collect():
             rejected[r["category"]] += r["n"]
         if valid > first:

@@ -6,9 +6,9 @@ driver, row by row from an iterator, so nothing is gathered in memory.
 
 from __future__ import annotations
 
-import hashlib
 import json
 import os
+import re
 from collections.abc import Iterator
 from typing import Any
 
@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..plans.spec import Table
+from .shared import Files
 
 FORMATS = {".csv": "csv", ".tsv": "csv", ".json": "json", ".jsonl": "jsonl", ".ndjson": "jsonl", ".parquet": "parquet", ".sqlite": "sqlite", ".db": "sqlite"}
 
@@ -48,7 +49,11 @@ def flatten(df: DataFrame, arrays: bool = True) -> DataFrame:
 
 
 def unflatten(df: DataFrame, schema: T.StructType | None = None) -> DataFrame:
-    """Dotted columns become structs; JSON text becomes arrays where ``schema`` says so (bad JSON gives null)."""
+    """Dotted columns become structs; JSON text becomes arrays where ``schema`` says so.
+
+    Without a schema, a text column whose bracketed values all parse becomes an array of their common type; text that is
+    no JSON array stays text.
+    """
     tree: dict[str, Any] = {}
     for name in df.columns:
         node = tree
@@ -56,17 +61,33 @@ def unflatten(df: DataFrame, schema: T.StructType | None = None) -> DataFrame:
         for h in heads:
             node = node.setdefault(h, {})
         node[last] = F.col(f"`{name}`")
+    guessed = {} if schema else _array_columns(df)
 
-    def build(node: Any, kind: T.DataType | None) -> Column:
+    def build(node: Any, kind: T.DataType | None, path: str) -> Column:
         if isinstance(node, dict):
             inner = {f.name: f.dataType for f in kind.fields} if isinstance(kind, T.StructType) else {}
-            return F.struct(*(build(v, inner.get(k)).alias(k) for k, v in node.items()))
+            return F.struct(*(build(v, inner.get(k), f"{path}.{k}").alias(k) for k, v in node.items()))
         if isinstance(kind, T.ArrayType):
             return F.from_json(node, kind)
-        return node
+        return F.from_json(node, guessed[path]) if path in guessed else node
 
     kinds = {f.name: f.dataType for f in schema.fields} if schema else {}
-    return df.select(*(build(v, kinds.get(k)).alias(k) for k, v in tree.items()))
+    return df.select(*(build(v, kinds.get(k), k).alias(k) for k, v in tree.items()))
+
+
+def _array_columns(df: DataFrame) -> dict[str, str]:
+    """Types of the text columns that hold JSON arrays and nulls only (one pass over all of them)."""
+    names = [f.name for f in df.schema.fields if isinstance(f.dataType, T.StringType)]
+    if not names:
+        return {}
+    tests = []
+    for i, n in enumerate(names):
+        v = F.col(f"`{n}`")
+        parsed = F.try_parse_json(F.when(v.startswith("[") & v.endswith("]"), v))
+        tests += [F.bool_and(parsed.isNotNull() | v.isNull()).alias(f"ok{i}"), F.schema_of_variant_agg(parsed).alias(f"kind{i}")]
+    got = df.agg(*tests).first().asDict()
+    known = re.compile(r"ARRAY<(BIGINT|DOUBLE|STRING|BOOLEAN)>")
+    return {n: got[f"kind{i}"] for i, n in enumerate(names) if got[f"ok{i}"] and known.fullmatch(got[f"kind{i}"] or "")}
 
 
 def read(spark: SparkSession, path: str, limit: int | None = None, sqlite_table: str | None = None, table: Table | None = None) -> DataFrame:
@@ -76,7 +97,7 @@ def read(spark: SparkSession, path: str, limit: int | None = None, sqlite_table:
         df = spark.read.options(header=True, escape='"', multiLine=True, sep=separator(path)).csv(path)
         df = unflatten(df, table.struct() if table else None)
     elif kind == "json":
-        df = _unwrapped(spark.read.option("multiLine", True).json(path))
+        df = _unwrapped(spark, path)
     elif kind == "jsonl":
         df = spark.read.json(path)
     elif kind == "parquet":
@@ -88,12 +109,19 @@ def read(spark: SparkSession, path: str, limit: int | None = None, sqlite_table:
     return df.limit(limit) if limit is not None else df
 
 
-def _unwrapped(df: DataFrame) -> DataFrame:
-    """An object that holds a list of records is that list."""
-    lists = [f.name for f in df.schema.fields if isinstance(f.dataType, T.ArrayType) and isinstance(f.dataType.elementType, T.StructType)]
-    if lists and len([f for f in df.schema.fields if isinstance(f.dataType, T.ArrayType)]) == len(df.columns):
-        return df.select(F.explode(lists[0]).alias("_r")).select("_r.*")
-    return df
+def _unwrapped(spark: SparkSession, path: str) -> DataFrame:
+    """An array's records; of a single object the elements of its first list, or the object itself."""
+    df = spark.read.option("multiLine", True).json(path)
+    fs = Files(spark)
+    first = path if fs.is_file(path) else f"{path}/{fs.names(path)[0]}"
+    if not next(fs.read(first), b"").lstrip(b"\xef\xbb\xbf \t\r\n").startswith(b"{"):
+        return df
+    keys = spark.read.text(first, wholetext=True).select(F.json_object_keys("value").alias("k")).first().k or []
+    name = next((k for k in keys if k in df.columns and isinstance(df.schema[k].dataType, T.ArrayType)), None)
+    if name is None:
+        return df
+    rows = df.select(F.explode(f"`{name}`").alias(name))
+    return rows.select(f"`{name}`.*") if isinstance(rows.schema[name].dataType, T.StructType) else rows
 
 
 def raw_records(spark: SparkSession, path: str) -> DataFrame:
@@ -123,14 +151,16 @@ def write(df: DataFrame, path: str, kind: str | None = None, table: Table | None
 
 def write_json_array(df: DataFrame, path: str) -> None:
     """One indented JSON array, streamed partition by partition through the driver."""
-    rows = df.select(F.to_json(F.struct("*"), {"ignoreNullFields": "false"}).alias("j")).toLocalIterator()
-    with open(path, "w", encoding="utf-8") as f:
+
+    def parts() -> Iterator[str]:
         first = True
-        for r in rows:
-            f.write("[\n" if first else ",\n")
-            f.write("\n".join("  " + line for line in json.dumps(json.loads(r.j), indent=2, ensure_ascii=False).split("\n")))
+        for r in df.select(F.to_json(F.struct("*"), {"ignoreNullFields": "false"}).alias("j")).toLocalIterator():
+            yield "[\n" if first else ",\n"
+            yield "\n".join("  " + line for line in json.dumps(json.loads(r.j), indent=2, ensure_ascii=False).split("\n"))
             first = False
-        f.write("[]\n" if first else "\n]\n")
+        yield "[]\n" if first else "\n]\n"
+
+    Files(df.sparkSession).write(path, parts())
 
 
 def write_single(df: DataFrame, path: str, table: Table | None = None) -> None:
@@ -139,24 +169,25 @@ def write_single(df: DataFrame, path: str, table: Table | None = None) -> None:
     if kind in ("json", "sqlite"):
         write(df, path, kind, table)
         return
-    folder = path + ".parts"
-    write(df.coalesce(1), folder if kind != "csv" else folder + os.path.splitext(path)[1], kind)
-    folder = folder if kind != "csv" else folder + os.path.splitext(path)[1]
-    part = next(p for p in sorted(os.listdir(folder)) if p.startswith("part-"))
-    os.replace(os.path.join(folder, part), path)
-    for rest in os.listdir(folder):
-        os.remove(os.path.join(folder, rest))
-    os.rmdir(folder)
+    folder = path + ".parts" + (os.path.splitext(path)[1] if kind == "csv" else "")
+    write(df.coalesce(1), folder, kind)
+    fs = Files(df.sparkSession)
+    part = next((n for n in fs.names(folder) if n.startswith("part-")), None)
+    if part:
+        fs.move(f"{folder}/{part}", path)
+    else:
+        fs.write(path, [])
+    fs.delete(folder)
 
 
 def export(tables: dict[str, DataFrame], specs: dict[str, Table], folder: str, formats: list[str]) -> list[str]:
     """Every table in every format; SQLite gets one file for all."""
     from .sqlite import write_sqlite
 
-    os.makedirs(folder, exist_ok=True)
     out = []
     for kind in formats:
         if kind == "sqlite":
+            os.makedirs(folder, exist_ok=True)
             out.append(os.path.join(folder, "dataset.sqlite"))
             write_sqlite(tables, specs, out[-1])
             continue
@@ -166,24 +197,8 @@ def export(tables: dict[str, DataFrame], specs: dict[str, Table], folder: str, f
     return out
 
 
-def digest(path: str) -> str:
-    """SHA-256 of a file, or of a folder's files in name order."""
-    names = [path] if os.path.isfile(path) else sorted(os.path.join(d, n) for d, _, ns in os.walk(path) for n in ns if not n.startswith((".", "_")))
-    h = hashlib.sha256()
-    for name in names:
-        with open(name, "rb") as f:
-            while block := f.read(1 << 20):
-                h.update(block)
-    return h.hexdigest()
-
-
-def write_manifest(folder: str, files: list[str], extra: dict[str, Any]) -> str:
-    """``manifest.json`` with a hash of each output; written under another name and renamed."""
-    path = os.path.join(folder, "manifest.json")
-    body = extra | {"files": {os.path.relpath(p, folder): digest(p) for p in files}}
-    with open(path + ".tmp", "w", encoding="utf-8") as f:
-        json.dump(body, f, indent=2, default=str)
-    os.replace(path + ".tmp", path)
+def write_manifest(spark: SparkSession, folder: str, files: list[str], extra: dict[str, Any]) -> str:
+    """``manifest.json`` with a hash of each output."""
+    path, fs = f"{folder}/manifest.json", Files(spark)
+    fs.write_json(path, extra | {"files": {p.removeprefix(folder).lstrip("/"): fs.digest(p) for p in files}})
     return path
-
-

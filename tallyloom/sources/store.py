@@ -2,45 +2,35 @@
 
 from __future__ import annotations
 
-import json
-import os
-import shutil
 from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..plans.spec import Table
-
-
-def _replace(path: str, body: Any) -> None:
-    with open(path + ".tmp", "w", encoding="utf-8") as f:
-        json.dump(body, f, indent=2, default=str)
-    os.replace(path + ".tmp", path)
+from .shared import Files
 
 
 class Store:
-    """``folder/table/round=k``: a round that the state doesn't name was not committed and is dropped on load."""
+    """``folder/table/round=k``: a round that the state doesn't name was not committed and is dropped on load.
+
+    Folder and state are on the file system that Spark writes to, so a cluster's executors and any later driver see them.
+    """
 
     def __init__(self, spark: SparkSession, folder: str):
-        self.spark, self.folder = spark, folder
-        os.makedirs(folder, exist_ok=True)
+        self.spark, self.folder, self.files = spark, folder.rstrip("/"), Files(spark)
 
     def table_path(self, table: str) -> str:
-        return os.path.join(self.folder, table)
+        return f"{self.folder}/{table}"
 
     def _state_path(self, table: str) -> str:
-        return os.path.join(self.folder, f".{table}.state.json")
+        return f"{self.folder}/.{table}.state.json"
 
     def state(self, table: str) -> dict[str, Any]:
-        try:
-            with open(self._state_path(table), encoding="utf-8") as f:
-                return json.load(f)
-        except (FileNotFoundError, json.JSONDecodeError):
-            return {}
+        return self.files.read_json(self._state_path(table)) or {}
 
     def save_state(self, table: str, state: dict[str, Any]) -> None:
-        _replace(self._state_path(table), state)
+        self.files.write_json(self._state_path(table), state)
 
     def append(self, table: str, rows: DataFrame, number: int, state: dict[str, Any]) -> None:
         """Write a round, then commit it by naming it in the state."""
@@ -57,18 +47,13 @@ class Store:
         return found.select(*(F.col(f"`{f.name}`") for f in schema.fields))
 
     def reset(self, table: str) -> None:
-        shutil.rmtree(self.table_path(table), ignore_errors=True)
-        if os.path.exists(self._state_path(table)):
-            os.remove(self._state_path(table))
+        self.files.delete(self.table_path(table))
+        self.files.delete(self._state_path(table))
 
 
-def write_last_run(info: dict[str, Any], base: str = ".") -> None:
-    _replace(os.path.join(base, ".last_run.json"), info)
+def write_last_run(spark: SparkSession, info: dict[str, Any], base: str) -> None:
+    Files(spark).write_json(f"{base}/.last_run.json", info)
 
 
-def read_last_run(base: str = ".") -> dict[str, Any] | None:
-    try:
-        with open(os.path.join(base, ".last_run.json"), encoding="utf-8") as f:
-            return json.load(f)
-    except (FileNotFoundError, json.JSONDecodeError):
-        return None
+def read_last_run(spark: SparkSession, base: str) -> dict[str, Any] | None:
+    return Files(spark).read_json(f"{base}/.last_run.json")

@@ -97,8 +97,10 @@ def test_salvage_and_matching():
     torn, ok = salvage('{"records": [{"a": 1}, {"a": 2}, {"a"')
     assert (torn, ok) == ([{"a": 1}, {"a": 2}], False)
     assert salvage("no")[0] == []
-    pairs = list(matched([{"slot_id": 5}, {"slot_id": 6}], [{"_slot": 1, "v": 1}, {"v": 2}, {"_slot": 9, "v": 3}]))
-    assert [(s["slot_id"], r["v"]) for s, r in pairs] == [(5, 2), (6, 1)]
+    assert salvage('{"other": [1], "records" : [ {"a": 1} , {"a"')[0] == [{"a": 1}]
+    pairs, lost = matched([{"slot_id": 5}, {"slot_id": 6}, {"slot_id": 7}], [{"_slot": 1, "v": 1}, "x", {"_slot": 1, "v": 2}, {"_slot": 9, "v": 3}, {"v": 4}])
+    assert [(s["slot_id"], r["v"]) for s, r in pairs] == [(5, 2), (6, 1), (7, 3)]
+    assert lost == {"record: malformed": 1, "record: extra record": 1}
 
 
 def test_generation_with_a_misbehaving_provider(spark, tmp_path):
@@ -167,7 +169,7 @@ def test_report(spark):
     text = " ".join(f"{i['column']}:{i['message']}" for i in found["issues"])
     for part in ("salary:values trend", "multiples of", "latency:1 outliers", "c:constant column", "templated text"):
         assert part in text, (part, text)
-    assert report.render(found).startswith("== Quality report")
+    assert report.render(found).startswith("# Quality of data set") and "| salary |" in report.render(found)
     empty = report.quality_report(df.where("false"))
     assert (empty["score"], empty["grade"]) == (0, "F")
 
