@@ -26,6 +26,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .store import fresh
+
 SHINGLE_WORDS = 5
 SIMILARITY = 0.8
 RADIUS = 23  # of 64 bits; similarity 0.8 has about 10 on average
@@ -177,19 +179,22 @@ class Index:
         return np.concatenate([shingle_hashes(own[i : i + k]) for i in range(len(own) - k + 1)])
 
 
-_LISTS = {"_items": "array<bigint>", "_similarity": "double", "_first_words": "array<bigint>", "_n_words": "array<bigint>"}
+FOUND = ("_items", "_similarity", "_first_words", "_n_words")
+_KINDS = ("array<bigint>", "double", "array<bigint>", "array<bigint>")
 
 
-def search(docs: DataFrame, benchmark: DataFrame, keep: list[str], text_col: str = "text", similarity: float = SIMILARITY, block_items: int = BLOCK_ITEMS) -> DataFrame:
-    """The columns ``keep`` of ``docs`` with ``_items``, ``_similarity`` (of the best), ``_first_words``, ``_n_words``.
+def search(docs: DataFrame, benchmark: DataFrame, keep: list[str], text_col: str = "text", similarity: float = SIMILARITY, block_items: int = BLOCK_ITEMS, names: tuple[str, ...] = FOUND) -> DataFrame:
+    """The columns ``keep`` of ``docs`` and, by the given names, items, similarity of the best, first words, numbers of words.
 
     ``benchmark(item id, text)`` streams to the driver in blocks; each block is one pass over ``docs`` without a shuffle.
     """
+    held = fresh(docs, "_text")[0]
     items = ((r[0], r[1]) for r in benchmark.select(*benchmark.columns[:2]).toLocalIterator())
-    out = docs.select(*(F.col(c) for c in keep), *(F.expr(f"CAST({'array()' if k[0] == 'a' else 'NULL'} AS {k})").alias(c) for c, k in _LISTS.items()), F.col(text_col).alias("_text"))
+    empty = (F.expr(f"CAST({'array()' if k[0] == 'a' else 'NULL'} AS {k})").alias(c) for c, k in zip(names, _KINDS, strict=True))
+    out = docs.select(*(F.col(c) for c in keep), *empty, F.col(text_col).alias(held))
     while block := list(islice(items, block_items)):
         out = out.mapInArrow(_merged(Index(block), similarity), out.schema)
-    return out.drop("_text")
+    return out.drop(held)
 
 
 def _merged(index: Index, similarity: float):

@@ -29,6 +29,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .store import fresh
+
 SAMPLE_DOCS = 40_000  # bound of the labelled rows that the model is fitted on
 MAX_UNITS = 2_000  # bound of the learned lexicon
 STEMS = (4, 5, 6)  # lengths of word beginnings that can be learned
@@ -222,22 +224,23 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     return model
 
 
-def _scores(model: Model):
+def _scores(model: Model, name: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         machine = model.automaton()
         for b in batches:
             z = np.array([model.coef[0] + model.coef[1:] @ features(t, model, machine) for t in b.column(b.num_columns - 1).to_pylist()], float)
             score = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
-            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(score)], [*b.schema.names[:-1], "_score"])
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(score)], [*b.schema.names[:-1], name])
 
     return run
 
 
-def score(docs: DataFrame, model: Model, keep: list[str], text_col: str = "text") -> DataFrame:
-    """The columns ``keep`` of ``docs`` and ``_score``; no shuffle."""
-    own = docs.select(*(F.col(c) for c in keep), F.col(text_col).alias("_text"))
-    schema = own.drop("_text").schema.add("_score", "double")
-    return own.mapInArrow(_scores(model), schema)
+def score(docs: DataFrame, model: Model, keep: list[str], text_col: str = "text", name: str = "_score") -> DataFrame:
+    """The columns ``keep`` of ``docs`` and the score as ``name``; no shuffle."""
+    text = fresh(docs, "_text")[0]
+    own = docs.select(*(F.col(c) for c in keep), F.col(text_col).alias(text))
+    schema = own.drop(text).schema.add(name, "double")
+    return own.mapInArrow(_scores(model, name), schema)
 
 
 def held_out(id_col: str, folds: int = 4) -> F.Column:

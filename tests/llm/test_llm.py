@@ -489,5 +489,32 @@ def test_pipeline(spark, tmp_path):
     spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{sf}/documents.parquet")
     spark.createDataFrame([(i, 1, int(i % 4 == 0)) for i in range(100)], "doc_id long, quality int, toxic int").write.parquet(f"{sf}/labels.parquet")
     spark.createDataFrame([(1, passage)], "item_id long, text string").write.parquet(f"{sf}/benchmark.parquet")
-    got = {r.doc_id for r in corpus_pipeline.run(spark, sf).collect()}
-    assert got == {i for i in range(120) if i % 4} and len(corpus_pipeline.STAGES) == 5
+    got = {r.doc_id: r.length for r in corpus_pipeline.run(spark, sf).collect()}
+    assert got.keys() == {i for i in range(120) if i % 4} | {500} and len(corpus_pipeline.STAGES) == 5
+    assert got[500] == 1 and min(n for i, n in got.items() if i != 500) > 1  # the copy lost all its lines; its row stays
+
+
+def test_pipeline_with_odd_rows(spark, tmp_path):
+    """Nulls, empties, repeated rows, an empty table, and columns with every name that a stage uses itself."""
+    import corpus_pipeline
+
+    names = ["_text", "_score", "_k1", "_k2", "_key", "_id", "_th", "_hash", "_new", "_nos", "_items", "_similarity", "id", "line", "item", "label"]
+    kind = "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"{n} int" for n in names)
+    rng = random.Random(3)
+    texts = [text(rng, 40), text(rng, 40), None, "", " \n ", text(rng, 3000)]
+    rows = [(i, t, None, "s", 0, *range(len(names))) for i, t in enumerate(texts)]
+    rows += [rows[0], (None, texts[1], "en", None, None, *[None] * len(names))]
+    sf = str(tmp_path)
+    spark.createDataFrame(rows, kind).write.parquet(f"{sf}/documents.parquet")
+    spark.createDataFrame([(0, 1, 0), (None, 1, 1), (1, None, None)], "doc_id long, quality int, toxic int").write.parquet(f"{sf}/labels.parquet")
+    spark.createDataFrame([(1, text(rng, 20)), (2, None), (None, "")], "item_id long, text string").write.parquet(f"{sf}/benchmark.parquet")
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    for _, stage in corpus_pipeline.STAGES:
+        assert stage(spark, docs.where("false"), sf).count() == 0
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, sf)
+        assert out.columns == docs.columns, name
+        got = out.collect()
+        assert {r.doc_id for r in got} >= {0, 5} and any(r.text == texts[1] for r in got)  # of 1 and null, equal texts, null is the least
+    packed = corpus_pipeline.run(spark, sf).collect()
+    assert {0, 5} <= {r.doc_id for r in packed}
