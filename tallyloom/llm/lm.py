@@ -1,23 +1,28 @@
-"""Language-model scores by logistic context mixing.
+"""Language-model scores by online logistic context mixing.
 
-Tokens are lower-cased (A-Z) words and one end a document; the model reads them with a blank after each word.  Hashed
-contexts of the one to six bytes before each, across words, give a bit prediction each, a mixer adds their logits with
-weights that a gate (bit position and how often the two longest contexts were seen) selects, and an adaptive map
-refines the result.  The model learns the whole texts of the training documents online, repeats counted: each task
-predicts a chunk, corrects weights and map by the error, then adds the chunk to its counts.  Tables of all tasks are
-added up block by block and weights averaged by use.  A document's score is the sum over all its bits.  Word counts are gathered by
-Spark for the base score only.
+A text is its lower-cased (A-Z) words and one end.  Every word is a sequence of bits: the path to it in a Huffman tree of
+the frequent training words, or the path to an escape and then, byte by byte, the paths in a tree of bytes, up to a blank.
+Each bit is predicted in ``ORDERS`` contexts, hashed with the tree's node into one table of bit counts: for words none,
+the word before, the two words before; for bytes the one, two and four bytes before, which reach into the word before.
+The counts' logits are added with weights that a gate selects (words or bytes, and how sure the two longest contexts are),
+and an adaptive map refines the result.  A document's score is the sum over all its bits.
 
-What tasks hold is bounded: the hashed table grows with the training bytes up to ``MAX_TABLE_BITS``, the words that are
-looked up in memory by ``FREQUENT_WORDS``; all other words go through a join, and those are rare by construction, so no
-key is hot.  Long documents are read in pieces that know the bytes before them.
+The model learns the whole texts of all training documents online, repeats counted: for every ``SLICE`` tokens it
+predicts, corrects weights and map by the error, then counts.  That runs in shards.  A document's shard and place in it
+are hashes of the document, the number of shards follows from the training bytes, and shards' counts are added up and
+their weights averaged by use in an order of their own, so scores do not depend on how rows are partitioned.
+
+What tasks hold is bounded: the table grows with the training bytes up to ``MAX_TABLE_BITS``, the words held in memory
+are ``FREQUENT_WORDS`` at most; counts of all other words, for the base score, go through a join, and those are rare by
+construction, so no key is hot.
 
 Rules for odd rows: a null text is an empty one; an empty text is an end alone; repeated rows score alike and count
-each; a row with a null id is not held out; without training documents the untrained bitwise model decides alone.
+each; a row with a null id is not held out; without training documents the untrained mixer decides alone.
 """
 
 from __future__ import annotations
 
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -31,134 +36,267 @@ from .store import Scratch
 
 FOLDS, HELD_OUT = 7, 2
 END = b"\n"  # the end token: no word holds this byte
-LENGTHS = (1, 2, 3, 4, 6)  # bytes of the contexts
-ORDERS = len(LENGTHS)
-TABLE_BITS, MAX_TABLE_BITS = 20, 23  # one slot for 128 bytes of training text or more, between these
+ORDERS = 3
+TABLE_BITS, MAX_TABLE_BITS = 20, 23  # one slot for 256 bytes of training text or more, between these
 BLOCK = 4096  # slots that are added up together
 FREQUENT_WORDS = 200_000
-CHUNK = 1 << 17  # bytes between two corrections of the mixer, and of the longest piece
-RATE = 0.02
+SLICE = 4_096  # tokens between two corrections
+SHARD_BYTES = (64 << 20, 1 << 30)  # of training text: a 256th of it, between these
+RATE = 0.25
 BUCKETS = 24  # of the adaptive map
-_GATES = 8 * 16
-_PRIOR = 0.4
+_GATES = 32
+_PRIOR = np.float32(0.4)
+_MASK = np.int64(0xFFFFFFFF)
+_BYTE_NODES = np.uint32(1 << 24)  # numbers of the byte tree's nodes start here
+_N, _P, _Q, _R = (np.uint32(x) for x in (0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D, 0x27D4EB2F))
+
+
+@dataclass
+class Code:
+    """Paths of a Huffman tree: symbol i has ``node`` and ``bit`` from ``start[i]`` on, ``length[i]`` of them."""
+
+    start: np.ndarray
+    length: np.ndarray
+    node: np.ndarray
+    bit: np.ndarray
+
+    @classmethod
+    def of(cls, weights: list[int]) -> Code:
+        """Two symbols at least; ties by number."""
+        n = len(weights)
+        leaves = sorted(range(n), key=lambda i: (weights[i], i))
+        total, up, side = [weights[i] for i in leaves] + [0] * (n - 1), np.zeros(2 * n - 1, np.int64), np.zeros(2 * n - 1, np.uint8)
+        leaf, inner = 0, n  # nodes in the order of their weights: leaves, then inner ones
+        for made in range(n, 2 * n - 1):
+            for bit in (0, 1):
+                if leaf < n and (inner >= made or total[leaf] <= total[inner]):
+                    child, leaf = leaf, leaf + 1
+                else:
+                    child, inner = inner, inner + 1
+                up[child], side[child] = made, bit
+                total[made] += total[child]
+        depth = np.zeros(2 * n - 1, np.int64)
+        for child in range(2 * n - 3, -1, -1):
+            depth[child] = depth[up[child]] + 1
+        length = np.empty(n, np.int64)
+        length[leaves] = depth[:n]
+        start = np.cumsum(length) - length
+        node, bit = np.zeros(length.sum(), np.uint32), np.zeros(length.sum(), np.uint8)
+        at, where = np.arange(n), start[leaves] + depth[:n] - 1
+        left = depth[:n].copy()
+        while left.any():
+            on = left > 0
+            node[where[on]], bit[where[on]] = up[at[on]] - n, side[at[on]]
+            at, where, left = np.where(on, up[at], at), where - on, left - on
+        return cls(start, length, node, bit)
+
+    def bits(self, symbols: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Nodes and bits of all symbols one after the other, and the place of the symbol of each."""
+        n = self.length[symbols]
+        before = np.cumsum(n) - n
+        at = np.repeat(self.start[symbols] - before, n) + np.arange(n.sum())
+        return self.node[at], self.bit[at], np.repeat(np.arange(len(symbols)), n)
+
+
+@dataclass
+class Words:
+    """The frequent words of the training documents and both trees."""
+
+    number: dict[bytes, int]  # 0 is the escape, 1 the end
+    code: Code
+    spelling: Code
+
+    @classmethod
+    def of(cls, frequent: list[tuple[bytes, int]], ends: int, rare: int, letters: np.ndarray) -> Words:
+        own = sorted(((w, c) for w, c in frequent if w != END), key=lambda x: (-x[1], x[0]))
+        number = {END: 1} | {w: i for i, (w, _) in enumerate(own, 2)}
+        return cls(number, Code.of([rare + 1, ends + 1, *(c for _, c in own)]), Code.of([int(x) + 1 for x in letters]))
 
 
 @dataclass
-class Bits:
-    """Hashed bit counts, gated mixer weights and the adaptive map."""
+class Mixer:
+    """Gated weights and the adaptive map."""
 
-    seen: np.ndarray  # (2, slots), by bit
     weights: np.ndarray  # (_GATES, ORDERS)
     map: np.ndarray  # (_GATES, BUCKETS): probabilities
 
     @classmethod
-    def new(cls, bits: int = TABLE_BITS) -> Bits:
+    def new(cls) -> Mixer:
         centre = (np.arange(BUCKETS) - (BUCKETS - 1) / 2) / (BUCKETS - 1) * 16
-        return cls(np.zeros((2, 1 << bits), np.float32), np.full((_GATES, ORDERS), 1.6 / ORDERS), np.tile(1 / (1 + np.exp(-centre)), (_GATES, 1)))
-
-
-def _symbols(texts: list[bytes], skip: list[int] | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Bytes of all texts with their terminators, hashed contexts (ORDERS, n), first byte of each text.
-
-    The first ``skip`` bytes of a text are context only.
-    """
-    coded = texts if skip is not None else [t if t.endswith(END) else t + b" " for t in texts]
-    skip = np.zeros(len(coded), np.int64) if skip is None else np.array(skip, np.int64)
-    s = np.frombuffer(b"".join(coded), np.uint8)
-    size = np.fromiter(map(len, coded), np.int64, len(coded))
-    pos = np.arange(len(s)) - np.repeat(np.cumsum(size) - size, size)
-    ctx, packed = np.zeros((ORDERS, len(s)), np.uint64), np.zeros(len(s), np.uint64)
-    for k in range(1, LENGTHS[-1] + 1):
-        before = np.zeros(len(s), np.uint64)
-        before[k:] = s[:-k]
-        before[pos < k] = 0
-        packed = packed | (before << np.uint64(8 * (k - 1)))
-        if k in LENGTHS:
-            ctx[LENGTHS.index(k)] = (packed + np.uint64(k << 56)) * np.uint64(0x9E3779B97F4A7C15)
-    ctx ^= ctx >> np.uint64(29)
-    read = pos >= np.repeat(skip, size)
-    return s[read], ctx[:, read], np.cumsum(size - skip) - (size - skip)
-
-
-def _bit(model: Bits, s: np.ndarray, ctx: np.ndarray, shift: int) -> tuple:
-    """Slots, logits, gates, probabilities and map places of one bit of each symbol."""
-    node = (s.astype(np.uint64) | np.uint64(256)) >> np.uint64(shift + 1)
-    h = (ctx + node * np.uint64(0xD6E8FEB86659FD93)) * np.uint64(0xA0761D6478BD642F)
-    slot = (h >> np.uint64(65 - model.seen.shape[1].bit_length())).astype(np.int64)
-    n0, n1 = model.seen[0][slot], model.seen[1][slot]
-    logit = np.log((n1 + _PRIOR) / (n0 + _PRIOR))
-    often = np.minimum(3, np.log2(1 + (n0 + n1)[-2:]).astype(np.int64) // 2)
-    gate = (7 - shift) * 16 + often[0] * 4 + often[1]
-    mixed = np.clip((model.weights[gate] * logit.T).sum(1), -12, 12)
-    p = 1 / (1 + np.exp(-mixed))
-    place = np.clip(np.rint((mixed + 8) / 16 * (BUCKETS - 1)).astype(np.int64), 0, BUCKETS - 1)
-    refined = (p + model.map[gate, place]) / 2
-    return slot, logit, gate, p, place, np.clip(refined, 1e-6, 1 - 1e-6)
-
-
-def spell(model: Bits, texts: list[bytes], skip: list[int] | None = None) -> np.ndarray:
-    """log10 probability of each text's bytes."""
-    if not texts:
-        return np.zeros(0)
-    s, ctx, first = _symbols(texts, skip)
-    total = np.zeros(len(s))
-    for shift in range(7, -1, -1):
-        p = _bit(model, s, ctx, shift)[-1]
-        total += np.log10(np.where((s >> shift) & 1, p, 1 - p))
-    return np.add.reduceat(total, first)
-
-
-def learn(model: Bits, used: np.ndarray, texts: list[bytes], skip: list[int] | None = None) -> None:
-    """Predict, correct the gated weights and the map, then count."""
-    s, ctx, _ = _symbols(texts, skip)
-    for shift in range(7, -1, -1):
-        slot, logit, gate, p, place, _ = _bit(model, s, ctx, shift)
-        bit = ((s >> shift) & 1).astype(np.float64)
+        return cls(np.full((_GATES, ORDERS), 1.5 / ORDERS, np.float32), np.tile(1 / (1 + np.exp(-centre)), (_GATES, 1)).astype(np.float32))
+
+    def predict(self, logit: np.ndarray, spelled: np.ndarray) -> tuple:
+        """Gates, mixed probabilities, map places and refined probabilities of ones from logits (ORDERS, n)."""
+        sure = np.abs(logit[1:])
+        level = (sure > 0).view(np.int8) + (sure > 1.6).view(np.int8) + (sure > 3.5).view(np.int8)
+        gate = (spelled * np.int8(16) + level[0] * np.int8(4) + level[1]).astype(np.int64)
+        mixed = np.zeros(logit.shape[1], np.float32)
+        for j in range(ORDERS):
+            mixed += self.weights[:, j].take(gate) * logit[j]
+        np.clip(mixed, -12, 12, out=mixed)
+        p = 1 / (1 + np.exp(-mixed))
+        place = gate * BUCKETS + np.clip(np.rint((mixed + 8) * np.float32((BUCKETS - 1) / 16)), 0, BUCKETS - 1).astype(np.int64)
+        refined = np.clip((p + self.map.ravel().take(place)) / 2, 1e-6, 1 - 1e-6)
+        return gate, p, place, refined
+
+    def correct(self, used: np.ndarray, logit: np.ndarray, bit: np.ndarray, gate: np.ndarray, p: np.ndarray, place: np.ndarray) -> None:
         n = np.bincount(gate, minlength=_GATES)
+        error = bit - p
         for j in range(ORDERS):
-            model.weights[:, j] += RATE * 4 * np.bincount(gate, (bit - p) * logit[j], _GATES) / np.maximum(n, 1)
+            self.weights[:, j] += RATE * np.bincount(gate, error * logit[j], _GATES) / np.maximum(n, 1)
         used += n
-        at = gate * BUCKETS + place
-        m, hit = np.bincount(at, minlength=_GATES * BUCKETS), np.bincount(at, bit, _GATES * BUCKETS)
-        flat = model.map.reshape(-1)
-        flat += np.where(m > 0, (hit / np.maximum(m, 1) - flat) * np.minimum(0.5, m / (m + 50)), 0)
-        for value in (0, 1):
-            np.add.at(model.seen[value], slot[:, bit == value].ravel(), np.float32(1))
-
-
-def _chunks(texts: Iterator[str | None]) -> Iterator[tuple[list[bytes], list[int], list[int]]]:
-    """Pieces of texts, about ``CHUNK`` bytes at a time: bytes, how many of them are context only, number of the text."""
-    pieces, skip, number, size = [], [], [], 0
-    for i, text in enumerate(texts):
-        whole = b" ".join([*tokens(text), END])
-        for at in range(0, len(whole), CHUNK):
-            head = min(at, LENGTHS[-1])
-            pieces.append(whole[at - head : at + CHUNK])
-            skip.append(head)
-            number.append(i)
-            size += len(pieces[-1])
-            if size >= CHUNK:
-                yield pieces, skip, number
-                pieces, skip, number, size = [], [], [], 0
-    if pieces:
-        yield pieces, skip, number
-
-
-def _learned(bits: int):
-    """A task's table as ``(block, counts)``; block -1 holds sums and weights of the mixer and the map."""
+        m, hit = (np.bincount(place, w, _GATES * BUCKETS) for w in (None, bit))
+        flat = self.map.reshape(-1)
+        flat += np.where(m > 0, (hit / np.maximum(m, 1) - flat) * np.minimum(0.5, m / (m + 500)), 0)
+
+
+def tokens(text: str | None) -> list[bytes]:
+    """Words of a text, without the end."""
+    return (text or "").encode("utf-8", "surrogatepass").lower().split()
+
+
+class Stream:
+    """The tokens of some texts, and the bits of any slice of them with their contexts' slots."""
+
+    def __init__(self, words: Words, texts: list[list[bytes]], table_bits: int):
+        self.words, self.shift = words, np.uint32(32 - table_bits)
+        self.all = [w for t in texts for w in t]
+        sizes = np.fromiter(map(len, texts), np.int64, len(texts))
+        self.first = np.cumsum(sizes) - sizes
+        get = words.number.get
+        self.symbol = np.fromiter((get(w, 0) for w in self.all), np.int64, len(self.all))
+        own = self.symbol.astype(np.uint32) * _P
+        self.rare = np.flatnonzero(self.symbol == 0)
+        own[self.rare] = np.fromiter((zlib.crc32(self.all[i]) for i in self.rare.tolist()), np.uint32, len(self.rare)) * _Q
+        opens = np.zeros(len(self.all) + 1, bool)
+        opens[self.first] = True
+        self.opens = opens[: len(self.all)]
+        one = np.concatenate([np.zeros(1, np.uint32), own[:-1]]) if len(own) else own
+        one[self.opens] = 0
+        two = np.concatenate([np.zeros(1, np.uint32), one[:-1]]) if len(own) else own
+        two[self.opens] = 0
+        self.contexts = np.stack([np.full(len(own), 1, np.uint32), one * _R + np.uint32(2), one * _N + two * _Q + np.uint32(3)])
+
+    def _slots(self, context: np.ndarray, node: np.ndarray) -> np.ndarray:
+        h = (context ^ (node * _N)) * _P
+        h ^= h >> np.uint32(15)
+        return ((h * _Q) >> self.shift).astype(np.int64)
+
+    def _spelled(self, a: int, b: int) -> tuple[np.ndarray, np.ndarray, np.ndarray] | None:
+        """Symbols, contexts and tokens of the letters of the rare words of a slice, each word with a blank behind."""
+        at = self.rare[np.searchsorted(self.rare, a) : np.searchsorted(self.rare, b)]
+        if not len(at):
+            return None
+        before = [END * 4 if self.opens[i] else self.all[i - 1][-3:].rjust(3) + b" " for i in at.tolist()]
+        own = [p + self.all[i] + b" " for p, i in zip(before, at.tolist(), strict=True)]
+        s = np.frombuffer(b"".join(own), np.uint8)
+        size = np.fromiter(map(len, own), np.int64, len(own))
+        begin = np.cumsum(size) - size
+        letter = np.ones(len(s), bool)
+        for k in range(4):
+            letter[begin + k] = False
+        place = np.flatnonzero(letter)
+        last = [s[place - k].astype(np.uint32) for k in (1, 2, 3, 4)]
+        two = last[0] | last[1] << np.uint32(8)
+        four = two | last[2] << np.uint32(16) | last[3] << np.uint32(24)
+        contexts = np.stack([last[0] * _R + np.uint32(4), two * _R + np.uint32(5), four * _R + np.uint32(6)])
+        return s[place].astype(np.int64), contexts, np.repeat(at, size - 4)
+
+    def slice(self, a: int, b: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Slots (ORDERS, n), bits, whether spelled, and tokens of the bits of tokens a to b."""
+        node, bit, of = self.words.code.bits(self.symbol[a:b])
+        token = of + a
+        slots = [self._slots(self.contexts[j][token], node) for j in range(ORDERS)]
+        if (letters := self._spelled(a, b)) is None:
+            return np.stack(slots), bit, np.zeros(len(bit), np.int8), token
+        symbols, contexts, owner = letters
+        node, more, of = self.words.spelling.bits(symbols)
+        node = node + _BYTE_NODES
+        slots = [np.concatenate([x, self._slots(contexts[j][of], node)]) for j, x in enumerate(slots)]
+        spelled = np.concatenate([np.zeros(len(bit), np.int8), np.ones(len(more), np.int8)])
+        return np.stack(slots), np.concatenate([bit, more]), spelled, np.concatenate([token, owner[of]])
+
+
+@dataclass
+class Model:
+    words: Words
+    mixer: Mixer
+    logit: np.ndarray  # by slot
+
+    @property
+    def bits(self) -> int:
+        return len(self.logit).bit_length() - 1
+
+    def scores(self, texts: list[list[bytes]]) -> tuple[np.ndarray, Stream]:
+        """log10 probability of each token, and the tokens."""
+        stream = Stream(self.words, texts, self.bits)
+        out = np.zeros(len(stream.all))
+        for a in range(0, len(out), SLICE):
+            slots, bit, spelled, token = stream.slice(a, min(a + SLICE, len(out)))
+            p = self.mixer.predict(self.logit.take(slots), spelled)[-1]
+            out[a : a + SLICE] = np.bincount(token - a, np.log10(np.where(bit, p, 1 - p)), min(SLICE, len(out) - a))
+        return out, stream
+
+
+class Learner:
+    """One shard: counts of zeros and ones in the low and high half of each slot."""
+
+    def __init__(self, words: Words, bits: int):
+        self.words, self.bits = words, bits
+        self.counts, self.mixer, self.used = np.zeros(1 << bits, np.int64), Mixer.new(), np.zeros(_GATES)
+
+    def learn(self, texts: list[list[bytes]]) -> None:
+        stream = Stream(self.words, texts, self.bits)
+        for a in range(0, len(stream.all), SLICE):
+            slots, bit, spelled, _ = stream.slice(a, min(a + SLICE, len(stream.all)))
+            seen = self.counts.take(slots)
+            logit = np.log(((seen >> 32).astype(np.float32) + _PRIOR) / ((seen & _MASK).astype(np.float32) + _PRIOR))
+            gate, p, place, _ = self.mixer.predict(logit, spelled)
+            self.mixer.correct(self.used, logit, bit, gate, p, place)
+            one = np.where(bit, np.int64(1) << 32, 1)
+            for j in range(ORDERS):
+                np.add.at(self.counts, slots[j], one)
+
+
+def table_bits(n_bytes: int) -> int:
+    return min(MAX_TABLE_BITS, max(TABLE_BITS, n_bytes.bit_length() - 8))
+
+
+def shard_count(n_bytes: int) -> int:
+    low, high = SHARD_BYTES
+    return max(1, -(-n_bytes // min(high, max(low, n_bytes // 256))))
+
+
+def _learned(words, bits: int):
+    """Rows sorted by shard -> a shard's table as ``(block, counts)``; block -1 holds sums of mixer and map, and their use."""
+
+    def flush(own: Learner) -> Iterator[pa.RecordBatch]:
+        used = own.used[:, None]
+        yield _blocks([-1], [np.concatenate([(own.mixer.weights * used).ravel(), (own.mixer.map * used).ravel(), own.used]).astype(np.float64).tobytes()])
+        pairs = np.stack([own.counts & _MASK, own.counts >> 32]).astype(np.float32).reshape(2, -1, BLOCK)
+        some = np.flatnonzero(pairs.any(axis=(0, 2)))
+        for at in range(0, len(some), 64):
+            part = some[at : at + 64].tolist()
+            yield _blocks(part, [pairs[:, k].tobytes() for k in part])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model, used, any_ = Bits.new(bits), np.zeros(_GATES), False
-        for pieces, skip, _ in _chunks(t for b in batches for t in b.column(0).to_pylist()):
-            learn(model, used, pieces, skip)
-            any_ = True
-        if not any_:
-            return
-        own = np.concatenate([(model.weights * used[:, None]).ravel(), (model.map * used[:, None]).ravel()])
-        yield _blocks([-1], [np.concatenate([own, used]).tobytes()])
-        for at in range(0, model.seen.shape[1] // BLOCK, 64):
-            part = range(at, min(at + 64, model.seen.shape[1] // BLOCK))
-            yield _blocks(list(part), [model.seen[:, k * BLOCK : (k + 1) * BLOCK].tobytes() for k in part])
+        own, shard, held, size = None, None, [], 0
+        for b in batches:
+            for number, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                if number != shard or size >= 64 * SLICE:  # a batch of texts is closed by what is in the shard, not by Arrow
+                    if held:
+                        own.learn(held)
+                        held, size = [], 0
+                    if number != shard:
+                        if own:
+                            yield from flush(own)
+                        own, shard = Learner(words.value, bits), number
+                held.append([*tokens(text), END])
+                size += len(held[-1])
+        if held:
+            own.learn(held)
+        if own:
+            yield from flush(own)
 
     return run
 
@@ -168,7 +306,7 @@ def _blocks(numbers: list[int], values: list[bytes]) -> pa.RecordBatch:
 
 
 def _added(table: pa.Table) -> pa.Table:
-    """The sum of one block over all tasks."""
+    """The sum of one block over all shards."""
     kind = np.float64 if table.column(0)[0].as_py() < 0 else np.float32
     rows = sorted(table.column(1).to_pylist())  # in an order that does not depend on the tasks'
     total = np.zeros(len(rows[0]) // kind().itemsize, np.float64)
@@ -177,29 +315,25 @@ def _added(table: pa.Table) -> pa.Table:
     return pa.Table.from_batches([_blocks([table.column(0)[0].as_py()], [total.astype(kind).tobytes()])])
 
 
-def table_bits(n_bytes: int) -> int:
-    return min(MAX_TABLE_BITS, max(TABLE_BITS, n_bytes.bit_length() - 7))
-
-
-def train_bits(texts: DataFrame, bits: int = TABLE_BITS) -> Bits:
-    """The model of all of ``texts(text)``."""
-    rows = texts.mapInArrow(_learned(bits), "block int, counts binary").groupBy("block").applyInArrow(_added, "block int, counts binary").toArrow()
-    model = Bits.new(bits)
-    for block, counts in zip(rows.column(0).to_pylist(), rows.column(1).to_pylist(), strict=True):
+def train(spark: SparkSession, texts: DataFrame, words: Words, n_bytes: int) -> Model:
+    """The model of all of ``texts(id, text)``; ids only order them."""
+    bits, shards = table_bits(n_bytes), shard_count(n_bytes)
+    held = spark.sparkContext.broadcast(words)
+    key = F.xxhash64("id", "text")
+    rows = texts.select(F.pmod(key, F.lit(shards)).cast("int").alias("shard"), "text", key.alias("key"), F.xxhash64(F.lit("again"), "text").alias("key2"))
+    rows = rows.repartition(shards, "shard").sortWithinPartitions("shard", "key", "key2").select("shard", "text")
+    sums = rows.mapInArrow(_learned(held, bits), "block int, counts binary").groupBy("block").applyInArrow(_added, "block int, counts binary").toArrow()
+    counts, mixer = np.zeros((2, 1 << bits), np.float32), Mixer.new()
+    for block, value in zip(sums.column(0).to_pylist(), sums.column(1).to_pylist(), strict=True):
         if block >= 0:
-            model.seen[:, block * BLOCK : (block + 1) * BLOCK] = np.frombuffer(counts, np.float32).reshape(2, BLOCK)
+            counts[:, block * BLOCK : (block + 1) * BLOCK] = np.frombuffer(value, np.float32).reshape(2, BLOCK)
             continue
-        own = np.frombuffer(counts, np.float64)
+        own = np.frombuffer(value, np.float64)
         used = own[-_GATES:]
         ok = used > 0
-        model.weights[ok] = own[: _GATES * ORDERS].reshape(_GATES, ORDERS)[ok] / used[ok, None]
-        model.map[ok] = own[_GATES * ORDERS : -_GATES].reshape(_GATES, BUCKETS)[ok] / used[ok, None]
-    return model
-
-
-def tokens(text: str | None) -> list[bytes]:
-    """Words of a text, without the end."""
-    return (text or "").encode("utf-8", "surrogatepass").lower().split()
+        mixer.weights[ok] = own[: _GATES * ORDERS].reshape(_GATES, ORDERS)[ok] / used[ok, None]
+        mixer.map[ok] = own[_GATES * ORDERS : -_GATES].reshape(_GATES, BUCKETS)[ok] / used[ok, None]
+    return Model(words, mixer, np.log((counts[1] + _PRIOR) / (counts[0] + _PRIOR)))
 
 
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -237,32 +371,34 @@ class Totals:
         return np.log10((c + 1) / (self.n + self.v + 1))
 
 
-def _scored(model: Bits, known: dict[bytes, tuple[float, bool]]):
+def _letters(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """``(letter, n)``: bytes of words by their counts, each word with a blank behind."""
+    total = np.zeros(256, np.int64)
+    for b in batches:
+        words, n = b.column(0).to_pylist(), b.column(1).to_numpy()
+        s = np.frombuffer(b" ".join([*words, b""]), np.uint8)
+        size = np.fromiter(map(len, words), np.int64, len(words)) + 1
+        total += np.bincount(s, np.repeat(n, size), 256).astype(np.int64)
+    yield pa.RecordBatch.from_arrays([pa.array(np.arange(256)), pa.array(total)], ["letter", "n"])
+
+
+def _scored(model, base, end_known: bool):
     """Score of each document and sums over its frequent words; what is left goes on as a list of words and numbers."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            texts = b.column(b.num_columns - 1).to_pylist()
-            score = np.zeros(len(texts))
-            for pieces, skip, number in _chunks(texts):
-                np.add.at(score, number, spell(model, pieces, skip))
-            sums, words, times = [], [], []
-            for text in texts:
-                own = tokens(text)
-                base, seen, rest = 0.0, 0, []
-                for w in (*own, END):
-                    if hit := known.get(w):
-                        base += hit[0]
-                        seen += hit[1]
-                    else:
-                        rest.append(w)
-                left = Counter(rest)
-                sums.append((len(own) + 1, seen, base))
-                words.append(list(left))
-                times.append(list(left.values()))
-            n, seen, base = zip(*sums, strict=True) if sums else ([], [], [])
-            cols = [pa.array(n, pa.int64()), pa.array(seen, pa.int64()), pa.array(base, pa.float64()), pa.array(score)]
-            cols += [pa.array(words, pa.list_(pa.binary())), pa.array(times, pa.list_(pa.int64()))]
+            texts = [[*tokens(t), END] for t in b.column(b.num_columns - 1).to_pylist()]
+            if not texts:
+                continue
+            each, stream = model.value.scores(texts)
+            known = base.value.take(stream.symbol)
+            sums = [np.add.reduceat(x, stream.first) for x in (each, np.where(stream.symbol > 0, known, 0), (stream.symbol > 1) | end_known & (stream.symbol == 1))]
+            left: list[Counter] = [Counter() for _ in texts]
+            row = np.searchsorted(stream.first, stream.rare, side="right") - 1
+            for i, r in zip(stream.rare.tolist(), row.tolist(), strict=True):
+                left[r][stream.all[i]] += 1
+            cols = [pa.array([len(t) for t in texts], pa.int64()), pa.array(sums[2].astype(np.int64)), pa.array(sums[1].astype(np.float64)), pa.array(sums[0])]
+            cols += [pa.array([list(x) for x in left], pa.list_(pa.binary())), pa.array([list(x.values()) for x in left], pa.list_(pa.int64()))]
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], *cols], [*b.schema.names[:-1], "n_tokens", "n_known", "base_score", "score", "words", "times"])
 
     return run
@@ -271,36 +407,47 @@ def _scored(model: Bits, known: dict[bytes, tuple[float, bool]]):
 def score(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``(id, held_out, n_tokens, n_known, train_tokens, base_score, score, bits_per_byte)`` for each row of ``docs``."""
     scratch = Scratch(spark, "lm")
-    own = docs.select(F.col(id_col).alias("id"), held_out(id_col).alias("held_out"), F.octet_length(F.coalesce(text_col, F.lit(""))).cast("long").alias("n_bytes"), F.col(text_col).alias("text"))
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    own = docs.select(F.col(id_col).alias("id"), held_out(id_col).alias("held_out"), F.octet_length(text).cast("long").alias("n_bytes"), text.alias("text"))
     counts = own.select("text", "held_out").mapInArrow(_counted, "word binary, n long").groupBy("word").agg(F.sum("n").alias("c"))
     counts = scratch.save(counts, "counts")
     n, v = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count_if(F.col("c") > 0)).first()
     totals = Totals(n, v)
     training = own.where(~F.col("held_out"))
     n_bytes = training.agg(F.coalesce(F.sum("n_bytes"), F.lit(0))).first()[0]
-    model = train_bits(training.select("text"), table_bits(n_bytes))
-    steps = counts.groupBy(F.floor(8 * F.log2(F.col("c") + 1)).alias("step")).agg(F.count("*").alias("n")).orderBy(F.desc("step")).collect()
+    step = F.floor(8 * F.log2(F.col("c") + 1))
+    steps = counts.where("c > 0").groupBy(step.alias("step")).agg(F.count("*").alias("n")).orderBy(F.desc("step")).collect()
     room, least = FREQUENT_WORDS, None  # steps of an eighth of a doubling: a few hundred rows
-    for step in steps:
-        room -= step.n
+    for s in steps:
+        room -= s.n
         if room < 0:
             break
-        least = step.step
-    is_known = F.floor(8 * F.log2(F.col("c") + 1)) >= (2**40 if least is None else least)
-    frequent = counts.where(is_known).toArrow()  # at most FREQUENT_WORDS rows
-    c = frequent.column(1).to_numpy()
-    known = dict(zip(frequent.column(0).to_pylist(), zip(totals.base(c).tolist(), (c > 0).tolist(), strict=True), strict=True))
+        least = s.step
+    is_known = (F.col("c") > 0) & (step >= (2**40 if least is None else least)) | (F.col("word") == F.lit(END))
+    frequent = counts.where(is_known).toArrow()  # at most FREQUENT_WORDS rows and the end
+    pairs = list(zip(frequent.column(0).to_pylist(), frequent.column(1).to_pylist(), strict=True))
+    ends = dict(pairs).get(END, 0)
+    rare = counts.where(~is_known)
+    letters = np.zeros(256, np.int64)
+    for r in rare.where("c > 0").mapInArrow(_letters, "letter long, n long").groupBy("letter").agg(F.sum("n").alias("n")).collect():  # 256 rows
+        letters[r.letter] = r.n
+    words = Words.of(pairs, ends, n - sum(c for _, c in pairs), letters)
+    base = np.zeros(len(words.number) + 1)
+    for w, c in [(END, ends), *pairs]:
+        base[words.number[w]] = totals.base(c)
+    model = spark.sparkContext.broadcast(train(spark, training.select("id", "text"), words, n_bytes))
     kind = docs.schema[id_col].dataType.simpleString()
     schema = f"id {kind}, held_out boolean, n_bytes long, n_tokens long, n_known long, base_score double, score double, words array<binary>, times array<bigint>"
-    parts = scratch.save(own.mapInArrow(_scored(model, known), schema).withColumn("row", F.monotonically_increasing_id()), "parts")
-    rare = parts.select("row", F.explode(F.arrays_zip("words", "times")).alias("w")).select("row", F.col("w.words").alias("word"), F.col("w.times").alias("k"))
+    parts = own.mapInArrow(_scored(model, spark.sparkContext.broadcast(base), ends > 0), schema)
+    parts = scratch.save(parts.withColumn("row", F.monotonically_increasing_id()), "parts")
+    each = parts.select("row", F.explode(F.arrays_zip("words", "times")).alias("w")).select("row", F.col("w.words").alias("word"), F.col("w.times").alias("k"))
     log_all = float(np.log10(n + v + 1))
-    rare = rare.join(counts.where(~is_known), "word").groupBy("row").agg(
+    sums = each.join(rare, "word").groupBy("row").agg(
         F.sum(F.when(F.col("c") > 0, F.col("k")).otherwise(0)).alias("_known"),
         F.sum(F.col("k") * (F.log10(F.col("c") + 1) - log_all)).alias("_base"),
     )
     zero = lambda c: F.coalesce(c, F.lit(0))
-    return parts.join(rare, "row", "left").select(
+    return parts.join(sums, "row", "left").select(
         "id",
         "held_out",
         "n_tokens",
