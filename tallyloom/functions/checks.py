@@ -236,8 +236,11 @@ class Compiler:
                 self.bound.pop()
 
         arr = source.col
+        def passes(test: ast.AST) -> Callable[[Column], Column]:  # Spark counts a lambda's parameters, so none for the test
+            return lambda x: F.coalesce(self.truth(inside(x, test)), F.lit(False))
+
         for test in loop.ifs:
-            arr = F.filter(arr, lambda x, test=test: F.coalesce(self.truth(inside(x, test)), F.lit(False)))
+            arr = F.filter(arr, passes(test))
 
         def element(x: Column) -> Column:
             v = inside(x, node.elt)

@@ -8,11 +8,11 @@ from __future__ import annotations
 from typing import Any
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import validate
+from .accept import numbered
 from .metrics import present
 
 MAX_ENUM = 20
@@ -72,24 +72,18 @@ def _labels(df: DataFrame, name: str) -> list[tuple]:
     return [(r.v, r.n) for r in rows]
 
 
-def consecutive(df: DataFrame, name: str) -> bool:
-    """Whether the sorted values go up by one: their extent and number tell, without sorting."""
-    v = present(df, name)
-    r = df.agg(F.max(v) - F.min(v) + 1 == F.count_distinct(v), F.count(v) == F.count_distinct(v)).first()
-    return bool(r[0] and r[1])
+def in_row_order(df: DataFrame, name: str, order: str | None) -> bool:
+    """Whether a value less the first is the row's position throughout; ``order`` names the rows' order, else files give it."""
+    rows = df.select(present(df, name).cast("long").alias("v"), (F.col(f"`{order}`") if order else F.monotonically_increasing_id()).alias("o"))
+    own = numbered(rows, "o", 0)
+    low = own.agg(F.min("v")).first()[0]
+    return low is not None and own.where(F.col("v") - low != F.col("_number")).isEmpty()
 
 
-def in_steps_of_one(df: DataFrame, name: str, order: str) -> DataFrame:
-    """``(steps, ones)``: differences to the row before, and how many of them are one (rows partitioned by range)."""
-    ranged = df.repartitionByRange(order).withColumn("_part", F.spark_partition_id())
-    before = F.lag(name).over(W.partitionBy("_part").orderBy(order))
-    return ranged.select((F.col(name) - before).alias("d")).agg(F.count("d").alias("steps"), F.count_if(F.col("d") == 1).alias("ones"))
-
-
-def _number(df: DataFrame, c: str, got: dict, i: int, n: int) -> dict[str, Any]:
+def _number(df: DataFrame, c: str, got: dict, i: int, n: int, order: str | None) -> dict[str, Any]:
     whole = got[f"frac{i}"] == 0
     low, high, distinct = got[f"lo{i}"], got[f"hi{i}"], got[f"d{i}"]
-    if whole and n >= 10 and distinct == n and high - low + 1 == n:
+    if whole and n >= 10 and distinct == n and high - low + 1 == n and in_row_order(df, c, order):
         return {"type": "integer", "generator": "sequence", "start": int(low)}
     if whole and n >= 20 and distinct <= min(MAX_ENUM // 2, 8) and distinct / n < 0.2:
         labels = sorted(_labels(df, c))
@@ -123,7 +117,7 @@ def _text(df: DataFrame, c: str, got: dict, i: int, n: int) -> dict[str, Any]:
     return out | ({"unique": True} if distinct == n and n >= 10 else {})
 
 
-def fields_of(df: DataFrame, top: bool = True) -> list[dict[str, Any]]:
+def fields_of(df: DataFrame, top: bool = True, order: str | None = None) -> list[dict[str, Any]]:
     """Field documents of a frame's columns, nested ones by recursion into exploded or selected frames."""
     df = parsed(df)
     names = df.columns
@@ -146,7 +140,7 @@ def fields_of(df: DataFrame, top: bool = True) -> list[dict[str, Any]]:
         elif isinstance(kind, T.TimestampType | T.TimestampNTZType):
             doc = {"type": "datetime", "min": got[f"lo{i}"].isoformat() + "Z", "max": got[f"hi{i}"].isoformat() + "Z", "distribution": "uniform"}
         else:
-            doc = _number(df, c, got, i, n) if isinstance(kind, T.NumericType) else _text(df, c, got, i, n)
+            doc = _number(df, c, got, i, n, order) if isinstance(kind, T.NumericType) else _text(df, c, got, i, n)
         if not top:
             for key in ("distribution", "generator", "weights", "start"):
                 doc.pop(key, None)
@@ -157,11 +151,11 @@ def fields_of(df: DataFrame, top: bool = True) -> list[dict[str, Any]]:
     return out
 
 
-def infer(df: DataFrame, name: str = "records", about: str = "", count: int | None = None) -> dict[str, Any]:
+def infer(df: DataFrame, name: str = "records", about: str = "", count: int | None = None, order: str | None = None) -> dict[str, Any]:
     """A specification document for data like ``df``; it parses, or this raises."""
     from ..plans.spec import from_dict
 
-    doc: dict[str, Any] = {"name": name, "description": about, "count": count or 100, "fields": fields_of(df)}
+    doc: dict[str, Any] = {"name": name, "description": about, "count": count or 100, "fields": fields_of(df, order=order)}
     if all(f.get("generator") for f in doc["fields"]):
         doc["fields"][-1] = {"name": doc["fields"][-1]["name"], "type": "integer"}
     from_dict(doc)

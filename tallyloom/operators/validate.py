@@ -145,6 +145,7 @@ def _temporal(f: Field, x: _Input, bound: Column | None = None) -> tuple[Column,
     elif f.type == "datetime":
         good = text.rlike(rf"\A{_DATE}(?:[T ]{_TIME}(?:Z|[+-]\d{{2}}:?\d{{2}})?)?\z")
         zoned = text.rlike(r"(?:Z|[+-]\d{2}:?\d{2})\z") & text.rlike(r"[T ]")
+        text = F.regexp_replace(text, r"([T ]\d{2}:\d{2})(?![\d:])", "$1:00")  # Spark asks for seconds
         utc = F.when(zoned, text).otherwise(F.concat(F.when(text.rlike(r"[T ]"), text).otherwise(F.concat(text, F.lit("T00:00:00"))), F.lit("Z")))
         value = F.when(good, utc.try_cast("timestamp"))
         limit = lambda b: F.lit(temporal_text(b)).cast("timestamp")

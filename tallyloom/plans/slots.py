@@ -127,11 +127,9 @@ def pick_parents(slots: DataFrame, parents: DataFrame, key: str, skew: float, *s
     bands = pieces.withColumn("_in", inside).join(before, "_piece").select("_w", (F.col("_base") + F.col("_in")).alias("_hi"), own)
     top = bands.agg(F.max("_hi")).first()[0]
     bands = bands.select(((F.col("_hi") - F.col("_w")) / top).alias("_lo"), (F.col("_hi") / top).alias("_hi"), "_parent")
-    if total <= BROADCAST_PARENTS:
-        drawn = slots.withColumn("_u", u)
-        return drawn.join(F.broadcast(bands), (F.col("_u") >= F.col("_lo")) & (F.col("_u") < F.col("_hi"))).drop("_u", "_lo", "_hi")
     # A wide band spans several buckets, but buckets are as many as parents, so bands make at most twice as many rows.
     bands = bands.withColumn("_bucket", F.explode(F.sequence(F.floor(F.col("_lo") * total), F.least(F.floor(F.col("_hi") * total), F.lit(total - 1)))))
+    bands = F.broadcast(bands) if total <= BROADCAST_PARENTS else bands
     drawn = slots.withColumn("_u", u).withColumn("_bucket", F.floor(F.col("_u") * total))
     return drawn.join(bands, "_bucket").where("_u >= _lo AND _u < _hi").drop("_u", "_lo", "_hi", "_bucket")
 

@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -12,24 +10,7 @@ from .functions import rng, text
 from .functions.checks import Compiler
 from .operators import metrics, validate
 from .plans import slots, spec
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
-
-
-def query(sql: str | None = None):
-    def add(f: Callable[[SparkSession, str], DataFrame]):
-        QUERIES[f.__name__] = f
-        if sql:
-            ORACLE_SQL[f.__name__] = sql
-        return f
-
-    return add
-
-
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
+from .registry import ORACLE_SQL, QUERIES, query, table  # noqa: F401
 
 # Profiling -----------------------------------------------------------------------------------------------------------
 _NUM = ("o_totalprice", "o_custkey")
@@ -204,9 +185,9 @@ def near_duplicate_text(spark, sf_dir):
     return metrics.folded_duplicates(table(spark, sf_dir, "documents"), folded)
 
 
-@query("SELECT 'o_totalprice' AS \"column\", round(avg(v), 4) AS mean, round(quantile_cont(v, 0.5), 4) AS median, round(stddev_pop(v), 4) AS std, round((avg(v*v*v) - 3*avg(v)*avg(v*v) + 2*avg(v)*avg(v)*avg(v)) / pow(stddev_pop(v), 3), 4) AS skew, round(stddev_pop(ln(v)), 4) AS log_std FROM (SELECT o_totalprice AS v FROM orders WHERE o_totalprice > 0)")
+@query("SELECT 'o_totalprice' AS \"column\", round(avg(v), 4) AS mean, round(quantile_cont(v, 0.5), 4) AS median, round(stddev_pop(v), 4) AS std, round((avg(v*v*v) - 3*avg(v)*avg(v*v) + 2*avg(v)*avg(v)*avg(v)) / pow(stddev_pop(v), 3), 4) AS skew, round(stddev_pop(ln(v)), 4) AS log_std FROM (SELECT o_totalprice AS v FROM orders)")
 def numeric_moments(spark, sf_dir):
-    return metrics.moments(table(spark, sf_dir, "orders").where("o_totalprice > 0"), ["o_totalprice"])
+    return metrics.moments(table(spark, sf_dir, "orders"), ["o_totalprice"])
 
 
 # Sampling ------------------------------------------------------------------------------------------------------------
@@ -276,9 +257,11 @@ def apportion_labels(spark, sf_dir):
     return slots.apportion(counts.withColumn("idx", F.row_number().over(W.orderBy("label"))), 1000)
 
 
-@query("WITH r AS (SELECT o_orderkey, row_number() OVER (ORDER BY md5('7|tier|' || o_orderkey::VARCHAR), o_orderkey) - 1 AS k FROM orders) SELECT o_orderkey, CASE WHEN k < 300 THEN 'gold' WHEN k < 800 THEN 'silver' WHEN k < 1500 THEN 'bronze' END AS label FROM r")
+@query("WITH r AS (SELECT o_orderkey, row_number() OVER (ORDER BY md5('7|tier|' || o_orderkey::VARCHAR), o_orderkey) - 1 AS k FROM orders) SELECT o_orderkey, CASE WHEN k < n // 5 THEN 'gold' WHEN k < n // 5 + n // 3 THEN 'silver' ELSE 'bronze' END AS label FROM r, (SELECT count(*) AS n FROM orders)")
 def stratified_slots(spark, sf_dir):
-    return slots.labelled(table(spark, sf_dir, "orders").select("o_orderkey"), "o_orderkey", [("gold", 300), ("silver", 500), ("bronze", 700)], "7", "tier")
+    orders = table(spark, sf_dir, "orders").select("o_orderkey")
+    n = orders.count()
+    return slots.labelled(orders, "o_orderkey", [("gold", n // 5), ("silver", n // 3), ("bronze", n - n // 5 - n // 3)], "7", "tier")
 
 
 _PARENTS = "SELECT c_custkey, row_number() OVER (ORDER BY md5('7|fk|popularity|' || c_custkey::VARCHAR), c_custkey) - 1 AS k FROM customer"
@@ -290,10 +273,10 @@ def fk_uniform(spark, sf_dir):
     return drawn.select("o_orderkey", "_parent.c_custkey")
 
 
-@query(f"WITH p AS ({_PARENTS}), s AS (SELECT o_orderkey, {_u(repr('7'), repr('fk'), 'o_orderkey::VARCHAR')} AS u FROM orders), b AS (SELECT c_custkey, sum(1 / pow(k + 1, 1.1)) OVER (ORDER BY k) / (SELECT sum(1 / pow(k + 1, 1.1)) FROM p) AS hi, (1 / pow(k + 1, 1.1)) / (SELECT sum(1 / pow(k + 1, 1.1)) FROM p) AS w FROM p) SELECT c_custkey, count(*) AS n FROM s JOIN b ON u < hi AND u >= hi - w GROUP BY c_custkey HAVING count(*) >= 20")
+@query(f"WITH p AS ({_PARENTS}), s AS (SELECT o_orderkey, {_u(repr('7'), repr('fk'), 'o_orderkey::VARCHAR')} AS u FROM orders), b AS (SELECT c_custkey, sum(1 / pow(k + 1, 1.1)) OVER (ORDER BY k) / (SELECT sum(1 / pow(k + 1, 1.1)) FROM p) AS hi, (1 / pow(k + 1, 1.1)) / (SELECT sum(1 / pow(k + 1, 1.1)) FROM p) AS w FROM p) SELECT c_custkey, count(*) AS n FROM s JOIN b ON u < hi AND u >= hi - w GROUP BY c_custkey")
 def fk_zipf(spark, sf_dir):
     drawn = slots.pick_parents(table(spark, sf_dir, "orders").select("o_orderkey"), table(spark, sf_dir, "customer"), "c_custkey", 1.1, "7", "fk", key_name="o_orderkey")
-    return drawn.groupBy(F.col("_parent.c_custkey").alias("c_custkey")).agg(F.count("*").alias("n")).where("n >= 20")
+    return drawn.groupBy(F.col("_parent.c_custkey").alias("c_custkey")).agg(F.count("*").alias("n"))
 
 
 @query("SELECT o_orderkey FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_nationkey <> 3)")
@@ -395,11 +378,11 @@ def quota_cap(spark, sf_dir):
     return cap(df, "o_orderpriority", {"1-URGENT": 100, "2-HIGH": 50}, "o_orderkey")
 
 
-@query("SELECT o_orderkey, 'ORD-' || lpad((100 + row_number() OVER (ORDER BY o_orderkey) - 1)::VARCHAR, 6, '0') AS id FROM orders WHERE o_orderstatus = 'F'")
+@query("SELECT o_orderkey, 'ORD-' || lpad((100 + row_number() OVER (ORDER BY o_orderkey) - 1)::VARCHAR, 6, '0') AS id FROM orders")
 def sequence_ids(spark, sf_dir):
     from .operators.accept import numbered
 
-    df = table(spark, sf_dir, "orders").where("o_orderstatus = 'F'").select("o_orderkey")
+    df = table(spark, sf_dir, "orders").select("o_orderkey")
     return numbered(df, "o_orderkey", 100).select("o_orderkey", slots.sequence_text(F.col("_number"), "ORD-{:06d}", "string").alias("id"))
 
 
@@ -412,3 +395,6 @@ def folded_keys(spark, sf_dir):
 @query("SELECT conv_id, role, count(*) AS turns, max(turn) AS last_turn FROM conversations GROUP BY conv_id, role")
 def conversation_shape(spark, sf_dir):
     return table(spark, sf_dir, "conversations").groupBy("conv_id", "role").agg(F.count("*").alias("turns"), F.max("turn").alias("last_turn"))
+
+
+from . import queries_plans, queries_rules, queries_sources  # noqa: E402, F401  they enter their queries themselves

@@ -2,7 +2,7 @@ import json
 
 import pytest
 from pyspark.sql import functions as F
-from test_spec import PEOPLE
+from test_spec import BOATS
 
 from tallyloom.functions.checks import CheckError, Compiler
 from tallyloom.operators import accept, infer, metrics, report, validate
@@ -12,7 +12,10 @@ from tallyloom.sources import files
 from tallyloom.sources.sqlite import read_sqlite, write_sqlite
 from tallyloom.sources.store import Store
 
-GOOD = {"uid": "{12345678123456781234567812345678}", "name": " n ", "email": "a@b.co", "tier": "GOLD", "age": "33.0", "joined": "2024-05-01", "score": 0.5, "bio": "b", "tags": ["a"], "address": {"city": "x", "zip": "1"}, "id": 7}
+SHIP = {
+    "berth": "512", "beacon": "URN:UUID:0F0E0D0C-0B0A-0908-0706-050403020100", "rig": " Ketch", "length_m": "12.345", "crew": True, "launched": "2001-02-03T04:05",
+    "home": None, "motto": "  go  ", "ports": '["Oslo"]', "engine": {"kw": 40, "diesel": "yes"},
+}
 
 
 def judged(spark, table, *records):
@@ -21,14 +24,19 @@ def judged(spark, table, *records):
 
 
 def test_validation(spark):
-    table = spec.from_dict(PEOPLE).tables[0]
-    ok, bad, missing, other = judged(
-        spark, table, GOOD, GOOD | {"age": 10, "tags": [], "more": 1}, {k: v for k, v in GOOD.items() if k != "email"}, GOOD | {"age": 1.5, "tags": ["a", 3], "address": {"city": 5}, "score": None, "joined": "2023-01-01"}
-    )
-    assert ok._errors == [] and ok.uid == "12345678-1234-5678-1234-567812345678" and ok.tier == "gold" and ok.age == 33 and ok.name == "n" and ok.id == "7"
-    assert [tuple(e) for e in bad._errors] == [("age", "Input should be greater than or equal to 18"), ("tags", "List should have at least 1 item after validation, not 0"), ("more", "Extra inputs are not permitted")]
-    assert [tuple(e) for e in missing._errors] == [("email", "Field required")]
-    assert [e.path for e in other._errors] == ["age", "joined", "tags.1", "address.city", "address.zip"]
+    table = spec.from_dict(BOATS).tables[0]
+    ok, *wrong = judged(
+        spark, table, SHIP,
+        SHIP | {"crew": 0, "ports": list("abcde"), "flag": "x"},
+        {k: v for k, v in SHIP.items() if k not in ("motto", "home")},
+        SHIP | {"length_m": 99, "rig": "raft", "engine": {"kw": -1, "diesel": "perhaps"}, "ports": ["a", 2], "launched": "1980-01-01"},
+    )
+    assert list(ok._errors) == [] and (ok.berth, ok.rig, ok.length_m, ok.crew, ok.motto, ok.ports) == (512, "ketch", 12.34, 1, "go", ["Oslo"])
+    assert ok.launched.minute == 5 and ok.engine.kw == 40.0 and ok.engine.diesel is True and ok.home is None
+    told = [{e.path: e.reason for e in r._errors} for r in wrong]
+    assert told[0].keys() == {"crew", "ports", "flag"} and told[0]["flag"] == validate.REASONS["extra"] and "at most 4 items" in told[0]["ports"]
+    assert told[1] == {"motto": validate.REASONS["required"]}
+    assert list(told[2]) == ["rig", "length_m", "launched", "ports.1", "engine.kw", "engine.diesel"]
 
 
 @pytest.mark.parametrize(
@@ -66,16 +74,16 @@ def test_apportion_and_quota():
 
 
 def test_plans_do_not_depend_on_partitions(spark):
-    table = spec.from_dict(PEOPLE).tables[0]
-    a = slots.plan(spark, table, 0, 50, 9).orderBy("slot_id").collect()
+    table = spec.from_dict(BOATS).tables[0]
+    a = slots.plan(spark, table, 0, 64, 9).orderBy("slot_id").collect()
     n = spark.conf.get("spark.sql.shuffle.partitions")
     spark.conf.set("spark.sql.shuffle.partitions", "3")
-    b = slots.plan(spark, table, 0, 50, 9).orderBy("slot_id").collect()
+    b = slots.plan(spark, table, 0, 64, 9).orderBy("slot_id").collect()
     spark.conf.set("spark.sql.shuffle.partitions", n)
     assert a == b
-    labels = [r["_fixed_tier"] for r in a]
-    assert (labels.count("bronze"), labels.count("silver"), labels.count("gold")) == (25, 15, 10)
-    assert all(18 <= r["_fixed_age"] <= 90 for r in a)
+    rigs = [r["_fixed_rig"] for r in a]
+    assert [rigs.count(x) for x in ("sloop", "ketch", "yawl", "cutter")] == [32, 16, 8, 8]
+    assert all(4.5 <= r["_fixed_length_m"] <= 30 for r in a) and 10 < sum("home" in r.nulls for r in a) < 42
 
 
 def test_parents(spark):
@@ -104,18 +112,18 @@ def test_salvage_and_matching():
 
 
 def test_generation_with_a_misbehaving_provider(spark, tmp_path):
-    document = PEOPLE | {"count": 25, "strict_distribution": True, "checks": ["len(set(tags)) == len(tags)"]}
-    dataset = spec.from_dict(document)
-    provider = OfflineProvider(3, invalid_rate=0.1, disobey_rate=0.1, wrong_case_rate=0.2, duplicate_rate=0.05, shuffle=True, extra_record=True)
-    tables, stats = generate.generate_dataset(spark, dataset, str(tmp_path / "out"), provider)
-    rows = tables["people"].orderBy("id").collect()
-    assert [r.id for r in rows] == [f"P{i:04d}" for i in range(1, 26)]
-    assert len({r.name for r in rows}) == 25 and len({r.uid for r in rows}) == 25
-    tiers = [r.tier for r in rows]
-    assert sum(tiers.count(x) for x in ("gold", "silver", "bronze")) == 25 and abs(tiers.count("bronze") - 12) <= 1
-    assert stats["people"].rejected and stats["people"].accepted == 25
-    more, _ = generate.generate_dataset(spark, dataset, str(tmp_path / "out"), provider, counts={"people": 30}, resume=True)
-    assert sorted(r.id for r in more["people"].collect()) == [f"P{i:04d}" for i in range(1, 31)]
+    dataset = spec.from_dict(BOATS | {"count": 32, "strict_distribution": True, "checks": ["len(motto) > 1"]})
+    provider = OfflineProvider(8, invalid_rate=0.15, disobey_rate=0.1, wrong_case_rate=0.3, duplicate_rate=0.1, shuffle=True, extra_record=True)
+    folder = str(tmp_path / "run")
+    tables, stats = generate.generate_dataset(spark, dataset, folder, provider, counts={"boats": 24})
+    first = {r.berth: r for r in tables["boats"].collect()}
+    assert sorted(first) == list(range(500, 524)) and len({r.motto.lower() for r in first.values()}) == 24
+    assert stats["boats"].accepted == 24 and {"record: extra record"} < stats["boats"].rejected.keys()
+    tables, _ = generate.generate_dataset(spark, dataset, folder, provider, resume=True)
+    rows = {r.berth: r for r in tables["boats"].collect()}
+    assert sorted(rows) == list(range(500, 532)) and all(rows[k] == r for k, r in first.items())
+    rigs = [r.rig for r in rows.values()]
+    assert rigs.count("sloop") == 16 and len({r.beacon for r in rows.values()}) == 32
 
 
 def test_two_tables(spark, tmp_path):
@@ -163,23 +171,28 @@ def test_round_trips(spark, tmp_path, name):
 
 
 def test_report(spark):
-    rows = [(i, 40000 + 1000 * i, 5000.0 if i == 30 else 100.0 + (i * 37 % 11), "same", f"the quick brown fox number {i} jumps over it") for i in range(60)]
-    df = spark.createDataFrame(rows, "i long, salary long, latency double, c string, t string")
-    found = report.quality_report(df, order="i")
-    text = " ".join(f"{i['column']}:{i['message']}" for i in found["issues"])
-    for part in ("salary:values trend", "multiples of", "latency:1 outliers", "c:constant column", "templated text"):
-        assert part in text, (part, text)
-    assert report.render(found).startswith("# Quality of data set") and "| salary |" in report.render(found)
-    empty = report.quality_report(df.where("false"))
-    assert (empty["score"], empty["grade"]) == (0, "F")
+    """A tide gauge: a level that falls all the time, a broken sensor, one station, notes from a form."""
+    rows = [(n, 9000.0 - 7 * n, -999.0 if n % 40 == 3 else 20 + n * 13 % 17 / 4, "pier", f"checked the gauge as planned on round {n * 31}", n % 3 == 0) for n in range(80)]
+    df = spark.createDataFrame(rows, "n long, level double, water double, station string, log string, calm boolean")
+    found = report.quality_report(df, order="n")
+    issues = {(i["column"], i["severity"]): i["message"] for i in found["issues"]}
+    assert "Spearman -1.00" in issues["level", "medium"] and "2 outliers" in issues["water", "low"]
+    assert "always 'pier'" in issues["station", "low"] and "checked the gauge" in issues["log", "medium"] or "lexical" in issues["log", "medium"]
+    assert "round_number_share" not in found["columns"]["water"] and found["columns"]["calm"]["distribution"].keys() == {"true", "false"}
+    text = report.render(found)
+    assert text.startswith("# Quality of data set") and "| level |" in text and "* medium, level:" in text
+    few = report.quality_report(df.limit(10), order="n")["columns"]["level"]
+    assert "round_number_share" not in few and "row_order_correlation" not in few  # too few rows to tell
 
 
 def test_report_with_a_table(spark):
-    table = spec.from_dict({"name": "t", "fields": [{"name": "label", "type": "enum", "values": ["a", "b"], "weights": [1, 1]}, {"name": "n", "type": "integer", "min": 0, "max": 10}]}).tables[0]
-    df = spark.createDataFrame([("a" if i < 45 else "b", 99 if i == 0 else i % 11) for i in range(51)], "label string, n long")
-    found = report.quality_report(df, table)
-    assert found["schema"]["valid_rows"] == 50 and found["schema"]["violations"] == {"n: Input should be less than or equal to 10": 1}
-    assert found["duplicate_rows"] > 0 and any("TVD" in i["message"] and i["severity"] == "high" for i in found["issues"])
+    fields = {"lane": {"type": "enum", "values": ["left", "right", "bus"], "weights": [2, 1, 1]}, "speed": {"type": "integer", "min": 1, "max": 130}}
+    own = spec.from_dict({"name": "traffic", "fields": fields}).tables[0]
+    rows = [("left" if k < 20 else "right", 131 if k > 57 else k + 1) for k in range(60)] + [("left", 1)]
+    found = report.quality_report(spark.createDataFrame(rows, "lane string, speed long"), own)
+    assert found["schema"]["valid_rows"] == 59 and list(found["schema"]["violations"].values()) == [2]
+    assert found["duplicate_rows"] == 2 and found["columns"]["lane"]["target"] == {"left": 0.5, "right": 0.25, "bus": 0.25}
+    assert any(i["column"] == "lane" and i["severity"] == "high" for i in found["issues"])
 
 
 def test_inference(spark):
