@@ -8,11 +8,11 @@ Hashes seen in two documents are kept in a bit table of fixed size; a false hit
 neighbouring windows with the same least hash are a segment; equal segments are one string with its least document.
 
 A hash that only one segment has needs no more: that segment's least document is each window's.  Segments of all other
-hashes are dealt by hash, so strings that share a window meet.  A task cuts them into shards, builds each
-shard's multi-string transform, and merges all shards by interleave refinement: in each of ``LENGTH`` rounds the
-interleave is carried one symbol further by a stable bucket pass, and rows stay in one block while they agreed in all
-symbols so far.  The blocks left are the intervals of common prefix ``LENGTH`` or more; suffixes are sorted in
-their small shards only.  The least document of a block tells which of its windows go.
+hashes are dealt by hash, so strings that share a window meet; a hot hash's windows are dealt by a second hash.  A task
+cuts them into shards, builds each shard's multi-string transform over pairs of bytes, and merges all shards by
+interleave refinement: each round carries the interleave one symbol further by a stable bucket pass, and rows stay in
+one block while they agreed in all symbols so far.  The blocks left are the intervals of common prefix ``LENGTH`` or
+more; suffixes are sorted in their small shards only.  The least document of a block tells which of its windows go.
 
 Rules for odd rows: a null text is an empty one; texts below ``LENGTH`` bytes lose nothing; a string repeated only inside
 documents of one id stays; a null id counts as larger than any other and rows with a null id as one document; rows
@@ -23,6 +23,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -38,7 +39,8 @@ TABLE_BITS = 28  # 32 MB, whatever the corpus
 SLICES = 64
 PART_BYTES = 1 << 20  # of text hashed at a time
 SHARD_BYTES = 1 << 16
-MERGE_BYTES = 4 << 20  # of segments merged at a time; a hash's segments are never split
+MERGE_BYTES = 2 << 20  # of segments merged at a time, the last hash's to its end
+HOT_SEGMENTS = 50_000  # different segments of a hash; with more, its windows are dealt by a second hash
 NO_ID = 2**63 - 1
 _A, _B, _C = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9))
 
@@ -97,7 +99,7 @@ def _bytes(column: pa.Array) -> list[bytes]:
 
 
 def _hashed(length: int):
-    """``(hash, least, most)``: the documents of each least hash in a part."""
+    """``(hash, doc)``: the least and the greatest document of each least hash in a part."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -106,9 +108,12 @@ def _hashed(length: int):
                 own = doc[number]
                 order = np.lexsort((own, m))
                 m, own = m[order], own[order]
-                first = np.flatnonzero(np.concatenate([[True], m[1:] != m[:-1]]))
-                last = np.concatenate([first[1:], [len(m)]]) - 1
-                yield pa.RecordBatch.from_arrays([pa.array(m[first].view(np.int64)), pa.array(own[first]), pa.array(own[last])], ["hash", "least", "most"])
+                new = np.concatenate([[True], m[1:] != m[:-1]])
+                last = np.concatenate([new[1:], [True]])
+                end = np.flatnonzero(last)
+                end = end[own[end] != own[np.flatnonzero(new)]]  # of one document one row is enough
+                at = np.concatenate([np.flatnonzero(new), end])
+                yield pa.RecordBatch.from_arrays([pa.array(m[at].view(np.int64)), pa.array(own[at])], ["hash", "doc"])
 
     return run
 
@@ -138,8 +143,8 @@ def bit_table(hashes: DataFrame) -> bytes:
 
 def shared_table(docs: DataFrame, length: int = LENGTH) -> bytes:
     """The bit table of the least hashes that occur in two documents or more of ``docs(doc, text)``."""
-    seen = docs.mapInArrow(_hashed(length), "hash long, least long, most long")
-    return bit_table(seen.groupBy("hash").agg(F.min("least").alias("least"), F.max("most").alias("most")).where("least < most"))
+    seen = docs.mapInArrow(_hashed(length), "hash long, doc long")
+    return bit_table(seen.groupBy("hash").agg(F.min("doc").alias("least"), F.max("doc").alias("most")).where("least < most"))
 
 
 def _segments(table, length: int, with_bytes: bool):
@@ -172,111 +177,150 @@ def _segments(table, length: int, with_bytes: bool):
     return run
 
 
-def shard_bwt(strings: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Multi-string transform of a shard: symbols (0 ends a string, a byte is one more), string and offset of each row."""
-    rows = [(s[j:], i, j) for i, s in enumerate(strings) for j in range(len(s) + 1)]
-    rows.sort(key=lambda r: r[:2])  # equal suffixes by string: ends are ordered as their strings are
-    symbol = np.fromiter((strings[i][j - 1] + 1 if j else 0 for _, i, j in rows), np.uint16, len(rows))
-    return symbol, np.fromiter((i for _, i, _ in rows), np.int64, len(rows)), np.fromiter((j for _, _, j in rows), np.int64, len(rows))
+@dataclass
+class Shard:
+    """A shard's multi-string transform: for each of its suffixes, in order, what stands before it and where that leads.
 
+    Symbols are ``step`` bytes, 0 where the string begins.  ``left`` is the row of the suffix that begins with the symbol,
+    ``string`` and ``offset`` say whose suffix a row is.
+    """
 
-def merge(shards: list[np.ndarray], n_strings: list[int], depth: int) -> tuple[np.ndarray, np.ndarray]:
-    """Interleave refinement of the shards' transforms to ``depth`` symbols.
-
-    Returns the rows (of the shards one after the other) in merged order, and for each the number of its block: rows of
-    one block agree in their first ``depth`` symbols, none of which ends a string.
+    symbol: np.ndarray
+    left: np.ndarray
+    string: np.ndarray
+    offset: np.ndarray
+
+    @classmethod
+    def of(cls, strings: list[bytes], step: int) -> Shard:
+        """Suffixes are ordered as bytes, ends first; equal ones as their strings are.  No byte may be 255."""
+        size = np.fromiter(map(len, strings), np.int64, len(strings))
+        width = int(size.max()) + step
+        flat = np.zeros(len(strings) * 2 * width + step, np.uint8)  # each string with zeros behind, bytes are one more
+        begin = np.arange(len(strings)) * 2 * width + step
+        inside = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
+        flat[np.repeat(begin, size) + inside] = np.frombuffer(b"".join(strings), np.uint8) + 1
+        rows = size + step  # suffixes of a string: those of its bytes, and an empty one for each phase
+        string = np.repeat(np.arange(len(strings)), rows)
+        offset = np.arange(rows.sum()) - np.repeat(np.cumsum(rows) - rows, rows)
+        place = begin[string] + offset
+        suffix = np.lib.stride_tricks.sliding_window_view(flat, width)[np.minimum(place, len(flat) - width)]
+        order = np.argsort(np.ascontiguousarray(suffix).view(f"S{width}").ravel(), kind="stable")
+        row_of = np.empty(len(order), np.int32)
+        row_of[order] = np.arange(len(order), dtype=np.int32)
+        string, offset, place = string[order], offset[order], place[order]
+        symbol = flat[place - 1].astype(np.uint16)
+        if step == 2:
+            symbol |= flat[place - 2].astype(np.uint16) << 8
+        first = np.cumsum(rows) - rows
+        begins = offset < step
+        left = np.where(begins, -1, row_of[first[string] + np.maximum(0, offset - step)])
+        return cls(np.where(begins, 0, symbol).astype(np.uint16), left.astype(np.int32), string, offset)
+
+
+def merge(symbol: np.ndarray, left: np.ndarray, need: np.ndarray, depth: int, step: int) -> tuple[np.ndarray, np.ndarray]:
+    """Interleave refinement of shards' transforms, their rows one after the other, to ``depth`` bytes.
+
+    Each round carries the interleave one symbol further: a stable bucket pass by what stands before each row.  A shard's
+    rows never change their order among themselves, and rows stay in one block while they agreed in all symbols so far.
+    ``need`` is the depth to which a row's block is asked for; rows leave when that is passed.  Returns the rows that are
+    left, in merged order, and the number of each one's block: an interval of common prefix ``depth`` or more.
     """
-    symbols = np.concatenate(shards)
-    ends = np.repeat(np.arange(len(shards), dtype=np.uint16), n_strings)
-    z = np.repeat(np.arange(len(shards), dtype=np.uint16), [len(s) for s in shards])
-    block = np.zeros(len(z), np.int64)
-    for _ in range(depth):
-        c = np.empty(len(z), np.uint16)
-        c[np.argsort(z, kind="stable")] = symbols  # a shard's rows never change their order among themselves
-        order = np.argsort(c, kind="stable")[len(ends) :]  # rows of symbol 0 go to the ends, which are fixed
-        z = np.concatenate([ends, z[order]])
-        new = (np.diff(c[order]) != 0) | (np.diff(block[order]) != 0)
-        block = np.concatenate([np.arange(len(ends)), len(ends) + np.cumsum(np.concatenate([[False], new]))])[: len(z)]
-    return np.argsort(z, kind="stable"), block
+    need = np.append(need, -1)
+    order, block = np.arange(len(symbol), dtype=np.int32), np.zeros(len(symbol), np.int32)
+    for reached in range(step, depth + 1, step):
+        to = left[order]
+        stays = need[to] >= reached
+        to, own, before = to[stays], symbol[order[stays]], block[stays]
+        by = np.argsort(own, kind="stable")
+        order, own, before = to[by], own[by], before[by]
+        new = (own[1:] != own[:-1]) | (before[1:] != before[:-1])
+        block = np.concatenate([np.zeros(min(1, len(by)), np.int32), np.cumsum(new, dtype=np.int32)])
+    return order, block
 
 
 def least_documents(segments: list[bytes], doc: np.ndarray, length: int = LENGTH) -> list[np.ndarray]:
     """For each window of each segment the least document in whose segments the window occurs."""
-    shards, strings, offsets, numbers, at = [], [], [], [], 0
+    step, at, rows, shards = (2 if length % 2 == 0 else 1), 0, 0, []
+    windows = np.fromiter((len(s) - length + 1 for s in segments), np.int64, len(segments))
     while at < len(segments):
         end, size = at, 0
         while end < len(segments) and (end == at or size < SHARD_BYTES):
             size += len(segments[end])
             end += 1
-        symbol, s, o = shard_bwt(segments[at:end])
-        shards.append(symbol)
-        strings.append(s + at)
-        offsets.append(o)
-        numbers.append(end - at)
+        own = Shard.of(segments[at:end], step)
+        own.string += at
+        own.left[own.left >= 0] += rows
+        rows += len(own.symbol)
+        shards.append(own)
         at = end
-    place, block = merge(shards, numbers, length)
-    string, offset = np.concatenate(strings), np.concatenate(offsets)
-    row_block = block[place]  # of the shards' rows one after the other
-    least = np.full(block.max() + 1 if len(block) else 0, NO_ID)
-    np.minimum.at(least, row_block, doc[string])
-    windows = np.array([len(s) - length + 1 for s in segments])
-    real = offset < windows[string]
+    symbol, left, string, offset = (np.concatenate([getattr(x, k) for x in shards]) for k in ("symbol", "left", "string", "offset"))
+    need = np.minimum(length, length - 1 + windows[string] - offset).astype(np.int16)  # what stands behind the windows only continues them
+    row, block = merge(symbol, left, need, length, step)
+    least = np.minimum.reduceat(doc[string[row]], np.flatnonzero(np.concatenate([[True], np.diff(block) != 0])))
     first = np.cumsum(windows) - windows
     out = np.empty(windows.sum(), np.int64)
-    out[first[string[real]] + offset[real]] = least[row_block[real]]
+    out[first[string[row]] + offset[row]] = least[block]
     return np.split(out, first[1:])
 
 
 def _resolved(length: int):
-    """``(hash, k1, least)`` for segments sorted by hash; ``least`` has one entry if it is the same for all windows."""
+    """``(hash, salt, k1, least)`` for segments sorted by hash and salt; ``least`` has one entry if it is the same for all windows."""
 
     def flush(held: list[tuple]) -> pa.RecordBatch:
-        hashes = np.array([h[0] for h in held], np.int64)
-        same = np.concatenate([[False], hashes[1:] == hashes[:-1]])
-        many = same | np.concatenate([same[1:], [False]])
-        least: list = [[h[2]] for h in held]
-        rows = np.flatnonzero(many)
-        if len(rows):
-            found = least_documents([held[i][3] for i in rows.tolist()], np.array([held[i][2] for i in rows.tolist()], np.int64), length)
-            for i, f in zip(rows.tolist(), found, strict=True):
-                least[i] = f[:1].tolist() if (f == f[0]).all() else f.tolist()
-        cols = [pa.array(hashes), pa.array([h[1] for h in held], pa.int64()), pa.array(least, pa.list_(pa.int64()))]
-        return pa.RecordBatch.from_arrays(cols, ["_hash", "_k1", "least"])
+        doc = np.array([h[3] for h in held], np.int64)
+        found = least_documents([h[4] for h in held], doc, length)
+        least = [f[:1] if (f == f[0]).all() else f for f in found]
+        ends = np.cumsum([0, *map(len, least)])
+        lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(least)))
+        cols = [*(pa.array([h[k] for h in held], pa.int64()) for k in range(3)), lists]
+        return pa.RecordBatch.from_arrays(cols, ["hash", "salt", "k1", "least"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
         for b in batches:
             for row in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                if size >= MERGE_BYTES and row[0] != held[-1][0]:
+                if size >= MERGE_BYTES and row[:2] != held[-1][:2]:
                     yield flush(held)
                     held, size = [], 0
                 held.append(row)
-                size += len(row[3])
+                size += len(row[4])
         if held:
             yield flush(held)
 
     return run
 
 
-def removed(text: bytes, spans: list[tuple[int, int]] | None, length: int = LENGTH) -> tuple[int, int, bytes]:
-    """Bytes removed, maximal runs and what stays, from ``(first window, mask of windows that go)``."""
-    gone = np.zeros(len(text) + 1, np.int64)
-    for start, mask in spans or ():
-        j = np.flatnonzero(np.unpackbits(np.array([mask], "<i8").view(np.uint8), bitorder="little"))
-        np.add.at(gone, start + j, 1)
-        np.add.at(gone, start + j + length, -1)
-    gone = np.cumsum(gone)[:-1] > 0
-    runs = int(np.count_nonzero(np.diff(np.concatenate([[False], gone]).astype(np.int8)) == 1))
-    return int(gone.sum()), runs, np.frombuffer(text, np.uint8)[~gone].tobytes()
+def removed(texts: list[bytes], number: np.ndarray, start: np.ndarray, mask: np.ndarray, length: int = LENGTH) -> np.ndarray:
+    """Which bytes of the texts, one after the other, go: windows from ``start`` on in text ``number`` where ``mask`` has bits."""
+    size = np.fromiter(map(len, texts), np.int64, len(texts))
+    first = np.cumsum(size) - size
+    bits = np.unpackbits(np.ascontiguousarray(mask, "<i8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+    span, j = np.nonzero(bits)
+    at = (first[number] + start)[span] + j
+    change = np.bincount(at, minlength=size.sum() + 1) - np.bincount(at + length, minlength=size.sum() + 1)
+    return np.cumsum(change)[:-1] > 0
 
 
 def _kept(length: int, with_text: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
+            texts, spans = _bytes(b.column(1)), b.column(2)
+            size = np.fromiter(map(len, texts), np.int64, len(texts))
+            first = np.cumsum(size) - size
+            counts = spans.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+            flat = spans.flatten()
+            gone = removed(texts, np.repeat(np.arange(len(texts)), counts), flat.field("start").to_numpy(), flat.field("mask").to_numpy(), length)
+            bytes_ = np.frombuffer(b"".join(texts), np.uint8)
+            opens = gone & ~np.concatenate([[False], gone[:-1]])
+            opens[first[size > 0]] = gone[first[size > 0]]  # a run ends with its text
             rows = []
-            for text, spans in zip(_bytes(b.column(1)), b.column(2).to_pylist(), strict=True):
-                n, runs, rest = removed(text, [(s["start"], s["mask"]) for s in spans or ()], length) if spans else (0, 0, text)
-                rows.append((len(text), n, runs, hashlib.sha256(rest).hexdigest(), rest if with_text else None))
+            for t, at, n, some in zip(texts, first.tolist(), size.tolist(), (counts > 0).tolist(), strict=True):
+                if not some:
+                    rows.append((n, 0, 0, hashlib.sha256(t).hexdigest(), t if with_text else None))
+                    continue
+                own = gone[at : at + n]
+                rest = bytes_[at : at + n][~own].tobytes()
+                rows.append((n, n - len(rest), int(opens[at : at + n].sum()), hashlib.sha256(rest).hexdigest(), rest if with_text else None))
             cols = list(zip(*rows, strict=True)) or [[]] * 5
             kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary()]
             yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(c, k) for c, k in zip(cols, kinds, strict=True))], ["id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])
@@ -284,36 +328,55 @@ def _kept(length: int, with_text: bool):
     return run
 
 
-def dedup(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, with_text: bool = True) -> DataFrame:
+def _split(pieces: DataFrame, several: DataFrame, length: int, limit: int) -> tuple[DataFrame, DataFrame]:
+    """Pieces of hashes with more than ``limit`` of them: their windows alone, ``(hash, salt, k1, doc, segment, i)``.
+
+    Equal windows get the same salt, so they still meet, and no task holds all strings of a hot hash.
+    """
+    hot = several.where(F.col("n") > limit).select(F.col("hash").alias("_hash"), F.ceil(F.col("n") * length / limit).alias("_parts"))
+    cool = pieces.join(hot, F.col("hash") == F.col("_hash"), "left_anti").select("hash", F.lit(0).cast("long").alias("salt"), "k1", "doc", "segment")
+    each = pieces.join(hot, F.col("hash") == F.col("_hash")).select("hash", "_parts", "k1", "doc", "segment", F.explode(F.sequence(F.lit(0), F.octet_length("segment") - length)).alias("i"))
+    each = each.select("hash", "_parts", "k1", "doc", "i", F.substring("segment", F.col("i") + 1, F.lit(length)).alias("segment"))
+    each = each.select("hash", F.pmod(F.xxhash64("segment"), F.col("_parts")).alias("salt"), "k1", "doc", "i", "segment")
+    return cool, each
+
+
+def dedup(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, with_text: bool = True, hot_segments: int = HOT_SEGMENTS) -> DataFrame:
     """``(id, n_bytes, n_removed, n_spans, kept_sha256, kept)`` for each row of ``docs``; integer ids."""
     scratch = Scratch(spark, "substrings")
     kind = docs.schema[id_col].dataType.simpleString()
     doc = F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID))
     own = docs.select(doc.alias("doc"), F.col(text_col).alias("text"))
     table = spark.sparkContext.broadcast(shared_table(own, length))
-    scratch.release()
     seen = own.mapInArrow(_segments(table, length, False), "doc long, start long, n long, hash long, k1 long")
     seen = scratch.save(seen, "segments")
     strings = scratch.save(seen.groupBy("hash", "k1").agg(F.min("doc").alias("doc")), "strings")
-    scratch.release()
     several = strings.groupBy("hash").agg(F.count("*").alias("n"))
     alone = strings.join(several.where("n = 1"), "hash").select(F.col("hash").alias("_hash"), F.col("k1").alias("_k1"), F.array("doc").alias("least"))
     alone = scratch.save(alone, "alone")  # one segment has that hash: all its windows are its least document's
-    mixed = spark.sparkContext.broadcast(bit_table(several.where("n > 1")))
+    several = scratch.save(several.where("n > 1"), "several")
+    mixed = spark.sparkContext.broadcast(bit_table(several))
     scratch.drop(strings)
-    scratch.release()
     pieces = own.mapInArrow(_segments(mixed, length, True), "hash long, k1 long, doc long, segment binary")
     pieces = pieces.groupBy("hash", "k1").agg(F.min("doc").alias("doc"), F.min("segment").alias("segment"))
-    pieces = pieces.select("hash", "k1", "doc", "segment").repartition("hash").sortWithinPartitions("hash")
-    least = scratch.save(pieces.mapInArrow(_resolved(length), "_hash long, _k1 long, least array<bigint>").unionByName(alone), "least")
+    is_hot = not several.where(F.col("n") > hot_segments).isEmpty()
+    cool, each = _split(scratch.save(pieces, "pieces"), several, length, hot_segments) if is_hot else (pieces.select("hash", F.lit(0).cast("long").alias("salt"), "k1", "doc", "segment"), None)
+    found = "hash long, salt long, k1 long, least array<bigint>"
+    by_hash = lambda df: df.select("hash", "salt", "k1", "doc", "segment").repartition("hash", "salt").sortWithinPartitions("hash", "salt").mapInArrow(_resolved(length), found)
+    least = by_hash(cool).select(F.col("hash").alias("_hash"), F.col("k1").alias("_k1"), "least").unionByName(alone)
+    if each is not None:
+        each = scratch.save(each.withColumn("own", F.xxhash64("segment")), "each")
+        lone = scratch.save(by_hash(each.groupBy("hash", "salt", F.col("own").alias("k1")).agg(F.min("doc").alias("doc"), F.min("segment").alias("segment"))), "lone")
+        lone = lone.select(F.col("hash").alias("_h"), F.col("k1").alias("_own"), F.col("least")[0].alias("_least"))
+        back = each.join(lone, (F.col("hash") == F.col("_h")) & (F.col("own") == F.col("_own"))).groupBy("hash", "k1").agg(F.array_sort(F.collect_list(F.struct("i", "_least"))).alias("all"))
+        least = least.unionByName(back.select(F.col("hash").alias("_hash"), F.col("k1").alias("_k1"), F.col("all._least").alias("least")))
+    least = scratch.save(least, "least")
     scratch.drop(alone)
-    scratch.release()
     hit = seen.join(least, (F.col("hash") == F.col("_hash")) & (F.col("k1") == F.col("_k1")))
     each = F.expr("aggregate(sequence(0, size(least) - 1), 0L, (m, j) -> m | CASE WHEN least[j] < doc THEN shiftleft(1L, j) ELSE 0L END)")
     mask = F.when(F.size("least") > 1, each).when(F.col("least")[0] < F.col("doc"), F.expr("shiftleft(1L, CAST(n AS INT)) - 1")).otherwise(F.lit(0))
     spans = hit.select("doc", "start", mask.alias("mask")).where("mask <> 0").groupBy(F.col("doc").alias("_doc")).agg(F.collect_set(F.struct("start", "mask")).alias("spans"))
     spans = scratch.save(spans, "spans")
     scratch.drop(seen, least)
-    scratch.release()
     rows = docs.select(F.col(id_col).alias("id"), doc.alias("doc"), F.col(text_col).alias("text")).join(spans, F.col("doc") == F.col("_doc"), "left")
     return rows.select("id", "text", "spans").mapInArrow(_kept(length, with_text), f"id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")

@@ -128,18 +128,47 @@ def test_substrings(spark, docs):
     assert substrings.dedup(spark, docs.where("false")).count() == 0
 
 
+def test_hot_hashes_are_split(spark):
+    rng = random.Random(61)
+    base = letters(rng, 60, 60)
+    rows = [(i, letters(rng, 0, 30) + base[rng.randint(0, 8) :] + letters(rng, 0, 40)) for i in range(60)]
+    rows += [(100 + i, rng.choice(rows)[1][5:] + "é") for i in range(20)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = substrings.dedup(spark, df, hot_segments=2)
+    assert Counter((r.id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got.collect()) == brute_substrings(rows, 50)
+
+
 def test_transform_merge():
     rng = random.Random(4)
-    segments = [bytes(rng.choice(b"ab") for _ in range(rng.randint(12, 40))) for _ in range(30)]
-    doc = np.array([rng.randint(0, 9) for _ in segments])
-    old, substrings.SHARD_BYTES = substrings.SHARD_BYTES, 100
-    try:
-        got = substrings.least_documents(segments, doc, 12)
-    finally:
-        substrings.SHARD_BYTES = old
-    for s, found in zip(segments, got, strict=True):
-        for p, d in enumerate(found):
-            assert d == min(doc[i] for i, o in enumerate(segments) if s[p : p + 12] in o)
+    for length in (12, 7):  # symbols of two bytes and of one
+        segments = [bytes(rng.choice(b"ab") for _ in range(rng.randint(length, 40))) for _ in range(30)]
+        doc = np.array([rng.randint(0, 9) for _ in segments])
+        old, substrings.SHARD_BYTES = substrings.SHARD_BYTES, 100
+        try:
+            got = substrings.least_documents(segments, doc, length)
+        finally:
+            substrings.SHARD_BYTES = old
+        for s, found in zip(segments, got, strict=True):
+            assert len(found) == len(s) - length + 1
+            for p, d in enumerate(found):
+                assert d == min(doc[i] for i, o in enumerate(segments) if s[p : p + length] in o)
+
+
+def test_shard_transforms():
+    """Rows are the suffixes in order, and following the symbols backwards spells the strings."""
+    strings = [b"banana", b"ananas", b"banana", b"a", b"zz"]
+    for step in (1, 2):
+        t = substrings.Shard.of(strings, step)
+        suffixes = [(strings[i][j:], i) for i, j in zip(t.string.tolist(), t.offset.tolist())]
+        assert suffixes == sorted(suffixes) and len(suffixes) == sum(len(s) + step for s in strings)
+        for i, s in enumerate(strings):
+            row = next(k for k in range(len(suffixes)) if t.string[k] == i and t.offset[k] == (len(s) if step == 1 or len(s) % 2 == 0 else len(s) + 1))
+            spelled = []
+            while t.left[row] >= 0:
+                spelled.append(t.symbol[row])
+                row = t.left[row]
+            text = b"".join(bytes(x - 1 for x in (([c >> 8] if step == 2 else []) + [c & 255]) if x) for c in map(int, reversed(spelled)))
+            assert text == s
 
 
 def test_decontamination(spark):
