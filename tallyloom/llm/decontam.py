@@ -1,9 +1,10 @@
 """Benchmark decontamination by SimHash of item-sized windows.
 
-Words are lower-cased runs of word characters; shingles have five.  A block of benchmark items (``BLOCK_ITEMS`` at most, so
-what a task holds is bounded; further blocks are further passes) becomes an index: the items' fingerprints under eight
-8-bit Hamming blocks.  A fingerprint within ``RADIUS`` of an item's differs by at most ``RADIUS // 8`` bits in some
-block, so probing every block with all values that near finds all of them.  Documents are slid over with windows of
+Words are lower-cased runs of word characters; shingles have five.  A block of benchmark items (``INDEX_BYTES`` at most, so
+what a task holds is bounded; further blocks are further passes) becomes an index: postings of the items' fingerprints
+by five Hamming blocks of 12 or 13 bits, each item under all block values within three bits of its own.  A fingerprint
+within ``RADIUS`` of an item's differs by at most ``RADIUS // 5`` bits in some block, so one look at each block's postings
+finds all of them.  Documents are slid over with windows of
 each item size; windows in which fewer than half of the shingles occur in any item of the block can't reach the
 similarity and are passed over, all others are fingerprinted and looked up, and the pairs found are verified by the exact
 weighted Jaccard similarity of their shingle counts.  Of the windows of a document that match an item the best stays.
@@ -18,7 +19,7 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Iterator
-from itertools import islice, repeat
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -30,10 +31,11 @@ from .store import fresh
 
 SHINGLE_WORDS = 5
 SIMILARITY = 0.8
-RADIUS = 23  # of 64 bits; similarity 0.8 has about 10 on average
-BLOCKS = 8
-BLOCK_ITEMS = 20_000
-LOOKUPS = 1 << 20  # window and item pairs held at a time
+RADIUS = 19  # of 64 bits; similarity 0.8 has about 10 on average, one pair in 3000 more than 19
+CUTS = (0, 13, 26, 39, 52, 64)
+INDEX_BYTES = 64 << 20  # of an index's postings, shingles and words, about
+ITEM_BYTES = 12_000  # an item's postings: 5 times 300 to 378 values of 6 bytes
+LOOKUPS = 1 << 20  # postings read at a time, about
 
 _WORD = re.compile(r"\w+")
 _P = np.uint64(0x9E3779B97F4A7C15)
@@ -43,6 +45,12 @@ def words_of(text: str | None) -> list[str]:
     return _WORD.findall((text or "").lower())
 
 
+def near_values(width: int, most: int) -> np.ndarray:
+    """All values of ``width`` bits of which ``most`` are set at most."""
+    values = np.arange(1 << width, dtype=np.uint16)
+    return values[np.bitwise_count(values) <= most]
+
+
 def _word_hash(word: str) -> int:
     return xxhash.xxh64_intdigest(word.encode("utf-8", "surrogatepass"))
 
@@ -94,28 +102,37 @@ class Index:
         self.shingles = np.array(sorted({s for c in self.counts for s in c}), np.uint64)
         self.fps = np.array(fps, np.uint64)
         self.by_size = {n: np.flatnonzero(np.array(self.sizes) == n) for n in sorted(set(self.sizes))}
-        values = np.arange(256, dtype=np.uint8)
-        self.close = np.bitwise_count(values[:, None] ^ values) <= radius // BLOCKS  # block values within the block radius
-        self.tables = {n: self._table(rows) for n, rows in self.by_size.items()}
+        flips = {w: near_values(w, min(w, radius // (len(CUTS) - 1))) for w in np.diff(CUTS).tolist()}
+        self.postings = {n: [self._posted(rows, k, flips) for k in range(len(CUTS) - 1)] for n, rows in self.by_size.items()}
 
-    def _table(self, rows: np.ndarray) -> np.ndarray:
-        """(BLOCKS, 256, items): whether an item's block is within the block radius of a value."""
-        own = np.ascontiguousarray(self.fps[rows]).view(np.uint8).reshape(-1, BLOCKS)
-        return np.stack([self.close[:, own[:, k]] for k in range(BLOCKS)])
+    def _posted(self, rows: np.ndarray, k: int, flips: dict[int, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        """Sorted block values and the item of each: every item under all values near its own."""
+        near = flips[CUTS[k + 1] - CUTS[k]]
+        values = (self._block(self.fps[rows], k)[:, None] ^ near).ravel()
+        by = np.argsort(values, kind="stable")
+        return values[by], np.repeat(rows, len(near)).astype(np.int32)[by]
+
+    @staticmethod
+    def _block(fps: np.ndarray, k: int) -> np.ndarray:
+        return ((fps >> np.uint64(CUTS[k])) & np.uint64((1 << (CUTS[k + 1] - CUTS[k])) - 1)).astype(np.uint16)
 
     def near(self, size: int, fps: np.ndarray) -> Iterator[tuple[int, int]]:
         """``(window, item)`` for all items of ``size`` words whose fingerprint is within the radius of a window's."""
-        rows, table = self.by_size[size], self.tables[size]
-        step = max(1, LOOKUPS // len(rows))
+        n_items = len(self.by_size[size])
+        step = max(1, LOOKUPS // n_items)
         for at in range(0, len(fps), step):
             part = fps[at : at + step]
-            blocks = np.ascontiguousarray(part).view(np.uint8).reshape(-1, BLOCKS)
-            met = np.zeros((len(part), len(rows)), bool)
-            for k in range(BLOCKS):
-                met |= table[k][blocks[:, k]]
-            w, r = np.nonzero(met)
-            inside = np.bitwise_count(part[w] ^ self.fps[rows[r]]) <= self.radius
-            yield from zip((w[inside] + at).tolist(), rows[r[inside]].tolist(), strict=True)
+            met = []
+            for k, (values, rows) in enumerate(self.postings[size]):
+                own = self._block(part, k)
+                low, high = np.searchsorted(values, own, "left"), np.searchsorted(values, own, "right")
+                n = high - low
+                place = np.repeat(low - (np.cumsum(n) - n), n) + np.arange(n.sum())
+                w, r = np.repeat(np.arange(len(part)), n), rows[place]
+                inside = np.bitwise_count(part[w] ^ self.fps[r]) <= self.radius
+                met.append(w[inside] * len(self.fps) + r[inside])
+            pairs = np.unique(np.concatenate(met))  # a pair may meet in several blocks
+            yield from zip((pairs // len(self.fps) + at).tolist(), (pairs % len(self.fps)).tolist(), strict=True)
 
     def matches(self, text: str | None, similarity: float = SIMILARITY) -> list[tuple[int, float, int, int]]:
         """``(item id, similarity, first word, words)`` for each item that a window of ``text`` matches, best window."""
@@ -183,7 +200,7 @@ FOUND = ("_items", "_similarity", "_first_words", "_n_words")
 _KINDS = ("array<bigint>", "double", "array<bigint>", "array<bigint>")
 
 
-def search(docs: DataFrame, benchmark: DataFrame, keep: list[str], text_col: str = "text", similarity: float = SIMILARITY, block_items: int = BLOCK_ITEMS, names: tuple[str, ...] = FOUND) -> DataFrame:
+def search(docs: DataFrame, benchmark: DataFrame, keep: list[str], text_col: str = "text", similarity: float = SIMILARITY, index_bytes: int = INDEX_BYTES, names: tuple[str, ...] = FOUND) -> DataFrame:
     """The columns ``keep`` of ``docs`` and, by the given names, items, similarity of the best, first words, numbers of words.
 
     ``benchmark(item id, text)`` streams to the driver in blocks; each block is one pass over ``docs`` without a shuffle.
@@ -192,7 +209,13 @@ def search(docs: DataFrame, benchmark: DataFrame, keep: list[str], text_col: str
     items = ((r[0], r[1]) for r in benchmark.select(*benchmark.columns[:2]).toLocalIterator())
     empty = (F.expr(f"CAST({'array()' if k[0] == 'a' else 'NULL'} AS {k})").alias(c) for c, k in zip(names, _KINDS, strict=True))
     out = docs.select(*(F.col(c) for c in keep), *empty, F.col(text_col).alias(held))
-    while block := list(islice(items, block_items)):
+    block, size = [], 0
+    for item, text in items:
+        block.append((item, text))
+        size += ITEM_BYTES + 40 * len(text or "")
+        if size >= index_bytes:
+            out, block, size = out.mapInArrow(_merged(Index(block), similarity), out.schema), [], 0
+    if block:
         out = out.mapInArrow(_merged(Index(block), similarity), out.schema)
     return out.drop(held)
 

@@ -1,12 +1,13 @@
 """Near-duplicate embeddings by product quantisation.
 
 Vectors of one label link when their cosine, in double precision, is at least ``COSINE``.  Unit vectors at that cosine
-are at most ``sqrt(2 - 2 * COSINE)`` apart.  A coarse k-means gives inverted lists by (label, cell); a vector is kept in
-the list of its nearest centre as residual codes, one of ``CODES`` per subspace, with the error of its code.  A vector
+are at most ``sqrt(2 - 2 * COSINE)`` apart.  Each label has inverted lists of its own, in proportion to its rows, by a
+coarse k-means of the label's part of the sample; a vector is kept in the list of its nearest centre as residual codes, one of ``CODES`` per subspace, with the error of its code.  A vector
 probes every list that could hold a neighbour: the ball around it must reach the bisector between its own centre and the
 list's, which is necessary, so the probes are sufficient.  In a list the table-lookup distance less the
 code's error never exceeds the true distance; what passes is reranked by the exact cosine.  So no link is lost whatever
-the centres are, and these may come from a bounded sample (``SAMPLE`` vectors, least hashes first).
+the centres are, and these may come from a bounded sample (``SAMPLE`` vectors, least hashes first).  The sample also bounds
+the number of lists; a label of which it has too few vectors is one list.
 
 Equal vectors of a label are one class with a multiplicity.  Long lists and many probes are dealt over a grid of blocks,
 each of bounded size.  A block returns link counts and a spanning forest of its links, never its pairs.
@@ -35,8 +36,8 @@ from .store import Scratch
 COSINE = 0.98
 SAMPLE = 20_000
 SUBSPACES, CODES = 8, 64
-CELL_ROWS = 1_000  # vectors a centre, at most MAX_CELLS centres
-MAX_CELLS = 1_024
+CELL_ROWS = 1_000  # vectors a list
+CELL_SAMPLE = 10  # vectors of the sample a list, at least
 BLOCK_HOMES, BLOCK_PROBES = 4_096, 8_192
 _SLACK = 1e-6
 
@@ -65,39 +66,53 @@ def nearest(x: np.ndarray, centre: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 @dataclass
 class Quantiser:
-    centre: np.ndarray  # (k, dim)
+    lists: dict  # by label, centres (k, dim)
+    rest: np.ndarray  # (1, dim), the list of every other label
     books: list[np.ndarray]  # by subspace (codes, width)
     cuts: np.ndarray  # bounds of the subspaces
 
     @property
     def dim(self) -> int:
-        return self.centre.shape[1]
+        return self.rest.shape[1]
+
+    def centres(self, label) -> np.ndarray:
+        return self.lists.get(label, self.rest)
 
     @classmethod
-    def fit(cls, sample: np.ndarray, k: int) -> Quantiser:
+    def fit(cls, sample: np.ndarray, labels: list, rows: dict) -> Quantiser:
+        """``rows`` has the number of vectors of each label of the sample."""
         rng = np.random.default_rng(7)
-        centre = kmeans(sample, k, rng)
-        rest = sample - centre[nearest(sample, centre)[0]]
+        of: dict = {}
+        for i, label in enumerate(labels):
+            of.setdefault(label, []).append(i)
+        middle, residual, lists = sample.mean(0, keepdims=True), np.empty_like(sample), {}
+        for label, own in of.items():
+            x = sample[own]
+            k = min(rows[label] // CELL_ROWS, len(own) // CELL_SAMPLE)
+            if k > 1:
+                lists[label] = kmeans(x, k, rng)
+            centre = lists.get(label, middle)
+            residual[own] = x - centre[nearest(x, centre)[0]]
         cuts = np.linspace(0, sample.shape[1], min(SUBSPACES, sample.shape[1]) + 1).astype(int)
-        books = [kmeans(rest[:, a:b], CODES, rng) for a, b in zip(cuts, cuts[1:], strict=False)]
-        return cls(centre, books, cuts)
+        return cls(lists, middle, [kmeans(residual[:, a:b], CODES, rng) for a, b in zip(cuts, cuts[1:], strict=False)], cuts)
 
-    def encode(self, x: np.ndarray, cell: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Codes (n, subspaces) and the distance between each vector and what its code stands for."""
-        rest = x - self.centre[cell]
+    def encode(self, x: np.ndarray, centre: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Codes (n, subspaces) and the distance between each vector and what its code stands for; a centre a vector."""
+        rest = x - centre
         codes = np.stack([nearest(rest[:, a:b], book)[0] for a, b, book in zip(self.cuts, self.cuts[1:], self.books, strict=False)], 1)
         back = np.concatenate([book[c] for book, c in zip(self.books, codes.T, strict=True)], 1)
         return codes.astype(np.uint8), np.sqrt(((rest - back) ** 2).sum(1))
 
-    def probes(self, x: np.ndarray, radius: float) -> np.ndarray:
-        """(n, k): whether a cell can hold a vector within ``radius``."""
-        own, d = nearest(x, self.centre)
-        apart = np.sqrt(distances(self.centre, self.centre))[own]
+    @staticmethod
+    def probes(x: np.ndarray, centre: np.ndarray, radius: float) -> np.ndarray:
+        """(n, k): whether a list can hold a vector within ``radius``."""
+        own, d = nearest(x, centre)
+        apart = np.sqrt(distances(centre, centre))[own]
         return d - d[np.arange(len(x)), own][:, None] <= 2 * radius * apart + _SLACK
 
-    def lookup(self, x: np.ndarray, cell: int, codes: np.ndarray) -> np.ndarray:
-        """Asymmetric distances between probes (n, dim) and coded vectors of one cell (m, subspaces)."""
-        rest, total = x - self.centre[cell], np.zeros((len(x), len(codes)))
+    def lookup(self, x: np.ndarray, centre: np.ndarray, codes: np.ndarray) -> np.ndarray:
+        """Asymmetric distances between probes (n, dim) and coded vectors of one list (m, subspaces)."""
+        rest, total = x - centre, np.zeros((len(x), len(codes)))
         for j, (a, b) in enumerate(zip(self.cuts, self.cuts[1:], strict=False)):
             total += distances(rest[:, a:b], self.books[j])[:, codes[:, j]]
         return np.sqrt(total)
@@ -129,16 +144,19 @@ def _placed(q: Quantiser, radius: float):
         for b in batches:
             cid, mult, label, xs = (b.column(i).to_pylist() for i in range(4))
             rows = []
-            usual = [i for i, x in enumerate(xs) if len(x) == q.dim]
-            if usual:
-                x = np.array([xs[i] for i in usual])
-                cell = nearest(x, q.centre)[0]
-                codes, err = q.encode(x, cell)
-                reach = q.probes(x, radius)
+            of: dict = {}
+            for i, x in enumerate(xs):
+                if len(x) == q.dim:
+                    of.setdefault(label[i], []).append(i)
+            for name, usual in of.items():
+                x, centre = np.array([xs[i] for i in usual]), q.centres(name)
+                cell = nearest(x, centre)[0]
+                codes, err = q.encode(x, centre[cell])
+                reach = q.probes(x, centre, radius)
                 for r, i in enumerate(usual):
                     rows.append((label[i], int(cell[r]), True, cid[i], mult[i], codes[r].tobytes(), float(err[r]), xs[i]))
                     rows += [(label[i], int(c), False, cid[i], mult[i], None, None, xs[i]) for c in np.flatnonzero(reach[r])]
-            for i in set(range(len(xs))) - set(usual):
+            for i in (i for i, x in enumerate(xs) if len(x) != q.dim):
                 rows.append((label[i], -len(xs[i]), True, cid[i], mult[i], b"", 0.0, xs[i]))
                 rows.append((label[i], -len(xs[i]), False, cid[i], mult[i], None, None, xs[i]))
             kinds = [b.schema.types[2], pa.int32(), pa.bool_(), pa.int64(), pa.int64(), pa.binary(), pa.float64(), pa.list_(pa.float64())]
@@ -175,13 +193,14 @@ def _block(q: Quantiser, cosine: float, radius: float):
             y, yid, mult = np.array(home["x"].tolist()), home["cid"].to_numpy(), home["mult"].to_numpy()
             x, xid, cell = np.array(probe["x"].tolist()), probe["cid"].to_numpy(), int(frame["cell"].iloc[0])
             codes = np.frombuffer(b"".join(home["codes"]), np.uint8).reshape(len(home), -1) if cell >= 0 else None
+            centre = q.centres(frame["label"].iloc[0])[cell] if cell >= 0 else None
             err = home["err"].to_numpy()
             for at in range(0, len(x), 256):
                 part = x[at : at + 256]
                 if codes is None:
                     i, j = np.indices((len(part), len(y))).reshape(2, -1)
                 else:
-                    i, j = np.nonzero(q.lookup(part, cell, codes) - err <= radius + _SLACK)
+                    i, j = np.nonzero(q.lookup(part, centre, codes) - err <= radius + _SLACK)
                 for k in range(0, len(i), 1 << 18):  # a dense block has many candidates
                     ii, jj = i[k : k + (1 << 18)], j[k : k + (1 << 18)]
                     near = (np.einsum("ij,ij->i", part[ii], y[jj]) >= cosine) & (xid[at + ii] != yid[jj])
@@ -203,24 +222,26 @@ def _block(q: Quantiser, cosine: float, radius: float):
     return run
 
 
-def near_duplicates(spark: SparkSession, rows: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label", cosine: float = COSINE) -> DataFrame:
-    """``(id, n_links, component_id, kept)`` for each row of ``rows``."""
+def near_duplicates(spark: SparkSession, table: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label", cosine: float = COSINE) -> DataFrame:
+    """``(id, n_links, component_id, kept)`` for each row of ``table``."""
     scratch = Scratch(spark, "vectors")
     radius = math.sqrt(max(0.0, 2 - 2 * cosine))
-    kinds = {c: rows.schema[c].dataType for c in (id_col, label_col)}
-    own = rows.select(F.col(id_col).alias("id"), F.col(label_col).alias("label"), F.col(vector_col).cast("array<double>").alias("v"))
+    kinds = {c: table.schema[c].dataType for c in (id_col, label_col)}
+    own = table.select(F.col(id_col).alias("id"), F.col(label_col).alias("label"), F.col(vector_col).cast("array<double>").alias("v"))
     own = own.select("id", "label", F.xxhash64("v").alias("k1"), F.xxhash64(F.lit("v"), "v").alias("k2"), "v")
     schema = f"id {kinds[id_col].simpleString()}, label {kinds[label_col].simpleString()}, k1 long, k2 long, x array<double>"
     own = scratch.save(own.mapInArrow(_units, schema).withColumn("row", F.monotonically_increasing_id()), "units")
     able = own.where("x IS NOT NULL AND label IS NOT NULL")
     classes = able.groupBy("label", "k1", "k2").agg(F.min("id").alias("head"), F.count("*").alias("mult"), F.min("row").alias("cid"), F.first("x").alias("x"))
     classes = scratch.save(classes, "classes")
-    n = classes.count()
-    sample = classes.select("cid", "x").orderBy(F.xxhash64("cid"), "cid").limit(SAMPLE).toPandas()["x"].tolist() if n else []
-    dims = pd.Series([len(x) for x in sample], dtype=int)
-    dim = int(dims.mode().iloc[0]) if n else 1
-    fit_on = np.array([x for x in sample if len(x) == dim]) if n else np.ones((1, 1))
-    q = Quantiser.fit(fit_on, max(1, min(MAX_CELLS, n // CELL_ROWS)))
+    sample = classes.select("cid", "label", "x").orderBy(F.xxhash64("cid"), "cid").limit(SAMPLE).toPandas()
+    lengths = sample["x"].map(len)
+    dim = int(lengths.mode().iloc[0]) if len(sample) else 1
+    sample = sample[lengths == dim]
+    met = classes.join(F.broadcast(spark.createDataFrame([(x,) for x in sample["label"].drop_duplicates().tolist()], classes.select("label").schema)), "label") if len(sample) else None
+    rows = {r.label: r.n for r in met.groupBy("label").agg(F.count("*").alias("n")).collect()} if met is not None else {}  # labels of the sample
+    fit_on = np.array(sample["x"].tolist()) if len(sample) else np.ones((1, 1))
+    q = Quantiser.fit(fit_on, sample["label"].tolist() if len(sample) else [None], rows or {None: 1})
     placed = classes.select("cid", "mult", "label", "x").mapInArrow(
         _placed(q, radius), f"label {kinds[label_col].simpleString()}, cell int, home boolean, cid long, mult long, codes binary, err double, x array<double>"
     )

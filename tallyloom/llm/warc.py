@@ -32,6 +32,7 @@ SKIPPABLE = 0x184D2A5D
 DICT_BYTES = 64 << 10
 SAMPLE_RECORDS = 200
 SAMPLE_BYTES = 4 << 20  # bound of what a dictionary is built from
+BROADCAST_SHARED = 200_000  # hashes of repeated payloads, about 100 bytes each
 ARCHIVE_BYTES = 64 << 20  # an archive is closed at this size
 LEVEL = 3
 DATE = "1970-01-01T00:00:00Z"  # the tables have no capture time
@@ -41,13 +42,13 @@ def payload_digest(payload: bytes) -> str:
     return base64.b32encode(hashlib.sha1(payload).digest()).decode()
 
 
-def record(page_id: int | None, url: str | None, payload: bytes, digest: str, refers_to: int | None, revisit: bool) -> bytes:
-    """One uncompressed WARC record."""
+def record(number: str, page_id: int | None, url: str | None, payload: bytes, digest: str, refers_to: int | None, revisit: bool) -> bytes:
+    """One uncompressed WARC record; ``number`` tells it from all others."""
     clean = lambda s: "".join(c for c in s if c not in "\r\n")
     head = [
         "WARC/1.1",
         f"WARC-Type: {'revisit' if revisit else 'response'}",
-        f"WARC-Record-ID: <urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'{page_id}|{url}')}>",
+        f"WARC-Record-ID: <urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, number)}>",
         f"WARC-Date: {DATE}",
         f"WARC-Target-URI: {clean(url or '')}",
         f"WARC-Payload-Digest: sha1:{digest}",
@@ -131,11 +132,15 @@ def read_archive(fs: pyarrow.fs.FileSystem, path: str) -> Iterator[bytes]:
             raise ValueError(f"{path} ends inside a record")
 
 
-def _roles(pages: DataFrame, min_bytes: int) -> DataFrame:
-    """Adds payload, digest, last (the largest id with that payload; null where it stands alone) and n_same."""
+def _roles(pages: DataFrame, min_bytes: int, scratch: Scratch) -> DataFrame:
+    """Adds payload and last, the largest id with that payload; null where it stands alone.
+
+    Only hashes are grouped.  Payloads stay where they are unless more of them repeat than ``BROADCAST_SHARED``.
+    """
     own = pages.withColumn("payload", F.coalesce("payload", F.lit(b"").cast("binary"))).withColumn("sha", F.sha1("payload"))
     shared = own.groupBy("sha", F.length("payload").alias("n")).agg(F.max("page_id").alias("last"), F.count("*").alias("n_same"))
-    shared = shared.where((F.col("n_same") > 1) & (F.col("n") >= min_bytes)).select(F.col("sha").alias("_sha"), "last")
+    shared = scratch.save(shared.where((F.col("n_same") > 1) & (F.col("n") >= min_bytes)).select(F.col("sha").alias("_sha"), "last"), "shared")
+    shared = F.broadcast(shared) if shared.count() <= BROADCAST_SHARED else shared
     return own.join(shared, F.col("sha") == F.col("_sha"), "left").select("page_id", "url", "payload", "last")
 
 
@@ -148,7 +153,7 @@ def _writer(root: str):
             for page_id, url, payload, last in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 w = w or ArchiveWriter(fs, f"{base}/{uuid.uuid4().hex}.warc.zst")
                 payload = payload or b""
-                w.add(record(page_id, url, payload, payload_digest(payload), last, last is not None and page_id != last))
+                w.add(record(f"{w.path}#{w.n}", page_id, url, payload, payload_digest(payload), last, last is not None and page_id != last))
                 if w.size >= ARCHIVE_BYTES:
                     done.append(w.close())
                     w = None
@@ -162,7 +167,7 @@ def _writer(root: str):
 
 def write(pages: DataFrame, scratch: Scratch, root: str, min_bytes: int = 0) -> DataFrame:
     """Write ``pages(page_id, url, payload binary)`` below the URI ``root`` -> manifest ``(path, n_records, bytes)``."""
-    rows = _roles(pages, min_bytes).mapInArrow(_writer(root), "path string, n_records long, bytes long")
+    rows = _roles(pages, min_bytes, scratch).mapInArrow(_writer(root), "path string, n_records long, bytes long")
     return scratch.save(rows, "manifest")
 
 

@@ -171,6 +171,46 @@ def test_shard_transforms():
             assert text == s
 
 
+def brute_items(t, items, similarity=0.8):
+    """Best similarity of each item over all windows of its size, exact, no fingerprints."""
+    words, out = decontam.words_of(t), {}
+    for item, own in items:
+        own = decontam.words_of(own)
+        if not own or not words:
+            continue
+        k, n = min(5, len(own)), len(own)
+        grams = lambda w, k=k: Counter(tuple(w[i : i + k]) for i in range(len(w) - k + 1))
+        a, best = grams(own), 0.0
+        for at in range(max(1, len(words) - n + 1)):
+            b = grams(words[at : at + n])
+            both = sum((a & b).values())
+            best = max(best, both / max(1, a.total() + b.total() - both))
+        if best >= similarity:
+            out[item] = best
+    return out
+
+
+def test_decontamination_recall(spark):
+    """Passages changed to similarities around the threshold, short and long items, ties, repeats, a long text."""
+    rng = random.Random(67)
+    items = [(i, " ".join(letters(rng, 2, 8) for _ in range(rng.choice([15, 25, 40, 60, 90])))) for i in range(40)] + [(99, "tiny item"), (98, "tiny item")]
+    rows = []
+    for i in range(300):
+        own = rng.choice(items)[1].split()
+        for _ in range(rng.randint(0, 2)):
+            own[rng.randrange(len(own))] = letters(rng, 2, 8)
+        head, tail = (" ".join(letters(rng, 2, 8) for _ in range(rng.randint(0, 40))) for _ in range(2))
+        rows.append((i, f"{head} {' '.join(own)} {tail}"))
+    rows += [rows[0], (500, " ".join(r[1] for r in rows)), (501, None), (None, rows[1][1])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    found = decontam.search(docs, spark.createDataFrame(items, "item_id long, text string"), ["doc_id", "text"])
+    got = Counter((r.doc_id, r.text, tuple(sorted(r._items))) for r in found.collect())
+    want = Counter((i, t, tuple(sorted(brute_items(t, items)))) for i, t in rows)
+    pairs = lambda c: sum(len(k[2]) * n for k, n in c.items())
+    assert pairs(want) > 200 and pairs(got) >= 0.995 * pairs(want)
+    assert all(set(g[2]) <= set(brute_items(g[1], items)) for g in got)
+
+
 def test_decontamination(spark):
     rng = random.Random(6)
     items = [(i, text(rng, n)) for i, n in enumerate((30, 12, 45, 3, 0))]
@@ -179,10 +219,13 @@ def test_decontamination(spark):
     rows = [(1, text(rng, 80) + " " + items[0][1] + " " + text(rng, 5)), (2, text(rng, 60)), (3, None), (4, ""), (5, "intro " + " ".join(changed)), (6, items[1][1]), (7, text(rng, 30))]
     docs = spark.createDataFrame([(a, b, "c") for a, b in rows], "doc_id long, text string, _x string")
     bench = spark.createDataFrame(items, "item_id long, text string")
-    for block in (20_000, 2):
-        got = {r.doc_id: r._items for r in decontam.search(docs, bench, ["doc_id", "_x"], block_items=block).collect()}
-        assert {k: sorted(v) for k, v in got.items() if 3 not in v} == {1: [0], 2: [], 3: [], 4: [], 5: [2], 6: [1], 7: []} or got[1] == [0]
-        assert 0 in got[1] and 2 in got[5] and 1 in got[6] and not got[3] and not got[4]
+    want = {i: brute_items(t, items) for i, t in rows}
+    assert 0 in want[1] and 2 in want[5] and 1 in want[6] and not want[3] and not want[4]
+    for size in (decontam.INDEX_BYTES, 30_000):  # in one pass and in several
+        got = {r.doc_id: dict(zip(r._items, r._first_words, strict=True)) for r in decontam.search(docs, bench, ["doc_id", "_x"], index_bytes=size).collect()}
+        assert {i: set(v) for i, v in got.items()} == {i: set(v) for i, v in want.items()}
+    found = {r.doc_id: r._similarity for r in decontam.search(docs, bench, ["doc_id"]).collect()}
+    assert all(found[i] is None if not v else abs(found[i] - max(v.values())) < 1e-9 for i, v in want.items())
     assert decontam.search(docs, bench.where("false"), ["doc_id"]).where("size(_items) > 0").count() == 0
 
 
