@@ -41,6 +41,7 @@ TABLE_BITS, MAX_TABLE_BITS = 20, 23  # one slot for 256 bytes of training text o
 BLOCK = 4096  # slots that are added up together
 FREQUENT_WORDS = 200_000
 SLICE = 4_096  # tokens between two corrections
+PART = 64 * SLICE  # tokens held at a time
 SHARD_BYTES = (64 << 20, 1 << 30)  # of training text: a 256th of it, between these
 RATE = 0.25
 BUCKETS = 24  # of the adaptive map
@@ -283,7 +284,7 @@ def _learned(words, bits: int):
         own, shard, held, size = None, None, [], 0
         for b in batches:
             for number, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                if number != shard or size >= 64 * SLICE:  # a batch of texts is closed by what is in the shard, not by Arrow
+                if number != shard or size >= PART:  # a batch of texts is closed by what is in the shard, not by Arrow
                     if held:
                         own.learn(held)
                         held, size = [], 0
@@ -321,7 +322,7 @@ def train(spark: SparkSession, texts: DataFrame, words: Words, n_bytes: int) ->
     held = spark.sparkContext.broadcast(words)
     key = F.xxhash64("id", "text")
     rows = texts.select(F.pmod(key, F.lit(shards)).cast("int").alias("shard"), "text", key.alias("key"), F.xxhash64(F.lit("again"), "text").alias("key2"))
-    rows = rows.repartition(shards, "shard").sortWithinPartitions("shard", "key", "key2").select("shard", "text")
+    rows = rows.repartitionByRange(shards, "shard").sortWithinPartitions("shard", "key", "key2").select("shard", "text")  # a hash would deal few numbers unevenly
     sums = rows.mapInArrow(_learned(held, bits), "block int, counts binary").groupBy("block").applyInArrow(_added, "block int, counts binary").toArrow()
     counts, mixer = np.zeros((2, 1 << bits), np.float32), Mixer.new()
     for block, value in zip(sums.column(0).to_pylist(), sums.column(1).to_pylist(), strict=True):
@@ -385,21 +386,29 @@ def _letters(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _scored(model, base, end_known: bool):
     """Score of each document and sums over its frequent words; what is left goes on as a list of words and numbers."""
 
+    def part(b: pa.RecordBatch, texts: list[list[bytes]]) -> pa.RecordBatch:
+        each, stream = model.value.scores(texts)
+        known = base.value.take(stream.symbol)
+        sums = [np.add.reduceat(x, stream.first) for x in (each, np.where(stream.symbol > 0, known, 0), (stream.symbol > 1) | end_known & (stream.symbol == 1))]
+        left: list[Counter] = [Counter() for _ in texts]
+        row = np.searchsorted(stream.first, stream.rare, side="right") - 1
+        for i, r in zip(stream.rare.tolist(), row.tolist(), strict=True):
+            left[r][stream.all[i]] += 1
+        cols = [pa.array([len(t) for t in texts], pa.int64()), pa.array(sums[2].astype(np.int64)), pa.array(sums[1].astype(np.float64)), pa.array(sums[0])]
+        cols += [pa.array([list(x) for x in left], pa.list_(pa.binary())), pa.array([list(x.values()) for x in left], pa.list_(pa.int64()))]
+        return pa.RecordBatch.from_arrays([*b.columns[:-1], *cols], [*b.schema.names[:-1], "n_tokens", "n_known", "base_score", "score", "words", "times"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            texts = [[*tokens(t), END] for t in b.column(b.num_columns - 1).to_pylist()]
-            if not texts:
-                continue
-            each, stream = model.value.scores(texts)
-            known = base.value.take(stream.symbol)
-            sums = [np.add.reduceat(x, stream.first) for x in (each, np.where(stream.symbol > 0, known, 0), (stream.symbol > 1) | end_known & (stream.symbol == 1))]
-            left: list[Counter] = [Counter() for _ in texts]
-            row = np.searchsorted(stream.first, stream.rare, side="right") - 1
-            for i, r in zip(stream.rare.tolist(), row.tolist(), strict=True):
-                left[r][stream.all[i]] += 1
-            cols = [pa.array([len(t) for t in texts], pa.int64()), pa.array(sums[2].astype(np.int64)), pa.array(sums[1].astype(np.float64)), pa.array(sums[0])]
-            cols += [pa.array([list(x) for x in left], pa.list_(pa.binary())), pa.array([list(x.values()) for x in left], pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays([*b.columns[:-1], *cols], [*b.schema.names[:-1], "n_tokens", "n_known", "base_score", "score", "words", "times"])
+        for b in batches:  # in parts, so that what is held does not depend on Arrow's batches
+            texts, size, at = [], 0, 0
+            for i, t in enumerate(b.column(b.num_columns - 1)):
+                texts.append([*tokens(t.as_py()), END])
+                size += len(texts[-1])
+                if size >= PART:
+                    yield part(b.slice(at, len(texts)), texts)
+                    texts, size, at = [], 0, i + 1
+            if texts:
+                yield part(b.slice(at, len(texts)), texts)
 
     return run
 
