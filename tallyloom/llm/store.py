@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-import gc
-import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ..sources.shared import shared_dir
+from ..sources.shared import Files, shared_dir, shuffle_files_go
 
 
 def fresh(df: DataFrame, *names: str) -> list[str]:
@@ -37,7 +35,8 @@ class Scratch:
     def save(self, df: DataFrame, name: str) -> DataFrame:
         """Write ``df`` and read it again: what follows never recomputes what came before."""
         path = self.path(name)
-        df.write.parquet(path)
+        with shuffle_files_go(self.spark):
+            df.write.parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
         out._scratch_path = path
         return out
@@ -47,13 +46,4 @@ class Scratch:
         for table in tables:
             path = table if isinstance(table, str) else getattr(table, "_scratch_path", None)
             if path:
-                jvm = self.spark._jvm
-                target = jvm.org.apache.hadoop.fs.Path(path)
-                target.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(target, True)
-
-    def release(self) -> None:
-        """Let Spark delete the shuffle files of jobs whose results were written: it does so when the JVM collects."""
-        for _ in range(2):  # references that a first collection clears are queued for the cleaner by the second
-            gc.collect()
-            self.spark._jvm.System.gc()
-            time.sleep(0.4)
+                Files(self.spark).delete(path)
