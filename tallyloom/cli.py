@@ -52,6 +52,8 @@ def do_check(a: argparse.Namespace) -> int:
     dataset = spec.load(a.schema)
     for t in dataset.ordered():
         print(f"{t.name}: {t.count} records, {len(t.fields)} fields, {len(t.checks)} checks, complexity {spec.complexity(spec.batch_schema(t))}")
+        for w in spec.complexity_warnings(spec.batch_schema(t)):
+            print(f"  warning: {w}")
         if a.show_prompt:
             print(payload(t)["system"])
         if a.show_schema:

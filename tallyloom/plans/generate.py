@@ -8,9 +8,10 @@ from __future__ import annotations
 
 import json
 import math
+import random
 import secrets
 import time
-from collections import Counter
+from collections import Counter, deque
 from dataclasses import asdict, dataclass, field, replace
 from typing import Any
 
@@ -22,12 +23,15 @@ from ..operators import accept, validate
 from ..sources.shared import written
 from ..sources.store import Store
 from . import slots as planning
-from .provider import OfflineProvider, Provider, matched, salvage
+from .provider import OfflineProvider, Provider, matched, planned_scenarios, salvage
 from .spec import Dataset, Settings, Table
 
 STALLS = 6  # rounds without a record after which a run gives up
 LEAST_ACCEPTANCE = 0.5  # over-provisioning assumes no less
 KNOWN_AFTER = 20  # returned records from which the acceptance rate is used
+RECENT, AVOIDED = 400, 40  # values of a field that are remembered, and of these shown to the provider
+SHRINK = 0.6  # of the batch size, after a round in which answers were cut off
+FILL, KEEP = 0.75, 0.7  # share of the provider's token limit that a batch may take; weight of the tokens a record so far
 BUDGET = (4, 20)  # slots asked for at most: that many times the target, more for small targets
 
 
@@ -46,6 +50,9 @@ class Stats:
     truncations: int = 0
     rounds: int = 0
     seconds: float = 0.0
+    batch_size: int = 0
+    tokens_per_record: float = 0.0
+    scenarios: list[str] = field(default_factory=list)
     rejected: dict[str, int] = field(default_factory=dict)
 
     @property
@@ -61,10 +68,10 @@ class Stats:
 
 
 def _response_schema() -> str:
-    return "slot_id long, record string, repaired long, fault string"
+    return "slot_id long, record string, repaired long, fault string, tokens double"
 
 
-def _asker(table: Table, provider: Provider, feedback: list[str]):
+def _asker(table: Table, provider: Provider, feedback: list[str], avoid: dict[str, list[str]]):
     """One batch of slots -> one row a slot: the assembled record as JSON, or the fault of its response."""
 
     def run(batch: pd.DataFrame) -> pd.DataFrame:
@@ -72,17 +79,19 @@ def _asker(table: Table, provider: Provider, feedback: list[str]):
         for r in batch.sort_values("slot_id").itertuples():
             plan = json.loads(r.plan)
             todo.append({"slot_id": int(r.slot_id), "fixed": plan.get("fixed") or {}, "refs": plan.get("refs") or {}, "nulls": plan.get("nulls") or [], "scenario": plan.get("scenario"), "edge_case": plan.get("edge_case")})
-        records, whole = salvage(provider.respond(table, todo, feedback))
+        text = provider.respond(table, todo, feedback, avoid)
+        records, whole = salvage(text)
+        tokens = len(text) / 4 / len(records) if whole and records else None  # four characters a token
         fault = None if whole else "truncated" if records else "refused"
         out, seen = [], set()
         pairs, lost = matched(todo, records)
         for slot, record in pairs:
-            text, repaired = assemble(table, slot, record)
+            done, repaired = assemble(table, slot, record)
             seen.add(slot["slot_id"])
-            out.append((slot["slot_id"], text, repaired, fault))
-        out += [(s["slot_id"], None, 0, fault or "missing") for s in todo if s["slot_id"] not in seen]
-        out += [(None, None, n, reason) for reason, n in lost.items()]  # counted only
-        return pd.DataFrame(out, columns=["slot_id", "record", "repaired", "fault"])
+            out.append((slot["slot_id"], done, repaired, fault, tokens))
+        out += [(s["slot_id"], None, 0, fault or "missing", None) for s in todo if s["slot_id"] not in seen]
+        out += [(None, None, n, reason, None) for reason, n in lost.items()]  # counted only
+        return pd.DataFrame(out, columns=["slot_id", "record", "repaired", "fault", "tokens"])
 
     return run
 
@@ -108,6 +117,32 @@ def assemble(table: Table, slot: dict[str, Any], record: Any) -> tuple[str, int]
     return json.dumps(out, default=str), repaired
 
 
+class _Recent:
+    """The last values of the fields that should not repeat: those named, and unique text."""
+
+    def __init__(self, table: Table, have: DataFrame, seed: int | None):
+        unique = [f.name for f in table.provided if f.unique and f.type in ("string", "text", "email", "url")]
+        self.seed, self.held = seed, {k: deque(maxlen=RECENT) for k in dict.fromkeys([*table.diversity.avoid_repeats, *unique])}
+        self.add(have)
+
+    def add(self, rows: DataFrame) -> None:
+        for r in rows.select(*(F.col(f"`{k}`").cast("string") for k in self.held)).limit(RECENT).collect() if self.held else ():
+            for k, v in zip(self.held, r, strict=True):
+                if v is not None:
+                    self.held[k].append(v)
+
+    def shown(self, number: int) -> dict[str, list[str]]:
+        pick = random.Random(f"{self.seed}|avoid|{number}")
+        return {k: pick.sample(list(v), min(AVOIDED, len(v))) for k, v in self.held.items() if v}
+
+
+def _batch_size(table: Table, settings: Settings, stats: Stats) -> int:
+    size = stats.batch_size or table.batch_size
+    if stats.tokens_per_record:
+        size = min(size, int(FILL * settings.max_tokens / stats.tokens_per_record))
+    return max(1, size)
+
+
 def _planned(slots: DataFrame, table: Table) -> DataFrame:
     """``(slot_id, plan)``: the plan as JSON."""
     fixed = [F.col(c).alias(c[7:]) for c in slots.columns if c.startswith("_fixed_")]
@@ -147,6 +182,9 @@ def generate_table(spark: SparkSession, table: Table, settings: Settings, store:
     seed, rejected, stalls = settings.seed, Counter(stats.rejected), 0
     parent_specs = {f.name: f for f in table.refs}
     checked = replace(table, fields=table.where(lambda f: not f.generator))
+    scenarios = scenarios or stats.scenarios or planned_scenarios(table, provider, log)
+    stats.scenarios = list(scenarios)
+    recent = _Recent(table, store.load(table), seed)
     while stats.accepted < target:
         missing = target - stats.accepted
         rate = max(LEAST_ACCEPTANCE, stats.acceptance) if stats.returned >= KNOWN_AFTER else 1.0
@@ -159,10 +197,10 @@ def generate_table(spark: SparkSession, table: Table, settings: Settings, store:
         quotas = {k: _stretched(v, n) for k, v in deficits.items()}
         number = stats.rounds
         slots = written(planning.plan(spark, table, stats.asked, n, seed, parents, quotas, scenarios), "slots")  # read three times
-        slots = slots.withColumn("_batch", F.floor((F.col("slot_id") - stats.asked) / table.batch_size))
+        slots = slots.withColumn("_batch", F.floor((F.col("slot_id") - stats.asked) / _batch_size(table, settings, stats)))
         feedback = [k for k, _ in rejected.most_common(5)]
         plans = _planned(slots, table)
-        asked = plans.repartition(settings.concurrency, "_batch").groupBy("_batch").applyInPandas(_asker(table, provider, feedback), _response_schema())
+        asked = plans.repartition(settings.concurrency, "_batch").groupBy("_batch").applyInPandas(_asker(table, provider, feedback, recent.shown(number)), _response_schema())
         raw = f"{store.table_path(table.name)}/responses={number}"
         asked.write.mode("overwrite").parquet(raw)
         answers = spark.read.schema(_response_schema()).parquet(raw)
@@ -185,7 +223,7 @@ def generate_table(spark: SparkSession, table: Table, settings: Settings, store:
         final = _finished(taken, table, seed, stats.accepted)
         first = final.count()
         own = F.when(F.col("slot_id").isNotNull(), F.col("repaired"))
-        counts = answers.agg(F.count_if(F.col("record").isNotNull()), F.coalesce(F.sum(own), F.lit(0)), F.count_if(F.col("fault") == "refused"), F.count_if(F.col("fault") == "truncated")).first()
+        counts = answers.agg(F.count_if(F.col("record").isNotNull()), F.coalesce(F.sum(own), F.lit(0)), F.count_if(F.col("fault") == "refused"), F.count_if(F.col("fault") == "truncated"), F.avg("tokens")).first()
         for r in answers.where("slot_id IS NULL").groupBy("fault").agg(F.sum("repaired").alias("n")).collect():  # two reasons at most
             rejected[r.fault] += r.n
             stats.returned += r.n
@@ -197,6 +235,10 @@ def generate_table(spark: SparkSession, table: Table, settings: Settings, store:
         stats.repaired += counts[1]
         stats.refusals += counts[2]
         stats.truncations += counts[3]
+        if counts[3]:
+            stats.batch_size = max(1, int(SHRINK * (stats.batch_size or table.batch_size)))
+        if counts[4]:
+            stats.tokens_per_record = KEEP * stats.tokens_per_record + (1 - KEEP) * counts[4] if stats.tokens_per_record else counts[4]
         stats.asked += n
         stats.rounds += 1
         stats.accepted += first
@@ -205,6 +247,7 @@ def generate_table(spark: SparkSession, table: Table, settings: Settings, store:
         stalls = 0 if first else stalls + 1
         store.append(table.name, final, number, store.state(table.name) | {"stats": asdict(stats), "target": target, "seed": seed})
         judged.unpersist()
+        recent.add(final)
         log(f"{table.name}: {stats.accepted}/{target} after round {number}, acceptance {stats.acceptance:.0%}")
     return stats
 

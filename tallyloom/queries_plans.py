@@ -110,7 +110,7 @@ def _refused(tables: dict) -> str:
     return ""
 
 
-@query("SELECT * FROM (VALUES ('suit', '{\"enum\":[\"acorns\",\"bells\",\"leaves\"]}'), ('value', '{\"maximum\":14,\"minimum\":2,\"type\":\"integer\"}'), ('note', '{\"type\":\"string\"}'), ('id', '{\"type\":\"string\"}'), ('token', '{\"format\":\"uuid\",\"type\":\"string\"}'), ('*', '{\"depth\":1,\"enum_values\":3,\"objects\":1,\"properties\":5,\"unions\":0}')) t(field, schema)")
+@query("SELECT * FROM (VALUES ('suit', '{\"enum\":[\"acorns\",\"bells\",\"leaves\"]}'), ('value', '{\"maximum\":14,\"minimum\":2,\"type\":\"integer\"}'), ('note', '{\"type\":\"string\"}'), ('id', '{\"type\":\"string\"}'), ('token', '{\"format\":\"uuid\",\"type\":\"string\"}'), ('*', '{\"depth\":1,\"enum_values\":3,\"objects\":1,\"optional\":0,\"properties\":5,\"unions\":0}')) t(field, schema)")
 def compiled_json_schema(spark, sf_dir):
     """JSON Schema of finished records, and its size."""
     full = spec.full_schema(spec.from_dict(_cards()).tables[0])

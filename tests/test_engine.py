@@ -126,6 +126,28 @@ def test_generation_with_a_misbehaving_provider(spark, tmp_path):
     assert rigs.count("sloop") == 16 and len({r.beacon for r in rows.values()}) == 32
 
 
+def test_batches_shrink_values_are_avoided_scenarios_planned(spark, tmp_path):
+    class Watched(OfflineProvider):
+        """Cuts the answers of large batches, and writes down what it is shown."""
+
+        def respond(self, table, slots, feedback, avoid):
+            text = super().respond(table, slots, feedback, avoid)
+            with open(self.path, "a", encoding="utf-8") as f:
+                f.write(json.dumps([len(slots), sorted({s["scenario"] for s in slots}), avoid]) + "\n")
+            return text[: int(0.7 * len(text))] if len(slots) > 6 else text
+
+    document = BOATS | {"count": 30, "diversity": {"scenarios": 3, "avoid_repeats": ["rig"]}}
+    provider = Watched(5)
+    provider.path = str(tmp_path / "log")
+    tables, stats = generate.generate_dataset(spark, spec.from_dict(document), str(tmp_path / "out"), provider)
+    calls = [json.loads(x) for x in open(provider.path, encoding="utf-8")]
+    done = stats["boats"]
+    assert tables["boats"].count() == 30 and done.truncations and done.batch_size < 9 and done.tokens_per_record > 10
+    assert max(c[0] for c in calls) == 9 and min(c[0] for c in calls) < 9
+    assert len(done.scenarios) == 3 and {s for c in calls for s in c[1]} == set(done.scenarios)
+    assert not calls[0][2] and {"rig", "motto"} == calls[-1][2].keys() and len(calls[-1][2]["motto"]) <= 40
+
+
 def test_two_tables(spark, tmp_path):
     document = {
         "seed": 5,
