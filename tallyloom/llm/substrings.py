@@ -31,6 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.shared import shuffle_files_go
 from .store import Scratch
 
 LENGTH = 50
@@ -42,6 +43,7 @@ SHARD_BYTES = 1 << 16
 MERGE_BYTES = 2 << 20  # of segments merged at a time, the last hash's to its end
 HOT_SEGMENTS = 50_000  # different segments of a hash; with more, its windows are dealt by a second hash
 NO_ID = 2**63 - 1
+SEED = 42  # of Spark's xxhash64
 _A, _B, _C = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9))
 
 
@@ -134,7 +136,8 @@ def _slice_bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def bit_table(hashes: DataFrame) -> bytes:
     """The bit table of ``hashes(hash)``, put together from slices of fixed size."""
     piece = F.shiftrightunsigned("hash", 64 - SLICES.bit_length() + 1)
-    parts = hashes.select("hash").repartition(SLICES, piece).mapInArrow(_slice_bits, "slice int, bits binary").collect()
+    with shuffle_files_go(hashes.sparkSession):
+        parts = hashes.select("hash").repartition(SLICES, piece).mapInArrow(_slice_bits, "slice int, bits binary").collect()
     table, per = bytearray((1 << TABLE_BITS) // 8), (1 << TABLE_BITS) // 8 // SLICES
     for p in parts:
         table[p.slice * per : (p.slice + 1) * per] = p.bits
@@ -148,15 +151,17 @@ def shared_table(docs: DataFrame, length: int = LENGTH) -> bytes:
 
 
 def _segments(table, length: int, with_bytes: bool):
-    """``(doc, start, n, hash, k1)`` for runs of windows whose hash is in the table, or ``(hash, k1, doc, segment)``.
+    """``(doc, th, start, n, hash, k1)`` for runs of windows whose hash is in the table, or ``(hash, k1, doc, segment)``.
 
-    ``k1`` hashes the whole segment; with the least hash of its windows it makes a key of 128 bits.
+    ``th`` is the text's hash, as Spark's ``xxhash64`` gives it, which tells texts of one id apart.  ``k1`` hashes the whole segment; with the least hash of its windows it makes a key of 128 bits.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = np.frombuffer(table.value, np.uint8)
         for b in batches:
             doc, texts = b.column(0).to_numpy(), _bytes(b.column(1))
+            if not with_bytes:
+                th = np.array([xxhash.xxh64_intdigest(t, SEED) for t in texts], np.uint64).view(np.int64)
             for number, start, count, m in _runs(texts, length):
                 at = (m >> np.uint64(64 - TABLE_BITS)).astype(np.int64)
                 hit = bits[at >> 3] >> (at & 7) & 1 == 1
@@ -171,8 +176,8 @@ def _segments(table, length: int, with_bytes: bool):
                     cols = [pa.array(h[order]), pa.array(k1[order]), pa.array(own[order]), pa.array([seg[i] for i in order.tolist()], pa.binary())]
                     yield pa.RecordBatch.from_arrays(cols, ["hash", "k1", "doc", "segment"])
                 else:
-                    cols = [pa.array(own), pa.array(start), pa.array(count), pa.array(h), pa.array(k1)]
-                    yield pa.RecordBatch.from_arrays(cols, ["doc", "start", "n", "hash", "k1"])
+                    cols = [pa.array(own), pa.array(th[number]), pa.array(start), pa.array(count), pa.array(h), pa.array(k1)]
+                    yield pa.RecordBatch.from_arrays(cols, ["doc", "th", "start", "n", "hash", "k1"])
 
     return run
 
@@ -348,13 +353,13 @@ def dedup(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col
     doc = F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID))
     own = docs.select(doc.alias("doc"), F.col(text_col).alias("text"))
     table = spark.sparkContext.broadcast(shared_table(own, length))
-    seen = own.mapInArrow(_segments(table, length, False), "doc long, start long, n long, hash long, k1 long")
+    seen = own.mapInArrow(_segments(table, length, False), "doc long, th long, start long, n long, hash long, k1 long")
     seen = scratch.save(seen, "segments")
     strings = scratch.save(seen.groupBy("hash", "k1").agg(F.min("doc").alias("doc")), "strings")
-    several = strings.groupBy("hash").agg(F.count("*").alias("n"))
-    alone = strings.join(several.where("n = 1"), "hash").select(F.col("hash").alias("_hash"), F.col("k1").alias("_k1"), F.array("doc").alias("least"))
-    alone = scratch.save(alone, "alone")  # one segment has that hash: all its windows are its least document's
-    several = scratch.save(several.where("n > 1"), "several")
+    counted = strings.groupBy("hash").agg(F.count("*").alias("n"), F.min("k1").alias("k1"), F.min("doc").alias("doc"))
+    counted = scratch.save(counted, "counted")
+    alone = counted.where("n = 1").select(F.col("hash").alias("_hash"), F.col("k1").alias("_k1"), F.array("doc").alias("least"))  # all windows are its least document's
+    several = counted.where("n > 1")
     mixed = spark.sparkContext.broadcast(bit_table(several))
     scratch.drop(strings)
     pieces = own.mapInArrow(_segments(mixed, length, True), "hash long, k1 long, doc long, segment binary")
@@ -371,12 +376,13 @@ def dedup(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col
         back = each.join(lone, (F.col("hash") == F.col("_h")) & (F.col("own") == F.col("_own"))).groupBy("hash", "k1").agg(F.array_sort(F.collect_list(F.struct("i", "_least"))).alias("all"))
         least = least.unionByName(back.select(F.col("hash").alias("_hash"), F.col("k1").alias("_k1"), F.col("all._least").alias("least")))
     least = scratch.save(least, "least")
-    scratch.drop(alone)
+    scratch.drop(counted)
     hit = seen.join(least, (F.col("hash") == F.col("_hash")) & (F.col("k1") == F.col("_k1")))
     each = F.expr("aggregate(sequence(0, size(least) - 1), 0L, (m, j) -> m | CASE WHEN least[j] < doc THEN shiftleft(1L, j) ELSE 0L END)")
     mask = F.when(F.size("least") > 1, each).when(F.col("least")[0] < F.col("doc"), F.expr("shiftleft(1L, CAST(n AS INT)) - 1")).otherwise(F.lit(0))
-    spans = hit.select("doc", "start", mask.alias("mask")).where("mask <> 0").groupBy(F.col("doc").alias("_doc")).agg(F.collect_set(F.struct("start", "mask")).alias("spans"))
+    spans = hit.select("doc", "th", "start", mask.alias("mask")).where("mask <> 0").groupBy(F.col("doc").alias("_doc"), F.col("th").alias("_th")).agg(F.collect_list(F.struct("start", "mask")).alias("spans"))
     spans = scratch.save(spans, "spans")
     scratch.drop(seen, least)
-    rows = docs.select(F.col(id_col).alias("id"), doc.alias("doc"), F.col(text_col).alias("text")).join(spans, F.col("doc") == F.col("_doc"), "left")
+    rows = docs.select(F.col(id_col).alias("id"), doc.alias("doc"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    rows = rows.join(spans, (F.col("doc") == F.col("_doc")) & (F.xxhash64("text") == F.col("_th")), "left")
     return rows.select("id", "text", "spans").mapInArrow(_kept(length, with_text), f"id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")

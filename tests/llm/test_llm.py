@@ -122,6 +122,14 @@ def brute_substrings(rows, length):
     return Counter(out)
 
 
+def test_substrings_of_one_id_with_several_texts(spark):
+    rng = random.Random(71)
+    a, b = letters(rng, 90, 90), letters(rng, 200, 200)
+    rows = [(1, a), (1, b), (1, a + b), (0, b[100:]), (2, None), (2, a[:60]), (2, a[:60]), (None, a), (None, b[:70])]
+    got = substrings.dedup(spark, spark.createDataFrame(rows, "doc_id long, text string"))
+    assert Counter((r.id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got.collect()) == brute_substrings(rows, 50)
+
+
 def test_substrings(spark, docs):
     got = substrings.dedup(spark, docs)
     assert Counter((r.id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got.collect()) == brute_substrings(rows_of(docs), 50)
