@@ -7,8 +7,9 @@ and none backs up, so time is linear in the text however long its runs are.
 
 Kinds ``email ip card phone`` are the base: leftmost non-overlapping matches of the public patterns below, then
 validated.  The method adds ``account`` (an IBAN that passes mod 97, or an identifier of at least five digits after a
-cue), and ``address`` (an e-mail or host address inside a URI, scheme and user part included).  Added spans never
-remove or change base spans.
+cue), ``address`` (an e-mail or host address inside a URI, scheme and user part included), and ``secret`` (what is
+assigned to a password, or a long run of mixed letters and digits behind the name of a key or token).  Added spans
+never remove or change base spans.
 
 Rules for odd rows: a null text is an empty one; an empty text has no spans; offsets are code points, end exclusive;
 equal rows get equal spans.
@@ -27,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 BASE = ("email", "ip", "card", "phone")
-ADDED = ("account", "address")
+ADDED = ("account", "address", "secret")
 
 # Anchors by role.
 SCHEMES = ("http://", "https://", "ftp://", "sftp://", "ssh://", "mailto:", "sip:", "xmpp:")
@@ -35,6 +36,9 @@ CUES = (
     "account", "acct", "iban", "ssn", "social security", "passport", "licence no", "license no", "tax id", "customer id",
     "member id", "employee id", "konto", "kontonummer", "steuernummer", "compte", "cuenta", "número de cuenta", "dni", "nif",
 )
+SECRETS = ("token", "secret", "api key", "apikey", "api_key", "access key", "access_key", "private key", "private_key", "bearer")
+PASSWORDS = ("password", "passwd", "passphrase", "pwd", "passwort", "kennwort", "mot de passe", "contraseña")
+KEY_LENGTH, KEY_DIGITS = 16, 3  # a key has that many characters at least, and that many of these are digits
 CUE_REACH = 24  # code points between a cue and the identifier that it announces
 ACCOUNT_DIGITS = (5, 34)
 CARD_DIGITS = (13, 19)
@@ -47,6 +51,7 @@ _CHAIN = re.compile(r"[0-9](?:[ -]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+")
 _URI = re.compile(r"[A-Za-z0-9._~%!$&'()*+,;=:@-]+")
 _IDENT = re.compile(r"[A-Za-z0-9](?:[ ./-]?[A-Za-z0-9])*")
+_ASSIGNED = re.compile(r"""["'`\])]{0,2}\s{0,3}(?P<sign>=>|:=|[:=])?\s{0,3}["'`]?(?P<value>[A-Za-z0-9+/_.~=-]+)""")
 _DIGIT = re.compile(r"[0-9]")
 
 
@@ -59,10 +64,26 @@ def anchors() -> ahocorasick.Automaton:
         a.add_word(s, ("scheme", len(s)))
     for c in CUES:
         a.add_word(c, ("cue", len(c)))
+    for c in SECRETS:
+        a.add_word(c, ("secret", len(c)))
+    for c in PASSWORDS:
+        a.add_word(c, ("password", len(c)))
     a.make_automaton()
     return a
 
 
+def _secret(text: str, at: int, password: bool) -> tuple[int, int] | None:
+    """What stands behind the name of a secret: anything assigned to a password, else a run that looks like a key."""
+    m = None if text[at : at + 1].isalnum() else _ASSIGNED.match(text, at)
+    if not m:
+        return None
+    start, value = m.start("value"), m["value"].rstrip(".")
+    if password and m["sign"]:
+        return (start, start + len(value)) if len(value) >= 4 else None
+    digits = sum("0" <= c <= "9" for c in value)
+    return (start, start + len(value)) if len(value) >= KEY_LENGTH and KEY_DIGITS <= digits < len(value) else None
+
+
 def luhn(digits: str) -> bool:
     total = 0
     for i, d in enumerate(map(int, reversed(digits))):
@@ -160,6 +181,9 @@ def spans(text: str | None) -> list[tuple[str, int, int]]:
                 start = last + 1 - size
                 if not found["address"] or found["address"][-1][1] <= start:
                     found["address"].append((start, m.end()))
+        elif role in ("secret", "password"):
+            if (m := _secret(text, last + 1, role == "password")) and (not found["secret"] or found["secret"][-1][1] <= m[0]):
+                found["secret"].append(m)
         elif lower[last + 1 : last + 2].isalpha() or last >= size and lower[last - size].isalpha():
             continue  # a cue inside a longer word
         elif m := _account(text, last + 1):

@@ -301,6 +301,16 @@ def test_vectors(spark):
     assert vectors.near_duplicates(spark, df.where("false")).count() == 0
 
 
+def test_pii_odd_rows(spark):
+    """Empty table, clashing names, repeated rows, a very long text."""
+    long = ("call +1 (555) 123-4567, token=" + "a1" * 20 + " " + "account " * 3) * 20_000
+    rows = [(1, long, 1, "p"), (2, "x", 2, "q"), (2, "x", 2, "q"), (None, None, None, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, spans int, n_email string")
+    got = sorted((str(r.id), r.n_phone, len(r.spans.split(",")) if r.spans else 0) for r in pii.find(df).collect())
+    assert got == [("1", 20_000, 40_000), ("2", 0, 0), ("2", 0, 0), ("None", 0, 0)]
+    assert pii.find(df.where("false")).count() == 0
+
+
 def luhn(d):
     return sum(int(c) if i % 2 == 0 else sum(divmod(2 * int(c), 10)) for i, c in enumerate(reversed(d))) % 10 == 0
 
@@ -321,6 +331,12 @@ def test_pii(spark):
         assert [s for s in pii.spans(t) if s[0] in pii.BASE] == base_spans(t), t
     t = "account no 12345678, IBAN DE89370400440532013000, http://me:pw@host.org/x"
     assert {s[0] for s in pii.spans(t)} >= {"account", "address"} and "12345678" not in pii.redact(t)
+    key = "b44e15e09fd311c3cf3163b66d5a9875b883d8ce"
+    for t in (f'token = "{key}"', f"API_KEY: {key}", f"bearer {key}.", f"the TOKEN {key} is"):
+        assert [t[a:b] for k, a, b in pii.spans(t) if k == "secret"] == [key], t
+    assert pii.redact("password=hunter2 and pwd: x") == "password=[secret] and pwd: x"
+    for t in ("a token of friendship", "the secret ingredient", "tokenisation1234567890 works", "password reset"):
+        assert not [x for x in pii.spans(t) if x[0] == "secret"], t
     df = spark.createDataFrame([(1, None), (2, "a@b.co " * 3), (None, "1" * 5000)], "doc_id long, text string")
     got = {r.id: r for r in pii.find(df).collect()}
     assert got[2].n_email == 3 and got[1].spans == "" and got[None].n_card == 0
@@ -501,6 +517,47 @@ def test_toxicity(spark):
     assert toxicity.fit(docs, labels.where("false")).words == toxicity.Model().words
 
 
+def brute_toxicity(t, model):
+    """The grammar read clause by clause, states written out, without automata."""
+    low, total, most, clauses, hits = (t or "").lower(), 0.0, 0.0, 0, 0
+    for clause in re.split(r"[.!?;:\n]", low):
+        near_n = near_p = 0
+        seen_p = seen_t = threat = reported = matched = False
+        weight, n = 0.0, 0
+        for w in toxicity._WORD.findall(clause):
+            own = max([model.words.get(w, 0.0)] + [model.stems.get(w[:k], 0.0) for k in toxicity.STEMS if len(w) >= k])
+            kind = "I" if own > 0 else next((k for k, c in (("P", toxicity.TARGETS), ("N", toxicity.NEGATIONS), ("R", toxicity.REPORTS), ("T", toxicity.THREATS)) if w in c), "O")
+            factor = 1.0
+            if kind == "I":
+                factor = (0.5 if near_n else 1.0) * (1.25 if near_p else 1.0) * (0.6 if reported else 1.0)
+            near_n = toxicity.REACH if kind == "N" else max(0, near_n - 1)
+            near_p = toxicity.REACH if kind == "P" else max(0, near_p - 1)
+            reported = reported or kind == "R"
+            bonus = 0.0
+            if not threat and (kind == "T" and seen_p or kind == "P" and seen_t):
+                threat, bonus = True, 2.0
+            seen_p, seen_t = (seen_p or kind == "P" and not seen_t), (seen_t or kind == "T" and not seen_p)
+            weight += own * factor + bonus
+            n += own > 0 or bonus > 0
+        if n:
+            total, most, clauses, hits = total + weight, max(most, weight), clauses + 1, hits + n
+        del matched
+    x = [np.log1p(total), np.log1p(most), np.log1p(clauses), np.log1p(1000 * hits / (len(low) + 1))]
+    return 1 / (1 + np.exp(-(model.coef[0] + model.coef[1:] @ np.array(x))))
+
+
+def test_toxicity_equals_the_grammar_read_by_hand(spark):
+    rng = random.Random(73)
+    model = toxicity.Model(words={"zork": 3.0, "blarg": 2.5}, stems={"grun": 2.0}, coef=np.array([-2.0, 0.7, 0.4, 0.3, 0.2]))
+    parts = ["zork", "blarg", "grunty", "you", "not", "said", "kill", "the", "a", "été", ".", "!", "\n", ";", "Zork", "never", "he", "hurt"]
+    rows = [(i, " ".join(rng.choice(parts) for _ in range(rng.randint(0, 25)))) for i in range(400)]
+    rows += [(1000, None), (1001, ""), rows[5], (1002, " ".join(r[1] for r in rows) * 20)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("_text", F.lit(1)).withColumn("_score", F.lit(2))
+    got = sorted((r.doc_id, round(r.own, 9)) for r in toxicity.score(df, model, ["doc_id", "_score"], name="own").collect())
+    assert got == sorted((i, round(float(brute_toxicity(t, model)), 9)) for i, t in rows)
+    assert toxicity.score(df.where("false"), model, ["doc_id"]).count() == 0
+
+
 def test_clauses():
     m = toxicity.Model()
     w = lambda s: toxicity.clause_weight(s, m)[0]
