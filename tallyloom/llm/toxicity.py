@@ -1,9 +1,10 @@
 """Toxicity by a weighted finite-state pattern grammar.
 
-Tokens become symbols (insult, threat, target, negation, report, other); four small transducers over symbols are
-composed into one machine that reads a clause and gives its weight.  An insult counts by its own weight, more when
-aimed at somebody, less when negated, less when the clause reports what someone else said.  A threat counts only with a
-target.  Only matched clauses get weight; an insult alone is a clause of its own weight.  A document's clause weights
+Tokens become symbols (insult, threat, target, negation, report, other); four small transducers are composed, each reading
+what the one before wrote, into one machine that reads a clause and gives its weight.  An insult counts by its own
+weight; a denied one is rewritten and counts less, a quoted one too, and neither can be aimed any more; one that is
+aimed at somebody named before or right behind it counts more.  A threat counts with a target and unless quoted.  Only
+matched clauses get weight; an insult alone is a clause of its own weight.  A document's clause weights
 become four features and a logistic gives its score.
 
 The weights of insult words and stems and the logistic come from labelled training documents: a bounded sample of at
@@ -52,45 +53,61 @@ _CLAUSE_END = re.compile(r"[.!?;:\n]")
 
 
 class Transducer:
-    """Deterministic weighted transducer: ``step(state, symbol) -> (state, factor, bonus)``; 0 is the start."""
-
-    def __init__(self, arcs: dict[tuple[int, str], tuple[int, float, float]], decay: int = 0):
-        self.arcs, self.decay = arcs, decay
-
-    def step(self, state: int, symbol: str) -> tuple[int, float, float]:
-        if (hit := self.arcs.get((state, symbol))) is not None:
-            return hit
-        return (max(0, state - 1) if self.decay else state), 1.0, 0.0
-
-
-def _near(opener: str, acts_on: str, factor: float, bonus: float) -> Transducer:
-    """After ``opener`` the next ``REACH`` tokens of class ``acts_on`` are weighted; the state counts down."""
-    arcs = {(s, opener): (REACH, 1.0, 0.0) for s in range(REACH + 1)}
-    arcs |= {(s, acts_on): (s - 1, factor, bonus) for s in range(1, REACH + 1)}
-    return Transducer(arcs, decay=1)
-
-
-#: Insults pass with their weight; the others change what passes.
-NEGATION = _near("N", "I", 0.5, 0.0)
-AIM = _near("P", "I", 1.25, 0.0)
-MENACE = Transducer({(0, "P"): (1, 1.0, 0.0), (0, "T"): (2, 1.0, 0.0), (1, "T"): (3, 1.0, 2.0), (2, "P"): (3, 1.0, 2.0)})
-REPORT = Transducer({(0, "R"): (1, 1.0, 0.0), (1, "I"): (1, 0.6, 0.0)})
+    """Deterministic weighted transducer: ``step(state, symbol) -> (state, symbol written, factor, bonus)``; 0 is the start.
+
+    Symbols without an arc are written as they were read; states that ``fade`` count down then.
+    """
+
+    def __init__(self, arcs: dict[tuple[int, str], tuple[int, str, float, float]], fade: bool = False):
+        self.arcs, self.fade = arcs, fade
+
+    def step(self, state: int, symbol: str) -> tuple[int, str, float, float]:
+        hit = self.arcs.get((state, symbol))
+        return hit if hit is not None else (max(0, state - 1) if self.fade else state, symbol, 1.0, 0.0)
+
+
+_OPEN = range(1, REACH + 1)  # states in which something still acts
+
+#: An insult (I) soon behind a negation (N) is denied: it is written as D and weighs half.
+NEGATION = Transducer({(s, "N"): (REACH, "N", 1.0, 0.0) for s in range(REACH + 1)} | {(s, "I"): (s - 1, "D", 0.5, 0.0) for s in _OPEN}, fade=True)
+#: An insult or threat (T) behind a word of reporting (R) is quoted: Q and a lesser weight, or no threat of the writer's (q).
+REPORT = Transducer({(0, "R"): (1, "R", 1.0, 0.0), (1, "I"): (1, "Q", 0.6, 0.0), (1, "D"): (1, "Q", 0.6, 0.0), (1, "T"): (1, "q", 1.0, 0.0)})
+#: An insult that is neither denied nor quoted is aimed (A) if somebody (P) is named shortly before it, or right behind it.
+AIM = Transducer(
+    {(s, "P"): (REACH, "P", 1.0, 0.0) for s in range(REACH + 1)}
+    | {(s, "I"): (s - 1, "A", 1.25, 0.0) for s in _OPEN}
+    | {(0, "I"): (REACH + 2, "I", 1.0, 0.0), (REACH + 1, "I"): (REACH + 2, "I", 1.0, 0.0), (REACH + 2, "I"): (REACH + 2, "I", 1.0, 0.0)}
+    | {(REACH + 2, "P"): (REACH, "A", 1.0, 0.5), (REACH + 1, "P"): (REACH, "A", 1.0, 0.5)}
+    | {(REACH + 2, x): (REACH + 1, x, 1.0, 0.0) for x in "ODNRTQq"}
+    | {(REACH + 1, x): (0, x, 1.0, 0.0) for x in "ODNRTQq"},
+    fade=True,
+)
+#: A threat counts once a clause, with somebody named anywhere in it; aimed insults name somebody too.
+MENACE = Transducer(
+    {(0, x): (1, x, 1.0, 0.0) for x in "PA"}
+    | {(0, "T"): (2, "T", 1.0, 0.0), (1, "T"): (3, "M", 1.0, 2.0)}
+    | {(2, x): (3, "M", 1.0, 2.0) for x in "PA"}
+)
 
 
 def compose(*parts: Transducer):
-    """The product machine, its states made as they are met."""
+    """The chain as one machine: each part reads what the one before wrote; states are made as they are met."""
     made: dict[tuple, tuple] = {}
 
     def step(state: tuple, symbol: str) -> tuple[tuple, float, float]:
         if (hit := made.get((state, symbol))) is None:
-            steps = [p.step(s, symbol) for p, s in zip(parts, state, strict=True)]
-            made[state, symbol] = hit = (tuple(s for s, _, _ in steps), math.prod(f for _, f, _ in steps), sum(b for _, _, b in steps))
+            now, factor, bonus, read = [], 1.0, 0.0, symbol
+            for part, own in zip(parts, state, strict=True):
+                own, read, f, b = part.step(own, read)
+                now.append(own)
+                factor, bonus = factor * f, bonus + b
+            made[state, symbol] = hit = (tuple(now), factor, bonus)
         return hit
 
     return step, (0,) * len(parts)
 
 
-_STEP, _START = compose(NEGATION, AIM, MENACE, REPORT)
+_STEP, _START = compose(NEGATION, REPORT, AIM, MENACE)
 _CLOSED = {w: s for s, words in (("P", TARGETS), ("N", NEGATIONS), ("R", REPORTS), ("T", THREATS)) for w in words}
 
 

@@ -518,30 +518,47 @@ def test_toxicity(spark):
 
 
 def brute_toxicity(t, model):
-    """The grammar read clause by clause, states written out, without automata."""
+    """The grammar read clause by clause by its rules in words, without transducers."""
     low, total, most, clauses, hits = (t or "").lower(), 0.0, 0.0, 0, 0
     for clause in re.split(r"[.!?;:\n]", low):
-        near_n = near_p = 0
-        seen_p = seen_t = threat = reported = matched = False
+        denial = near = after = threats = 0  # words for which a negation or a target still acts, and an insult waits for one
+        named = reported = threatened = False
         weight, n = 0.0, 0
         for w in toxicity._WORD.findall(clause):
             own = max([model.words.get(w, 0.0)] + [model.stems.get(w[:k], 0.0) for k in toxicity.STEMS if len(w) >= k])
             kind = "I" if own > 0 else next((k for k, c in (("P", toxicity.TARGETS), ("N", toxicity.NEGATIONS), ("R", toxicity.REPORTS), ("T", toxicity.THREATS)) if w in c), "O")
-            factor = 1.0
-            if kind == "I":
-                factor = (0.5 if near_n else 1.0) * (1.25 if near_p else 1.0) * (0.6 if reported else 1.0)
-            near_n = toxicity.REACH if kind == "N" else max(0, near_n - 1)
-            near_p = toxicity.REACH if kind == "P" else max(0, near_p - 1)
+            factor, bonus, aimed = 1.0, 0.0, False
+            denied, quoted = kind == "I" and denial > 0, kind in "IT" and reported
+            denial = toxicity.REACH if kind == "N" else max(0, denial - 1)
             reported = reported or kind == "R"
-            bonus = 0.0
-            if not threat and (kind == "T" and seen_p or kind == "P" and seen_t):
-                threat, bonus = True, 2.0
-            seen_p, seen_t = (seen_p or kind == "P" and not seen_t), (seen_t or kind == "T" and not seen_p)
+            free = kind == "I" and not denied and not quoted
+            if kind == "I":
+                factor = (0.5 if denied else 1.0) * (0.6 if quoted else 1.0)
+            if kind == "P":
+                if after:
+                    aimed, bonus = True, 0.5
+                near, after = toxicity.REACH, 0
+            elif free and near:
+                aimed, factor, near = True, factor * 1.25, near - 1
+            elif free:
+                after = 2
+            elif after:
+                after -= 1
+            else:
+                near = max(0, near - 1)
+            if not threatened and kind == "T" and not quoted:
+                if named:
+                    threatened, bonus = True, bonus + 2.0
+                else:
+                    threats = 1
+            elif not threatened and (kind == "P" or aimed):
+                if threats:
+                    threatened, bonus = True, bonus + 2.0
+                named = True
             weight += own * factor + bonus
             n += own > 0 or bonus > 0
         if n:
             total, most, clauses, hits = total + weight, max(most, weight), clauses + 1, hits + n
-        del matched
     x = [np.log1p(total), np.log1p(most), np.log1p(clauses), np.log1p(1000 * hits / (len(low) + 1))]
     return 1 / (1 + np.exp(-(model.coef[0] + model.coef[1:] @ np.array(x))))
 
@@ -558,10 +575,30 @@ def test_toxicity_equals_the_grammar_read_by_hand(spark):
     assert toxicity.score(df.where("false"), model, ["doc_id"]).count() == 0
 
 
+def test_operators_pass_over_clashing_columns(spark, docs):
+    """Extra columns with the names that operators use themselves change nothing."""
+    names = ["doc", "th", "k1", "k2", "fp", "head", "row", "payload", "sha", "x", "mult", "cid", "words", "times", "n_bytes", "score", "piece", "item", "length", "bin", "base_score", "n", "hash", "start", "text_", "no", "component_id", "node", "root"]
+    wide = docs.select("*", *(F.lit(7).alias(n) for n in names))
+    for run in (
+        lambda d: packing.pack(spark, d, tokenizer_path(), 64).drop("sequence_id", "offset"),
+        lambda d: substrings.dedup(spark, d, with_text=False),
+        lambda d: simhash.near_duplicates(spark, d),
+        lambda d: pii.find(d),
+        lambda d: lm.score(spark, d),
+    ):
+        plain, extra = (Counter(str(r) for r in run(d).collect()) for d in (docs, wide))
+        assert plain == extra
+    pages = spark.createDataFrame([(1, "u", "<p>", 1), (2, "v", "<p>", 2)], "page_id long, url string, html string, payload int").selectExpr("*", "1 AS sha", "2 AS last", "3 AS n")
+    assert sorted((r.page_id, r.record_type) for r in warc.archive(spark, pages)[0].collect()) == [("1", "revisit"), ("2", "response")]
+    vecs = spark.createDataFrame([(1, [1.0, 0.0], 0, 5), (2, [1.0, 0.001], 0, 6)], "vec_id long, embedding array<float>, label int, x int").selectExpr("*", "1 AS v", "2 AS cell", "3 AS id")
+    assert sorted((r.id, r.n_links) for r in vectors.near_duplicates(spark, vecs).collect()) == [(1, 1), (2, 1)]
+
+
 def test_clauses():
     m = toxicity.Model()
     w = lambda s: toxicity.clause_weight(s, m)[0]
     assert w("you idiot") > w("idiot") > w("not an idiot") > 0 and w("he said idiot") < w("idiot") and w("kill the process") == 0 and w("i will kill you") > 0
+    assert w("idiot you") > w("idiot") and w("not you idiot") < w("you idiot") and w("somebody wrote kill you") == 0
 
 
 def brute_lines(rows):
