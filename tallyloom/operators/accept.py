@@ -66,6 +66,12 @@ def numbered(df: DataFrame, order: str, start: int = 1) -> DataFrame:
     return out.withColumn("_number", (F.col("_before") + F.col("_inside") + start).cast("long")).drop("_part", "_inside", "_before")
 
 
+def orphans(df: DataFrame, column: str, parents: DataFrame, key: str) -> DataFrame:
+    """Rows whose reference, if not null, no parent has."""
+    known = parents.select(F.col(f"`{key}`").alias("_parent_key")).distinct()
+    return df.where(F.col(f"`{column}`").isNotNull()).join(known, F.col(f"`{column}`") == F.col("_parent_key"), "left_anti")
+
+
 def content_hash(df: DataFrame, table: Table) -> Column:
     """Hash of what the provider wrote itself: neither coded nor sampled nor stratified fields."""
     own = [f for f in table.provided if not f.distribution and not f.stratify]

@@ -281,11 +281,25 @@ def _json_path(name: str) -> str:
 
 
 def as_records(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
-    """``_record``: each row as a variant; nulls stay keys, so a null differs from an absent key only in JSON sources."""
-    cols = F.struct(*(F.col(f"`{c}`").alias(c) for c in columns or df.columns))
+    """``_record``: each row as a variant; nulls stay keys, so a null differs from an absent key only in JSON sources.
+
+    Values go over as they are; only rows with dates and the like, or with maps, take the way through JSON text.
+    """
+    names = columns or df.columns
+    cols = F.struct(*(F.col(f"`{c}`").alias(c) for c in names))
+    if all(_plain(df.schema[c].dataType) for c in names):
+        return df.withColumn("_record", F.to_variant_object(cols))
     return df.withColumn("_record", F.parse_json(F.to_json(cols, {"ignoreNullFields": "false"})))
 
 
+def _plain(kind: T.DataType) -> bool:
+    if isinstance(kind, T.StructType):
+        return bool(kind.fields) and all(_plain(f.dataType) for f in kind.fields)
+    if isinstance(kind, T.ArrayType):
+        return _plain(kind.elementType)
+    return isinstance(kind, T.StringType | T.IntegralType | T.DoubleType | T.BooleanType)
+
+
 def validate(records: DataFrame, table: Table, parents: dict[str, tuple[Column, T.StructType]] | None = None) -> DataFrame:
     """``records`` with a ``_record`` variant -> its other columns, the table's typed fields and ``_errors``.
 

@@ -281,8 +281,10 @@ def fk_zipf(spark, sf_dir):
 
 @query("SELECT o_orderkey FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_nationkey <> 3)")
 def fk_integrity(spark, sf_dir):
+    from .operators.accept import orphans
+
     parents = table(spark, sf_dir, "customer").where("c_nationkey <> 3")
-    return table(spark, sf_dir, "orders").join(parents, F.col("o_custkey") == F.col("c_custkey"), "left_anti").select("o_orderkey")
+    return orphans(table(spark, sf_dir, "orders"), "o_custkey", parents, "c_custkey").select("o_orderkey")
 
 
 # Validation and acceptance -------------------------------------------------------------------------------------------
@@ -397,4 +399,4 @@ def conversation_shape(spark, sf_dir):
     return table(spark, sf_dir, "conversations").groupBy("conv_id", "role").agg(F.count("*").alias("turns"), F.max("turn").alias("last_turn"))
 
 
-from . import queries_plans, queries_rules, queries_sources  # noqa: E402, F401  they enter their queries themselves
+from . import queries_plans, queries_rules, queries_runs, queries_sources  # noqa: E402, F401  they enter their queries themselves
