@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -41,3 +43,16 @@ def collapsed(c: Column) -> Column:
 def stripped(c: Column) -> Column:
     """Without Unicode white space at the ends."""
     return F.regexp_replace(c, r"(?U)\A\s+|\s+\z", "")
+
+
+def java_pattern(pattern: str) -> str:
+    """A Python regular expression as Java reads it; what Java cannot express is refused.
+
+    Classes like ``\\w`` are Unicode's in Python, so they are asked to be in Java.
+    """
+    if re.search(r"(?<!\\)\(\?\(", pattern):
+        raise ValueError(f"pattern {pattern!r}: conditional groups are not supported")
+    out = re.sub(r"\(\?P<(\w+)>", lambda m: f"(?<{m[1].replace('_', 'U')}>", pattern)
+    out = re.sub(r"\(\?P=(\w+)\)", lambda m: f"\\k<{m[1].replace('_', 'U')}>", out)
+    out = re.sub(r"(?<!\\)((?:\\\\)*)\\Z", r"\1\\z", out)
+    return "(?U)" + out

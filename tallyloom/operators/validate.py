@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.checks import Compiler, uses_parent
-from ..functions.text import stripped
+from ..functions.text import java_pattern, stripped
 from ..plans.spec import STRINGS, TEMPORALS, Field, Table, temporal_text
 
 # Reasons that rejection counts and feedback are keyed by, and the formats of text types.
@@ -178,7 +178,7 @@ def _string(f: Field, x: _Input, bound: Column | None = None) -> tuple[Column, l
     if f.max_length is not None:
         rules.append((F.length(value) > f.max_length, f"too long (max {f.max_length} characters)"))
     if f.pattern:
-        rules.append((~value.rlike(rf"\A(?:{f.pattern})\z"), f"does not match pattern {f.pattern}"))
+        rules.append((~value.rlike(rf"\A(?:{java_pattern(f.pattern)})\z"), f"does not match pattern {f.pattern}"))
     return value, rules
 
 

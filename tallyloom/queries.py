@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -231,16 +233,33 @@ def sample_exponential(spark, sf_dir):
     return table(spark, sf_dir, "orders").select("o_orderkey", F.round(rng.draw("exponential", {"mean": 5.0}, *_key()), 4).alias("v"))
 
 
-def _bounded_sql() -> str:
-    draws = [f"(40 + 30 * {_z(*_KEY, repr(str(i)))})" for i in range(rng.TRIES)]
-    return "SELECT o_orderkey, round(coalesce(" + ", ".join(f"CASE WHEN {d} >= 18 AND {d} <= 60 THEN {d} END" for d in draws) + f", least(60.0, greatest(18.0, {draws[-1]}))), 4) AS v FROM orders"
+def _poly(x: str, factors: tuple) -> str:
+    out = repr(factors[0])
+    for f in factors[1:]:
+        out = f"({out} * {x} + {f!r})"
+    return out
+
+
+def _inverse_sql(p: str) -> str:
+    tail = lambda q: f"({_poly(f'sqrt(-2 * ln({q}))', rng.TAIL)} / {_poly(f'sqrt(-2 * ln({q}))', rng.TAIL_BELOW)})"
+    x = f"(({p}) - 0.5)"
+    return f"CASE WHEN {p} < {rng.TAIL_FROM} THEN {tail(p)} WHEN {p} > 1 - {rng.TAIL_FROM} THEN -{tail(f'(1 - ({p}))')} ELSE {_poly(f'({x} * {x})', rng.CENTRE)} * {x} / {_poly(f'({x} * {x})', rng.CENTRE_BELOW)} END"
+
 
+# Probabilities below 18 and 60 of a normal of mean 40 and deviation 30.
+_LOW, _HIGH = (0.5 * math.erfc((40 - x) / 30 / math.sqrt(2)) for x in (18, 60))
 
-@query(_bounded_sql())
+
+@query(f"SELECT o_orderkey, round(least(60.0, greatest(18.0, 40 + 30 * ({_inverse_sql('p')}))), 4) AS v FROM (SELECT o_orderkey, {_LOW!r} + {_u(*_KEY)} * {_HIGH - _LOW!r} AS p FROM orders)")
 def sample_bounded_normal(spark, sf_dir):
     return table(spark, sf_dir, "orders").select("o_orderkey", F.round(rng.bounded("normal", {"mean": 40.0, "std": 30.0}, 18, 60, *_key()), 4).alias("v"))
 
 
+@query(f"SELECT o_orderkey, round(-5 * ln(1 - ((1 - exp(-0.4)) + {_u(*_KEY)} * (exp(-0.4) - exp(-2.0)))), 4) AS v FROM orders")
+def sample_bounded_exponential(spark, sf_dir):
+    return table(spark, sf_dir, "orders").select("o_orderkey", F.round(rng.bounded("exponential", {"mean": 5.0}, 2, 10, *_key()), 4).alias("v"))
+
+
 @query(f"SELECT o_orderkey, {_u(*_KEY)} < 0.25 AS is_null FROM orders")
 def sample_nulls(spark, sf_dir):
     return table(spark, sf_dir, "orders").select("o_orderkey", (rng.uniform(*_key()) < 0.25).alias("is_null"))

@@ -1,9 +1,11 @@
 import json
+import re
 
 import pytest
 from pyspark.sql import functions as F
 from test_spec import BOATS
 
+from tallyloom.functions import rng
 from tallyloom.functions.checks import CheckError, Compiler
 from tallyloom.operators import accept, infer, metrics, report, validate
 from tallyloom.plans import generate, slots, spec
@@ -226,6 +228,27 @@ def test_inference(spark):
     assert "comment number" not in json.dumps(doc)
 
 
+def test_patterns_of_another_dialect(spark):
+    from tallyloom.functions.text import java_pattern
+
+    texts = ["ab-ab", "ab-ba", "été-été", "x", "a_b"]
+    for pattern in (r"(?P<a_b>\w+)-(?P=a_b)", r"\w+\Z", r"[a-z]+-\w+"):
+        df = spark.createDataFrame([(t,) for t in texts], "t string")
+        got = [r.ok for r in df.select("t", F.col("t").rlike(rf"\A(?:{java_pattern(pattern)})\z").alias("ok")).collect()]
+        assert got == [re.fullmatch(pattern, t) is not None for t in texts], pattern
+    with pytest.raises(ValueError):
+        java_pattern(r"(a)?(?(1)b|c)")
+
+
+def test_bounded_draws(spark):
+    df = spark.range(20_000)
+    for kind, params, low, high in (("normal", {"mean": 0.0, "std": 1.0}, 4.0, 4.5), ("normal", {"mean": 0.0, "std": 1.0}, None, -6.0), ("lognormal", {"median": 10.0, "sigma": 1.0}, 9.0, 11.0), ("exponential", {"mean": 1.0}, 3.0, None)):
+        r = df.select(rng.bounded(kind, params, low, high, "s", F.col("id")).alias("v")).agg(F.min("v").alias("a"), F.max("v").alias("b"), F.avg("v").alias("m"), F.count_distinct("v").alias("d")).first()
+        assert (low is None or r.a >= low) and (high is None or r.b <= high) and r.d > 19_000, (kind, r)
+    third = df.select((rng.bounded("normal", {"mean": 0.0, "std": 1.0}, 0.0, None, "s", F.col("id")) < 1).cast("double").alias("x")).agg(F.avg("x")).first()[0]
+    assert abs(third - 0.6827) < 0.015
+
+
 def test_acceptance(spark):
     df = spark.createDataFrame([(1, " A  b"), (2, "a B"), (3, None), (4, None), (5, "c")], "s long, v string")
     assert sorted(r.s for r in accept.first_wins(df, ["v"], "s").collect()) == [1, 3, 4, 5]
