@@ -14,7 +14,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .text import stripped
+from .text import java_pattern, stripped
 
 
 class CheckError(ValueError):
@@ -37,6 +37,13 @@ class Value:
         return isinstance(self.kind, T.StringType)
 
 
+class Span(T.DoubleType):
+    """Type of a difference of times, in seconds."""
+
+
+_SPAN = Span()
+#: Keywords of ``timedelta`` in seconds.
+_UNITS = {"weeks": 604800.0, "days": 86400.0, "hours": 3600.0, "minutes": 60.0, "seconds": 1.0, "milliseconds": 1e-3, "microseconds": 1e-6}
 _TEXT, _LONG, _DOUBLE, _BOOL = T.StringType(), T.LongType(), T.DoubleType(), T.BooleanType()
 
 
@@ -142,8 +149,10 @@ class Compiler:
         a, b = self.value(node.left), self.value(node.right)
         if isinstance(node.op, ast.Add) and a.is_text:
             return Value(F.concat(a.col, b.col), _TEXT)
-        if isinstance(node.op, ast.Sub) and isinstance(a.kind, T.DateType):
-            return Value(F.datediff(a.col, b.col), _LONG)
+        if isinstance(a.kind, T.DateType | T.TimestampType) and isinstance(node.op, ast.Add | ast.Sub):
+            return self.moved(a, b, 1 if isinstance(node.op, ast.Add) else -1)
+        if isinstance(a.kind, Span) or isinstance(b.kind, Span):
+            return self.spans(node.op, a, b)
         whole = isinstance(a.kind, T.LongType) and isinstance(b.kind, T.LongType)
         x, y = (a.col, b.col) if whole else (a.col.cast("double"), b.col.cast("double"))
         ops: dict[type, Callable[[], Column]] = {
@@ -159,6 +168,64 @@ class Compiler:
             raise CheckError("unsupported operator")
         return Value(ops[type(node.op)](), _LONG if whole and not isinstance(node.op, ast.Div | ast.Pow) else _DOUBLE)
 
+    @staticmethod
+    def moved(a: Value, b: Value, sign: int) -> Value:
+        """A time with a span added or taken away, or the span between two times."""
+        whole = isinstance(a.kind, T.DateType)
+        if isinstance(b.kind, Span):
+            if whole:  # parts of days do not move a date
+                return Value(F.date_add(a.col, (sign * F.floor(b.col / 86400)).cast("int")), a.kind)
+            return Value(F.timestamp_micros(F.unix_micros(a.col) + sign * F.round(b.col * 1_000_000).cast("long")), a.kind)
+        if sign > 0 or type(a.kind) is not type(b.kind):
+            raise CheckError("only a timedelta can be added to a time")
+        apart = F.datediff(a.col, b.col) * 86400.0 if whole else (F.unix_micros(a.col) - F.unix_micros(b.col)) / 1_000_000
+        return Value(apart.cast("double"), _SPAN)
+
+    @staticmethod
+    def spans(op: ast.AST, a: Value, b: Value) -> Value:
+        x, y = a.col.cast("double"), b.col.cast("double")
+        both = isinstance(a.kind, Span) and isinstance(b.kind, Span)
+        if isinstance(b.kind, T.DateType | T.TimestampType) and isinstance(op, ast.Add):
+            return Compiler.moved(b, a, 1)
+        if isinstance(op, ast.Add | ast.Sub) and both:
+            return Value(x + y if isinstance(op, ast.Add) else x - y, _SPAN)
+        if isinstance(op, ast.Div):
+            return Value(F.try_divide(x, y), _DOUBLE if both else _SPAN)
+        if isinstance(op, ast.Mult) and not both:
+            return Value(x * y, _SPAN)
+        raise CheckError("unsupported operator for a timedelta")
+
+    def on_attribute(self, node: ast.Attribute) -> Value:
+        v = self.value(node.value)
+        if isinstance(v.kind, Span) and node.attr == "days":
+            return Value(F.floor(v.col / 86400), _LONG)
+        if isinstance(v.kind, T.DateType | T.TimestampType) and node.attr in ("year", "month", "day", "hour", "minute", "second"):
+            if isinstance(v.kind, T.DateType) and node.attr in ("hour", "minute", "second"):
+                raise CheckError(f"a date has no '{node.attr}'")
+            return Value(getattr(F, node.attr)(v.col).cast("long"), _LONG)
+        raise CheckError(f"attribute '{node.attr}' is not supported")
+
+    def is_kind(self, node: ast.Call) -> Value:
+        """``isinstance`` by the column's type: known when the check is compiled, but for null."""
+        if len(node.args) != 2:
+            raise CheckError("isinstance takes two arguments")
+        v, kinds = self.value(node.args[0]), node.args[1].elts if isinstance(node.args[1], ast.Tuple) else [node.args[1]]
+        known = {"str": T.StringType, "int": T.LongType | T.BooleanType, "float": T.DoubleType, "bool": T.BooleanType, "list": T.ArrayType, "dict": T.StructType, "date": T.DateType | T.TimestampType, "datetime": T.TimestampType}
+        names = [k.id if isinstance(k, ast.Name) else "" for k in kinds]
+        if unknown := [n for n in names if n not in known]:
+            raise CheckError(f"isinstance of {unknown[0] or 'that'} is not supported")
+        return Value(v.col.isNotNull() & F.lit(any(isinstance(v.kind, known[n]) for n in names)), _BOOL)
+
+    def span(self, node: ast.Call) -> Value:
+        given = [("days", node.args[0])] if len(node.args) == 1 else []
+        given += [(k.arg, k.value) for k in node.keywords]
+        if len(node.args) > 1 or not given or any(k not in _UNITS for k, _ in given):
+            raise CheckError("timedelta takes days or keywords like hours")
+        total = F.lit(0.0)
+        for k, x in given:
+            total = total + self.value(x).col.cast("double") * _UNITS[k]
+        return Value(total, _SPAN)
+
     def on_compare(self, node: ast.Compare) -> Value:
         out, left = None, self.value(node.left)
         for op, right_node in zip(node.ops, node.comparators, strict=True):
@@ -254,6 +321,10 @@ class Compiler:
 
     # calls --------------------------------------------------------------------------------------------------------------
     def on_call(self, node: ast.Call) -> Value:
+        if isinstance(node.func, ast.Name) and node.func.id == "timedelta":
+            return self.span(node)
+        if isinstance(node.func, ast.Name) and node.func.id == "isinstance":
+            return self.is_kind(node)
         if node.keywords:
             raise CheckError("keyword arguments are not supported")
         if isinstance(node.func, ast.Attribute):
@@ -267,13 +338,29 @@ class Compiler:
             raise CheckError(f"function '{name}' is not supported")
         return handler(self, args)
 
+    def matches(self, name: str, args: list[ast.AST]) -> Value:
+        """``re.match``, ``re.search`` and ``re.fullmatch``, as conditions."""
+        around = {"match": ("\\A(?:", ")"), "search": ("", ""), "fullmatch": ("\\A(?:", ")\\z")}
+        if name not in around or len(args) != 2:
+            raise CheckError(f"re.{name} is not supported")
+        head, tail = around[name]
+        return Value(self.value(args[1]).col.rlike(head + _pattern_of(args[0]) + tail), _BOOL)
+
     def method(self, node: ast.Call) -> Value:
         f = node.func
         if isinstance(f.value, ast.Name) and f.value.id in ("date", "datetime") and f.attr == "fromisoformat":
             v = self.value(node.args[0])
             kind = "date" if f.value.id == "date" else "timestamp"
             return Value(v.col.try_cast(kind), T.DateType() if kind == "date" else T.TimestampType())
+        if isinstance(f.value, ast.Name) and f.value.id == "re":
+            return self.matches(f.attr, node.args)
         v, args = self.value(f.value), [self.value(a) for a in node.args]
+        if isinstance(v.kind, Span) and f.attr == "total_seconds" and not args:
+            return Value(v.col, _DOUBLE)
+        if isinstance(v.kind, T.DateType | T.TimestampType) and f.attr in ("date", "weekday", "isoweekday", "isoformat") and not args:
+            day = F.weekday(v.col).cast("long")  # Monday is 0
+            made = {"date": (v.col.cast("date"), T.DateType()), "weekday": (day, _LONG), "isoweekday": (day + 1, _LONG), "isoformat": (F.date_format(v.col, "yyyy-MM-dd" if isinstance(v.kind, T.DateType) else "yyyy-MM-dd'T'HH:mm:ssXXX"), _TEXT)}
+            return Value(*made[f.attr])
         simple = {"lower": F.lower, "upper": F.upper, "strip": F.trim}
         if f.attr in simple and not args:
             return Value(simple[f.attr](v.col), _TEXT)
@@ -289,6 +376,15 @@ class Compiler:
         raise CheckError(f"method '{f.attr}' is not supported")
 
 
+def _pattern_of(node: ast.AST) -> str:
+    if not (isinstance(node, ast.Constant) and isinstance(node.value, str)):
+        raise CheckError("a pattern must be written out")
+    try:
+        return java_pattern(node.value)
+    except ValueError as e:
+        raise CheckError(str(e)) from None
+
+
 def _len(c: Compiler, a: list[Value]) -> Value:
     # arrays and text; the length of None is an error, so null
     return Value((F.when(a[0].col.isNotNull(), F.size(a[0].col)) if a[0].is_array else F.length(a[0].col)).cast("long"), _LONG)

@@ -112,7 +112,9 @@ def write_sqlite(tables: dict[str, DataFrame], specs: dict[str, Table], path: st
     try:
         db.execute("PRAGMA foreign_keys = ON")
         for name in _parents_first(specs, list(tables)):
-            df = flatten(tables[name])
+            df = tables[name]
+            lacking = [f for f in (specs[name].fields if name in specs else []) if f.name not in df.columns]
+            df = flatten(df.select("*", *(F.lit(None).cast(f.spark_type()).alias(f.name) for f in lacking)))
             referenced = {f.target[1] for s in specs.values() for f in s.refs if f.target[0] == name}
             db.execute(ddl(name, specs.get(name), df.dtypes, referenced))
             plain = df.select(*(F.col(f"`{c}`").cast("string").alias(c) if k in ("date", "timestamp") or k.startswith("decimal") else F.col(f"`{c}`") for c, k in df.dtypes))
