@@ -10,7 +10,7 @@ round.  Then gaps shrink and the rest goes into the next round.  New sequences a
 when its volume exceeds the free space, or when nothing fits any more, so a round never opens more than the bound needs.
 
 Every size of input goes through these rounds; only the last ``LAST_ITEMS`` pieces, a constant, are placed by the same rule
-one after the other, for which that many gaps of each size are enough.
+one after the other, for which that many gaps of each size are enough, and never before ``LEAST_SWEEPS`` rounds.
 
 Rules for odd rows: a null text is an empty one; an empty text is one piece of the end token alone; repeated rows and
 repeated or null ids are documents of their own; strings of special tokens in a text are these tokens, as the tokenizer
@@ -41,15 +41,12 @@ from .store import Scratch
 
 CAPACITY = 2048
 END_ID = 0
-CACHE_CHUNKS = 200_000  # bound of a worker's cache of encoded words
-LAST_ITEMS = 64
+LAST_ITEMS, LEAST_SWEEPS = 1_024, 2
 LONG_RUN = 1_000  # blanks in a row that are cut out before the pattern runs, which would recurse over them
 ROWS_A_TASK = 200_000
 
 # Fixed value: the split pattern of byte-level BPE vocabularies.
 PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-#: A blank between blanks, or a last one behind another: such texts are not encoded word by word.
-_ODD_BLANK = re.compile(r"\s \s|\s \Z")
 _BLANKS = r"[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
 _LONG_BLANKS = re.compile(f"{_BLANKS}{{{LONG_RUN},}}")
 
@@ -65,8 +62,8 @@ def _byte_letters() -> dict[str, int]:
 def encoder(path: str) -> Callable[[str], bytes]:
     """``text -> ids`` as little-endian unsigned 32-bit bytes, for the tokenizer file at ``path``.
 
-    Byte-level BPE whose ids are its merge ranks is run by ``tiktoken``, word by word with a bounded cache, which gives
-    the same ids as ``tokenizers``; any other file is run by ``tokenizers``.
+    Byte-level BPE whose ids are its merge ranks is run by ``tiktoken``, which gives the same ids as ``tokenizers`` and is
+    faster; any other file is run by ``tokenizers``.
     """
     with open(path, encoding="utf-8") as f:
         spec = json.load(f)
@@ -80,31 +77,19 @@ def encoder(path: str) -> Callable[[str], bytes]:
     at_special = re.compile("(" + "|".join(map(re.escape, sorted(special, key=len, reverse=True))) + ")") if special else None
     ranks = {bytes(letters[c] for c in token): i for token, i in model["vocab"].items() if token not in special}
     core = tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
-    cache: dict[str, bytes] = {}
 
     def pack(text: str) -> bytes:
         return np.array(core.encode_ordinary(text), "<u4").tobytes()
 
-    def word(chunk: str) -> bytes:
-        got = cache.get(chunk)
-        if got is None:
-            got = pack(" " + chunk)
-            if len(chunk) < 40 and len(cache) < CACHE_CHUNKS:
-                cache[chunk] = got
-        return got
-
     def ordinary(text: str) -> bytes:
-        if len(text) >= LONG_RUN and _LONG_BLANKS.search(text):
-            out, at = [], 0
-            for run in _LONG_BLANKS.finditer(text):  # all but its last blank are one chunk, or all at the text's end
-                end = run.end() - (run.end() < len(text))
-                out += [pack(text[at : run.start()]), blanks(run.string[run.start() : end])]
-                at = end
-            return b"".join([*out, pack(text[at:])])
-        if _ODD_BLANK.search(text):
+        if len(text) < LONG_RUN or not _LONG_BLANKS.search(text):
             return pack(text)
-        first, *rest = text.split(" ")
-        return pack(first) + b"".join(map(word, rest))
+        out, at = [], 0
+        for run in _LONG_BLANKS.finditer(text):  # all but its last blank are one chunk, or all at the text's end
+            end = run.end() - (run.end() < len(text))
+            out += [pack(text[at : run.start()]), blanks(run.string[run.start() : end])]
+            at = end
+        return b"".join([*out, pack(text[at:])])
 
     def blanks(run: str) -> bytes:
         return np.array(core._encode_single_piece(run), "<u4").tobytes()
@@ -225,7 +210,7 @@ def assign(items: DataFrame, scratch: Scratch, capacity: int = CAPACITY, last_it
     own = F.col("length") > capacity // 2  # no two of these share a sequence
     placed = [items.where(own).selectExpr("item", "item AS bin", "0L AS offset")]
     gaps = scratch.save(items.where(own & (F.col("length") < capacity)).selectExpr("item AS bin", f"{capacity}L - length AS gap"), "gaps")
-    pending = scratch.save(items.where(~own), "pending")
+    pending, sweeps = scratch.save(items.where(~own), "pending"), 0
     while True:
         sizes = {r.length: r.n for r in pending.groupBy("length").agg(F.count("*").alias("n")).collect()}  # a row a length
         if not sizes:
@@ -233,7 +218,8 @@ def assign(items: DataFrame, scratch: Scratch, capacity: int = CAPACITY, last_it
         n, least, volume = sum(sizes.values()), min(sizes), sum(k * v for k, v in sizes.items())
         fit = gaps.where(F.col("gap") >= least)
         n_gaps, space = fit.agg(F.count("*"), F.coalesce(F.sum("gap"), F.lit(0))).first()
-        if n <= last_items:
+        sweeps += 1
+        if n <= last_items and sweeps > LEAST_SWEEPS:
             some = fit.withColumn("rank", F.row_number().over(W.partitionBy("gap").orderBy("bin"))).where(F.col("rank") <= last_items)
             rest = some.selectExpr("gap AS size", "0 AS kind", "bin AS id").union(pending.selectExpr("length AS size", "1 AS kind", "item AS id"))
             placed.append(scratch.save(rest.withColumn("all", F.lit(0)).groupBy("all").applyInPandas(_finish(capacity), "item long, bin long, offset long"), "finish"))
