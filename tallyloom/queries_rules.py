@@ -154,7 +154,7 @@ def checks_with_conditions(spark, sf_dir):
     return _passing(df, "o_orderkey", checks)
 
 
-@query("""SELECT o_orderkey, l_shipdate - o_orderdate <= 60 AS c0, date_diff('day', o_orderdate, l_shipdate) > 30 AS c1, l_receiptdate <= l_shipdate + INTERVAL 14 DAY AS c2, year(l_shipdate) = 1995 OR month(l_shipdate) IN (6, 7) AS c3,
+@query(r"""SELECT o_orderkey, l_shipdate - o_orderdate <= 60 AS c0, date_diff('day', o_orderdate, l_shipdate) > 30 AS c1, l_receiptdate <= l_shipdate + INTERVAL 14 DAY AS c2, year(l_shipdate) = 1995 OR month(l_shipdate) IN (6, 7) AS c3,
 isodow(o_orderdate) - 1 < 5 AS c4, regexp_full_match(o_orderpriority, '[1-3]-\w+') AS c5, regexp_matches(o_orderpriority, 'GH') AS c6, true AS c7, false AS c8 FROM (SELECT o_orderkey, o_orderdate::DATE AS o_orderdate, o_orderpriority, l_shipdate::DATE AS l_shipdate, (l_shipdate::DATE + (l_linenumber * 4)::INTEGER) AS l_receiptdate FROM orders JOIN lineitem ON l_orderkey = o_orderkey WHERE l_linenumber = 1)""")
 def checks_on_dates(spark, sf_dir):
     checks = ["l_shipdate - o_orderdate <= timedelta(days=60)", "(l_shipdate - o_orderdate).days > 30", "l_receiptdate <= l_shipdate + timedelta(weeks=2)", "l_shipdate.year == 1995 or l_shipdate.month in (6, 7)", "o_orderdate.weekday() < 5", "re.fullmatch('[1-3]-\\w+', o_orderpriority)", "re.search('GH', o_orderpriority)", "isinstance(o_orderkey, int) and isinstance(l_shipdate, (date, str))", "isinstance(o_orderkey, str)"]
