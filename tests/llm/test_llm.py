@@ -723,7 +723,7 @@ def test_prefix_pairs_lose_nothing(spark):
     family = sorted(set(family))
     own = spark.createDataFrame([(i, i, s) for i, s in enumerate(family)], "lid long, label long, line string")
     first = lines.prefixes(own, 0.8, Scratch(spark, "t"))
-    got = {(r.u, r.v) for r in lines.prefix_pairs(first, first, 0.8).collect()}
+    got = {(r.u, r.v) for r in lines.prefix_pairs(first, 0.8).collect()}
     grams = [{s[k : k + 8] for k in range(len(s) - 7)} for s in family]
     assert got >= {(a, b) for a in range(len(family)) for b in range(a + 1, len(family)) if grams[a] and len(grams[a] & grams[b]) / len(grams[a] | grams[b]) >= 0.8}
 
