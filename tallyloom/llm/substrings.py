@@ -40,7 +40,7 @@ TABLE_BITS = 28  # 32 MB, whatever the corpus
 SLICES = 64
 PART_BYTES = 1 << 20  # of text hashed at a time
 SHARD_BYTES = 1 << 16
-MERGE_BYTES = 2 << 20  # of segments merged at a time, the last hash's to its end
+MERGE_BYTES = 1 << 19  # of segments merged at a time, the last hash's to its end
 HOT_SEGMENTS = 50_000  # different segments of a hash; with more, its windows are dealt by a second hash
 NO_ID = 2**63 - 1
 SEED = 42  # of Spark's xxhash64
@@ -219,7 +219,7 @@ class Shard:
         first = np.cumsum(rows) - rows
         begins = offset < step
         left = np.where(begins, -1, row_of[first[string] + np.maximum(0, offset - step)])
-        return cls(np.where(begins, 0, symbol).astype(np.uint16), left.astype(np.int32), string, offset)
+        return cls(np.where(begins, 0, symbol).astype(np.uint16), left.astype(np.int32), string.astype(np.int32), offset.astype(np.int32))
 
 
 def merge(symbol: np.ndarray, left: np.ndarray, need: np.ndarray, depth: int, step: int) -> tuple[np.ndarray, np.ndarray]:
