@@ -306,29 +306,45 @@ def removed(texts: list[bytes], number: np.ndarray, start: np.ndarray, mask: np.
     return np.cumsum(change)[:-1] > 0
 
 
+def _parts(b: pa.RecordBatch) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
+    """A batch in parts of ``PART_BYTES`` or one text, so that what is held does not depend on Arrow's batches."""
+    at, texts, size = 0, [], 0
+    for i, t in enumerate(b.column(1)):
+        texts.append((t.as_py() or "").encode("utf-8", "surrogatepass"))
+        size += len(texts[-1])
+        if size >= PART_BYTES:
+            yield b.slice(at, len(texts)), texts
+            at, texts, size = i + 1, [], 0
+    if texts:
+        yield b.slice(at, len(texts)), texts
+
+
 def _kept(length: int, with_text: bool):
+    def part(b: pa.RecordBatch, texts: list[bytes]) -> pa.RecordBatch:
+        spans = b.column(2)
+        size = np.fromiter(map(len, texts), np.int64, len(texts))
+        first = np.cumsum(size) - size
+        counts = spans.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+        flat = spans.flatten()
+        gone = removed(texts, np.repeat(np.arange(len(texts)), counts), flat.field("start").to_numpy(), flat.field("mask").to_numpy(), length)
+        all_bytes = np.frombuffer(b"".join(texts), np.uint8)
+        opens = gone & ~np.concatenate([[False], gone[:-1]])
+        opens[first[size > 0]] = gone[first[size > 0]]  # a run ends with its text
+        rows = []
+        for t, at, n, some in zip(texts, first.tolist(), size.tolist(), (counts > 0).tolist(), strict=True):
+            if not some:
+                rows.append((n, 0, 0, hashlib.sha256(t).hexdigest(), t if with_text else None))
+                continue
+            rest = all_bytes[at : at + n][~gone[at : at + n]].tobytes()
+            rows.append((n, n - len(rest), int(opens[at : at + n].sum()), hashlib.sha256(rest).hexdigest(), rest if with_text else None))
+        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary()]
+        cols = (pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True))
+        return pa.RecordBatch.from_arrays([b.column(0), *cols], ["id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            texts, spans = _bytes(b.column(1)), b.column(2)
-            size = np.fromiter(map(len, texts), np.int64, len(texts))
-            first = np.cumsum(size) - size
-            counts = spans.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
-            flat = spans.flatten()
-            gone = removed(texts, np.repeat(np.arange(len(texts)), counts), flat.field("start").to_numpy(), flat.field("mask").to_numpy(), length)
-            bytes_ = np.frombuffer(b"".join(texts), np.uint8)
-            opens = gone & ~np.concatenate([[False], gone[:-1]])
-            opens[first[size > 0]] = gone[first[size > 0]]  # a run ends with its text
-            rows = []
-            for t, at, n, some in zip(texts, first.tolist(), size.tolist(), (counts > 0).tolist(), strict=True):
-                if not some:
-                    rows.append((n, 0, 0, hashlib.sha256(t).hexdigest(), t if with_text else None))
-                    continue
-                own = gone[at : at + n]
-                rest = bytes_[at : at + n][~own].tobytes()
-                rows.append((n, n - len(rest), int(opens[at : at + n].sum()), hashlib.sha256(rest).hexdigest(), rest if with_text else None))
-            cols = list(zip(*rows, strict=True)) or [[]] * 5
-            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary()]
-            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(c, k) for c, k in zip(cols, kinds, strict=True))], ["id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])
+            for own, texts in _parts(b):
+                yield part(own, texts)
 
     return run
 
@@ -355,13 +371,12 @@ def dedup(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col
     table = spark.sparkContext.broadcast(shared_table(own, length))
     seen = own.mapInArrow(_segments(table, length, False), "doc long, th long, start long, n long, hash long, k1 long")
     seen = scratch.save(seen, "segments")
-    strings = scratch.save(seen.groupBy("hash", "k1").agg(F.min("doc").alias("doc")), "strings")
+    strings = seen.groupBy("hash", "k1").agg(F.min("doc").alias("doc"))
     counted = strings.groupBy("hash").agg(F.count("*").alias("n"), F.min("k1").alias("k1"), F.min("doc").alias("doc"))
     counted = scratch.save(counted, "counted")
     alone = counted.where("n = 1").select(F.col("hash").alias("_hash"), F.col("k1").alias("_k1"), F.array("doc").alias("least"))  # all windows are its least document's
     several = counted.where("n > 1")
     mixed = spark.sparkContext.broadcast(bit_table(several))
-    scratch.drop(strings)
     pieces = own.mapInArrow(_segments(mixed, length, True), "hash long, k1 long, doc long, segment binary")
     pieces = pieces.groupBy("hash", "k1").agg(F.min("doc").alias("doc"), F.min("segment").alias("segment"))
     is_hot = not several.where(F.col("n") > hot_segments).isEmpty()
