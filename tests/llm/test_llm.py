@@ -728,6 +728,20 @@ def test_prefix_pairs_lose_nothing(spark):
     assert got >= {(a, b) for a in range(len(family)) for b in range(a + 1, len(family)) if grams[a] and len(grams[a] & grams[b]) / len(grams[a] | grams[b]) >= 0.8}
 
 
+def test_sketches_lose_no_pair_and_spare_most(spark):
+    rng = random.Random(43)
+    family = drifting(rng, 50, 12) + drifting(rng, 12, 400) + ["ab" * 20, "ab" * 60, "é🙂" * 9, "é🙂" * 30, "x" * 8, "x" * 9, "12345678"]
+    family = sorted({*family, *(" ".join(letters(rng, 4, 8) for _ in range(40)) for _ in range(30))})
+    texts = spark.createDataFrame(list(enumerate(family)), "lid long, line string")
+    texts = texts.join(lines.sketches(texts), "lid").cache()
+    pairs = spark.createDataFrame([(a, b) for b in range(len(family)) for a in range(b)], "u long, v long")
+    grams = [{s[k : k + 8] for k in range(len(s) - 7)} for s in family]
+    near = {(a, b) for b in range(len(family)) for a in range(b) if len(grams[a] & grams[b]) / len(grams[a] | grams[b]) >= 0.8}
+    kept = {(r.u, r.v) for r in lines._possible(pairs, texts, 0.8).collect()}
+    assert kept >= near and len(kept) - len(near) < 0.1 * (pairs.count() - len(near))
+    assert {(r.u, r.v) for r in lines._verified(pairs, texts, 0.8).collect()} == near
+
+
 def test_lines_with_clashing_columns(spark):
     names = ["_text", "_hash", "_id", "_th", "_nos", "_new", "_n_lines", "_n_kept", "lid", "key", "first", "no", "label"]
     rows = [(1, "a line that comes twice\nown", *range(len(names))), (2, "a line that comes twice", *range(len(names)))]
