@@ -24,6 +24,7 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -42,6 +43,7 @@ PART_BYTES = 1 << 20  # of text hashed at a time
 SHARD_BYTES = 1 << 16
 MERGE_BYTES = 1 << 19  # of segments merged at a time, the last hash's to its end
 HOT_SEGMENTS = 50_000  # different segments of a hash; with more, its windows are dealt by a second hash
+JOIN_PARTS = 3  # of the segments, joined one after the other: the files of one part's shuffle go before the next
 NO_ID = 2**63 - 1
 SEED = 42  # of Spark's xxhash64
 _A, _B, _C = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9))
@@ -362,7 +364,7 @@ def _split(pieces: DataFrame, several: DataFrame, length: int, limit: int) -> tu
     return cool, each
 
 
-def dedup(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, with_text: bool = True, hot_segments: int = HOT_SEGMENTS) -> DataFrame:
+def dedup(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, with_text: bool = True, hot_segments: int = HOT_SEGMENTS, join_parts: int = JOIN_PARTS) -> DataFrame:
     """``(id, n_bytes, n_removed, n_spans, kept_sha256, kept)`` for each row of ``docs``; integer ids."""
     scratch = Scratch(spark, "substrings")
     kind = docs.schema[id_col].dataType.simpleString()
@@ -383,21 +385,27 @@ def dedup(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col
     cool, each = _split(scratch.save(pieces, "pieces"), several, length, hot_segments) if is_hot else (pieces.select("hash", F.lit(0).cast("long").alias("salt"), "k1", "doc", "segment"), None)
     found = "hash long, salt long, k1 long, least array<bigint>"
     by_hash = lambda df: df.select("hash", "salt", "k1", "doc", "segment").repartition("hash", "salt").sortWithinPartitions("hash", "salt").mapInArrow(_resolved(length), found)
-    least = by_hash(cool).select(F.col("hash").alias("_hash"), F.col("k1").alias("_k1"), "least").unionByName(alone)
+    least = by_hash(cool).select(F.col("hash").alias("_hash"), F.col("k1").alias("_k1"), "least")
     if each is not None:
         each = scratch.save(each.withColumn("own", F.xxhash64("segment")), "each")
         lone = scratch.save(by_hash(each.groupBy("hash", "salt", F.col("own").alias("k1")).agg(F.min("doc").alias("doc"), F.min("segment").alias("segment"))), "lone")
         lone = lone.select(F.col("hash").alias("_h"), F.col("k1").alias("_own"), F.col("least")[0].alias("_least"))
         back = each.join(lone, (F.col("hash") == F.col("_h")) & (F.col("own") == F.col("_own"))).groupBy("hash", "k1").agg(F.array_sort(F.collect_list(F.struct("i", "_least"))).alias("all"))
         least = least.unionByName(back.select(F.col("hash").alias("_hash"), F.col("k1").alias("_k1"), F.col("all._least").alias("least")))
-    least = scratch.save(least, "least")
-    scratch.drop(counted)
-    hit = seen.join(least, (F.col("hash") == F.col("_hash")) & (F.col("k1") == F.col("_k1")))
+    resolved = scratch.save(least, "least")
+    least = resolved.unionByName(alone)
     each = F.expr("aggregate(sequence(0, size(least) - 1), 0L, (m, j) -> m | CASE WHEN least[j] < doc THEN shiftleft(1L, j) ELSE 0L END)")
     mask = F.when(F.size("least") > 1, each).when(F.col("least")[0] < F.col("doc"), F.expr("shiftleft(1L, CAST(n AS INT)) - 1")).otherwise(F.lit(0))
-    spans = hit.select("doc", "th", "start", mask.alias("mask")).where("mask <> 0").groupBy(F.col("doc").alias("_doc"), F.col("th").alias("_th")).agg(F.collect_list(F.struct("start", "mask")).alias("spans"))
+    parts = []
+    for k in range(join_parts):
+        own, of = seen.where(F.pmod("hash", F.lit(join_parts)) == k), least.where(F.pmod("_hash", F.lit(join_parts)) == k)
+        hit = own.join(of, (F.col("hash") == F.col("_hash")) & (F.col("k1") == F.col("_k1")))
+        parts.append(scratch.save(hit.select("doc", "th", "start", mask.alias("mask")).where("mask <> 0"), "part"))
+    scratch.drop(seen, counted, resolved)
+    gone = reduce(DataFrame.unionByName, parts)
+    spans = gone.groupBy(F.col("doc").alias("_doc"), F.col("th").alias("_th")).agg(F.collect_list(F.struct("start", "mask")).alias("spans"))
     spans = scratch.save(spans, "spans")
-    scratch.drop(seen, least)
+    scratch.drop(*parts)
     rows = docs.select(F.col(id_col).alias("id"), doc.alias("doc"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     rows = rows.join(spans, (F.col("doc") == F.col("_doc")) & (F.xxhash64("text") == F.col("_th")), "left")
     return rows.select("id", "text", "spans").mapInArrow(_kept(length, with_text), f"id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")

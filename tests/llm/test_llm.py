@@ -146,6 +146,24 @@ def test_hot_hashes_are_split(spark):
     assert Counter((r.id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got.collect()) == brute_substrings(rows, 50)
 
 
+def test_segments_are_joined_in_parts(spark, monkeypatch):
+    rng = random.Random(67)
+    base = [letters(rng, 200, 200) for _ in range(12)]
+    rows = [(i, letters(rng, 5, 60) + " ".join(rng.choice(base)[rng.randint(0, 90) :] for _ in range(3))) for i in range(60)]
+    saved, save = Counter(), Scratch.save
+
+    def counting(self, df, name):
+        out = save(self, df, name)
+        saved[name, sum(n == name for n, _ in saved)] = out.count()
+        return out
+
+    monkeypatch.setattr(Scratch, "save", counting)
+    got = substrings.dedup(spark, spark.createDataFrame(rows, "doc_id long, text string"))
+    assert Counter((r.id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got.collect()) == brute_substrings(rows, 50)
+    parts = [n for (name, _), n in saved.items() if name == "part"]  # none holds most of what the join finds
+    assert len(parts) == substrings.JOIN_PARTS and 0 < max(parts) < 0.6 * sum(parts)
+
+
 def test_transform_merge():
     rng = random.Random(4)
     for length in (12, 7):  # symbols of two bytes and of one
