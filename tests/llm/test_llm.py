@@ -725,6 +725,30 @@ def test_lines_of_a_drifting_family(spark):
         assert len(set(got.values())) <= len(set(want.values())) + 1
 
 
+def test_rounds_of_hot_groups_leave_small_ones_and_start_from_stars(spark, monkeypatch):
+    rng = random.Random(59)
+    pairs = [s for _ in range(40) for s in drifting(rng, 3, 12)]
+    family = sorted({*drifting(random.Random(177), 177), *pairs})
+    saved, met, save, joined = [], [], Scratch.save, lines.components
+
+    def seen(self, df, name):
+        out = save(self, df, name)
+        if name == "open":
+            saved.append({r.n <= lines.SMALL_GROUP for r in out.select("n").distinct().collect()})
+        return out
+
+    def counted(edges, scratch):
+        met.append(edges.count())
+        return joined(edges, scratch)
+
+    monkeypatch.setattr(Scratch, "save", seen)
+    monkeypatch.setattr(lines, "components", counted)
+    got, want = family_roots(spark, family)
+    assert len(set(got.values())) <= len(set(want.values())) + 1
+    assert len(saved) > 2 and True in saved[0] and all(True not in s for s in saved[1:-1])
+    assert max(met) < 2 * len(family)  # a star has one edge a line, however many links were found
+
+
 def test_lines_around_one_base_and_one_passage(spark):
     rng = random.Random(37)
     base, passage = [letters(rng, 3, 8) for _ in range(40)], " ".join(letters(rng, 3, 8) for _ in range(30))
