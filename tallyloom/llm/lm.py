@@ -26,6 +26,7 @@ import zlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -164,8 +165,7 @@ class Stream:
         self.all = [w for t in texts for w in t]
         sizes = np.fromiter(map(len, texts), np.int64, len(texts))
         self.first = np.cumsum(sizes) - sizes
-        get = words.number.get
-        self.symbol = np.fromiter((get(w, 0) for w in self.all), np.int64, len(self.all))
+        self.symbol = np.fromiter(map(words.number.get, self.all, repeat(0)), np.int64, len(self.all))
         own = self.symbol.astype(np.uint32) * _P
         self.rare = np.flatnonzero(self.symbol == 0)
         own[self.rare] = np.fromiter((zlib.crc32(self.all[i]) for i in self.rare.tolist()), np.uint32, len(self.rare)) * _Q
