@@ -95,7 +95,7 @@ def _runs(texts: list[bytes], length: int) -> Iterator[tuple[np.ndarray, np.ndar
             cut = np.repeat(cut, times) + k * longest
             count = np.minimum(longest, np.repeat(count, times) - k * longest)
         number = np.array([i for i, _ in part])
-        yield number[owner[cut]], cut - first[owner[cut]], count, m[cut]
+        yield number[owner[cut]], cut - first[owner[cut]], count, m[cut] * _A  # minima crowd at the low end; their order ends here
 
 
 def _bytes(column: pa.Array) -> list[bytes]:

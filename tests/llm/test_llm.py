@@ -164,6 +164,15 @@ def test_segments_are_joined_in_parts(spark, monkeypatch):
     assert len(parts) == substrings.JOIN_PARTS and 0 < max(parts) < 0.6 * sum(parts)
 
 
+def test_least_hashes_fill_the_bit_table_evenly():
+    rng = np.random.default_rng(3)
+    texts = [rng.integers(97, 123, 4000, np.uint8).tobytes() for _ in range(50)]
+    h = np.unique(np.concatenate([m for *_, m in substrings._runs(texts, substrings.LENGTH)]))
+    slices = np.bincount((h >> np.uint64(58)).astype(np.int64), minlength=substrings.SLICES)
+    assert slices.max() < 2 * slices.mean() and slices.min() > slices.mean() / 2
+    assert len(np.unique(h >> np.uint64(48))) > 0.85 * len(h)  # as many of 65,536 places as numbers drawn evenly take
+
+
 def test_transform_merge():
     rng = random.Random(4)
     for length in (12, 7):  # symbols of two bytes and of one
