@@ -93,11 +93,12 @@ class Code:
         return cls(start, length, node, bit)
 
     def bits(self, symbols: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Nodes and bits of all symbols one after the other, and the place of the symbol of each."""
-        n = self.length[symbols]
-        before = np.cumsum(n) - n
-        at = np.repeat(self.start[symbols] - before, n) + np.arange(n.sum())
-        return self.node[at], self.bit[at], np.repeat(np.arange(len(symbols)), n)
+        """Places of nodes and bits of all symbols one after the other, the bits, and the number of each symbol's."""
+        n = self.length.take(symbols)
+        ends = np.cumsum(n)
+        at = np.repeat(self.start.take(symbols) - (ends - n), n)
+        at += np.arange(len(at))
+        return at, self.bit.take(at), n
 
 
 @dataclass
@@ -132,22 +133,36 @@ class Mixer:
         sure = np.abs(logit[1:])
         level = (sure > 0).view(np.int8) + (sure > 1.6).view(np.int8) + (sure > 3.5).view(np.int8)
         gate = (spelled * np.int8(16) + level[0] * np.int8(4) + level[1]).astype(np.int64)
-        mixed = np.zeros(logit.shape[1], np.float32)
-        for j in range(ORDERS):
-            mixed += self.weights[:, j].take(gate) * logit[j]
+        mixed = self.weights[:, 0].take(gate)
+        mixed *= logit[0]
+        for j in range(1, ORDERS):
+            part = self.weights[:, j].take(gate)
+            part *= logit[j]
+            mixed += part
         np.clip(mixed, -12, 12, out=mixed)
-        p = 1 / (1 + np.exp(-mixed))
-        place = gate * BUCKETS + np.clip(np.rint((mixed + 8) * np.float32((BUCKETS - 1) / 16)), 0, BUCKETS - 1).astype(np.int64)
-        refined = np.clip((p + self.map.ravel().take(place)) / 2, 1e-6, 1 - 1e-6)
+        p = np.exp(-mixed)
+        p += 1
+        np.divide(np.float32(1), p, out=p)
+        mixed += 8
+        mixed *= np.float32((BUCKETS - 1) / 16)
+        np.rint(mixed, out=mixed)
+        np.clip(mixed, 0, BUCKETS - 1, out=mixed)
+        place = mixed.astype(np.int64)
+        place += gate * BUCKETS
+        refined = self.map.ravel().take(place)
+        refined += p
+        refined /= 2
+        np.clip(refined, 1e-6, 1 - 1e-6, out=refined)
         return gate, p, place, refined
 
     def correct(self, used: np.ndarray, logit: np.ndarray, bit: np.ndarray, gate: np.ndarray, p: np.ndarray, place: np.ndarray) -> None:
-        n = np.bincount(gate, minlength=_GATES)
+        ones = np.bincount(place * 2 + bit, minlength=_GATES * BUCKETS * 2).reshape(-1, 2)
+        m, hit = ones.sum(1), ones[:, 1]
+        n = m.reshape(_GATES, BUCKETS).sum(1)
         error = bit - p
         for j in range(ORDERS):
             self.weights[:, j] += RATE * np.bincount(gate, error * logit[j], _GATES) / np.maximum(n, 1)
         used += n
-        m, hit = (np.bincount(place, w, _GATES * BUCKETS) for w in (None, bit))
         flat = self.map.reshape(-1)
         flat += np.where(m > 0, (hit / np.maximum(m, 1) - flat) * np.minimum(0.5, m / (m + 500)), 0)
 
@@ -176,12 +191,19 @@ class Stream:
         one[self.opens] = 0
         two = np.concatenate([np.zeros(1, np.uint32), one[:-1]]) if len(own) else own
         two[self.opens] = 0
-        self.contexts = np.stack([np.full(len(own), 1, np.uint32), one * _R + np.uint32(2), one * _N + two * _Q + np.uint32(3)])
+        self.contexts = one * _R + np.uint32(2), one * _N + two * _Q + np.uint32(3)
+        self.node = words.code.node * _N
+        self.alone = self._slots(np.uint32(1), self.node)  # without words before, slots follow from nodes
+        self.letter_node = (words.spelling.node + _BYTE_NODES) * _N
 
     def _slots(self, context: np.ndarray, node: np.ndarray) -> np.ndarray:
-        h = (context ^ (node * _N)) * _P
+        """Of contexts and nodes times ``_N``."""
+        h = context ^ node
+        h *= _P
         h ^= h >> np.uint32(15)
-        return ((h * _Q) >> self.shift).astype(np.int64)
+        h *= _Q
+        h >>= self.shift
+        return h.astype(np.int64)
 
     def _spelled(self, a: int, b: int) -> tuple[np.ndarray, np.ndarray, np.ndarray] | None:
         """Symbols, contexts and tokens of the letters of the rare words of a slice, each word with a blank behind."""
@@ -205,17 +227,26 @@ class Stream:
 
     def slice(self, a: int, b: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Slots (ORDERS, n), bits, whether spelled, and tokens of the bits of tokens a to b."""
-        node, bit, of = self.words.code.bits(self.symbol[a:b])
-        token = of + a
-        slots = [self._slots(self.contexts[j][token], node) for j in range(ORDERS)]
-        if (letters := self._spelled(a, b)) is None:
-            return np.stack(slots), bit, np.zeros(len(bit), np.int8), token
-        symbols, contexts, owner = letters
-        node, more, of = self.words.spelling.bits(symbols)
-        node = node + _BYTE_NODES
-        slots = [np.concatenate([x, self._slots(contexts[j][of], node)]) for j, x in enumerate(slots)]
-        spelled = np.concatenate([np.zeros(len(bit), np.int8), np.ones(len(more), np.int8)])
-        return np.stack(slots), np.concatenate([bit, more]), spelled, np.concatenate([token, owner[of]])
+        at, bit, n = self.words.code.bits(self.symbol[a:b])
+        token, node, m = np.repeat(np.arange(a, a + len(n)), n), self.node.take(at), len(at)
+        letters = self._spelled(a, b)
+        more = 0
+        if letters is not None:
+            symbols, contexts, owner = letters
+            to, own, k = self.words.spelling.bits(symbols)
+            more = len(to)
+        slots = np.empty((ORDERS, m + more), np.int64)
+        slots[0, :m] = self.alone.take(at)
+        for j, context in enumerate(self.contexts, 1):
+            slots[j, :m] = self._slots(np.repeat(context[a:b], n), node)
+        spelled = np.zeros(m + more, np.int8)
+        if letters is None:
+            return slots, bit, spelled, token
+        node = self.letter_node.take(to)
+        for j in range(ORDERS):
+            slots[j, m:] = self._slots(np.repeat(contexts[j], k), node)
+        spelled[m:] = 1
+        return slots, np.concatenate([bit, own]), spelled, np.concatenate([token, np.repeat(owner, k)])
 
 
 @dataclass
@@ -235,8 +266,8 @@ class Model:
         for a in range(0, len(out), SLICE):
             slots, bit, spelled, token = stream.slice(a, min(a + SLICE, len(out)))
             p = self.mixer.predict(self.logit.take(slots), spelled)[-1]
-            out[a : a + SLICE] = np.bincount(token - a, np.log10(np.where(bit, p, 1 - p)), min(SLICE, len(out) - a))
-        return out, stream
+            out[a : a + SLICE] = np.bincount(token - a, np.log(np.abs(p - (1 - bit))), min(SLICE, len(out) - a))
+        return out / np.log(10), stream
 
 
 class Learner:
@@ -251,7 +282,12 @@ class Learner:
         for a in range(0, len(stream.all), SLICE):
             slots, bit, spelled, _ = stream.slice(a, min(a + SLICE, len(stream.all)))
             seen = self.counts.take(slots)
-            logit = np.log(((seen >> 32).astype(np.float32) + _PRIOR) / ((seen & _MASK).astype(np.float32) + _PRIOR))
+            halves = seen.view("<u4")
+            logit, zeros = halves[:, 1::2].astype(np.float32), halves[:, ::2].astype(np.float32)
+            logit += _PRIOR
+            zeros += _PRIOR
+            logit /= zeros
+            np.log(logit, out=logit)
             gate, p, place, _ = self.mixer.predict(logit, spelled)
             self.mixer.correct(self.used, logit, bit, gate, p, place)
             one = np.where(bit, np.int64(1) << 32, 1)

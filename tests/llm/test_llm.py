@@ -463,6 +463,18 @@ def test_scores_equal_the_mixer_bit_by_bit():
     assert np.allclose(got, want, atol=1e-4)
 
 
+def test_slices_hash_only_contexts_with_words_before(monkeypatch):
+    model, own = small_model(random.Random(59))
+    known = [[w for w in t if w in model.words.number] for t in own]  # nothing is spelled
+    stream, hashed, plain = lm.Stream(model.words, known, 20), [], lm.Stream._slots
+    monkeypatch.setattr(lm.Stream, "_slots", lambda self, context, node: hashed.append(len(node)) or plain(self, context, node))
+    slots, bit, spelled, token = stream.slice(0, len(stream.all))
+    assert sum(hashed) == (lm.ORDERS - 1) * len(bit) and not spelled.any()
+    at, m = np.concatenate([model.words.code.start[x] + np.arange(model.words.code.length[x]) for x in stream.symbol]), 2**32
+    want = [(h ^ h >> 15) * int(lm._Q) % m >> 12 for n in model.words.code.node[at].tolist() for h in [(1 ^ n * int(lm._N) % m) * int(lm._P) % m]]
+    assert slots[0].tolist() == want and (np.diff(token) >= 0).all()
+
+
 def test_scores_are_a_distribution():
     model, own = small_model(random.Random(47))
     for before in ([], own[0][:1], own[3][:2]):
