@@ -26,6 +26,7 @@ import zlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cached_property
 from itertools import repeat
 
 import numpy as np
@@ -92,13 +93,22 @@ class Code:
             at, where, left = np.where(on, up[at], at), where - on, left - on
         return cls(start, length, node, bit)
 
+    @cached_property
+    def steps(self) -> np.ndarray:
+        """Node and bit of each place in one number, made once a process."""
+        return self.node << np.uint32(1) | self.bit
+
     def bits(self, symbols: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Places of nodes and bits of all symbols one after the other, the bits, and the number of each symbol's."""
+        """Nodes and bits of all symbols one after the other, and the number of each symbol's."""
         n = self.length.take(symbols)
         ends = np.cumsum(n)
         at = np.repeat(self.start.take(symbols) - (ends - n), n)
         at += np.arange(len(at))
-        return at, self.bit.take(at), n
+        step = self.steps.take(at, mode="clip")  # in range: "clip" only spares the check
+        bit = step.astype(np.uint8)
+        bit &= np.uint8(1)
+        step >>= np.uint32(1)
+        return step, bit, n
 
 
 @dataclass
@@ -129,14 +139,14 @@ class Mixer:
         return cls(np.full((_GATES, ORDERS), 1.5 / ORDERS, np.float32), np.tile(1 / (1 + np.exp(-centre)), (_GATES, 1)).astype(np.float32))
 
     def predict(self, logit: np.ndarray, spelled: np.ndarray) -> tuple:
-        """Gates, mixed probabilities, map places and refined probabilities of ones from logits (ORDERS, n)."""
+        """Gates, mixed probabilities and map places of ones from logits (ORDERS, n)."""
         sure = np.abs(logit[1:])
         level = (sure > 0).view(np.int8) + (sure > 1.6).view(np.int8) + (sure > 3.5).view(np.int8)
         gate = (spelled * np.int8(16) + level[0] * np.int8(4) + level[1]).astype(np.int64)
-        mixed = self.weights[:, 0].take(gate)
+        mixed = self.weights[:, 0].take(gate, mode="clip")
         mixed *= logit[0]
         for j in range(1, ORDERS):
-            part = self.weights[:, j].take(gate)
+            part = self.weights[:, j].take(gate, mode="clip")
             part *= logit[j]
             mixed += part
         np.clip(mixed, -12, 12, out=mixed)
@@ -149,11 +159,14 @@ class Mixer:
         np.clip(mixed, 0, BUCKETS - 1, out=mixed)
         place = mixed.astype(np.int64)
         place += gate * BUCKETS
-        refined = self.map.ravel().take(place)
+        return gate, p, place
+
+    def refine(self, p: np.ndarray, place: np.ndarray) -> np.ndarray:
+        refined = self.map.ravel().take(place, mode="clip")
         refined += p
         refined /= 2
         np.clip(refined, 1e-6, 1 - 1e-6, out=refined)
-        return gate, p, place, refined
+        return refined
 
     def correct(self, used: np.ndarray, logit: np.ndarray, bit: np.ndarray, gate: np.ndarray, p: np.ndarray, place: np.ndarray) -> None:
         ones = np.bincount(place * 2 + bit, minlength=_GATES * BUCKETS * 2).reshape(-1, 2)
@@ -192,9 +205,8 @@ class Stream:
         two = np.concatenate([np.zeros(1, np.uint32), one[:-1]]) if len(own) else own
         two[self.opens] = 0
         self.contexts = one * _R + np.uint32(2), one * _N + two * _Q + np.uint32(3)
-        self.node = words.code.node * _N
-        self.alone = self._slots(np.uint32(1), self.node)  # without words before, slots follow from nodes
-        self.letter_node = (words.spelling.node + _BYTE_NODES) * _N
+        nodes = np.arange(len(words.code.length) - 1, dtype=np.uint32)
+        self.alone = self._slots(np.uint32(1), nodes * _N).astype(np.int64)  # without words before, slots follow from nodes
 
     def _slots(self, context: np.ndarray, node: np.ndarray) -> np.ndarray:
         """Of contexts and nodes times ``_N``."""
@@ -203,32 +215,30 @@ class Stream:
         h ^= h >> np.uint32(15)
         h *= _Q
         h >>= self.shift
-        return h.astype(np.int64)
+        return h
 
     def _spelled(self, a: int, b: int) -> tuple[np.ndarray, np.ndarray, np.ndarray] | None:
         """Symbols, contexts and tokens of the letters of the rare words of a slice, each word with a blank behind."""
         at = self.rare[np.searchsorted(self.rare, a) : np.searchsorted(self.rare, b)]
         if not len(at):
             return None
-        before = [END * 4 if self.opens[i] else self.all[i - 1][-3:].rjust(3) + b" " for i in at.tolist()]
-        own = [p + self.all[i] + b" " for p, i in zip(before, at.tolist(), strict=True)]
+        words, opens = self.all, self.opens.take(at).tolist()
+        own = [(END * 4 if first else words[i - 1][-3:].rjust(3) + b" ") + words[i] + b" " for i, first in zip(at.tolist(), opens, strict=True)]
         s = np.frombuffer(b"".join(own), np.uint8)
-        size = np.fromiter(map(len, own), np.int64, len(own))
-        begin = np.cumsum(size) - size
-        letter = np.ones(len(s), bool)
-        for k in range(4):
-            letter[begin + k] = False
-        place = np.flatnonzero(letter)
-        last = [s[place - k].astype(np.uint32) for k in (1, 2, 3, 4)]
-        two = last[0] | last[1] << np.uint32(8)
-        four = two | last[2] << np.uint32(16) | last[3] << np.uint32(24)
-        contexts = np.stack([last[0] * _R + np.uint32(4), two * _R + np.uint32(5), four * _R + np.uint32(6)])
-        return s[place].astype(np.int64), contexts, np.repeat(at, size - 4)
-
-    def slice(self, a: int, b: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Slots (ORDERS, n), bits, whether spelled, and tokens of the bits of tokens a to b."""
-        at, bit, n = self.words.code.bits(self.symbol[a:b])
-        token, node, m = np.repeat(np.arange(a, a + len(n)), n), self.node.take(at), len(at)
+        size = np.fromiter(map(len, own), np.int64, len(own)) - 4
+        place = np.repeat(np.arange(len(own)) * 4, size)
+        place += np.arange(len(place))
+        four = np.ndarray(len(s) - 3, ">u4", s, strides=(1,)).astype(np.uint32).take(place)  # the nearest byte is the lowest
+        contexts = np.stack([(four & np.uint32(0xFF)) * _R + np.uint32(4), (four & np.uint32(0xFFFF)) * _R + np.uint32(5), four * _R + np.uint32(6)])
+        return s[4:].take(place).astype(np.int64), contexts, np.repeat(at, size)
+
+    def slice(self, a: int, b: int, behind: int | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Slots (ORDERS, n), bits, whether spelled, and tokens of the bits of tokens a to b.
+
+        ``behind``: nodes' own places from there on stand for the slots ``alone``.
+        """
+        node, bit, n = self.words.code.bits(self.symbol[a:b])
+        token, m = np.repeat(np.arange(a, a + len(n)), n), len(node)
         letters = self._spelled(a, b)
         more = 0
         if letters is not None:
@@ -236,13 +246,17 @@ class Stream:
             to, own, k = self.words.spelling.bits(symbols)
             more = len(to)
         slots = np.empty((ORDERS, m + more), np.int64)
-        slots[0, :m] = self.alone.take(at)
+        if behind is None:
+            slots[0, :m] = self.alone.take(node)
+        else:
+            np.add(node, behind, out=slots[0, :m])
+        node *= _N
         for j, context in enumerate(self.contexts, 1):
             slots[j, :m] = self._slots(np.repeat(context[a:b], n), node)
         spelled = np.zeros(m + more, np.int8)
         if letters is None:
             return slots, bit, spelled, token
-        node = self.letter_node.take(to)
+        node = (to + _BYTE_NODES) * _N
         for j in range(ORDERS):
             slots[j, m:] = self._slots(np.repeat(contexts[j], k), node)
         spelled[m:] = 1
@@ -259,14 +273,26 @@ class Model:
     def bits(self) -> int:
         return len(self.logit).bit_length() - 1
 
+    @cached_property
+    def table(self) -> np.ndarray:
+        """Logits by slot, and behind them by node those without words before, which lie close together there."""
+        return np.concatenate([self.logit, self.logit.take(Stream(self.words, [], self.bits).alone)])
+
     def scores(self, texts: list[list[bytes]]) -> tuple[np.ndarray, Stream]:
         """log10 probability of each token, and the tokens."""
         stream = Stream(self.words, texts, self.bits)
         out = np.zeros(len(stream.all))
-        for a in range(0, len(out), SLICE):
-            slots, bit, spelled, token = stream.slice(a, min(a + SLICE, len(out)))
-            p = self.mixer.predict(self.logit.take(slots), spelled)[-1]
-            out[a : a + SLICE] = np.bincount(token - a, np.log(np.abs(p - (1 - bit))), min(SLICE, len(out) - a))
+        size = 4 * SLICE  # nothing is corrected: fewer, longer slices
+        for a in range(0, len(out), size):
+            slots, bit, spelled, token = stream.slice(a, min(a + size, len(out)), len(self.logit))
+            _, p, place = self.mixer.predict(self.table.take(slots, mode="clip"), spelled)
+            p = self.mixer.refine(p, place)
+            p -= 1 - bit
+            np.abs(p, out=p)
+            np.log(p, out=p)
+            ends = np.cumsum(self.words.code.length.take(stream.symbol[a : a + size]))  # paths lie one after the other, letters behind
+            out[a : a + size] = np.add.reduceat(p[: ends[-1]], np.concatenate([[0], ends[:-1]]))
+            out[a : a + size] += np.bincount(token[ends[-1] :] - a, p[ends[-1] :], len(ends))
         return out / np.log(10), stream
 
 
@@ -275,24 +301,29 @@ class Learner:
 
     def __init__(self, words: Words, bits: int):
         self.words, self.bits = words, bits
-        self.counts, self.mixer, self.used = np.zeros(1 << bits, np.int64), Mixer.new(), np.zeros(_GATES)
+        self.mixer, self.used = Mixer.new(), np.zeros(_GATES)
+        self.table = np.zeros((1 << bits) + len(words.code.length) - 1, np.int64)
+        self.counts, self.own = self.table[: 1 << bits], self.table[1 << bits :]
 
     def learn(self, texts: list[list[bytes]]) -> None:
+        """Slots without words before are copied by node, where they lie close together, and what these gain is added back."""
         stream = Stream(self.words, texts, self.bits)
+        before = self.counts.take(stream.alone)
+        self.own[:] = before
         for a in range(0, len(stream.all), SLICE):
-            slots, bit, spelled, _ = stream.slice(a, min(a + SLICE, len(stream.all)))
-            seen = self.counts.take(slots)
-            halves = seen.view("<u4")
-            logit, zeros = halves[:, 1::2].astype(np.float32), halves[:, ::2].astype(np.float32)
-            logit += _PRIOR
-            zeros += _PRIOR
-            logit /= zeros
+            slots, bit, spelled, _ = stream.slice(a, min(a + SLICE, len(stream.all)), len(self.counts))
+            halves = self.table.take(slots, mode="clip").view("<i4").astype(np.float32)
+            halves += _PRIOR
+            logit = halves[:, 1::2] / halves[:, ::2]
             np.log(logit, out=logit)
-            gate, p, place, _ = self.mixer.predict(logit, spelled)
+            gate, p, place = self.mixer.predict(logit, spelled)
             self.mixer.correct(self.used, logit, bit, gate, p, place)
-            one = np.where(bit, np.int64(1) << 32, 1)
+            one = bit.astype(np.int64)
+            one *= (1 << 32) - 1
+            one += 1
             for j in range(ORDERS):
-                np.add.at(self.counts, slots[j], one)
+                np.add.at(self.table, slots[j], one)
+        np.add.at(self.counts, stream.alone, self.own - before)
 
 
 def table_bits(n_bytes: int) -> int:

@@ -475,6 +475,23 @@ def test_slices_hash_only_contexts_with_words_before(monkeypatch):
     assert slots[0].tolist() == want and (np.diff(token) >= 0).all()
 
 
+def test_slots_without_words_before_are_hashed_once_a_node(monkeypatch):
+    model, own = small_model(random.Random(61))
+    hashed, plain = [], lm.Stream._slots
+    monkeypatch.setattr(lm.Stream, "_slots", lambda self, context, node: hashed.append(len(node)) or plain(self, context, node))
+    lm.Stream(model.words, own, 20)
+    assert sum(hashed) == len(model.words.code.length) - 1 < len(model.words.code.node)
+    monkeypatch.undo()
+    learner, want = lm.Learner(model.words, 20), np.zeros(1 << 20, np.int64)
+    for texts in (own[:20], own[20:]):  # what nodes gain comes back after each part
+        learner.learn(texts)
+        stream = lm.Stream(model.words, texts, 20)
+        slots, bit, _, _ = stream.slice(0, len(stream.all))
+        for each in slots:
+            np.add.at(want, each, np.where(bit, np.int64(1) << 32, 1))
+    assert (learner.counts == want).all()
+
+
 def test_scores_are_a_distribution():
     model, own = small_model(random.Random(47))
     for before in ([], own[0][:1], own[3][:2]):
