@@ -20,6 +20,7 @@ from ..plans.spec import Table
 from .shared import Files
 
 FORMATS = {".csv": "csv", ".tsv": "csv", ".json": "json", ".jsonl": "jsonl", ".ndjson": "jsonl", ".parquet": "parquet", ".sqlite": "sqlite", ".db": "sqlite"}
+BLANKS = {"ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}  # a CSV writer strips values unless told not to
 
 
 def format_of(path: str) -> str:
@@ -94,7 +95,7 @@ def read(spark: SparkSession, path: str, limit: int | None = None, sqlite_table:
     """A data set as Spark reads it; CSV gives text, ``''`` as null and dotted columns as structs."""
     kind = format_of(path)
     if kind == "csv":
-        df = spark.read.options(header=True, escape='"', multiLine=True, sep=separator(path)).csv(path)
+        df = spark.read.options(header=True, escape='"', multiLine=True, sep=separator(path), **BLANKS).csv(path)
         df = unflatten(df, table.struct() if table else None)
     elif kind == "json":
         df = _unwrapped(spark, path)
@@ -134,7 +135,7 @@ def write(df: DataFrame, path: str, kind: str | None = None, table: Table | None
     """Write a data set in the format of ``path`` (or ``kind``), as a folder of part files."""
     kind = kind or format_of(path)
     if kind == "csv":
-        flatten(df).write.mode(mode).options(header=True, escape='"', sep=separator(path)).csv(path)
+        flatten(df).write.mode(mode).options(header=True, escape='"', sep=separator(path), **BLANKS).csv(path)
     elif kind == "jsonl":
         df.write.mode(mode).option("ignoreNullFields", False).json(path)
     elif kind == "parquet":

@@ -194,6 +194,14 @@ def test_round_trips(spark, tmp_path, name):
     assert (tmp_path / ("one_" + name)).is_file()
 
 
+@pytest.mark.parametrize("name", ["t.csv", "t.tsv"])
+def test_blanks_at_the_ends_stay(spark, tmp_path, name):
+    texts = [" lead", "trail ", "\ttab\t", "\nline\r\n", "\r", " ", "\x00", "\x00a", "a\x1a", '" ', ' ,"\r']
+    path = str(tmp_path / name)
+    files.write(spark.createDataFrame(list(enumerate(texts)), "i long, s string").coalesce(1), path)
+    assert [r.s for r in sorted(files.read(spark, path).collect(), key=lambda r: int(r.i))] == texts
+
+
 def test_report(spark):
     """A tide gauge: a level that falls all the time, a broken sensor, one station, notes from a form."""
     rows = [(n, 9000.0 - 7 * n, -999.0 if n % 40 == 3 else 20 + n * 13 % 17 / 4, "pier", f"checked the gauge as planned on round {n * 31}", n % 3 == 0) for n in range(80)]
