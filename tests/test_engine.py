@@ -273,6 +273,39 @@ def test_metrics_of_empty_and_constant_columns(spark):
     assert metrics.entropy(one, "s").first()["entropy"] == 1.0 and metrics.outliers(one, "v").first()["outliers"] == 0
 
 
+def test_exact_quantiles_hold_no_table_of_values(spark, monkeypatch):
+    """As Spark's exact percentile has them, for every size and also where the brackets miss."""
+    at = (0.0, 0.05, 0.25, 0.5, 0.95, 1.0)
+    for n, summary in ((0, 4_000), (1, 4_000), (2, 4_000), (7, 4_000), (10, 4_000), (999, 4_000), (30_000, 4_000), (30_000, 100)):
+        monkeypatch.setattr(metrics, "SUMMARY", summary)
+        i = F.col("id")
+        df = spark.range(0, n, 1, 3).select((F.xxhash64(i) / 1e9).alias("a"), F.when(i % 10 < 8, 5).otherwise(i % 97).alias("b"), F.when(i % 3 > 0, i).alias("c"), F.lit(None).cast("double").alias("d"))
+        want = df.agg(*(F.percentile(F.col(c).cast("double"), F.array(*map(F.lit, at))).alias(c) for c in df.columns)).first().asDict()
+        got = metrics.quantiles(df, {c: F.col(c) for c in df.columns}, at)
+        assert {c: q if q[0] is not None else None for c, q in got.items()} == want, (n, summary)
+    plan = metrics.numeric(df, ["a", "b"])._jdf.queryExecution().optimizedPlan().toString()
+    assert "percentile(" not in plan
+
+
+def test_trend_with_ranks_found_once(spark, monkeypatch):
+    i = F.col("id")
+    df = spark.range(0, 500, 1, 4).select(i.alias("o"), (i * i % 83).alias("few"), (F.xxhash64(i) % 10**9 + i * 3_000_000).alias("many"), F.when(i % 2 > 0, 7).otherwise(i).alias("hot"))
+    places = metrics.ranked(df, "o", "place")
+    seen = metrics.frequencies(df, {c: F.col(c) for c in df.columns})
+    assert (seen["o"], seen["hot"]["top"]) == ({"distinct": 500, "top": 1, "share": 0.002}, 250) and seen["few"]["distinct"] == 42
+    for few, hot in ((10**6, 10**6), (0, 10**6), (0, 0)):  # broadcast ranks, rows ranked in place, ranks joined
+        monkeypatch.setattr(metrics, "FEW_VALUES", few)
+        monkeypatch.setattr(metrics, "HOT_ROWS", hot)
+        for c in ("few", "many", "hot"):
+            assert metrics.order_trend(places, c, "place", "place", seen[c]).first() == metrics.order_trend(df, c, "o").first(), (few, hot, c)
+
+
+def test_nulls_in_a_sequence(spark):
+    """Rows without a value at the end leave a sequence one; a null before or a fall does not."""
+    df = spark.range(0, 30, 1, 3).select(F.col("id").alias("o"), F.when(F.col("id") < 25, F.col("id") + 4).alias("up"), (-F.col("id")).alias("down"), F.when(F.col("id") > 0, F.col("id")).alias("late"))
+    assert [infer.in_row_order(df, c, "o") for c in ("up", "down", "late")] == [True, False, False]
+
+
 def test_streaming(spark, tmp_path):
     from tallyloom.streaming.ingest import append_valid
 
