@@ -13,7 +13,7 @@ from pyspark.sql import types as T
 
 from . import validate
 from .accept import numbered
-from .metrics import present
+from .metrics import frequencies, present, quantiles
 
 MAX_ENUM = 20
 _INT, _REAL = r"\A-?(?:0|[1-9]\d*)\z", r"\A-?(?:\d+\.\d*|\.\d+|\d+)(?:[eE][+-]?\d+)?\z"
@@ -55,15 +55,25 @@ def _stats(df: DataFrame, names: list[str]) -> dict[str, Any]:
             x = v.cast("double")
             step = F.count(F.when(x != F.round(x, 0), 1))
             places = [F.count(F.when(F.abs(x - F.round(x, d)) > 1e-9, 1)).alias(f"p{d}_{i}") for d in range(4)]
-            out += [F.count_distinct(v).alias(f"d{i}"), F.min(v).alias(f"lo{i}"), F.max(v).alias(f"hi{i}"), F.avg(x).alias(f"mean{i}"), F.percentile(x, 0.5).alias(f"mid{i}"), step.alias(f"frac{i}"), *places]
+            out += [F.min(v).alias(f"lo{i}"), F.max(v).alias(f"hi{i}"), F.avg(x).alias(f"mean{i}"), step.alias(f"frac{i}"), *places]
             out += [F.stddev_pop(x).alias(f"std{i}"), F.skewness(x).alias(f"skew{i}"), F.stddev_pop(F.when(x > 0, F.log(x))).alias(f"log{i}")]
         elif isinstance(kind, T.StringType):
             for flag, ok in (("date", v.rlike(_DATE) & v.try_cast("date").isNotNull()), ("moment", v.rlike(_MOMENT)), ("uuid", v.rlike(validate.UUID)), ("email", v.rlike(validate.EMAIL)), ("url", v.rlike(validate.URL))):
                 out.append(F.bool_and(ok).alias(f"{flag}{i}"))
-            out += [F.count_distinct(v).alias(f"d{i}"), F.min(v).alias(f"lo{i}"), F.max(v).alias(f"hi{i}"), F.avg(F.length(v)).alias(f"mean{i}"), F.max(F.length(v)).alias(f"max{i}")]
+            out += [F.min(v).alias(f"lo{i}"), F.max(v).alias(f"hi{i}"), F.avg(F.length(v)).alias(f"mean{i}"), F.max(F.length(v)).alias(f"max{i}")]
         elif isinstance(kind, T.DateType | T.TimestampType | T.TimestampNTZType):
             out += [F.min(v).alias(f"lo{i}"), F.max(v).alias(f"hi{i}")]
-    return df.agg(*out).first().asDict()
+    got = df.agg(*out).first().asDict()
+    numbers = [c for c in names if isinstance(df.schema[c].dataType, T.NumericType)]
+    counted = numbers + [c for c in names if isinstance(df.schema[c].dataType, T.StringType)]
+    seen = frequencies(df, {c: present(df, c) for c in counted}) if counted else {}
+    middle = quantiles(df, {c: present(df, c) for c in numbers}, (0.5,)) if numbers else {}
+    for i, c in enumerate(names):
+        if c in seen:
+            got[f"d{i}"] = seen[c]["distinct"]
+        if c in middle:
+            got[f"mid{i}"] = middle[c][0]
+    return got
 
 
 def _labels(df: DataFrame, name: str) -> list[tuple]:
@@ -75,6 +85,10 @@ def _labels(df: DataFrame, name: str) -> list[tuple]:
 def in_row_order(df: DataFrame, name: str, order: str | None) -> bool:
     """Whether a value less the first is the row's position throughout; ``order`` names the rows' order, else files give it."""
     rows = df.select(present(df, name).cast("long").alias("v"), (F.col(f"`{order}`") if order else F.monotonically_increasing_id()).alias("o"))
+    at = F.when(F.col("v").isNotNull(), F.col("o"))
+    ends = rows.agg(F.min("v").alias("low"), F.max("v").alias("high"), F.min_by("v", at).alias("first"), F.max_by("v", at).alias("last")).first()
+    if (ends.low, ends.high) != (ends.first, ends.last):  # the ends are cheap to tell; only then are rows numbered
+        return False
     own = numbered(rows, "o", 0)
     low = own.agg(F.min("v")).first()[0]
     return low is not None and own.where(F.col("v") - low != F.col("_number")).isEmpty()

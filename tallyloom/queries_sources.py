@@ -166,7 +166,7 @@ UNION ALL SELECT 'empty', 'string', NULL, NULL, NULL, NULL, NULL, 1.0, NULL, NUL
 def infer_schema(spark, sf_dir):
     """The specification that a sample suggests, a row a field."""
     i = F.col("event_id")
-    df = table(spark, sf_dir, "events").orderBy("event_id").select(
+    df = table(spark, sf_dir, "events").select(
         F.col("event_id").alias("place"),
         F.col("event_type").alias("kind"),
         (i % 4).cast("string").alias("few"),
