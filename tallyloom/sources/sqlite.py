@@ -4,8 +4,12 @@ from __future__ import annotations
 
 import os
 import sqlite3
+import uuid
 from collections.abc import Iterator
+from urllib.parse import quote
 
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -16,6 +20,8 @@ from .files import flatten
 
 ROWS_A_PARTITION = 100_000
 BATCH = 1_000
+WAIT_SECONDS = 600  # of a task for another attempt at it
+PARTS = "_tallyloom_parts"  # partitions that are in the file, while it is written
 
 
 def _quoted(name: str) -> str:
@@ -103,14 +109,55 @@ def ddl(name: str, spec: Table | None, columns: list[tuple[str, str]], reference
     return f"CREATE TABLE {_quoted(name)} ({', '.join(parts)})"
 
 
+def _insert(db: sqlite3.Connection, name: str, part: int, rows: Iterator[tuple], width: int) -> None:
+    """Inserts a partition's rows and notes it, both or nothing; a partition that is noted is left out."""
+    db.execute("PRAGMA foreign_keys = ON")
+    db.execute("BEGIN IMMEDIATE")
+    batch, sql = [], f"INSERT INTO {_quoted(name)} VALUES ({', '.join('?' * width)})"
+    try:
+        if not db.execute(f"SELECT 1 FROM {PARTS} WHERE name = ? AND part = ?", (name, part)).fetchone():
+            for row in rows:
+                batch.append(row)
+                if len(batch) >= BATCH:
+                    db.executemany(sql, batch)
+                    batch = []
+            db.executemany(sql, batch)
+            db.execute(f"INSERT INTO {PARTS} VALUES (?, ?)", (name, part))
+        db.execute("COMMIT")
+    except BaseException:
+        if db.in_transaction:
+            db.execute("ROLLBACK")
+        raise
+
+
+def _inserted(path: str, name: str, width: int):
+    """A task's rows into the file at ``path``: ``(seen, wrong)``; where the file is not seen nothing is done."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen, wrong = os.path.exists(path), None
+        if seen:
+            db = sqlite3.connect(f"file:{quote(path)}?mode=rw", uri=True, timeout=WAIT_SECONDS, isolation_level=None)
+            try:
+                rows = (row for b in batches for row in zip(*(c.to_pylist() for c in b.columns), strict=True))
+                _insert(db, name, TaskContext.get().partitionId(), rows, width)
+            except sqlite3.IntegrityError as e:  # the same for any retry
+                wrong = str(e)
+            finally:
+                db.close()
+        yield pa.RecordBatch.from_arrays([pa.array([seen]), pa.array([wrong], pa.string())], ["seen", "wrong"])
+
+    return run
+
+
 def write_sqlite(tables: dict[str, DataFrame], specs: dict[str, Table], path: str) -> None:
-    """One database file, parents first, rows streamed through the driver; replaced when whole."""
-    temp = path + ".tmp"
-    if os.path.exists(temp):
-        os.remove(temp)
-    db = sqlite3.connect(temp)
+    """One database file, parents first, one partition after the other; replaced when whole.
+
+    Tasks insert their rows themselves; where one does not see the driver's file, the table is streamed through the driver.
+    """
+    temp = f"{os.path.abspath(path)}.{uuid.uuid4().hex}.tmp"
+    db = sqlite3.connect(temp, isolation_level=None)
     try:
-        db.execute("PRAGMA foreign_keys = ON")
+        db.execute(f"CREATE TABLE {PARTS} (name TEXT, part INTEGER)")
         for name in _parents_first(specs, list(tables)):
             df = tables[name]
             lacking = [f for f in (specs[name].fields if name in specs else []) if f.name not in df.columns]
@@ -118,15 +165,20 @@ def write_sqlite(tables: dict[str, DataFrame], specs: dict[str, Table], path: st
             referenced = {f.target[1] for s in specs.values() for f in s.refs if f.target[0] == name}
             db.execute(ddl(name, specs.get(name), df.dtypes, referenced))
             plain = df.select(*(F.col(f"`{c}`").cast("string").alias(c) if k in ("date", "timestamp") or k.startswith("decimal") else F.col(f"`{c}`") for c, k in df.dtypes))
-            marks = ", ".join("?" * len(df.columns))
-            batch: list[tuple] = []
-            for row in plain.toLocalIterator():
-                batch.append(tuple(row))
-                if len(batch) >= BATCH:
-                    db.executemany(f"INSERT INTO {_quoted(name)} VALUES ({marks})", batch)
-                    batch = []
-            db.executemany(f"INSERT INTO {_quoted(name)} VALUES ({marks})", batch)
-        db.commit()
+            width = len(df.columns)
+            done = plain.mapInArrow(_inserted(temp, name, width), "seen boolean, wrong string").rdd
+            for part in range(done.getNumPartitions()):
+                said = df.sparkSession.sparkContext.runJob(done, list, [part])
+                if wrong := [r.wrong for r in said if r.wrong]:
+                    raise sqlite3.IntegrityError(wrong[0])
+                if not all(r.seen for r in said):
+                    db.execute(f"DELETE FROM {_quoted(name)}")  # others may have seen it
+                    _insert(db, name, -1, map(tuple, plain.toLocalIterator()), width)
+                    break
+        db.execute(f"DROP TABLE {PARTS}")
+        db.close()
+        os.replace(temp, path)
     finally:
         db.close()
-    os.replace(temp, path)
+        if os.path.exists(temp):
+            os.remove(temp)

@@ -306,6 +306,31 @@ def test_nulls_in_a_sequence(spark):
     assert [infer.in_row_order(df, c, "o") for c in ("up", "down", "late")] == [True, False, False]
 
 
+def test_sqlite_rows_do_not_pass_the_driver(spark, tmp_path, monkeypatch):
+    from pyspark.sql.classic.dataframe import DataFrame
+
+    from tallyloom.sources import sqlite
+
+    own = {t.name: t for t in spec.from_dict({"tables": {"p": {"fields": {"k": {"type": "integer", "generator": "sequence"}, "n": "string"}}, "c": {"fields": {"k": {"type": "integer", "generator": "sequence"}, "p": {"ref": "p.k"}, "s": "string"}}}}).tables}
+    p = spark.range(0, 40, 1, 3).withColumnRenamed("id", "k")
+    c = spark.range(0, 3_000, 1, 5).select(F.col("id").alias("k"), (F.col("id") % 40).alias("p"), F.when(F.col("id") % 7 > 0, "a'é").alias("s"))
+    want, path = sorted(map(tuple, c.collect()), key=str), str(tmp_path / "a b.sqlite")
+    with monkeypatch.context() as m:
+        m.setattr(DataFrame, "toLocalIterator", lambda *_: pytest.fail("rows came to the driver"))
+        write_sqlite({"c": c, "p": p}, own, path)
+        with pytest.raises(sqlite.sqlite3.IntegrityError, match="FOREIGN KEY"):
+            write_sqlite({"c": c.withColumn("p", F.col("p") + 1), "p": p}, own, path)
+    inserted = sqlite._inserted
+    monkeypatch.setattr(sqlite, "_inserted", lambda at, *rest: inserted(at + "x", *rest))  # tasks that do not see the file
+    away = str(tmp_path / "away.sqlite")
+    write_sqlite({"c": c, "p": p}, own, away)
+    for each in (path, away):
+        with sqlite.sqlite3.connect(each) as db:
+            assert sorted(db.execute("SELECT * FROM c").fetchall(), key=str) == want
+        assert sqlite.table_names(each) == ["c", "p"]
+    assert sorted(f.name for f in tmp_path.iterdir()) == ["a b.sqlite", "away.sqlite"]
+
+
 def test_streaming(spark, tmp_path):
     from tallyloom.streaming.ingest import append_valid
 
