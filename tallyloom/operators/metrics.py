@@ -20,6 +20,7 @@ from ..sources.shared import written
 
 SUMMARY = 4_000  # accuracy of the summaries that bracket exact quantiles
 FEW_VALUES = 100_000  # ranks of so many values are broadcast
+TASK_CHARS = 1 << 24  # of text whose parts a task counts
 HOT_ROWS = 1_000_000  # of one value; more are not ordered in one task
 
 
@@ -301,10 +302,17 @@ def arrays(df: DataFrame, column: str, k: int = 5) -> tuple[DataFrame, DataFrame
     return sizes.join(F.broadcast(distinct)), n.orderBy(F.desc("n"), "element").limit(k)
 
 
-def ngram_diversity(df: DataFrame, tokens: Column) -> DataFrame:
-    """``(bigrams, distinct_bigrams, distinct_2)``."""
+def spread(df: DataFrame, size: Column) -> DataFrame:
+    """Rows dealt over tasks by their sizes' sum, where a task would get more than ``TASK_CHARS`` else."""
+    total = df.agg(F.sum(size)).first()[0] or 0
+    return df.repartition(int(total // TASK_CHARS) + 1) if total > TASK_CHARS else df
+
+
+def ngram_diversity(df: DataFrame, tokens: Column, size: Column | None = None) -> DataFrame:
+    """``(bigrams, distinct_bigrams, distinct_2)``; by ``size``, characters of a row, tasks are kept small, as their partial counts grow with them."""
     from ..functions.text import bigrams
 
+    df = df if size is None else spread(df, size)
     pair = df.select(F.explode(bigrams(tokens)).alias("b"))
     pairs = pair.groupBy(F.xxhash64("b").alias("k1"), F.xxhash64(F.lit("b"), "b").alias("k2")).agg(F.count("*").alias("n"))  # 128 bits for the text
     return pairs.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("bigrams"), F.count("*").alias("distinct_bigrams"), F.round(F.try_divide(F.count("*"), F.sum("n")), 3).alias("distinct_2"))

@@ -165,7 +165,7 @@ _WORDS = r"SELECT regexp_extract_all(lower(text), '[a-z0-9'']+') AS w FROM docum
 
 @query(f"WITH w AS ({_WORDS}), b AS (SELECT unnest(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) AS b FROM w), n AS (SELECT b, count(*) AS n FROM b GROUP BY b) SELECT sum(n)::BIGINT AS bigrams, count(*) AS distinct_bigrams, round(count(*) / sum(n)::DOUBLE, 3) AS distinct_2 FROM n")
 def distinct_2(spark, sf_dir):
-    return metrics.ngram_diversity(table(spark, sf_dir, "documents"), text.words(F.col("text")))
+    return metrics.ngram_diversity(table(spark, sf_dir, "documents"), text.words(F.col("text")), F.length("text"))
 
 
 @query(f"SELECT array_to_string(w[1:3], ' ') AS opening, count(*) AS n FROM ({_WORDS}) WHERE len(w) >= 3 GROUP BY 1 ORDER BY n DESC, opening LIMIT 3")

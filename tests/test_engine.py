@@ -331,6 +331,21 @@ def test_sqlite_rows_do_not_pass_the_driver(spark, tmp_path, monkeypatch):
     assert sorted(f.name for f in tmp_path.iterdir()) == ["a b.sqlite", "away.sqlite"]
 
 
+def test_word_pairs_are_counted_in_small_tasks(spark, monkeypatch):
+    """A task's partial counts grow with its text, so long tables are dealt by size; the figures stay."""
+    from tallyloom.functions import text
+
+    df = spark.range(0, 200, 1, 1).select(F.concat_ws(" ", F.lit("to be or not to be"), F.col("id") % 7, F.col("id")).alias("t"))
+    words, sizes = text.words(F.col("t")), []
+    whole = metrics.ngram_diversity(df, words).first()
+    monkeypatch.setattr(metrics, "TASK_CHARS", 500)
+    real = metrics.spread
+    monkeypatch.setattr(metrics, "spread", lambda *a: sizes.append(real(*a)) or sizes[-1])
+    assert metrics.ngram_diversity(df, words, F.length("t")).first() == whole
+    chars = [r.n for r in sizes[0].groupBy(F.spark_partition_id()).agg(F.sum(F.length("t")).alias("n")).collect()]
+    assert len(chars) > 5 and max(chars) < 1_000
+
+
 def test_streaming(spark, tmp_path):
     from tallyloom.streaming.ingest import append_valid
 
