@@ -346,6 +346,20 @@ def test_word_pairs_are_counted_in_small_tasks(spark, monkeypatch):
     assert len(chars) > 5 and max(chars) < 1_000
 
 
+def test_report_of_records_in_one_part(spark, monkeypatch):
+    """Records are judged in several tasks though they come in one part; score and issues stay."""
+    own = spec.from_dict({"name": "s", "fields": {"n": {"type": "integer", "unique": True}, "v": "number", "s": {"type": "string", "max_length": 3}}}).tables[0]
+    i = F.col("id")
+    df = spark.range(0, 300, 1, 1).select(i.alias("n"), F.when(i % 50 == 0, -1e9).otherwise(i * 7919 % 101 + 0.5).alias("v"), F.concat(F.lit("k"), i % 120).alias("s"))
+    whole = report.quality_report(df, own, order="n")
+    parts, real = [], validate.validate
+    monkeypatch.setattr(validate, "validate", lambda rows, *rest: parts.append(rows.rdd.getNumPartitions()) or real(rows, *rest))
+    monkeypatch.setattr(report, "SPREAD_ROWS", 50)
+    assert report.quality_report(df, own, order="n") == whole and parts == [7]
+    assert whole["columns"]["v"]["p50"] == df.agg(F.percentile("v", 0.5)).first()[0] and whole["columns"]["v"]["outliers"] == 6
+    assert whole["columns"]["n"]["row_order_correlation"] == 1.0 and whole["schema"]["violations"]
+
+
 def test_streaming(spark, tmp_path):
     from tallyloom.streaming.ingest import append_valid
 
