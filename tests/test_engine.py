@@ -331,6 +331,12 @@ def test_sqlite_rows_do_not_pass_the_driver(spark, tmp_path, monkeypatch):
     assert sorted(f.name for f in tmp_path.iterdir()) == ["a b.sqlite", "away.sqlite"]
 
 
+def test_a_fall_is_told_without_numbering(spark, monkeypatch):
+    monkeypatch.setattr(infer, "numbered", lambda *_: pytest.fail("rows were numbered"))
+    df = spark.range(0, 30, 1, 3).select(F.col("id").alias("o"), (-F.col("id")).alias("down"))
+    assert not infer.in_row_order(df, "down", "o")
+
+
 def test_word_pairs_are_counted_in_small_tasks(spark, monkeypatch):
     """A task's partial counts grow with its text, so long tables are dealt by size; the figures stay."""
     from tallyloom.functions import text
