@@ -64,6 +64,17 @@ def test_components(spark):
     assert components(spark.createDataFrame([], "u long, v long"), Scratch(spark, "t")).count() == 0
 
 
+def test_scratch_tables_have_no_checksum_files(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr("tallyloom.llm.store.shared_dir", lambda spark: f"file://{tmp_path}")
+    scratch = Scratch(spark, "own")
+    table = scratch.save(spark.range(100).repartition(3), "numbers")
+    assert sorted(r.id for r in table.collect()) == list(range(100))
+    names = [p.name for p in tmp_path.rglob("*") if p.is_file()]
+    assert any(n.endswith(".parquet") for n in names) and not any(n.endswith(".crc") for n in names)  # a process was started for each of them
+    scratch.drop(table)
+    assert not [p for p in tmp_path.rglob("*") if p.is_file()]
+
+
 def test_packing(spark, docs):
     got = packing.pack(spark, docs, tokenizer_path(), 64).toPandas()
     encode = packing.encoder(tokenizer_path())
