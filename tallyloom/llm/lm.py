@@ -31,6 +31,7 @@ from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -42,6 +43,7 @@ ORDERS = 3
 TABLE_BITS, MAX_TABLE_BITS = 20, 23  # one slot for 256 bytes of training text or more, between these
 BLOCK = 4096  # slots that are added up together
 FREQUENT_WORDS = 200_000
+COUNTED_BYTES = 4 << 20  # of text whose words are counted at a time
 SLICE = 4_096  # tokens between two corrections
 PART = 64 * SLICE  # tokens held at a time
 SHARD_BYTES = (64 << 20, 1 << 30)  # of training text: a 256th of it, between these
@@ -406,24 +408,44 @@ def train(spark: SparkSession, texts: DataFrame, words: Words, n_bytes: int) ->
 
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Word counts of a task's documents: ``(word, n)``, n in training documents."""
-    seen, other = Counter(), set()
+    parts, size = [], 0
     for b in batches:
-        for text, held in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-            if held:
-                other.update(tokens(text))
-            else:
-                seen.update(tokens(text))
-                seen[END] += 1
-        if len(seen) + len(other) > 1_000_000:  # what a task holds is bounded; Spark adds the parts up
-            yield _counts(seen, other)
-            seen, other = Counter(), set()
-    yield _counts(seen, other)
-
-
-def _counts(seen: Counter, other: set) -> pa.RecordBatch:
-    rest = list(other - seen.keys())
-    n = np.concatenate([np.fromiter(seen.values(), np.int64, len(seen)), np.zeros(len(rest), np.int64)])
-    return pa.RecordBatch.from_arrays([pa.array([*seen, *rest], pa.binary()), pa.array(n)], ["word", "n"])
+        for held in (False, True):
+            texts = b.column(0).filter(pc.equal(b.column(1), held)).fill_null("")
+            for part in _cut(texts):
+                parts.append(_counts(part, held))
+                size += len(parts[-1])
+                if size > 1_000_000:  # what a task holds is bounded; Spark adds the parts up
+                    parts = [_summed(parts)]
+                    size = len(parts[0])
+                    if size > 500_000:
+                        yield from parts[0].to_batches()
+                        parts, size = [], 0
+    if parts:
+        yield from _summed(parts).to_batches()
+
+
+def _cut(texts: pa.Array) -> Iterator[pa.Array]:
+    """Texts in parts of ``COUNTED_BYTES`` or a text more."""
+    part = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False), dtype=np.int64) // COUNTED_BYTES
+    cuts = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), len(texts)]
+    for a, b in zip(cuts, cuts[1:]):
+        if b > a:
+            yield texts.slice(a, b - a)
+
+
+def _counts(texts: pa.Array, held: bool) -> pa.Table:
+    """Counts of the words that ``tokens`` gives, by Arrow, and of the ends; of held-out texts zeros."""
+    found = pc.value_counts(pc.ascii_split_whitespace(pc.ascii_lower(texts)).flatten())
+    word, n = found.field("values").cast(pa.binary()), found.field("counts")
+    if held:
+        n = pa.array(np.zeros(len(n), np.int64))
+    own = pa.table({"word": word, "n": n}).filter(pc.greater(pc.binary_length(word), 0))  # blanks at a text's ends leave empty words
+    return own if held else pa.concat_tables([own, pa.table({"word": pa.array([END]), "n": pa.array([len(texts)])})])
+
+
+def _summed(parts: list[pa.Table]) -> pa.Table:
+    return pa.concat_tables(parts).group_by("word", use_threads=False).aggregate([("n", "sum")]).select(["word", "n_sum"]).rename_columns(["word", "n"])
 
 
 def held_out(id_col: str, folds: int = FOLDS) -> F.Column:

@@ -7,6 +7,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -465,6 +466,21 @@ def brute_token(model, before, word):
     return out
 
 
+def test_words_are_counted_without_lists_of_tokens(monkeypatch):
+    rng = random.Random(5)
+    odd = [None, "", " ", "  a  b ", "A\x0bB\x0c C\rD\nE\tF a", "\x1c\x1d\x85\xa0\u00c9 \u0130\u2028x", "\x00 a\x00b", "B" * 90]
+    texts = [(rng.choice(odd), rng.random() < 0.3) for _ in range(500)]
+    expected = Counter({w: 0 for t, _ in texts for w in lm.tokens(t)})
+    for t, held in texts:
+        expected.update([] if held else [*lm.tokens(t), lm.END])
+    monkeypatch.setattr(lm, "tokens", None)
+    monkeypatch.setattr(lm, "COUNTED_BYTES", 64, raising=False)
+    batches = [pa.RecordBatch.from_arrays([pa.array([t for t, _ in own]), pa.array([h for _, h in own])], ["text", "held_out"]) for own in (texts[:200], texts[200:])]
+    found = [r for b in lm._counted(iter(batches)) for r in b.to_pylist()]
+    assert {r["word"]: r["n"] for r in found} == dict(expected) and len(found) == len(expected)
+    assert not list(lm._counted(iter([])))
+
+
 def test_scores_equal_the_mixer_bit_by_bit():
     rng = random.Random(43)
     model, _ = small_model(rng)
