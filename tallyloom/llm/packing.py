@@ -165,7 +165,7 @@ def match(pending: DataFrame, gaps: DataFrame, n_rows: int, scratch: Scratch) ->
     w = W.partitionBy("level").orderBy(*_sweep())
     paired = swept.join(offsets, "pid").withColumn("level", level).select("size", "kind", "id", F.lead(F.struct("kind", "id", "size")).over(w).alias("next"))
     paired = paired.where("kind = 0 AND next.kind = 1").selectExpr("next.id AS item", "next.size AS length", "id AS bin", "size AS gap")
-    paired = scratch.save(paired, "paired")
+    paired = scratch.save(paired, "paired", n_rows)
     scratch.drop(swept)
     return paired
 
@@ -245,12 +245,12 @@ def assign(items: DataFrame, scratch: Scratch, capacity: int = CAPACITY, last_it
                     break
                 more -= sizes[cut]
             rank = F.pmod(F.xxhash64("item"), F.lit(1_000_003)) < math.ceil(1_000_003 * more / max(1, sizes[cut]))
-            pending = scratch.save(pending.withColumn("seed", (F.col("length") > cut) | (F.col("length") == cut) & rank), "seeded")
+            pending = scratch.save(pending.withColumn("seed", (F.col("length") > cut) | (F.col("length") == cut) & rank), "seeded", n)
             seeds = pending.where("seed")
             placed.append(seeds.selectExpr("item", "item AS bin", "0L AS offset"))
             gaps = gaps.union(seeds.selectExpr("item AS bin", f"{capacity}L - length AS gap"))
             pending = pending.where("NOT seed").drop("seed")
-        pending, gaps = scratch.save(pending, "pending"), scratch.save(gaps.where(F.col("gap") >= least), "gaps")
+        pending, gaps = scratch.save(pending, "pending", n), scratch.save(gaps.where(F.col("gap") >= least), "gaps", n + n_gaps)
         scratch.drop(*old)
     out = placed[0]
     for more in placed[1:]:

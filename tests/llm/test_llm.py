@@ -65,6 +65,24 @@ def test_components(spark):
     assert components(spark.createDataFrame([], "u long, v long"), Scratch(spark, "t")).count() == 0
 
 
+def test_tables_of_few_rows_get_few_files(spark, tmp_path, monkeypatch):
+    """Executors start two processes a file on a local shared folder, whatever it holds."""
+    monkeypatch.setattr("tallyloom.llm.store.shared_dir", lambda spark: f"file://{tmp_path}")
+    monkeypatch.setattr(Scratch, "drop", lambda self, *tables: None)
+    before = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")}
+    for k, v in zip(before, ("23", "false"), strict=True):
+        spark.conf.set(k, v)
+    try:
+        edges = spark.range(400).selectExpr("id AS u", "id - id % 10 AS v")
+        got = {r.node: r.root for r in components(edges, Scratch(spark, "few"), 400).collect()}
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert got == {i: i - i % 10 for i in range(400) if i % 10}
+    tables = [p for p in tmp_path.glob("few-*/*")]
+    assert len(tables) >= 3 and all(len(list(p.glob("*.parquet"))) == 1 for p in tables)
+
+
 def test_scratch_tables_have_no_checksum_files(spark, tmp_path, monkeypatch):
     monkeypatch.setattr("tallyloom.llm.store.shared_dir", lambda spark: f"file://{tmp_path}")
     scratch = Scratch(spark, "own")
