@@ -28,6 +28,7 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -110,14 +111,12 @@ def _hashed(length: int):
             doc = b.column(0).to_numpy()
             for number, _, _, m in _runs(_bytes(b.column(1)), length):
                 own = doc[number]
-                order = np.lexsort((own, m))
+                order = np.argsort(m)
                 m, own = m[order], own[order]
-                new = np.concatenate([[True], m[1:] != m[:-1]])
-                last = np.concatenate([new[1:], [True]])
-                end = np.flatnonzero(last)
-                end = end[own[end] != own[np.flatnonzero(new)]]  # of one document one row is enough
-                at = np.concatenate([np.flatnonzero(new), end])
-                yield pa.RecordBatch.from_arrays([pa.array(m[at].view(np.int64)), pa.array(own[at])], ["hash", "doc"])
+                at = np.flatnonzero(np.concatenate([[True], m[1:] != m[:-1]]))
+                m, least, most = m[at].view(np.int64), np.minimum.reduceat(own, at), np.maximum.reduceat(own, at)
+                both = least != most  # of one document one row is enough
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([m, m[both]])), pa.array(np.concatenate([least, most[both]]))], ["hash", "doc"])
 
     return run
 
@@ -245,16 +244,71 @@ def merge(symbol: np.ndarray, left: np.ndarray, need: np.ndarray, depth: int, st
     return order, block
 
 
+def window_hashes(data: np.ndarray, length: int = LENGTH) -> np.ndarray:
+    """A hash of every window of ``length`` bytes; equal windows have equal ones."""
+    h, width = np.ndarray((len(data),), "<u8", np.append(data, np.zeros(8, np.uint8)), strides=(1,)).copy(), 8
+    if length < width:
+        h &= np.uint64((1 << 8 * length) - 1)
+        return h[: len(data) - length + 1] * _A
+    while width < length:
+        ahead = min(width, length - width)  # the last two overlap
+        h = h[:-ahead] * _A + h[ahead:]
+        h ^= h >> np.uint64(29)
+        h *= _B
+        width += ahead
+    return h[: len(data) - length + 1]
+
+
 def least_documents(segments: list[bytes], doc: np.ndarray, length: int = LENGTH) -> list[np.ndarray]:
     """For each window of each segment the least document in whose segments the window occurs."""
+    windows = np.fromiter(map(len, segments), np.int64, len(segments)) - length + 1
+    return np.split(_least(segments, doc, windows, length), np.cumsum(windows)[:-1])
+
+
+def _least(segments: list[bytes], doc: np.ndarray, windows: np.ndarray, length: int) -> np.ndarray:
+    """``least_documents``, one after the other.
+
+    A window whose hash no other has is not repeated.  Runs of all others are the strings that are transformed, equal ones once.
+    """
+    data = np.frombuffer(b"".join(segments), np.uint8)
+    owner = np.repeat(np.arange(len(segments)), windows)
+    place = np.arange(len(owner)) + owner * (length - 1)
+    key = window_hashes(data, length)[place]
+    order = np.argsort(key)
+    same = np.append(np.diff(key[order]) == 0, False)
+    again = np.empty(len(key), bool)
+    again[order] = same | np.roll(same, 1)
+    out = doc[owner]
+    opens = again & ~(np.roll(again, 1) & (owner == np.roll(owner, 1)))
+    if len(opens):
+        opens[0] = again[0]
+    begin = np.flatnonzero(opens)
+    if not len(begin):
+        return out
+    at = np.flatnonzero(again)
+    run = np.cumsum(opens)[at] - 1
+    size = np.bincount(run)
+    text, number = data.tobytes(), {}
+    own = [number.setdefault(text[p : p + n + length - 1], len(number)) for p, n in zip(place[begin].tolist(), size.tolist(), strict=True)]
+    own = np.array(own)
+    least = np.full(len(number), NO_ID)
+    np.minimum.at(least, own, out[begin])
+    strings = list(number)
+    of = np.fromiter(map(len, strings), np.int64, len(strings)) - length + 1
+    found = _transformed(strings, least, of, length)
+    out[at] = found[(np.cumsum(of) - of)[own][run] + at - begin[run]]
+    return out
+
+
+def _transformed(strings: list[bytes], doc: np.ndarray, windows: np.ndarray, length: int) -> np.ndarray:
+    """``_least`` by shards' transforms and their merge."""
     step, at, rows, shards = (2 if length % 2 == 0 else 1), 0, 0, []
-    windows = np.fromiter((len(s) - length + 1 for s in segments), np.int64, len(segments))
-    while at < len(segments):
+    while at < len(strings):
         end, size = at, 0
-        while end < len(segments) and (end == at or size < SHARD_BYTES):
-            size += len(segments[end])
+        while end < len(strings) and (end == at or size < SHARD_BYTES):
+            size += len(strings[end])
             end += 1
-        own = Shard.of(segments[at:end], step)
+        own = Shard.of(strings[at:end], step)
         own.string += at
         own.left[own.left >= 0] += rows
         rows += len(own.symbol)
@@ -267,30 +321,40 @@ def least_documents(segments: list[bytes], doc: np.ndarray, length: int = LENGTH
     first = np.cumsum(windows) - windows
     out = np.empty(windows.sum(), np.int64)
     out[first[string[row]] + offset[row]] = least[block]
-    return np.split(out, first[1:])
+    return out
 
 
 def _resolved(length: int):
     """``(hash, salt, k1, least)`` for segments sorted by hash and salt; ``least`` has one entry if it is the same for all windows."""
 
-    def flush(held: list[tuple]) -> pa.RecordBatch:
-        doc = np.array([h[3] for h in held], np.int64)
-        found = least_documents([h[4] for h in held], doc, length)
-        least = [f[:1] if (f == f[0]).all() else f for f in found]
-        ends = np.cumsum([0, *map(len, least)])
-        lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(least)))
-        cols = [*(pa.array([h[k] for h in held], pa.int64()) for k in range(3)), lists]
-        return pa.RecordBatch.from_arrays(cols, ["hash", "salt", "k1", "least"])
+    def flush(held: list[pa.RecordBatch]) -> pa.RecordBatch:
+        rows = pa.Table.from_batches(held).combine_chunks()
+        segments = rows.column(4).to_pylist()
+        windows = np.fromiter(map(len, segments), np.int64, len(segments)) - length + 1
+        least = _least(segments, rows.column(3).to_numpy(), windows, length)
+        first = np.cumsum(windows) - windows
+        one = np.minimum.reduceat(least, first) == np.maximum.reduceat(least, first)
+        kept = ~np.repeat(one, windows)
+        kept[first] = True
+        ends = np.concatenate([[0], np.cumsum(np.where(one, 1, windows))])
+        lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(least[kept]))
+        return pa.RecordBatch.from_arrays([*(rows.column(k).combine_chunks() for k in range(3)), lists], ["hash", "salt", "k1", "least"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, size = [], 0
+        held, size, last = [], 0, None
         for b in batches:
-            for row in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                if size >= MERGE_BYTES and row[:2] != held[-1][:2]:
-                    yield flush(held)
-                    held, size = [], 0
-                held.append(row)
-                size += len(row[4])
+            if not len(b):
+                continue
+            h, salt = b.column(0).to_numpy(), b.column(1).to_numpy()
+            ends = np.concatenate([[0], np.cumsum(pc.binary_length(b.column(4)).to_numpy(), dtype=np.int64)])
+            opens = np.flatnonzero(np.concatenate([[(h[0], salt[0]) != last], (h[1:] != h[:-1]) | (salt[1:] != salt[:-1])]))
+            at, done = 0, 0
+            for i, end in zip(opens.tolist(), ends[opens].tolist(), strict=True):
+                if size + end - done >= MERGE_BYTES:
+                    yield flush([*held, b.slice(at, i - at)])
+                    held, size, at, done = [], 0, i, end
+            held.append(b.slice(at))
+            size, last = size + int(ends[-1]) - done, (h[-1], salt[-1])
         if held:
             yield flush(held)
 

@@ -219,6 +219,26 @@ def test_transform_merge():
                 assert d == min(doc[i] for i, o in enumerate(segments) if s[p : p + length] in o)
 
 
+def test_only_repeated_windows_are_transformed(monkeypatch):
+    """Runs of repeated windows enter the transforms once, what is alone does not."""
+    rng, length, seen = random.Random(6), 20, []
+    made = lambda n: bytes(rng.randint(97, 122) for _ in range(n))
+    common = made(30)
+    segments = [made(10) + common + made(10) for _ in range(40)] + [made(60) for _ in range(40)]
+    doc = np.array([rng.randint(0, 99) for _ in segments])
+    real = substrings.merge
+    monkeypatch.setattr(substrings, "merge", lambda symbol, *rest: seen.append(len(symbol)) or real(symbol, *rest))
+    got = substrings.least_documents(segments, doc, length)
+    for i, (s, found) in enumerate(zip(segments, got, strict=True)):
+        assert found.tolist() == [min(d for o, d in zip(segments, doc.tolist(), strict=True) if s[p : p + length] in o) for p in range(len(s) - length + 1)], i
+    assert 0 < sum(seen) < 2000  # suffixes of the common part, some with a byte beside it that agrees by chance; 4,560 of all segments
+    assert [x.tolist() for x in substrings.least_documents(segments[40:], doc[40:], length)] == [[d] * 41 for d in doc[40:].tolist()]
+    data = np.frombuffer(b"abcabcabcabcabcabcabcabc" * 3, np.uint8)
+    for n in (1, 7, 8, 9, 16, 17, 50):
+        h = substrings.window_hashes(data, n)
+        assert len(h) == len(data) - n + 1 and (h[:-3] == h[3:]).all() and len(set(h[:3].tolist())) == 3
+
+
 def test_shard_transforms():
     """Rows are the suffixes in order, and following the symbols backwards spells the strings."""
     strings = [b"banana", b"ananas", b"banana", b"a", b"zz"]
