@@ -8,11 +8,12 @@ Hashes seen in two documents are kept in a bit table of fixed size; a false hit
 neighbouring windows with the same least hash are a segment; equal segments are one string with its least document.
 
 A hash that only one segment has needs no more: that segment's least document is each window's.  Segments of all other
-hashes are dealt by hash, so strings that share a window meet; a hot hash's windows are dealt by a second hash.  A task
-cuts them into shards, builds each shard's multi-string transform over pairs of bytes, and merges all shards by
-interleave refinement: each round carries the interleave one symbol further by a stable bucket pass, and rows stay in
-one block while they agreed in all symbols so far.  The blocks left are the intervals of common prefix ``LENGTH`` or
-more; suffixes are sorted in their small shards only.  The least document of a block tells which of its windows go.
+hashes are dealt by hash, so strings that share a window meet; a hot hash's windows are dealt by a second hash.  Windows
+whose own hash no other has are not repeated either; a task cuts runs of all others, equal ones once, into shards, builds
+each shard's multi-string transform over pairs of bytes, and merges all shards by interleave refinement: each round
+carries the interleave one symbol further by a stable bucket pass, and rows stay in one block while they agreed in all
+symbols so far.  The blocks left are the intervals of common prefix ``LENGTH`` or more; suffixes are sorted in their
+small shards only.  The least document of a block tells which of its windows go.
 
 Rules for odd rows: a null text is an empty one; texts below ``LENGTH`` bytes lose nothing; a string repeated only inside
 documents of one id stays; a null id counts as larger than any other and rows with a null id as one document; rows
